@@ -1,0 +1,7 @@
+"""Streaming.
+
+The operator inventory this library re-expresses has no stream, no time column and no
+stateful or windowed-by-time operator, so there is deliberately nothing here. Every
+operator in :mod:`strata.operators` is a batch DataFrame transform and can be applied
+inside ``foreachBatch`` when a caller feeds micro-batches.
+"""
