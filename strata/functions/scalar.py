@@ -98,8 +98,11 @@ def conditional_label(cond: Column, yes: str = "Yes", no: str = "No") -> Column:
 
 
 def round_half_even(c: Column | str, digits: int) -> Column:
-    """P20: numpy / pandas rounding is half-to-even."""
-    return F.bround(_c(c), digits)
+    """P20: numpy / pandas rounding: scale, round half-to-even on the binary value
+    (``rint``), scale back. ``bround`` would round the decimal text instead and differ
+    on values such as 0.545."""
+    f = float(10 ** digits)
+    return F.rint(_c(c) * F.lit(f)) / F.lit(f)
 
 
 def strip_prefix(c: Column | str, pattern: str = r"^\d+b?[.\-]\s*") -> Column:
