@@ -31,12 +31,11 @@ def decile(fx):
     return O.with_deciles(fx.scored, "p", "client_id").select("client_id", "decile")
 
 
-QB_EDGES_SQL = """edges AS (SELECT list_distinct(list_sort([quantile_cont(balance, i / 10.0) FOR i IN range(11)])) AS e FROM portfolio)"""
 
 
 @query("quantile_bins", """
 WITH q AS (SELECT quantile_cont(balance, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM portfolio),
-e AS (SELECT list_distinct(e) AS e FROM q),
+e AS (SELECT list_sort(list_distinct(e)) AS e FROM q),
 b AS (SELECT client_id, balance, y, e FROM portfolio, e)
 SELECT CAST(CASE WHEN balance = e[1] THEN 1 ELSE len(list_filter(e, lambda x: x < balance)) END AS INTEGER) AS bin,
        count(*) AS n, round(avg(CAST(y AS DOUBLE)), 6) AS rate
