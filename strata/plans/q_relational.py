@@ -325,14 +325,14 @@ def scenario_cross(fx):
 
 # ------------------------------------------------------------------ aggregates
 @query("group_stats", """
-SELECT product, count(*) AS n, round(avg(granted), 6) AS mean_granted, round(sum(balance), 6) AS sum_balance,
+SELECT product, count(*) AS n, round(avg(granted), 6) AS mean_granted, round(sum(balance), 2) AS sum_balance,
   min(prior_credits) AS min_credits, max(prior_credits) AS max_credits, round(median(balance), 6) AS median_balance,
   round(avg(CAST(y AS DOUBLE)), 6) AS rate, round(avg(CASE WHEN prior_credits = 1 THEN 1.0 ELSE 0.0 END), 6) AS share_first
 FROM portfolio WHERE product IS NOT NULL GROUP BY product""")
 def group_stats(fx):
     p = fx.portfolio.where(F.col("product").isNotNull())
     g = p.groupBy("product").agg(F.count(F.lit(1)).alias("n"), r(F.avg("granted")).alias("mean_granted"),
-                                 r(F.sum("balance")).alias("sum_balance"), F.min("prior_credits").alias("min_credits"),
+                                 r(F.sum("balance"), 2).alias("sum_balance"), F.min("prior_credits").alias("min_credits"),
                                  F.max("prior_credits").alias("max_credits"), r(F.avg("y")).alias("rate"),
                                  r(F.avg((F.col("prior_credits") == 1).cast("double"))).alias("share_first"))
     med = R.grouped_median(p, ["product"], "balance", "median_balance")
@@ -419,11 +419,11 @@ def crosstab_n(fx):
 
 
 @query("crosstab_agg", "SELECT product, " + ", ".join(
-    f"round(coalesce(sum(balance) FILTER (WHERE stage = '{s}'), 0), 6) AS {s}" for s in STAGES)
+    f"round(coalesce(sum(balance) FILTER (WHERE stage = '{s}'), 0), 2) AS {s}" for s in STAGES)
        + " FROM portfolio GROUP BY product")
 def crosstab_agg(fx):
     ct = R.crosstab(fx.portfolio, "product", "stage", STAGES, value="balance", agg="sum")
-    return ct.select("product", *[r(s).alias(s) for s in STAGES])
+    return ct.select("product", *[r(s, 2).alias(s) for s in STAGES])
 
 
 @query("crosstab_mean", "SELECT product, " + ", ".join(
@@ -461,10 +461,10 @@ def index_vs_global(fx):
 
 @query("share_of_total", """
 WITH s AS (SELECT product, sum(balance) AS balance FROM portfolio GROUP BY product)
-SELECT product, round(balance, 6) AS balance, round(100 * balance / sum(balance) OVER (), 6) AS share_pct FROM s""")
+SELECT product, round(balance, 2) AS balance, round(100 * balance / sum(balance) OVER (), 6) AS share_pct FROM s""")
 def share_of_total(fx):
     s = fx.portfolio.groupBy("product").agg(F.sum("balance").alias("balance"))
-    return R.share_of_total(s, "balance").select("product", r("balance").alias("balance"), r("share_pct").alias("share_pct"))
+    return R.share_of_total(s, "balance").select("product", r("balance", 2).alias("balance"), r("share_pct").alias("share_pct"))
 
 
 QS = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -497,9 +497,9 @@ def pearson(fx):
 
 
 @query("top_groups", """
-SELECT branch, count(*) AS n, round(sum(balance), 6) AS total FROM portfolio GROUP BY branch ORDER BY sum(balance) DESC, branch LIMIT 5""")
+SELECT branch, count(*) AS n, round(sum(balance), 2) AS total FROM portfolio GROUP BY branch ORDER BY sum(balance) DESC, branch LIMIT 5""")
 def top_groups(fx):
-    return R.top_groups(fx.portfolio, "branch", "balance", 5).withColumn("total", r("total"))
+    return R.top_groups(fx.portfolio, "branch", "balance", 5).withColumn("total", r("total", 2))
 
 
 @query("row_item_count", """
@@ -594,11 +594,11 @@ def topk(fx):
 @query("topk_stats", """
 WITH rk AS (SELECT *, row_number() OVER (ORDER BY p DESC, client_id) AS rk FROM scored),
 k AS (SELECT * FROM (VALUES (50), (100), (200)) t(K))
-SELECT CAST(K AS BIGINT) AS K, round(avg(p), 6) AS mean_p, CAST(sum(y) AS BIGINT) AS positives, round(sum(balance), 6) AS balance
+SELECT CAST(K AS BIGINT) AS K, round(avg(p), 6) AS mean_p, CAST(sum(y) AS BIGINT) AS positives, round(sum(balance), 2) AS balance
 FROM rk, k WHERE rk <= K GROUP BY K""")
 def topk_stats(fx):
     res = R.topk_stats(fx.scored, "p", "client_id", [50, 100, 200],
-                       [r(F.avg("p")).alias("mean_p"), F.sum("y").cast("long").alias("positives"), r(F.sum("balance")).alias("balance")])
+                       [r(F.avg("p")).alias("mean_p"), F.sum("y").cast("long").alias("positives"), r(F.sum("balance"), 2).alias("balance")])
     return res
 
 
