@@ -79,6 +79,8 @@ emb_long AS (
 
 def with_prelude(body: str) -> str:
     b = body.strip()
+    if b[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + PRELUDE + ", " + b[14:]
     if b[:4].upper() == "WITH":
         return "WITH " + PRELUDE + ", " + b[4:]
     return "WITH " + PRELUDE + " " + b
