@@ -56,14 +56,15 @@ def bucketize(df: DataFrame, col: str, edges: Sequence[float], out: str) -> Data
 
 
 def ordered_cumulative(d: DataFrame, order_col: str, sums: Sequence[str], by: Sequence[str] = (),
-                       descending: bool = False, n_buckets: int | None = None) -> DataFrame:
+                       descending: bool = False, n_buckets: int | None = None,
+                       edges: Sequence[float] | None = None) -> DataFrame:
     """For a table with ONE row per (``by``…, ``order_col``) value, add ``{s}_before``:
     the sum of ``s`` over rows strictly earlier in the order, within ``by``.
 
     Runs as bucket totals + offsets + a bucket-partitioned window (see module doc)."""
     by = list(by)
-    nb = _n_buckets(d, n_buckets)
-    edges = quantile_edges(d, order_col, nb)
+    if edges is None:
+        edges = quantile_edges(d, order_col, _n_buckets(d, n_buckets))
     d = bucketize(d, order_col, edges, "_ob")
     if descending:
         d = d.withColumn("_ob", -F.col("_ob"))
@@ -111,13 +112,19 @@ def global_rank(df: DataFrame, score: str, key: str, descending: bool = True, ou
                                        F.lit(-float("inf") if descending else float("inf"))))
     for name, e in running.items():
         x = x.withColumn(f"_p_{name}", e.cast("double"))
-    kb = _n_buckets(df, key_buckets)
-    x = bucketize(x, key, quantile_edges(x, key, kb), "_kb")
+    # one pass for both edge lists: score edges balance rows per bucket, which also
+    # bounds the distinct scores per bucket; key edges split hot scores by key range
+    nb, kb = _n_buckets(df, n_buckets), _n_buckets(df, key_buckets)
+    row = x.select(F.percentile_approx("_s", [i / nb for i in range(1, nb)], 10000).alias("es"),
+                   F.percentile_approx(F.col(key).cast("double"), [i / kb for i in range(1, kb)], 10000).alias("ek")).first()
+    s_edges = sorted({float(e) for e in (row["es"] or []) if e is not None and abs(e) != float("inf")})
+    k_edges = sorted({float(e) for e in (row["ek"] or []) if e is not None})
+    x = bucketize(x, key, k_edges, "_kb")
     pay = ["_n"] + [f"_p_{n}" for n in running]
     per = x.groupBy("_s", "_kb").agg(F.count(F.lit(1)).alias("_n"),        # ≤ distinct scores × key buckets
                                      *[F.sum(f"_p_{n}").alias(f"_p_{n}") for n in running])
     ds = per.groupBy("_s").agg(*[F.sum(c).alias(c) for c in pay])            # one row per distinct score
-    ds = ordered_cumulative(ds, "_s", pay, descending=descending, n_buckets=n_buckets)
+    ds = ordered_cumulative(ds, "_s", pay, descending=descending, edges=s_edges)
     w_kb = Window.partitionBy("_s").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("_s", "_kb", *[F.coalesce(F.sum(c).over(w_kb), F.lit(0)).alias(f"{c}_kb") for c in pay])
     off = per.join(ds.select("_s", *[f"{c}_before" for c in pay]), "_s") \
