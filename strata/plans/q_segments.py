@@ -1 +1,178 @@
-"""placeholder"""
+"""Checked queries for segmentation operators (K*). Given labels: ``emb_long`` clusters
+are the embedding labels; portfolio clusters are the product segment."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import campaign as C
+from ..operators import segments as K
+from .q_campaign import BENEFIT_SQL, CFG, SEG_SQL
+from .registry import query, r
+
+WCOLS = ["granted", "balance"]
+
+
+@query("winsorize", """
+WITH l AS (SELECT quantile_cont(granted, 0.01) AS g_lo, quantile_cont(granted, 0.99) AS g_hi,
+                  quantile_cont(balance, 0.01) AS b_lo, quantile_cont(balance, 0.99) AS b_hi FROM portfolio_base)
+SELECT client_id, round(least(greatest(granted, g_lo), g_hi), 6) AS granted, round(least(greatest(balance, b_lo), b_hi), 6) AS balance
+FROM portfolio_active, l""")
+def winsorize(fx):
+    lim = K.fit_limits(fx.portfolio_base, WCOLS)
+    w = K.winsorize(fx.portfolio_active.select("client_id", *WCOLS), lim, WCOLS)
+    return w.select("client_id", *[r(c).alias(c) for c in WCOLS])
+
+
+RCOLS = ["granted", "balance", "nominal_rate"]
+
+
+@query("robust_scale", "WITH " + ", ".join(
+    f"p_{c} AS (SELECT quantile_cont({c}, 0.5) AS m, CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) = 0 THEN 1.0 "
+    f"ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END AS s FROM portfolio_base)" for c in RCOLS)
+    + " SELECT client_id, " + ", ".join(f"round(({c} - p_{c}.m) / p_{c}.s, 6) AS {c}" for c in RCOLS)
+    + " FROM portfolio_active, " + ", ".join(f"p_{c}" for c in RCOLS))
+def robust_scale(fx):
+    prm = K.fit_robust(fx.portfolio_base, RCOLS)
+    s = K.robust_scale(fx.portfolio_active.select("client_id", *RCOLS), prm, RCOLS)
+    return s.select("client_id", *[r(c).alias(c) for c in RCOLS])
+
+
+@query("silhouette", """
+WITH cl AS (SELECT vec_id, min(cluster) AS cluster FROM emb_long GROUP BY vec_id),
+d AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS dist
+      FROM emb_long a JOIN emb_long b ON a.dim = b.dim GROUP BY 1, 2),
+m AS (SELECT d.i, cj.cluster AS cj, sum(dist) AS s, count(*) FILTER (WHERE d.i <> d.j) AS c FROM d JOIN cl cj ON cj.vec_id = d.j GROUP BY 1, 2),
+own AS (SELECT m.i, m.s / m.c AS a FROM m JOIN cl ON cl.vec_id = m.i AND cl.cluster = m.cj),
+oth AS (SELECT m.i, min(m.s / m.c) AS b FROM m JOIN cl ON cl.vec_id = m.i AND cl.cluster <> m.cj GROUP BY m.i),
+sz AS (SELECT cluster, count(*) AS n FROM cl GROUP BY cluster)
+SELECT round(avg(CASE WHEN sz.n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+FROM own JOIN oth USING (i) JOIN cl ON cl.vec_id = own.i JOIN sz ON sz.cluster = cl.cluster""")
+def silhouette(fx):
+    return K.silhouette(fx.emb_long, "vec_id", sample_cap=10000).select(r("silhouette").alias("silhouette"))
+
+
+@query("davies_bouldin", """
+WITH cen AS (SELECT cluster, dim, avg(value) AS c FROM emb_long GROUP BY 1, 2),
+dist AS (SELECT vec_id, e.cluster, sqrt(sum((value - c) * (value - c))) AS d FROM emb_long e JOIN cen USING (cluster, dim) GROUP BY 1, 2),
+s AS (SELECT cluster, avg(d) AS s FROM dist GROUP BY 1),
+cc AS (SELECT a.cluster AS i, b.cluster AS j, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS dij FROM cen a JOIN cen b ON a.dim = b.dim AND a.cluster <> b.cluster GROUP BY 1, 2),
+rr AS (SELECT i, max((si.s + sj.s) / dij) AS r FROM cc JOIN s si ON si.cluster = i JOIN s sj ON sj.cluster = j GROUP BY i)
+SELECT round(avg(r), 6) AS davies_bouldin FROM rr""")
+def davies_bouldin(fx):
+    return K.davies_bouldin(fx.emb_long, "vec_id").select(r("davies_bouldin").alias("davies_bouldin"))
+
+
+@query("calinski_harabasz", """
+WITH cen AS (SELECT cluster, dim, avg(value) AS c FROM emb_long GROUP BY 1, 2),
+g AS (SELECT dim, avg(value) AS g FROM emb_long GROUP BY dim),
+nc AS (SELECT cluster, count(DISTINCT vec_id) AS nc FROM emb_long GROUP BY cluster),
+w AS (SELECT sum((value - c) * (value - c)) AS w FROM emb_long JOIN cen USING (cluster, dim)),
+b AS (SELECT sum(nc * (c - g) * (c - g)) AS b FROM cen JOIN g USING (dim) JOIN nc USING (cluster)),
+k AS (SELECT count(*) AS k, sum(nc) AS n FROM nc)
+SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz FROM w, b, k""")
+def calinski_harabasz(fx):
+    return K.calinski_harabasz(fx.emb_long, "vec_id").select(r("calinski_harabasz").alias("calinski_harabasz"))
+
+
+@query("ari", """
+WITH t AS (SELECT label AS a, list_position(embedding, list_max(embedding)) - 1 AS b FROM embeddings),
+c AS (SELECT a, b, count(*) AS nij FROM t GROUP BY 1, 2),
+x AS (SELECT sum(nij * (nij - 1) / 2.0) AS sij, sum(nij) AS n FROM c),
+sa AS (SELECT sum(ai * (ai - 1) / 2.0) AS sa FROM (SELECT sum(nij) AS ai FROM c GROUP BY a)),
+sb AS (SELECT sum(bj * (bj - 1) / 2.0) AS sb FROM (SELECT sum(nij) AS bj FROM c GROUP BY b))
+SELECT round(CASE WHEN (sa + sb) / 2 = sa * sb / (n * (n - 1) / 2.0) THEN 1.0
+  ELSE (sij - sa * sb / (n * (n - 1) / 2.0)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2.0)) END, 6) AS ari FROM x, sa, sb""")
+def ari(fx):
+    e = fx.t("embeddings", "label", "embedding")
+    t = e.select(F.col("label").alias("a"), (F.array_position("embedding", F.array_max("embedding")) - 1).alias("b"))
+    return K.ari(t, "a", "b").select(r("ari").alias("ari"))
+
+
+@query("kmeans")
+def kmeans(fx):
+    """Rows-only: MLlib k-means (k = 10, best of 3 seeds); one cluster id per point."""
+    pts = fx.emb_vectors
+    m = K.kmeans_best(pts, 10, (42, 43, 44), max_iter=20)
+    return m.transform(pts).select("vec_id", F.col("cluster_k").alias("cluster"))
+
+
+@query("choose_k")
+def choose_k(fx):
+    """Rows-only: k = 2..8 with inertia, silhouette, Davies-Bouldin, Calinski-Harabasz."""
+    return K.choose_k(fx.emb_vectors, "vec_id", range(2, 9), max_iter=10)
+
+
+@query("bootstrap_stability")
+def bootstrap_stability(fx):
+    """Rows-only: 10 Poisson bootstraps at k = 6, ARI against the base fit."""
+    return K.bootstrap_stability(fx.emb_vectors, "vec_id", 6, n_boot=10, max_iter=10)
+
+
+@query("pca2")
+def pca2(fx):
+    """Rows-only: two components per point with its own label; explained variance as columns."""
+    proj, ev = K.pca2(fx.emb_vectors, "vec_id")
+    return proj.withColumn("ev1", F.lit(ev[0])).withColumn("ev2", F.lit(ev[1]))
+
+
+@query("profile_clusters", """
+WITH h AS (SELECT product AS cluster, count(*) AS n, avg(CAST(y AS DOUBLE)) AS rate, median(granted) AS median_granted,
+  median(balance) AS median_balance, avg(CASE WHEN prior_credits = 1 THEN 1.0 ELSE 0.0 END) AS share_first,
+  avg(prior_credits) AS mean_credits, sum(balance) AS balance FROM portfolio_base GROUP BY 1),
+a AS (SELECT product AS cluster, count(*) AS n_active FROM portfolio_active GROUP BY 1)
+SELECT cluster, n, round(rate, 6) AS rate, round(median_granted, 6) AS median_granted, round(median_balance, 6) AS median_balance,
+  round(share_first, 6) AS share_first, round(mean_credits, 6) AS mean_credits, round(balance, 2) AS balance,
+  round(100.0 * n / sum(n) OVER (), 6) AS clients_pct, round(100 * balance / sum(balance) OVER (), 6) AS portfolio_pct, n_active
+FROM h LEFT JOIN a USING (cluster)""")
+def profile_clusters(fx):
+    from ..operators.relational import grouped_median, share_of_total
+    b = fx.portfolio_base.withColumnRenamed("product", "cluster")
+    g = b.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"),
+                                 F.avg((F.col("prior_credits") == 1).cast("double")).alias("share_first"),
+                                 F.avg("prior_credits").alias("mean_credits"), F.sum("balance").alias("balance"))
+    g = (g.join(grouped_median(b, ["cluster"], "granted", "median_granted"), "cluster")
+         .join(grouped_median(b, ["cluster"], "balance", "median_balance"), "cluster"))
+    g = share_of_total(share_of_total(g, "n", "clients_pct"), "balance", "portfolio_pct")
+    a = fx.portfolio_active.groupBy(F.col("product").alias("cluster")).agg(F.count(F.lit(1)).alias("n_active"))
+    g = g.join(a, "cluster", "left")
+    return g.select("cluster", "n", r("balance", 2).alias("balance"), "n_active",
+                    *[r(c).alias(c) for c in ["rate", "median_granted", "median_balance", "share_first", "mean_credits",
+                                              "clients_pct", "portfolio_pct"]])
+
+
+@query("cluster_index", """
+WITH g AS (SELECT avg(granted) AS granted, avg(balance) AS balance, avg(CAST(y AS DOUBLE)) AS rate, avg(prior_credits) AS credits FROM portfolio_base),
+c AS (SELECT product AS cluster, avg(granted) AS granted, avg(balance) AS balance, avg(CAST(y AS DOUBLE)) AS rate, avg(prior_credits) AS credits
+      FROM portfolio_base GROUP BY 1)
+SELECT cluster, round(100 * c.granted / g.granted, 6) AS idx_granted, round(100 * c.balance / g.balance, 6) AS idx_balance,
+  round(100 * c.rate / g.rate, 6) AS idx_rate, round(100 * c.credits / g.credits, 6) AS idx_credits FROM c, g""")
+def cluster_index(fx):
+    from ..operators.relational import index_vs_global
+    b = fx.portfolio_base
+    aggs = [F.avg("granted").alias("granted"), F.avg("balance").alias("balance"), F.avg("y").alias("rate"),
+            F.avg("prior_credits").alias("credits")]
+    g = b.groupBy(F.col("product").alias("cluster")).agg(*aggs)
+    res = index_vs_global(g, b.agg(*aggs), ["granted", "balance", "rate", "credits"])
+    return res.select("cluster", *[r(f"idx_{c}").alias(f"idx_{c}") for c in ["granted", "balance", "rate", "credits"]])
+
+
+@query("cluster_risk_cross", f"""
+SELECT product AS cluster, {SEG_SQL} AS segment, count(*) AS n, round(sum(balance), 2) AS balance FROM scored GROUP BY 1, 2""")
+def cluster_risk_cross(fx):
+    return (fx.scored.groupBy(F.col("product").alias("cluster"), C.risk_segment("p").alias("segment"))
+            .agg(F.count(F.lit(1)).alias("n"), r(F.sum("balance"), 2).alias("balance")))
+
+
+@query("cluster_vs_active", f"""
+WITH h AS (SELECT product AS cluster, avg(CAST(y AS DOUBLE)) AS hist_rate FROM portfolio_base GROUP BY 1),
+a AS (SELECT product AS cluster, count(*) AS n_active, avg(p) AS p_active, count(*) FILTER (WHERE {BENEFIT_SQL} > 0) AS campaign
+      FROM scored WHERE client_id % 5 = 0 GROUP BY 1)
+SELECT cluster, round(hist_rate, 6) AS hist_rate, n_active, round(p_active, 6) AS p_active, campaign FROM h LEFT JOIN a USING (cluster)""")
+def cluster_vs_active(fx):
+    h = fx.portfolio_base.groupBy(F.col("product").alias("cluster")).agg(F.avg("y").alias("hist_rate"))
+    v = C.expected_value(fx.scored.where(F.col("client_id") % 5 == 0), "p", "granted", "nominal_rate", "client_id", CFG)
+    a = v.groupBy(F.col("product").alias("cluster")).agg(F.count(F.lit(1)).alias("n_active"), F.avg("p").alias("p_active"),
+                                                        F.count_if(F.col("recommend") == "Yes").alias("campaign"))
+    return h.join(a, "cluster", "left").select("cluster", r("hist_rate").alias("hist_rate"), "n_active",
+                                               r("p_active").alias("p_active"), "campaign")
