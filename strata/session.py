@@ -44,3 +44,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "strata-tables", name)
+
+
+def materialize(df):
+    """Cut lineage by writing the frame to the shared checkpoint folder (reliable
+    checkpoint, survives executor loss). Used before iterative work such as model fits."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
