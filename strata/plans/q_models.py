@@ -288,3 +288,14 @@ SELECT count(*) AS overlap, string_agg(variable, ',' ORDER BY variable) AS varia
 def top_overlap(fx):
     c = fx.contrib.join(fx.portfolio.select("client_id", "y"), "client_id")
     return I.top_overlap(fx.contrib, c, 3, 4)
+
+
+@query("tree_attribution")
+def tree_attribution(fx):
+    """Rows-only: TreeSHAP contributions of a boosted model on the test split, summarised
+    to the importance table (I1 → I2) over whole rows."""
+    d = modelable(fx, True)
+    m = M.gbt(CATS, NUMS, iters=10, depth=3)(d.where("split = 'train'"))
+    c = I.tree_attribution(m, d.where("split = 'test'"), "client_id")
+    return I.importance_table(c.withColumnRenamed("attribute", "variable")).select(
+        "variable", r("importance").alias("importance"), r("share_pct").alias("share_pct"), r("cum_pct").alias("cum_pct"))

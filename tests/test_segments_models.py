@@ -92,3 +92,21 @@ def test_format_cells(spark):
     df = spark.createDataFrame([(0.1234, 1234567.8)], "p double, v double")
     r = df.select(S.format_pct("p").alias("a"), S.format_thousands("v").alias("b")).first()
     assert (r["a"], r["b"]) == ("12.3%", "1,234,568")
+
+
+def test_tree_attribution_is_additive(spark):
+    from pyspark.ml.functions import vector_to_array
+    from strata.operators import attribution as I
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        a, b = float(rng.normal()), float(rng.normal())
+        cat = ["u", "v", "w"][i % 3]
+        rows.append((i, a, b, cat, int(a + 0.5 * b + (cat == "u") + rng.normal(scale=0.3) > 0.5)))
+    df = spark.createDataFrame(rows, "k long, a double, b double, c string, y int")
+    m = M.gbt(["c"], ["a", "b"], iters=5, depth=3)(df)
+    contrib = I.tree_attribution(m, df, "k")
+    tot = contrib.groupBy("k").agg((F.sum("contribution") + F.first("base")).alias("m"))
+    raw = m.transform(df).select("k", vector_to_array("rawPrediction")[1].alias("margin"))
+    diff = tot.join(raw, "k").select(F.max(F.abs(F.col("m") - F.col("margin")))).first()[0]
+    assert diff < 1e-9
