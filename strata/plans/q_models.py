@@ -171,10 +171,10 @@ def _ladder(fx):
     rule = tf.withColumn("score", M.business_rule())
     rows.append(E.evaluate(rule, "score", "y", "client_id", "rule (train)"))
     lr = M.oof_predict(tf, "fold", M.logistic(CATS, NUMS), keep, out="lr")
-    rf = M.oof_predict(tf, "fold", M.random_forest(CATS, NUMS, trees=20), keep, out="rf")
-    gb = M.oof_predict(tf, "fold", M.gbt(CATS, NUMS, iters=15, depth=4), keep, out="gbt")
+    rf = M.oof_predict(tf, "fold", M.random_forest(CATS, NUMS, trees=10), keep, out="rf")
+    gb = M.oof_predict(tf, "fold", M.gbt(CATS, NUMS, iters=10, depth=3), keep, out="gbt")
     nb = [c for c in NUMS if c not in BALANCE_FAMILY]
-    ab = M.oof_predict(tf, "fold", M.gbt(CATS, nb, iters=15, depth=4), keep, out="ablation")
+    ab = M.oof_predict(tf, "fold", M.gbt(CATS, nb, iters=10, depth=3), keep, out="ablation")
     allp = materialize(lr.join(rf.drop("y"), "client_id").join(gb.drop("y"), "client_id").join(ab.drop("y"), "client_id"))
     ens = M.rank_ensemble(allp, ["lr", "rf", "gbt"])
     for name, df, col in [("logistic (oof)", allp, "lr"), ("random forest (oof)", allp, "rf"),
