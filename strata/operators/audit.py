@@ -22,9 +22,15 @@ def to_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Dat
 
 
 def quantile_edge_table(base_long: DataFrame, bins: int = 10) -> DataFrame:
-    """Per variable: sorted distinct exact quantile edges of the base population."""
+    """Per variable: sorted distinct exact quantile edges of the base population.
+
+    The result has at most (bins + 1) numbers per variable of a declared column list, so
+    it is collected once and re-created as a local table: the later joins then reuse it
+    instead of re-running the quantile job for every reference."""
     q = exact_quantiles(base_long, "value", [i / bins for i in range(bins + 1)], by=["variable"])
-    return q.groupBy("variable").agg(F.array_sort(F.collect_set("value")).alias("edges"))
+    e = q.groupBy("variable").agg(F.array_sort(F.collect_set("value")).alias("edges"))
+    spark = base_long.sparkSession
+    return spark.createDataFrame(e.collect(), "variable string, edges array<double>")
 
 
 def _bin_of(edges: Column, value: Column) -> Column:

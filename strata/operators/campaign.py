@@ -94,9 +94,9 @@ def risk_segment(p: str = "p"):
     return cut_bins(p, RISK_EDGES, RISK_LABELS)
 
 
-def risk_decile_table(df: DataFrame, p: str, key: str, balance: str, k: str) -> DataFrame:
+def risk_decile_table(df: DataFrame, p: str, key: str, balance: str, k: str, extra=()) -> DataFrame:
     """Decile (1 = highest risk): n, mean/min/max p, expected losses, balance at risk,
-    share of first credits, cumulative capture %, lift."""
+    share of first credits, cumulative capture %, lift (plus optional extra aggregates)."""
     tot = df.agg(F.count(F.lit(1)).alias("_n"), F.avg(p).alias("_mp"), F.sum(p).alias("_sp"))
     rk = with_totals(global_rank(df, p, key, descending=True, out="_rk"), tot)
     d = rk.withColumn("decile", decile_of_rank("_rk", "_n"))
@@ -104,7 +104,7 @@ def risk_decile_table(df: DataFrame, p: str, key: str, balance: str, k: str) ->
         F.count(F.lit(1)).alias("clients"), F.avg(p).alias("p_mean"), F.min(p).alias("p_min"), F.max(p).alias("p_max"),
         F.sum(p).alias("expected_losses"), F.sum(balance).alias("balance_at_risk"),
         F.avg((F.col(k) == 1).cast("double")).alias("share_first_credit"),
-        F.first("_mp").alias("_mp"), F.first("_sp").alias("_sp"))
+        F.first("_mp").alias("_mp"), F.first("_sp").alias("_sp"), *extra)
     w = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)   # ten rows
     return (g.withColumn("cum_capture_pct", 100.0 * F.sum("expected_losses").over(w) / F.col("_sp"))
             .withColumn("lift", F.col("p_mean") / F.col("_mp")).drop("_mp", "_sp"))
@@ -119,12 +119,14 @@ def segment_table(df: DataFrame, p: str, balance: str) -> DataFrame:
     return with_totals(g, tot).withColumn("portfolio_pct", 100.0 * F.col("balance") / F.col("_t")).drop("_t")
 
 
-def expected_value(df: DataFrame, p: str, capital: str, rate: str, key: str, cfg: Campaign = Campaign()) -> DataFrame:
-    """Client value, expected benefit of a contact, recommendation and priority rank."""
+def expected_value(df: DataFrame, p: str, capital: str, rate: str, key: str, cfg: Campaign = Campaign(),
+                   priority: bool = True) -> DataFrame:
+    """Client value, expected benefit of a contact, recommendation and (optionally)
+    the priority rank by benefit."""
     d = (df.withColumn("client_value", F.col(capital) * F.col(rate) / 100.0 * F.lit(cfg.margin))
          .withColumn("expected_benefit", F.col(p) * F.lit(cfg.effectiveness) * F.col("client_value") - F.lit(cfg.contact_cost))
          .withColumn("recommend", F.when(F.col("expected_benefit") > 0, "Yes").otherwise("No")))
-    return global_rank(d, "expected_benefit", key, descending=True, out="priority")
+    return global_rank(d, "expected_benefit", key, descending=True, out="priority") if priority else d
 
 
 def campaign_scenarios(df: DataFrame, p: str, value: str, effs: Sequence[float], cost: float) -> DataFrame:

@@ -173,31 +173,26 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     """Exact quantiles with linear interpolation (numpy / pandas default), distributed.
 
     h = (n−1)·q; value = v[⌊h⌋] + (h−⌊h⌋)·(v[⌊h⌋+1] − v[⌊h⌋]) where v is the sorted column.
-    The order statistics are found on the distinct-value table with running counts, so
-    no task holds all values of a group. Returns (by…, q, value)."""
+    The order statistics are read off the distinct-value table with running counts
+    (G0), so no task holds all values of a group. The per-group target table has
+    |qs| rows per group; a hot group's distinct values are split by AQE's skew join.
+    Returns (by…, q, value)."""
     by = list(by)
-    st = score_table(df, col, by=by, n_buckets=n_buckets).select(*by, col, "n", "n_before")
-    cnt = (df.where(F.col(col).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_N")))
+    st = score_table(df, col, by=by, n_buckets=n_buckets).select(*by, F.col(col).cast("double").alias("_v"), "n", "n_before")
+    cnt = (st.groupBy(*by) if by else st).agg(F.sum("n").alias("_N"))
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     tg = (cnt.select(*by, "_N", F.explode(qarr).alias("q"))
           .withColumn("_h", (F.col("_N") - 1) * F.col("q"))
           .withColumn("_lo", F.floor("_h").cast("long"))
           .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_N") - 1))
           .withColumn("_fr", F.col("_h") - F.col("_lo")))
-    idx = tg.select(*by, "q", F.explode(F.array(F.col("_lo"), F.col("_hi"))).alias("_i")).distinct()
-    # order statistic i lives in the distinct value with n_before <= i < n_before + n.
-    # Equi-join on a coarse index bucket keeps this a hash join, then the range filter.
-    step = F.lit(1 << 16)
-    st_b = st.withColumn("_b", F.explode(F.sequence(F.floor(F.col("n_before") / step).cast("long"),
-                                                      F.floor((F.col("n_before") + F.col("n") - 1) / step).cast("long"))))
-    hit = (idx.withColumn("_b", F.floor(F.col("_i") / step).cast("long"))
-           .join(st_b, [*by, "_b"])
-           .where((F.col("n_before") <= F.col("_i")) & (F.col("_i") < F.col("n_before") + F.col("n")))
-           .select(*by, "q", "_i", F.col(col).cast("double").alias("_v")))
-    lo = hit.select(*by, "q", F.col("_i").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = hit.select(*by, "q", F.col("_i").alias("_hi"), F.col("_v").alias("_vhi"))
-    return (tg.join(lo, [*by, "q", "_lo"]).join(hi, [*by, "q", "_hi"])
-            .select(*by, "q", (F.col("_vlo") + F.col("_fr") * (F.col("_vhi") - F.col("_vlo"))).alias("value")))
+    j = st.join(tg, by) if by else st.crossJoin(F.broadcast(tg))   # no group: |qs| rows
+    has_lo = (F.col("n_before") <= F.col("_lo")) & (F.col("_lo") < F.col("n_before") + F.col("n"))
+    has_hi = (F.col("n_before") <= F.col("_hi")) & (F.col("_hi") < F.col("n_before") + F.col("n"))
+    hit = j.where(has_lo | has_hi).groupBy(*by, "q").agg(
+        F.max(F.when(has_lo, F.col("_v"))).alias("_vlo"), F.max(F.when(has_hi, F.col("_v"))).alias("_vhi"),
+        F.first("_fr").alias("_fr"))
+    return hit.select(*by, "q", (F.col("_vlo") + F.col("_fr") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
 
 
 def quantile_bin_edges(df: DataFrame, col: str, n_bins: int = 10) -> list[float]:

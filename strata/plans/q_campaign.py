@@ -135,7 +135,8 @@ SELECT capacity, round(avg(p), 6) AS p_mean, round(sum(p), 6) AS expected_losses
   round(sum(p) / (SELECT sum(p) FROM scored), 6) AS share_losses, round(capacity * 5000.0, 6) AS cost
 FROM t, k WHERE rk <= capacity GROUP BY capacity""")
 def campaign_capacity(fx):
-    t = C.campaign_capacity(valued(fx), "p", "client_id", "balance", CAPS, CFG)
+    t = C.campaign_capacity(C.expected_value(fx.scored, "p", "granted", "nominal_rate", "client_id", CFG, priority=False),
+                            "p", "client_id", "balance", CAPS, CFG)
     return t.select("capacity", r("balance_protected", 2).alias("balance_protected"), r("benefit", 3).alias("benefit"),
                     *[r(c).alias(c) for c in ["p_mean", "expected_losses", "retentions", "share_losses", "cost"]])
 
@@ -182,7 +183,7 @@ SELECT count(*) AS clients, round(avg(p), 6) AS p_mean, round(sum(p), 6) AS expe
   round(sum(balance) FILTER (WHERE {SEG_SQL} = 'High'), 2) AS balance_high_risk,
   count(*) FILTER (WHERE {BENEFIT_SQL} > 0) AS campaign FROM scored""")
 def kpi_row(fx):
-    k = C.kpi_row(valued(fx), "p", "balance")
+    k = C.kpi_row(C.expected_value(fx.scored, "p", "granted", "nominal_rate", "client_id", CFG, priority=False), "p", "balance")
     return k.select("clients", r("p_mean").alias("p_mean"), r("expected_losses").alias("expected_losses"), "high_risk",
                     r("balance_total", 2).alias("balance_total"), r("balance_high_risk", 2).alias("balance_high_risk"), "campaign")
 
@@ -199,10 +200,12 @@ def flagship(fx):
     feats, _ = FE.build_features(fx.scored)
     rule = ((F.col("ratio_balance") < 0.15) | (F.col("stage_num") >= 2)).cast("double")
     sc = feats.withColumn("score", 0.5 * rule + 0.5 * F.col("p"))
-    v = C.expected_value(sc, "score", "granted", "nominal_rate", "client_id", CFG)
-    t = C.risk_decile_table(v, "score", "client_id", "balance", "prior_credits")
-    ev = v.groupBy(F.lit(1).alias("_k")).agg(F.count_if(F.col("recommend") == "Yes").alias("campaign_clients"))
-    return (t.crossJoin(ev.drop("_k"))
+    v = C.expected_value(sc, "score", "granted", "nominal_rate", "client_id", CFG, priority=False)
+    t = C.risk_decile_table(v, "score", "client_id", "balance", "prior_credits",
+                            extra=[F.count_if(F.col("recommend") == "Yes").alias("_campaign")])
+    from pyspark.sql import Window
+    t = t.withColumn("campaign_clients", F.sum("_campaign").over(Window.partitionBy(F.lit(0))))   # ten rows
+    return (t
             .select("decile", "clients", r("p_min").alias("p_min"), r("p_max").alias("p_max"),
                     r("balance_at_risk", 2).alias("balance_at_risk"),
                     *[r(c).alias(c) for c in ["p_mean", "expected_losses", "share_first_credit",

@@ -171,7 +171,8 @@ a AS (SELECT product AS cluster, count(*) AS n_active, avg(p) AS p_active, count
 SELECT cluster, round(hist_rate, 6) AS hist_rate, n_active, round(p_active, 6) AS p_active, campaign FROM h LEFT JOIN a USING (cluster)""")
 def cluster_vs_active(fx):
     h = fx.portfolio_base.groupBy(F.col("product").alias("cluster")).agg(F.avg("y").alias("hist_rate"))
-    v = C.expected_value(fx.scored.where(F.col("client_id") % 5 == 0), "p", "granted", "nominal_rate", "client_id", CFG)
+    v = C.expected_value(fx.scored.where(F.col("client_id") % 5 == 0), "p", "granted", "nominal_rate", "client_id", CFG,
+                         priority=False)
     a = v.groupBy(F.col("product").alias("cluster")).agg(F.count(F.lit(1)).alias("n_active"), F.avg("p").alias("p_active"),
                                                         F.count_if(F.col("recommend") == "Yes").alias("campaign"))
     return h.join(a, "cluster", "left").select("cluster", r("hist_rate").alias("hist_rate"), "n_active",
