@@ -99,11 +99,25 @@ def rule_filter(rules: DataFrame, lift_min: float = 1.20, n_min: int = 100, conf
 
 
 def _proper_subsets(items: Column) -> Column:
+    """Non-empty proper subsets (2^n − 2 of them); none for n < 2 (``sequence`` would
+    count down otherwise)."""
     n = F.size(items)
-    masks = F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 2)
-    idx = F.sequence(F.lit(0), n - 1)
-    return F.transform(masks, lambda m: F.transform(F.filter(idx, lambda i: m.bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0),
+    masks = F.sequence(F.lit(1), F.greatest(F.pow(F.lit(2), n).cast("int") - 2, F.lit(1)))
+    idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    subs = F.transform(masks, lambda m: F.transform(F.filter(idx, lambda i: m.bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0),
                                                     lambda i: F.element_at(items, i + 1)))
+    return F.when(n >= 2, subs).otherwise(F.array().cast("array<array<string>>"))
+
+
+def subset_pairs(itemsets: DataFrame, score: str = "lift") -> DataFrame:
+    """(inner, outer) itemset pairs where inner ⊂ outer strictly and outer's score is
+    at least inner's. Found as an equi-join of each outer itemset's proper subsets
+    (≤ 2^5 − 2 per itemset) with the itemsets — never a pairwise comparison."""
+    sub = itemsets.select(F.explode(_proper_subsets(F.col("items"))).alias("inner"), F.col("items").alias("outer"),
+                          F.col(score).alias("_outer_score"))
+    inner = itemsets.select(F.col("items").alias("inner"), F.col(score).alias("_inner_score"))
+    return (inner.join(sub, "inner").where(F.col("_outer_score") >= F.col("_inner_score"))
+            .select("inner", "outer", F.col("_inner_score").alias(f"inner_{score}"), F.col("_outer_score").alias(f"outer_{score}")))
 
 
 def rule_collapse(rules: DataFrame) -> DataFrame:

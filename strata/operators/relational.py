@@ -149,6 +149,15 @@ def new_levels(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     return b.select(col).where(F.col(col).isNotNull()).distinct().subtract(a.select(col).distinct())
 
 
+def schema_diff(a: DataFrame, b: DataFrame, name_a: str = "a", name_b: str = "b") -> DataFrame:
+    """Columns present in only one of two tables (compared on trimmed names), from
+    the schemas alone — no data pass."""
+    ca = {f.name.strip(): f.dataType.simpleString() for f in a.schema.fields}
+    cb = {f.name.strip(): f.dataType.simpleString() for f in b.schema.fields}
+    rows = [(c, name_a, t) for c, t in ca.items() if c not in cb] + [(c, name_b, t) for c, t in cb.items() if c not in ca]
+    return a.sparkSession.createDataFrame(sorted(rows), "column string, only_in string, type string")
+
+
 def duplicate_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows equal to an earlier row on ``cols`` (nulls compare equal, as in pandas)."""
     return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))

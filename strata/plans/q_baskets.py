@@ -185,3 +185,18 @@ def basket_summary(fx):
             .crossJoin(fi.agg(F.count(F.lit(1)).alias("n_itemsets")))
             .crossJoin(rules.agg(F.count(F.lit(1)).alias("n_rules")))
             .crossJoin(kept.agg(F.count(F.lit(1)).alias("n_retained"), r(F.max("lift")).alias("max_lift"))))
+
+
+@query("subset_join", f"""WITH {_items_sql('baskets_type')}, {RULES_SQL}, {COLLAPSE_SQL}
+SELECT array_to_string(s.items, ' + ') AS inner_set, array_to_string(g.items, ' + ') AS outer_set,
+  round(s.lift, 6) AS inner_lift, round(g.lift, 6) AS outer_lift
+FROM rep s JOIN rep g ON len(g.items) > len(s.items) AND list_has_all(g.items, s.items) AND g.lift >= s.lift""")
+def subset_join(fx):
+    """J7 over the one-rule-per-itemset representatives (before the collapse drops them)."""
+    from pyspark.sql import Window
+    rules = B.rule_filter(type_rules(fx), **FILTER)
+    w = Window.partitionBy("items").orderBy(F.col("lift").desc(), F.col("confidence").desc(), S.set_to_text("antecedent"))
+    rep = rules.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("items", "lift")
+    p = B.subset_pairs(rep, "lift")
+    return p.select(S.set_to_text("inner").alias("inner_set"), S.set_to_text("outer").alias("outer_set"),
+                    r("inner_lift").alias("inner_lift"), r("outer_lift").alias("outer_lift"))

@@ -96,3 +96,24 @@ def test_dedupe_and_tables_equal(spark):
     assert sorted((r["k"], r["v"]) for r in d.collect()) == [(1, 7.0), (2, 1.0)]
     t = R.tables_equal(df, df).first()
     assert t["equal"]
+
+
+def test_schema_diff_and_bootstrap(spark):
+    a = spark.createDataFrame([(1, 2.0)], "k long, v double")
+    b = spark.createDataFrame([(1, "x")], "k long, w string")
+    d = [(r["column"], r["only_in"]) for r in R.schema_diff(a, b).collect()]
+    assert d == [("v", "a"), ("w", "b")]
+    base = spark.range(2000)
+    s1 = R.sample_bootstrap(base, seed=5)
+    s2 = R.sample_bootstrap(base, seed=5)
+    assert sorted(r["id"] for r in s1.collect()) == sorted(r["id"] for r in s2.collect())
+    assert 1700 < s1.count() < 2300
+    n = R.sample_seeded(base.withColumnRenamed("id", "k"), "k", 50).count()
+    assert n == 50
+
+
+def test_subset_pairs(spark):
+    rows = [(["a", "b"], 1.5), (["a", "b", "c"], 1.6), (["a", "c"], 2.0), (["b"], 1.0)]
+    df = spark.createDataFrame(rows, "items array<string>, lift double")
+    got = sorted((tuple(r["inner"]), tuple(r["outer"])) for r in B.subset_pairs(df).collect())
+    assert got == [(("a", "b"), ("a", "b", "c")), (("b",), ("a", "b", "c"))]
