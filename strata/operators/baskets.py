@@ -165,6 +165,7 @@ def components(edges: DataFrame, max_rounds: int = 100, checkpoint_every: int =
                .select("node", F.least("label", F.coalesce("nl", "label")).alias("label")))
         new = new.checkpoint() if (i + 1) % checkpoint_every == 0 else new.cache()
         changed = new.join(labels.withColumnRenamed("label", "_old"), "node").where(F.col("label") != F.col("_old")).limit(1).count()
+        labels.unpersist()
         labels = new
         if changed == 0:
             break

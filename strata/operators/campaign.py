@@ -157,7 +157,8 @@ def campaign_capacity(df: DataFrame, p: str, key: str, balance: str, capacities:
     ranked = global_rank(df, "expected_benefit", key, descending=True, out="_rk")
     tot = df.agg(F.sum(p).alias("_sp"))
     ks = df.sparkSession.createDataFrame([(int(k),) for k in capacities], "capacity long")
-    sel = ranked.crossJoin(F.broadcast(ks)).where(F.col("_rk") <= F.col("capacity"))
+    sel = (ranked.where(F.col("_rk") <= max(capacities)).crossJoin(F.broadcast(ks))
+           .where(F.col("_rk") <= F.col("capacity")))
     g = sel.groupBy("capacity").agg(F.avg(p).alias("p_mean"), F.sum(p).alias("expected_losses"),
                                     F.sum(F.col(p) * F.lit(cfg.effectiveness)).alias("retentions"),
                                     F.sum(balance).alias("balance_protected"), F.sum("expected_benefit").alias("benefit"))

@@ -49,7 +49,7 @@ def group_split(df: DataFrame, gid: str, seed: int = 42, train: int = 60, calib:
     return df.withColumn("split", F.when(b < train, "train").when(b < calib, "calib").otherwise("test"))
 
 
-def group_kfold(df: DataFrame, gid: str, label: str, k: int = 5, seed: int = 42, buckets: int = 64) -> DataFrame:
+def group_kfold(df: DataFrame, gid: str, label: str, k: int = 5, seed: int = 42, buckets: int = 1024) -> DataFrame:
     """M3: grouped, class-balanced folds. Each group gets a stratum (majority class), a
     hashed order and a hash bucket; folds are dealt round-robin inside (stratum, bucket)
     with the bucket as offset, so no window holds a whole stratum."""

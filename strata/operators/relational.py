@@ -166,11 +166,25 @@ def duplicate_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def dedupe_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first by ``order`` (include a unique column last so the
-    pick is deterministic)."""
+    pick is deterministic). Window form: use when the order mixes directions on text."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def dedupe_best_agg(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """U6 as an aggregate: ``min_by(row, ordering struct)`` per key. Partial aggregation
+    runs map-side, so a key holding a third of all rows never lands whole in one task.
+    ``order`` is [(column, ascending)]; descending columns must be numeric (negated)."""
+    parts = []
+    for c, asc in order:
+        if not asc and df.schema[c].dataType.typeName() not in ("integer", "long", "double", "float", "short", "decimal"):
+            raise ValueError(f"descending order on non-numeric column {c}: use dedupe_best")
+        parts.append(F.col(c) if asc else -F.col(c))
+    others = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*parts)).alias("_best"))
+    return best.select(*keys, "_best.*")
+
+
 def tables_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """Multiset equality (order-free) as one row: rows only in a, only in b, equal flag."""
     ab = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_a"))
@@ -198,7 +212,8 @@ def topk_stats(df: DataFrame, score: str, key: str, ks: Sequence[int], aggs: Seq
     bounded scenario cross join of K values."""
     ranked = global_rank(df, score, key, descending=True, out="_rk")
     kdf = df.sparkSession.createDataFrame([(int(k),) for k in ks], "K long")
-    return (ranked.crossJoin(F.broadcast(kdf)).where(F.col("_rk") <= F.col("K"))
+    # only the top max(K) rows are crossed with the (literal-sized) K list
+    return (ranked.where(F.col("_rk") <= max(ks)).crossJoin(F.broadcast(kdf)).where(F.col("_rk") <= F.col("K"))
             .groupBy("K").agg(*aggs))
 
 

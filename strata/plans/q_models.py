@@ -33,7 +33,7 @@ def modelable(fx, materialized: bool = False):
 
 def train_folds(fx):
     tr = modelable(fx, True).where("split = 'train'")
-    return materialize(M.balanced_weights(M.group_kfold(tr, "gid", "y", 5, SEED), "y"))
+    return materialize(M.balanced_weights(M.group_kfold(tr, "gid", "y", 5, SEED, buckets=64), "y"))
 
 
 GID_SQL = SIG_SQL
@@ -63,7 +63,7 @@ f AS (SELECT gid, CAST((row_number() OVER (PARTITION BY stratum, hh % 64 ORDER B
 SELECT client_id, fold FROM m JOIN f USING (gid)""")
 def group_kfold(fx):
     d = modelable(fx)
-    return M.group_kfold(d, "gid", "y", 5, SEED).select("client_id", "fold")
+    return M.group_kfold(d, "gid", "y", 5, SEED, buckets=64).select("client_id", "fold")
 
 
 SEX_NULL = f"nullif({sql_clean('sex')}, 'ND')"

@@ -547,7 +547,7 @@ def dup_rows(fx):
 SELECT product, client_id, round(balance, 6) AS balance FROM (
   SELECT *, row_number() OVER (PARTITION BY product ORDER BY balance DESC, client_id) AS rn FROM portfolio) WHERE rn = 1""")
 def dedupe_best(fx):
-    d = R.dedupe_best(fx.portfolio, ["product"], [F.col("balance").desc(), F.col("client_id").asc()])
+    d = R.dedupe_best_agg(fx.portfolio, ["product"], [("balance", False), ("client_id", True)])
     return d.select("product", "client_id", r("balance").alias("balance"))
 
 
