@@ -89,16 +89,24 @@ def psi_fixed(base: DataFrame, other: DataFrame, col: str, edges: Sequence[float
 
 
 def drift_table(base: DataFrame, other: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
-    """Per variable mean / median / min / max in both populations plus PSI."""
+    """Per variable mean / median / min / max in both populations plus PSI.
+
+    One distributed exact-quantile pass over both populations yields the medians of both
+    and the base population's PSI edges (the median is one of the decile edges)."""
     a = to_long(base, cols).withColumn("pop", F.lit("hist"))
     b = to_long(other, cols).withColumn("pop", F.lit("pred"))
     both = a.unionByName(b)
     st = both.groupBy("variable", "pop").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
-    med = exact_quantiles(both, "value", [0.5], by=["variable", "pop"]).select("variable", "pop", F.col("value").alias("median"))
+    qs = [i / bins for i in range(bins + 1)]
+    q = exact_quantiles(both, "value", sorted(set(qs) | {0.5}), by=["variable", "pop"])
+    ql = base.sparkSession.createDataFrame(q.collect(), "variable string, pop string, q double, value double")  # ≤ vars × 2 × 12
+    med = ql.where(F.col("q") == 0.5).select("variable", "pop", F.col("value").alias("median"))
+    edges = (ql.where((F.col("pop") == "hist") & F.col("q").isin(*qs)).groupBy("variable")
+             .agg(F.array_sort(F.collect_set("value")).alias("edges")))
     st = st.join(med, ["variable", "pop"], "left")
     wide = st.groupBy("variable").agg(*[F.max(F.when(F.col("pop") == p, F.col(m))).alias(f"{m}_{p}")
                                         for p in ("hist", "pred") for m in ("mean", "median", "min", "max")])
-    psi = psi_from_edges(a.drop("pop"), b.drop("pop"), quantile_edge_table(a.drop("pop"), bins))
+    psi = psi_from_edges(a.drop("pop"), b.drop("pop"), edges)
     return wide.join(psi, "variable", "left")
 
 

@@ -91,15 +91,24 @@ def decile_table(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
 
 def evaluate(df: DataFrame, score: str, label: str, key: str, name: str = "model") -> DataFrame:
     """One row with AUC-PR, AUC-ROC, KS, Brier, lift of decile 1 and capture of the
-    top 20% — four small aggregates joined as one row."""
-    parts = [avg_precision(df, score, label).select(F.col("avg_precision").alias("auc_pr")),
-             auc_roc(df, score, label), ks_model(df, score, label), brier(df, score, label),
-             lift_topk(df, score, label, key, 1).select(F.col("lift").alias("lift_decile_1")),
-             capture_topk(df, score, label, key, 0.2).select(F.col("capture").alias("capture_top20"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)
-    return out.select(F.lit(name).alias("model"), "*")
+    top 20%. AUC, AP and KS share ONE descending distinct-score table; lift and capture
+    share ONE global order; everything ends in a single one-row result."""
+    t = _desc_table(df, score, label)
+    tot = t.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    j = with_totals(t, tot)
+    # negatives strictly below a score = N − (negatives at or above it)
+    below = F.col("_N") - F.col("fp")
+    curve = j.agg(
+        (F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("_P")).alias("auc_pr"),
+        (F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))) / (F.first("_P") * F.first("_N"))).alias("auc_roc"),
+        F.greatest(F.max(F.col("tp") / F.col("_P") - F.col("fp") / F.col("_N")), F.lit(0.0)).alias("ks"))
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    rk = with_totals(global_rank(df, score, key, descending=True, out="_rk"), n)
+    top = rk.agg(F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"),
+                 (F.avg(F.when(F.col("_rk") <= F.floor(F.col("_n") * 0.1), F.col(label))) / F.avg(label)).alias("lift_decile_1"),
+                 (F.sum(F.when(F.col("_rk") <= F.floor(F.col("_n") * 0.2), F.col(label))) / F.sum(label)).alias("capture_top20"))
+    return curve.crossJoin(top).select(F.lit(name).alias("model"), "auc_pr", "auc_roc", "ks", "brier",
+                                       "lift_decile_1", "capture_top20")
 
 
 def reliability_curve(df: DataFrame, score: str, label: str, n_bins: int = 10) -> DataFrame:

@@ -31,11 +31,23 @@ def ts(v: str):
 
 
 class Fixtures:
-    """Lazily built views for one data directory."""
+    """Lazily built views for one data directory.
 
-    def __init__(self, spark: SparkSession, base_dir: str):
+    The two views that aggregate or join whole fact tables (``portfolio`` and the basket
+    tables) are written once to the shared checkpoint folder when first used, like a
+    stage table: every later branch of a query reads the stored view instead of
+    re-aggregating the orders or re-joining the line items."""
+
+    def __init__(self, spark: SparkSession, base_dir: str, materialize: bool = True):
         self.spark = spark
         self.base = base_dir
+        self.materialize = materialize
+
+    def _stage(self, df: DataFrame) -> DataFrame:
+        if not self.materialize:
+            return df
+        from ..session import materialize
+        return materialize(df)
 
     def t(self, name: str, *cols: str) -> DataFrame:
         return scan_table(self.spark, self.base, name, cols or None)
@@ -58,7 +70,7 @@ class Fixtures:
               .join(past, k == past.o_custkey)
               .join(later, k == later.later_key, "left"))
         ratio = F.col("balance") / F.col("granted")
-        return df.select(
+        return self._stage(df.select(
             k.alias("client_id"),
             (k * 10).alias("loan_id"),
             F.col("n_regionkey").cast("long").alias("region"),
@@ -77,7 +89,7 @@ class Fixtures:
             F.when(F.col("later_key").isNull(), STATUS_RETIRED).otherwise(STATUS_RENEWED).alias("status"),
             F.col("later_key").isNull().cast("int").alias("y"),
             F.col("c_acctbal").alias("acctbal"),
-        )
+        ))
 
     @cached_property
     def portfolio_base(self) -> DataFrame:
@@ -113,11 +125,11 @@ class Fixtures:
 
     @cached_property
     def baskets_brand(self) -> DataFrame:
-        return self._baskets("p_brand")
+        return self._stage(self._baskets("p_brand"))
 
     @cached_property
     def baskets_type(self) -> DataFrame:
-        return self._baskets("p_type")
+        return self._stage(self._baskets("p_type"))
 
     @cached_property
     def contrib(self) -> DataFrame:
