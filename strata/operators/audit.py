@@ -41,17 +41,21 @@ def _bin_of(edges: Column, value: Column) -> Column:
 
 def psi_from_edges(base_long: DataFrame, other_long: DataFrame, edges: DataFrame) -> DataFrame:
     """Σ (pa − pb)·ln(pa / pb) over all bins; shares over non-null rows, empty bins
-    floored at 1e-6 (no re-normalisation); fewer than 3 edges → NULL."""
-    ok = edges.where(F.size("edges") >= 3)
-
-    def shares(long: DataFrame, name: str) -> DataFrame:
-        x = long.where(F.col("value").isNotNull()).join(ok, "variable")
-        c = x.groupBy("variable", _bin_of(F.col("edges"), F.col("value")).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
-        t = x.groupBy("variable").agg(F.count(F.lit(1)).alias("_t"))
-        return c.join(t, "variable").select("variable", "bin", (F.col("_n") / F.col("_t")).alias(name))
+    floored at 1e-6 (no re-normalisation); fewer than 3 edges → NULL.
 
+    Both populations go through ONE pass: a flagged union, one grouped count per
+    (variable, population, bin); the totals come from that small count table."""
+    ok = edges.where(F.size("edges") >= 3)
+    u = (base_long.select("variable", "value", F.lit(0).alias("_pop"))
+         .unionByName(other_long.select("variable", "value", F.lit(1).alias("_pop"))))
+    x = u.where(F.col("value").isNotNull()).join(ok, "variable")
+    c = x.groupBy("variable", "_pop", _bin_of(F.col("edges"), F.col("value")).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    t = c.groupBy("variable", "_pop").agg(F.sum("_n").alias("_t"))
+    sh = (c.join(t, ["variable", "_pop"]).groupBy("variable", "bin")
+          .agg(F.max(F.when(F.col("_pop") == 0, F.col("_n") / F.col("_t"))).alias("pa"),
+               F.max(F.when(F.col("_pop") == 1, F.col("_n") / F.col("_t"))).alias("pb")))
     all_bins = ok.select("variable", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-    j = all_bins.join(shares(base_long, "pa"), ["variable", "bin"], "left").join(shares(other_long, "pb"), ["variable", "bin"], "left")
+    j = all_bins.join(sh, ["variable", "bin"], "left")
     pa = F.when(F.coalesce("pa", F.lit(0.0)) == 0, F.lit(PSI_FLOOR)).otherwise(F.col("pa"))
     pb = F.when(F.coalesce("pb", F.lit(0.0)) == 0, F.lit(PSI_FLOOR)).otherwise(F.col("pb"))
     psi = j.groupBy("variable").agg(F.sum((pa - pb) * F.log(pa / pb)).alias("psi"))
