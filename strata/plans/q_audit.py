@@ -104,7 +104,7 @@ def ks_sql(ta: str, tb: str, name: str) -> str:
     ks_sql("portfolio_active", "(SELECT * FROM portfolio_base WHERE y = 0)", "renewed"),
     ks_sql("portfolio_active", "(SELECT * FROM portfolio_base WHERE y = 1)", "retired")]))
 def ks_two_sample(fx):
-    ratio = (F.col("balance") / F.col("granted")).alias("ratio")
+    ratio = F.try_divide(F.col("balance"), F.col("granted")).alias("ratio")
     act = fx.portfolio_active.select(ratio)
     base = fx.portfolio_base.select(ratio, "y")
     a = (act.withColumn("comparison", F.lit("all")).unionByName(act.withColumn("comparison", F.lit("renewed")))
@@ -197,7 +197,7 @@ SELECT {_case('balance / granted', RATIO_EDGES, RATIO_LABELS)} AS ratio_bin, {_c
 FROM portfolio WHERE prior_credits >= 2 GROUP BY 1, 2""")
 def rate_by_bin(fx):
     d = fx.portfolio.where("prior_credits >= 2")
-    return (d.groupBy(S.cut_bins(F.col("balance") / F.col("granted"), RATIO_EDGES, RATIO_LABELS).alias("ratio_bin"),
+    return (d.groupBy(S.cut_bins(F.try_divide(F.col("balance"), F.col("granted")), RATIO_EDGES, RATIO_LABELS).alias("ratio_bin"),
                       S.cut_bins("prior_credits", K_EDGES, K_LABELS).alias("credit_bin"))
             .agg(F.count(F.lit(1)).alias("n"), r(F.avg("y")).alias("rate")))
 

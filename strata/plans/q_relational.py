@@ -262,7 +262,7 @@ WITH f AS (SELECT client_id, loan_id, round(balance / granted, 6) AS ratio FROM
 SELECT a.client_id, a.loan_id, a.product, f.ratio FROM portfolio_active a LEFT JOIN f USING (client_id, loan_id)""")
 def left_join_keys(fx):
     a = fx.portfolio_active
-    f = a.select("client_id", "loan_id", r(F.col("balance") / F.col("granted")).alias("ratio"))
+    f = a.select("client_id", "loan_id", r(F.try_divide(F.col("balance"), F.col("granted"))).alias("ratio"))
     return R.left_join_checked(a.select("client_id", "loan_id", "product"), f, ["client_id", "loan_id"], not_null=["ratio"])
 
 

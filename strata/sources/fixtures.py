@@ -69,7 +69,7 @@ class Fixtures:
         df = (c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)   # nation: 25 rows by definition
               .join(past, k == past.o_custkey)
               .join(later, k == later.later_key, "left"))
-        ratio = F.col("balance") / F.col("granted")
+        ratio = F.try_divide(F.col("balance"), F.col("granted"))
         return self._stage(df.select(
             k.alias("client_id"),
             (k * 10).alias("loan_id"),
