@@ -195,6 +195,22 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     return hit.select(*by, "q", (F.col("_vlo") + F.col("_fr") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
 
 
+def quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (),
+              accuracy: int | None = None) -> DataFrame:
+    """Quantile table (by…, q, value). Exact (linear interpolation, distributed) by
+    default; with ``accuracy`` the approximate ``percentile_approx`` sketch is used
+    instead — an explicit choice for very large numeric columns, never a silent switch."""
+    if accuracy is None:
+        return exact_quantiles(df, col, qs, by=by)
+    by = list(by)
+    g = df.where(F.col(col).isNotNull())
+    agg = (g.groupBy(*by) if by else g).agg(
+        F.percentile_approx(F.col(col).cast("double"), [float(q) for q in qs], accuracy).alias("_vals"))
+    return agg.select(*by, F.posexplode("_vals").alias("_i", "value")) \
+        .withColumn("q", F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_i") + 1)) \
+        .select(*by, "q", "value")
+
+
 def quantile_bin_edges(df: DataFrame, col: str, n_bins: int = 10) -> list[float]:
     """W4 helper: exact quantile edges at 0, 1/n, …, 1 with duplicates dropped, as a short
     literal list (``n_bins + 1`` numbers)."""

@@ -78,6 +78,14 @@ def index_vs_global(grouped: DataFrame, global_row: DataFrame, cols: Sequence[st
     return res.drop(*[f"_g_{c}" for c in cols])
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False, rsd: float = 0.05) -> DataFrame:
+    """Distinct count per column (exact, or HyperLogLog++ with relative error ``rsd``
+    when ``approx`` — exact distinct counts of many columns expand the rows once per
+    column before the shuffle)."""
+    f = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.countDistinct
+    return df.agg(*[f(c).alias(c) for c in cols])
+
+
 def crosstab(df: DataFrame, row: str, col: str, levels: Sequence, value: str | None = None,
              agg: str = "count", normalize_columns: bool = False) -> DataFrame:
     """Pivot of two columns with a declared level list (no extra pass to discover
