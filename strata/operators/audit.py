@@ -122,7 +122,7 @@ def ks_two_sample(a: DataFrame, b: DataFrame, col: str, by: Sequence[str] = ())
     st = score_table(u, "_v", "_fa", by=by)
     tot = (st.groupBy(*by) if by else st).agg(F.sum("pos").alias("_A"), F.sum("neg").alias("_B"))
     j = st.join(tot, list(by)) if by else with_totals(st, tot)
-    d = F.abs((F.col("pos_before") + F.col("pos")) / F.col("_A") - (F.col("neg_before") + F.col("neg")) / F.col("_B"))
+    d = F.abs(F.try_divide(F.col("pos_before") + F.col("pos"), F.col("_A")) - F.try_divide(F.col("neg_before") + F.col("neg"), F.col("_B")))
     return (j.groupBy(*by) if by else j).agg(F.max(d).alias("ks"))
 
 

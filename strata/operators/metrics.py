@@ -1,6 +1,8 @@
 """Evaluation metrics (E1-E9). All ranking metrics share one distinct-score table with
 running positive / negative counts (see :mod:`strata.operators.order`), so a metric is
-one aggregate over that table — no per-row global sort, no binned approximation."""
+one aggregate over that table — no per-row global sort, no binned approximation.
+Undefined values (a single class, an empty table) come back as NULL instead of failing
+a division."""
 
 from __future__ import annotations
 
@@ -23,7 +25,7 @@ def auc_roc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
     st = score_table(df, score, label, by=by)
     part = st.select(*by, (F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))).alias("_w"), "pos", "neg")
     return (part.groupBy(*by) if by else part).agg(
-        (F.sum("_w") / (F.sum("pos") * F.sum("neg"))).alias("auc_roc"))
+        F.try_divide(F.sum("_w"), F.sum("pos") * F.sum("neg")).alias("auc_roc"))
 
 
 def _desc_table(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -37,7 +39,7 @@ def avg_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
     ``average_precision_score``; not the trapezoidal area)."""
     t = _desc_table(df, score, label, by)
     part = t.select(*by, (F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_w"), "pos")
-    return (part.groupBy(*by) if by else part).agg((F.sum("_w") / F.sum("pos")).alias("avg_precision"))
+    return (part.groupBy(*by) if by else part).agg(F.try_divide(F.sum("_w"), F.sum("pos")).alias("avg_precision"))
 
 
 def ks_model(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -46,7 +48,7 @@ def ks_model(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> D
     tot = t.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N")) if by else \
         t.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     j = t.join(tot, list(by)) if by else with_totals(t, tot)
-    part = j.select(*by, (F.col("tp") / F.col("_P") - F.col("fp") / F.col("_N")).alias("_d"))
+    part = j.select(*by, (F.try_divide(F.col("tp"), F.col("_P")) - F.try_divide(F.col("fp"), F.col("_N"))).alias("_d"))
     return (part.groupBy(*by) if by else part).agg(F.greatest(F.max("_d"), F.lit(0.0)).alias("ks"))
 
 
@@ -65,13 +67,13 @@ def top_fraction(df: DataFrame, score: str, label: str, key: str, frac: float) -
 def lift_topk(df: DataFrame, score: str, label: str, key: str, k: int = 1) -> DataFrame:
     """E5: positive rate among the top k deciles ÷ overall rate."""
     t = top_fraction(df, score, label, key, 0.1 * k)
-    return t.agg((F.avg(F.when(F.col("_top"), F.col(label))) / F.avg(label)).alias("lift"))
+    return t.agg(F.try_divide(F.avg(F.when(F.col("_top"), F.col(label))), F.avg(label)).alias("lift"))
 
 
 def capture_topk(df: DataFrame, score: str, label: str, key: str, frac: float = 0.2) -> DataFrame:
     """Share of all positives found in the top fraction."""
     t = top_fraction(df, score, label, key, frac)
-    return t.agg((F.sum(F.when(F.col("_top"), F.col(label))) / F.sum(label)).alias("capture"))
+    return t.agg(F.try_divide(F.sum(F.when(F.col("_top"), F.col(label))), F.sum(label)).alias("capture"))
 
 
 def decile_table(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
@@ -84,8 +86,8 @@ def decile_table(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
                                 F.first("_rate").alias("_rate"), F.first("_pos").alias("_pos"))
     from pyspark.sql import Window
     w = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)   # 10 rows
-    return (g.withColumn("lift", F.col("observed") / F.col("_rate"))
-            .withColumn("cum_capture_pct", 100.0 * F.sum("positives").over(w) / F.col("_pos"))
+    return (g.withColumn("lift", F.try_divide(F.col("observed"), F.col("_rate")))
+            .withColumn("cum_capture_pct", 100.0 * F.try_divide(F.sum("positives").over(w), F.col("_pos")))
             .drop("_rate", "_pos"))
 
 
@@ -99,14 +101,14 @@ def evaluate(df: DataFrame, score: str, label: str, key: str, name: str = "model
     # negatives strictly below a score = N − (negatives at or above it)
     below = F.col("_N") - F.col("fp")
     curve = j.agg(
-        (F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("_P")).alias("auc_pr"),
-        (F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))) / (F.first("_P") * F.first("_N"))).alias("auc_roc"),
-        F.greatest(F.max(F.col("tp") / F.col("_P") - F.col("fp") / F.col("_N")), F.lit(0.0)).alias("ks"))
+        F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.first("_P")).alias("auc_pr"),
+        F.try_divide(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))), F.first("_P") * F.first("_N")).alias("auc_roc"),
+        F.greatest(F.max(F.try_divide(F.col("tp"), F.col("_P")) - F.try_divide(F.col("fp"), F.col("_N"))), F.lit(0.0)).alias("ks"))
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     rk = with_totals(global_rank(df, score, key, descending=True, out="_rk"), n)
     top = rk.agg(F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"),
-                 (F.avg(F.when(F.col("_rk") <= F.floor(F.col("_n") * 0.1), F.col(label))) / F.avg(label)).alias("lift_decile_1"),
-                 (F.sum(F.when(F.col("_rk") <= F.floor(F.col("_n") * 0.2), F.col(label))) / F.sum(label)).alias("capture_top20"))
+                 F.try_divide(F.avg(F.when(F.col("_rk") <= F.floor(F.col("_n") * 0.1), F.col(label))), F.avg(label)).alias("lift_decile_1"),
+                 F.try_divide(F.sum(F.when(F.col("_rk") <= F.floor(F.col("_n") * 0.2), F.col(label))), F.sum(label)).alias("capture_top20"))
     return curve.crossJoin(top).select(F.lit(name).alias("model"), "auc_pr", "auc_roc", "ks", "brier",
                                        "lift_decile_1", "capture_top20")
 

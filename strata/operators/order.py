@@ -48,6 +48,8 @@ def quantile_edges(df: DataFrame, col: str, n_buckets: int, accuracy: int = 1000
 def bucketize(df: DataFrame, col: str, edges: Sequence[float], out: str) -> DataFrame:
     """Bucket id from literal edges (binary search, JVM side). Equal values share a bucket;
     bucket order equals value order."""
+    if not edges:                      # empty or all-null input: one bucket
+        return df.withColumn(out, F.lit(0))
     splits = [-float("inf")] + [e for e in edges] + [float("inf")]
     tmp = f"__{out}_in"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
