@@ -20,8 +20,8 @@ def importance_table(contrib: DataFrame) -> DataFrame:
     imp = contrib.groupBy("variable").agg(F.avg(F.abs("contribution")).alias("importance"))
     w_all = Window.partitionBy(F.lit(0))                       # one row per variable
     w_cum = Window.orderBy(F.col("importance").desc(), F.col("variable")).rowsBetween(Window.unboundedPreceding, 0)
-    return (imp.withColumn("share_pct", 100 * F.col("importance") / F.sum("importance").over(w_all))
-            .withColumn("cum_pct", 100 * F.sum("importance").over(w_cum) / F.sum("importance").over(w_all)))
+    return (imp.withColumn("share_pct", 100 * F.try_divide(F.col("importance"), F.sum("importance").over(w_all)))
+            .withColumn("cum_pct", 100 * F.try_divide(F.sum("importance").over(w_cum), F.sum("importance").over(w_all))))
 
 
 def effect_direction(contrib: DataFrame) -> DataFrame:

@@ -106,8 +106,8 @@ def risk_decile_table(df: DataFrame, p: str, key: str, balance: str, k: str, ext
         F.avg((F.col(k) == 1).cast("double")).alias("share_first_credit"),
         F.first("_mp").alias("_mp"), F.first("_sp").alias("_sp"), *extra)
     w = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)   # ten rows
-    return (g.withColumn("cum_capture_pct", 100.0 * F.sum("expected_losses").over(w) / F.col("_sp"))
-            .withColumn("lift", F.col("p_mean") / F.col("_mp")).drop("_mp", "_sp"))
+    return (g.withColumn("cum_capture_pct", 100.0 * F.try_divide(F.sum("expected_losses").over(w), F.col("_sp")))
+            .withColumn("lift", F.try_divide(F.col("p_mean"), F.col("_mp"))).drop("_mp", "_sp"))
 
 
 def segment_table(df: DataFrame, p: str, balance: str) -> DataFrame:
@@ -116,7 +116,7 @@ def segment_table(df: DataFrame, p: str, balance: str) -> DataFrame:
         F.count(F.lit(1)).alias("clients"), F.avg(p).alias("p_mean"), F.sum(p).alias("expected_losses"),
         F.sum(balance).alias("balance"))
     tot = g.agg(F.sum("balance").alias("_t"))
-    return with_totals(g, tot).withColumn("portfolio_pct", 100.0 * F.col("balance") / F.col("_t")).drop("_t")
+    return with_totals(g, tot).withColumn("portfolio_pct", 100.0 * F.try_divide(F.col("balance"), F.col("_t"))).drop("_t")
 
 
 def expected_value(df: DataFrame, p: str, capital: str, rate: str, key: str, cfg: Campaign = Campaign(),
@@ -144,7 +144,7 @@ def campaign_scenarios(df: DataFrame, p: str, value: str, effs: Sequence[float],
         F.coalesce(F.sum(F.when(F.col("_sel"), F.col("_b"))), F.lit(0.0)).alias("benefit"))
     g = with_totals(g, tot)
     return (g.withColumn("share_selected", F.col("selected") / F.col("_n"))
-            .withColumn("share_losses", F.col("losses_covered") / F.col("_sp"))
+            .withColumn("share_losses", F.try_divide(F.col("losses_covered"), F.col("_sp")))
             .withColumn("cost", F.col("selected") * F.lit(cost))
             .withColumn("roi", F.when(F.col("selected") > 0, F.col("benefit") / F.col("cost")))
             .drop("_n", "_sp"))
@@ -162,7 +162,7 @@ def campaign_capacity(df: DataFrame, p: str, key: str, balance: str, capacities:
     g = sel.groupBy("capacity").agg(F.avg(p).alias("p_mean"), F.sum(p).alias("expected_losses"),
                                     F.sum(F.col(p) * F.lit(cfg.effectiveness)).alias("retentions"),
                                     F.sum(balance).alias("balance_protected"), F.sum("expected_benefit").alias("benefit"))
-    return (with_totals(g, tot).withColumn("share_losses", F.col("expected_losses") / F.col("_sp"))
+    return (with_totals(g, tot).withColumn("share_losses", F.try_divide(F.col("expected_losses"), F.col("_sp")))
             .withColumn("cost", F.col("capacity") * F.lit(cfg.contact_cost)).drop("_sp"))
 
 

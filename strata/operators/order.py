@@ -232,7 +232,7 @@ def cum_share(df: DataFrame, order_col: str, value: str, out: str = "cum_share_p
     w = Window.orderBy(F.col(order_col).desc() if descending else F.col(order_col).asc()) \
         .rowsBetween(Window.unboundedPreceding, 0)
     w_all = Window.partitionBy(F.lit(0))
-    return df.withColumn(out, 100.0 * F.sum(value).over(w) / F.sum(value).over(w_all))
+    return df.withColumn(out, 100.0 * F.try_divide(F.sum(value).over(w), F.sum(value).over(w_all)))
 
 
 def cum_gain(df: DataFrame, score: str, key: str, value: str, every: int = 100) -> DataFrame:
@@ -243,4 +243,4 @@ def cum_gain(df: DataFrame, score: str, key: str, value: str, every: int = 100)
     return (ranked.where((F.col("rank") - 1) % every == 0)
             .crossJoin(F.broadcast(tot))
             .select("rank", (F.col("rank") / F.col("_N")).alias("share_rows"),
-                    (F.col("_cum") / F.col("_V")).alias("cum_gain")))
+                    F.try_divide(F.col("_cum"), F.col("_V")).alias("cum_gain")))

@@ -66,7 +66,7 @@ def value_counts(df: DataFrame, col: str, normalize: bool = True, dropna: bool =
 def share_of_total(df: DataFrame, value: str, out: str = "share_pct") -> DataFrame:
     """Group value as % of the grand total (1-row broadcast)."""
     tot = df.agg(F.sum(value).alias("_tot"))
-    return with_totals(df, tot).withColumn(out, 100.0 * F.col(value) / F.col("_tot")).drop("_tot")
+    return with_totals(df, tot).withColumn(out, 100.0 * F.try_divide(F.col(value), F.col("_tot"))).drop("_tot")
 
 
 def index_vs_global(grouped: DataFrame, global_row: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -74,7 +74,7 @@ def index_vs_global(grouped: DataFrame, global_row: DataFrame, cols: Sequence[st
     g = global_row.select(*[F.col(c).alias(f"_g_{c}") for c in cols])
     res = with_totals(grouped, g)
     for c in cols:
-        res = res.withColumn(f"idx_{c}", 100.0 * F.col(c) / F.col(f"_g_{c}"))
+        res = res.withColumn(f"idx_{c}", 100.0 * F.try_divide(F.col(c), F.col(f"_g_{c}")))
     return res.drop(*[f"_g_{c}" for c in cols])
 
 
@@ -103,7 +103,7 @@ def crosstab(df: DataFrame, row: str, col: str, levels: Sequence, value: str | N
         tot = res.agg(*[F.sum(F.col(str(l))).alias(f"_t_{l}") for l in levels])
         res = with_totals(res, tot)
         for l in levels:
-            res = res.withColumn(str(l), F.col(str(l)) / F.col(f"_t_{l}"))
+            res = res.withColumn(str(l), F.try_divide(F.col(str(l)), F.col(f"_t_{l}")))
         res = res.drop(*[f"_t_{l}" for l in levels])
     return res
 

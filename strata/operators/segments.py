@@ -186,8 +186,8 @@ def davies_bouldin(lng: DataFrame, id_col: str, cluster: str = "cluster") -> Dat
     allc = tab.agg(F.collect_list(F.struct(F.col(cluster).alias("k"), "cv", "s")).alias("all"))   # k rows
     x = with_totals(tab, allc)
     other = F.filter("all", lambda o: o["k"] != F.col(cluster))
-    ratio = F.transform(other, lambda o: (F.col("s") + o["s"]) / F.sqrt(F.aggregate(
-        F.zip_with("cv", o["cv"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)))
+    ratio = F.transform(other, lambda o: F.try_divide(F.col("s") + o["s"], F.sqrt(F.aggregate(
+        F.zip_with("cv", o["cv"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v))))
     return x.select(F.array_max(ratio).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
@@ -199,7 +199,7 @@ def calinski_harabasz(lng: DataFrame, id_col: str, cluster: str = "cluster") ->
     W = lng.join(cen, [cluster, "dim"]).agg(F.sum(F.pow(F.col("value") - F.col("c"), 2)).alias("W"))
     Bt = cen.join(glob, "dim").join(nc, cluster).agg(F.sum(F.col("nc") * F.pow(F.col("c") - F.col("g"), 2)).alias("B"),
                                                      F.countDistinct(cluster).alias("k"), F.sum(F.when(F.col("dim") == 0, F.col("nc"))).alias("n"))
-    return W.crossJoin(Bt).select(((F.col("B") / (F.col("k") - 1)) / (F.col("W") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
+    return W.crossJoin(Bt).select(F.try_divide(F.try_divide(F.col("B"), F.col("k") - 1), F.try_divide(F.col("W"), F.col("n") - F.col("k"))).alias("calinski_harabasz"))
 
 
 def ari(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -110,3 +110,27 @@ def test_tree_attribution_is_additive(spark):
     raw = m.transform(df).select("k", vector_to_array("rawPrediction")[1].alias("margin"))
     diff = tot.join(raw, "k").select(F.max(F.abs(F.col("m") - F.col("margin")))).first()[0]
     assert diff < 1e-9
+
+
+def test_isotonic_is_monotone(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(x), int(rng.random() < x)) for x in rng.uniform(0, 1, 400)]
+    df = spark.createDataFrame(rows, "raw double, y int")
+    out = M.apply_isotonic(M.fit_isotonic(df, "raw", "y"), df).orderBy("raw").collect()
+    cal = [r["calibrated"] for r in out]
+    assert all(a <= b + 1e-12 for a, b in zip(cal, cal[1:]))
+    assert 0.0 <= min(cal) and max(cal) <= 1.0
+
+
+def test_rule_collapse_is_order_free(spark):
+    from strata.operators import baskets as B
+    rows = []
+    for b in range(400):
+        items = ["a", "b", "c", "d"][: 2 + b % 3] if b % 2 == 0 else ["c", "d", "e"][: 1 + b % 3]
+        rows += [(b, it) for it in items]
+    df = spark.createDataFrame(rows, "basket_id long, item string")
+    def run(d):
+        fi = B.frequent_itemsets(d, 0.05, 5)
+        kept = B.rule_collapse(B.rule_filter(B.association_rules(fi, 1.0), lift_min=1.0, n_min=10, conf_factor=1.0))
+        return sorted((tuple(r["items"]), round(r["lift"], 12)) for r in kept.collect())
+    assert run(df) == run(df.orderBy(F.desc("basket_id")).repartition(7))
