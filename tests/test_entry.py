@@ -36,3 +36,20 @@ def test_oracle_parity_smoke(spark, name):
     from tests.oracle_compare import compare
     res = compare(spark, "/root/testdata/sf0.001", {name}, verbose=False)
     assert res[name] == "ok", res[name]
+
+
+@pytest.mark.parametrize("name", ["flagship", "group_stats", "drift_table", "association_rules", "campaign_grid",
+                                  "rank_first", "quantiles", "components"])
+def test_plans_stay_in_the_jvm(spark, name):
+    """No Python evaluation node in the physical plans of the SQL-checked operators."""
+    df = _entry().queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "MapInPandas", "FlatMapGroupsInPandas"):
+        assert node not in plan, (name, node)
+
+
+def test_scan_pushes_filters_and_prunes_columns(spark):
+    df = _entry().queries()["scan_table"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThan(c_acctbal,0.0)]" in plan
+    assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double,c_mktsegment:string>" in plan
