@@ -131,19 +131,24 @@ def expected_value(df: DataFrame, p: str, capital: str, rate: str, key: str, cfg
 
 def campaign_scenarios(df: DataFrame, p: str, value: str, effs: Sequence[float], cost: float) -> DataFrame:
     """Per effectiveness: selected clients, share, losses covered, retentions, cost,
-    benefit and ROI (NULL when nobody is selected). One pass: a literal-sized scenario
-    list is crossed with the rows and aggregated."""
-    sc = df.sparkSession.createDataFrame([(float(e),) for e in effs], "effectiveness double")
-    tot = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(p).alias("_sp"))
-    b = F.col(p) * F.col("effectiveness") * F.col(value) - F.lit(cost)
-    x = df.select(p, value).crossJoin(F.broadcast(sc)).withColumn("_b", b).withColumn("_sel", F.col("_b") > 0)
-    g = x.groupBy("effectiveness").agg(
-        F.count_if("_sel").alias("selected"),
-        F.coalesce(F.sum(F.when(F.col("_sel"), F.col(p))), F.lit(0.0)).alias("losses_covered"),
-        F.coalesce(F.sum(F.when(F.col("_sel"), F.col(p) * F.col("effectiveness"))), F.lit(0.0)).alias("retentions"),
-        F.coalesce(F.sum(F.when(F.col("_sel"), F.col("_b"))), F.lit(0.0)).alias("benefit"))
-    g = with_totals(g, tot)
-    return (g.withColumn("share_selected", F.col("selected") / F.col("_n"))
+    benefit and ROI (NULL when nobody is selected).
+
+    One pass over the rows: every scenario is a set of conditional sums in the same
+    aggregate (no row is copied per scenario); the one-row result is then unpivoted."""
+    aggs = [F.count(F.lit(1)).alias("_n"), F.sum(p).alias("_sp")]
+    for i, e in enumerate(effs):
+        b = F.col(p) * F.lit(float(e)) * F.col(value) - F.lit(cost)
+        sel = b > 0
+        aggs += [F.count_if(sel).alias(f"s{i}"),
+                 F.coalesce(F.sum(F.when(sel, F.col(p))), F.lit(0.0)).alias(f"l{i}"),
+                 F.coalesce(F.sum(F.when(sel, b)), F.lit(0.0)).alias(f"b{i}")]
+    one = df.agg(*aggs)
+    rows = F.explode(F.array(*[F.struct(F.lit(float(e)).alias("effectiveness"), F.col(f"s{i}").alias("selected"),
+                                        F.col(f"l{i}").alias("losses_covered"), F.col(f"b{i}").alias("benefit"))
+                               for i, e in enumerate(effs)]))
+    g = one.select("_n", "_sp", rows.alias("_r")).select("_n", "_sp", "_r.*")
+    return (g.withColumn("retentions", F.col("losses_covered") * F.col("effectiveness"))
+            .withColumn("share_selected", F.try_divide(F.col("selected"), F.col("_n")))
             .withColumn("share_losses", F.try_divide(F.col("losses_covered"), F.col("_sp")))
             .withColumn("cost", F.col("selected") * F.lit(cost))
             .withColumn("roi", F.when(F.col("selected") > 0, F.col("benefit") / F.col("cost")))

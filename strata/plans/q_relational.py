@@ -366,6 +366,8 @@ def describe_numeric(fx):
 
 PROFILE_COLS = ["client_id", "region", "product", "credit_type", "sex", "granted", "balance", "stage", "prior_credits", "status"]
 _NUMERIC_PROFILE = {"client_id", "region", "granted", "balance", "prior_credits"}
+# the active population's table carries no outcome column (it is what gets predicted)
+_ACTIVE_COLS = [c for c in PROFILE_COLS if c not in ("status", "y")]
 
 
 def _profile_sql():
@@ -374,13 +376,17 @@ def _profile_sql():
         ex_num = f"round(CAST(min({c}) AS DOUBLE), 6)" if c in _NUMERIC_PROFILE else "CAST(NULL AS DOUBLE)"
         ex_txt = "CAST(NULL AS VARCHAR)" if c in _NUMERIC_PROFILE else f"min({c})"
         parts.append(f"""SELECT '{c}' AS variable, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS null_share,
-  count(DISTINCT {c}) AS n_distinct, {ex_num} AS example_num, {ex_txt} AS example_text FROM portfolio""")
+  count(DISTINCT {c}) AS n_distinct, {ex_num} AS example_num, {ex_txt} AS example_text,
+  {'true' if c in _ACTIVE_COLS else 'false'} AS in_other FROM portfolio""")
     return " UNION ALL ".join(parts)
 
 
 @query("profile_columns", _profile_sql())
 def profile_columns(fx):
+    """A4: type-free column dictionary of the labelled table; ``in_other`` compares its
+    schema with the active population's (which has no outcome column)."""
     p = fx.portfolio
+    other = set(fx.portfolio_active.drop("status", "y").columns)   # schema only, no data pass
     aggs = []
     for c in PROFILE_COLS:
         num = c in _NUMERIC_PROFILE
@@ -388,7 +394,8 @@ def profile_columns(fx):
                              r(F.avg(F.col(c).isNull().cast("double"))).alias("null_share"),
                              F.countDistinct(c).alias("n_distinct"),
                              (r(F.min(c).cast("double")) if num else F.lit(None).cast("double")).alias("example_num"),
-                             (F.lit(None).cast("string") if num else F.min(c)).alias("example_text")).alias(c))
+                             (F.lit(None).cast("string") if num else F.min(c)).alias("example_text"),
+                             F.lit(c in other).alias("in_other")).alias(c))
     one = p.agg(*aggs)
     return one.select(F.explode(F.array(*PROFILE_COLS)).alias("s")).select("s.*")
 
