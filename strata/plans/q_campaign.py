@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as FE
-from ..functions import scalar as S
 from ..operators import campaign as C
 from ..operators import order as O
 from .q_order import DEC_SQL
