@@ -48,7 +48,8 @@ def dependence_points(contrib: DataFrame, lo: float = 0.005, hi: float = 0.995)
     q = exact_quantiles(contrib, "value", [lo, hi], by=["variable"])
     b = q.groupBy("variable").agg(F.max(F.when(F.col("q") == lo, F.col("value"))).alias("_lo"),
                                   F.max(F.when(F.col("q") == hi, F.col("value"))).alias("_hi"))
-    return (contrib.join(b, "variable").where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi")))
+    # b has one row per variable: bounded
+    return (contrib.join(F.broadcast(b), "variable").where((F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi")))
             .drop("_lo", "_hi"))
 
 

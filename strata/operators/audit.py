@@ -45,7 +45,9 @@ def psi_from_edges(base_long: DataFrame, other_long: DataFrame, edges: DataFrame
 
     Both populations go through ONE pass: a flagged union, one grouped count per
     (variable, population, bin); the totals come from that small count table."""
-    ok = edges.where(F.size("edges") >= 3)
+    # one row per variable of a declared column list (≤ bins + 1 numbers each): bounded,
+    # and a shuffle join on a handful of variable names would put each variable in one task
+    ok = F.broadcast(edges.where(F.size("edges") >= 3))
     u = (base_long.select("variable", "value", F.lit(0).alias("_pop"))
          .unionByName(other_long.select("variable", "value", F.lit(1).alias("_pop"))))
     x = u.where(F.col("value").isNotNull()).join(ok, "variable")
@@ -131,7 +133,7 @@ def univariate_auc(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     folded to ≥ 0.5 with the direction sign."""
     lng = to_long(df, cols, keep=[label])
     med = exact_quantiles(lng, "value", [0.5], by=["variable"]).select("variable", F.col("value").alias("_med"))
-    filled = lng.join(med, "variable").withColumn("value", F.coalesce("value", "_med"))
+    filled = lng.join(F.broadcast(med), "variable").withColumn("value", F.coalesce("value", "_med"))   # one row per variable
     a = auc_roc(filled, "value", label, by=["variable"])
     return a.select("variable", F.greatest("auc_roc", 1 - F.col("auc_roc")).alias("auc"),
                     F.when(F.col("auc_roc") > 0.5, "+").otherwise("-").alias("direction"))

@@ -59,7 +59,7 @@ def bucketize(df: DataFrame, col: str, edges: Sequence[float], out: str) -> Data
 
 def ordered_cumulative(d: DataFrame, order_col: str, sums: Sequence[str], by: Sequence[str] = (),
                        descending: bool = False, n_buckets: int | None = None,
-                       edges: Sequence[float] | None = None) -> DataFrame:
+                       edges: Sequence[float] | None = None, keep_bucket: bool = False) -> DataFrame:
     """For a table with ONE row per (``by``…, ``order_col``) value, add ``{s}_before``:
     the sum of ``s`` over rows strictly earlier in the order, within ``by``.
 
@@ -80,11 +80,14 @@ def ordered_cumulative(d: DataFrame, order_col: str, sums: Sequence[str], by: Se
     res = d.join(off, [*by, "_ob"])
     for s in sums:
         res = res.withColumn(f"{s}_before", F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(w_in), F.lit(0)))
+    if keep_bucket:   # bucket id stays for callers that join on it (exact quantiles)
+        return res.drop(*[f"_o_{s}" for s in sums])
     return res.drop("_ob", *[f"_o_{s}" for s in sums])
 
 
 def score_table(df: DataFrame, score: str, label: str | None = None, by: Sequence[str] = (),
-                descending: bool = False, n_buckets: int | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+                descending: bool = False, n_buckets: int | None = None, extra: dict[str, Column] | None = None,
+                keep_bucket: bool = False) -> DataFrame:
     """One row per distinct score (within ``by``) with n, positives, negatives and their
     running totals *before* that score in the chosen order. Basis of AUC, AP, KS,
     mid-ranks and two-sample KS."""
@@ -98,7 +101,8 @@ def score_table(df: DataFrame, score: str, label: str | None = None, by: Sequenc
         aggs.append(F.sum(e).alias(name))
         sums.append(name)
     d = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(*aggs)
-    return ordered_cumulative(d, score, sums, by=by, descending=descending, n_buckets=n_buckets)
+    return ordered_cumulative(d, score, sums, by=by, descending=descending, n_buckets=n_buckets,
+                              keep_bucket=keep_bucket)
 
 
 def global_rank(df: DataFrame, score: str, key: str, descending: bool = True, out: str = "rank",
@@ -176,25 +180,34 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
 
     h = (n−1)·q; value = v[⌊h⌋] + (h−⌊h⌋)·(v[⌊h⌋+1] − v[⌊h⌋]) where v is the sorted column.
     The order statistics are read off the distinct-value table with running counts
-    (G0), so no task holds all values of a group. The per-group target table has
-    |qs| rows per group; a hot group's distinct values are split by AQE's skew join.
+    (G0). Each target index is first placed in its value bucket using the small
+    per-bucket table, and the distinct values are then matched on (group, bucket), so
+    the work for a hot group is spread over its buckets, not put in one task.
     Returns (by…, q, value)."""
     by = list(by)
-    st = score_table(df, col, by=by, n_buckets=n_buckets).select(*by, F.col(col).cast("double").alias("_v"), "n", "n_before")
-    cnt = (st.groupBy(*by) if by else st).agg(F.sum("n").alias("_N"))
+    st = score_table(df, col, by=by, n_buckets=n_buckets, keep_bucket=True) \
+        .select(*by, "_ob", F.col(col).cast("double").alias("_v"), "n", "n_before")
+    bk = st.groupBy(*by, "_ob").agg(F.min("n_before").alias("_start"), F.sum("n").alias("_cnt"))   # ≤ buckets per group
+    cnt = (bk.groupBy(*by) if by else bk).agg(F.sum("_cnt").alias("_N"))
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     tg = (cnt.select(*by, "_N", F.explode(qarr).alias("q"))
           .withColumn("_h", (F.col("_N") - 1) * F.col("q"))
           .withColumn("_lo", F.floor("_h").cast("long"))
           .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_N") - 1))
           .withColumn("_fr", F.col("_h") - F.col("_lo")))
-    j = st.join(tg, by) if by else st.crossJoin(F.broadcast(tg))   # no group: |qs| rows
-    has_lo = (F.col("n_before") <= F.col("_lo")) & (F.col("_lo") < F.col("n_before") + F.col("n"))
-    has_hi = (F.col("n_before") <= F.col("_hi")) & (F.col("_hi") < F.col("n_before") + F.col("n"))
-    hit = j.where(has_lo | has_hi).groupBy(*by, "q").agg(
-        F.max(F.when(has_lo, F.col("_v"))).alias("_vlo"), F.max(F.when(has_hi, F.col("_v"))).alias("_vhi"),
-        F.first("_fr").alias("_fr"))
-    return hit.select(*by, "q", (F.col("_vlo") + F.col("_fr") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
+    idx = tg.select(*by, "q", "_fr", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("_lo").alias("i")),
+        F.struct(F.lit(1).alias("side"), F.col("_hi").alias("i")))).alias("_t")).select(*by, "q", "_fr", "_t.side", "_t.i")
+    # both sides are small per group (|qs|·2 targets, ≤ n_buckets buckets)
+    placed = (idx.join(bk, by) if by else idx.crossJoin(bk)) \
+        .where((F.col("_start") <= F.col("i")) & (F.col("i") < F.col("_start") + F.col("_cnt"))) \
+        .select(*by, "_ob", "q", "_fr", "side", "i")
+    hit = (st.join(placed, [*by, "_ob"])
+           .where((F.col("n_before") <= F.col("i")) & (F.col("i") < F.col("n_before") + F.col("n"))))
+    res = hit.groupBy(*by, "q").agg(F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_vlo"),
+                                    F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_vhi"),
+                                    F.first("_fr").alias("_fr"))
+    return res.select(*by, "q", (F.col("_vlo") + F.col("_fr") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
 
 
 def quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (),

@@ -177,7 +177,7 @@ def davies_bouldin(lng: DataFrame, id_col: str, cluster: str = "cluster") -> Dat
     """K6: mean over clusters of max_j (s_i + s_j) / d_ij, s_i = mean distance of members
     to their centroid. The k×k comparison runs on the k-row centroid table (one array)."""
     cen = _centroids(lng, cluster)
-    dist = (lng.join(cen, [cluster, "dim"]).groupBy(id_col, cluster)
+    dist = (lng.join(F.broadcast(cen), [cluster, "dim"]).groupBy(id_col, cluster)   # k × dims rows
             .agg(F.sqrt(F.sum(F.pow(F.col("value") - F.col("c"), 2))).alias("d")))
     s = dist.groupBy(cluster).agg(F.avg("d").alias("s"))
     cv = cen.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("_c")) \
@@ -196,7 +196,7 @@ def calinski_harabasz(lng: DataFrame, id_col: str, cluster: str = "cluster") ->
     cen = _centroids(lng, cluster)
     glob = lng.groupBy("dim").agg(F.avg("value").alias("g"))
     nc = lng.select(id_col, cluster).distinct().groupBy(cluster).agg(F.count(F.lit(1)).alias("nc"))
-    W = lng.join(cen, [cluster, "dim"]).agg(F.sum(F.pow(F.col("value") - F.col("c"), 2)).alias("W"))
+    W = lng.join(F.broadcast(cen), [cluster, "dim"]).agg(F.sum(F.pow(F.col("value") - F.col("c"), 2)).alias("W"))
     Bt = cen.join(glob, "dim").join(nc, cluster).agg(F.sum(F.col("nc") * F.pow(F.col("c") - F.col("g"), 2)).alias("B"),
                                                      F.countDistinct(cluster).alias("k"), F.sum(F.when(F.col("dim") == 0, F.col("nc"))).alias("n"))
     return W.crossJoin(Bt).select(F.try_divide(F.try_divide(F.col("B"), F.col("k") - 1), F.try_divide(F.col("W"), F.col("n") - F.col("k"))).alias("calinski_harabasz"))
