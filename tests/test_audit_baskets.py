@@ -117,3 +117,12 @@ def test_subset_pairs(spark):
     df = spark.createDataFrame(rows, "items array<string>, lift double")
     got = sorted((tuple(r["inner"]), tuple(r["outer"])) for r in B.subset_pairs(df).collect())
     assert got == [(("a", "b"), ("a", "b", "c")), (("b",), ("a", "b")), (("b",), ("a", "b", "c"))]
+
+
+def test_join_guard_fails_on_missing_required_value(spark):
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    right = spark.createDataFrame([(1, "a")], "k int, v string")
+    with pytest.raises(Exception):
+        R.left_join_checked(left, right, ["k"], not_null=["v"]).collect()
+    ok = R.left_join_checked(left, right, ["k"]).collect()
+    assert len(ok) == 2
