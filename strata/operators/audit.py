@@ -33,30 +33,46 @@ def quantile_edge_table(base_long: DataFrame, bins: int = 10) -> DataFrame:
     return spark.createDataFrame(e.collect(), "variable string, edges array<double>")
 
 
-def _bin_of(edges: Column, value: Column) -> Column:
-    """Index of the right-closed bin with the two end edges opened to ±inf."""
-    inner = F.slice(edges, 2, F.size(edges) - 2)
-    return F.size(F.filter(inner, lambda e: e < value))
+def _bin_case(edge_rows) -> Column:
+    """Bin index per variable as one literal CASE (right-closed bins, ends open):
+    the number of inner edges strictly below the value. Plain comparisons stay in
+    whole-stage codegen, unlike a lambda over an edge array."""
+    outer = None
+    for row in edge_rows:
+        inner = list(row["edges"])[1:-1]
+        e = None
+        for i, edge in enumerate(inner):
+            cond = F.col("value") <= F.lit(float(edge))
+            e = F.when(cond, F.lit(i)) if e is None else e.when(cond, F.lit(i))
+        e = F.lit(len(inner)) if e is None else e.otherwise(F.lit(len(inner)))
+        c = F.col("variable") == F.lit(row["variable"])
+        outer = F.when(c, e) if outer is None else outer.when(c, e)
+    return outer
 
 
 def psi_from_edges(base_long: DataFrame, other_long: DataFrame, edges: DataFrame) -> DataFrame:
     """Σ (pa − pb)·ln(pa / pb) over all bins; shares over non-null rows, empty bins
     floored at 1e-6 (no re-normalisation); fewer than 3 edges → NULL.
 
-    Both populations go through ONE pass: a flagged union, one grouped count per
-    (variable, population, bin); the totals come from that small count table."""
-    # one row per variable of a declared column list (≤ bins + 1 numbers each): bounded,
-    # and a shuffle join on a handful of variable names would put each variable in one task
-    ok = F.broadcast(edges.where(F.size("edges") >= 3))
+    The edge table (≤ bins + 1 numbers per variable of a declared column list) is read
+    once on the driver and turned into a literal bin expression. Both populations then
+    go through ONE pass — a flagged union and one grouped count per (variable,
+    population, bin); the totals come from that small count table."""
+    spark = base_long.sparkSession
+    rows = [r for r in edges.collect() if r["edges"] is not None and len(r["edges"]) >= 3]
+    names = [r["variable"] for r in rows]
+    if not rows:
+        return edges.select("variable").withColumn("psi", F.lit(None).cast("double"))
     u = (base_long.select("variable", "value", F.lit(0).alias("_pop"))
          .unionByName(other_long.select("variable", "value", F.lit(1).alias("_pop"))))
-    x = u.where(F.col("value").isNotNull()).join(ok, "variable")
-    c = x.groupBy("variable", "_pop", _bin_of(F.col("edges"), F.col("value")).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
+    x = u.where(F.col("value").isNotNull() & F.col("variable").isin(*names))
+    c = x.groupBy("variable", "_pop", _bin_case(rows).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
     t = c.groupBy("variable", "_pop").agg(F.sum("_n").alias("_t"))
     sh = (c.join(t, ["variable", "_pop"]).groupBy("variable", "bin")
           .agg(F.max(F.when(F.col("_pop") == 0, F.col("_n") / F.col("_t"))).alias("pa"),
                F.max(F.when(F.col("_pop") == 1, F.col("_n") / F.col("_t"))).alias("pb")))
-    all_bins = ok.select("variable", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
+    all_bins = spark.createDataFrame([(r["variable"], i) for r in rows for i in range(len(r["edges"]) - 1)],
+                                     "variable string, bin int")
     j = all_bins.join(sh, ["variable", "bin"], "left")
     pa = F.when(F.coalesce("pa", F.lit(0.0)) == 0, F.lit(PSI_FLOOR)).otherwise(F.col("pa"))
     pb = F.when(F.coalesce("pb", F.lit(0.0)) == 0, F.lit(PSI_FLOOR)).otherwise(F.col("pb"))
