@@ -73,6 +73,18 @@ def cut_bins(c: Column | str, edges: Sequence[float], labels: Sequence | None =
     return e
 
 
+def count_below(c: Column | str, edges: Sequence[float]) -> Column:
+    """Number of (sorted) literal edges strictly below the value: the index of the
+    right-closed bin, as a CASE chain that stays in whole-stage codegen. Missing → NULL."""
+    x = _c(c)
+    e = None
+    for i, edge in enumerate(edges):
+        cond = x <= F.lit(float(edge))
+        e = F.when(cond, F.lit(i)) if e is None else e.when(cond, F.lit(i))
+    res = F.lit(len(edges)) if e is None else e.otherwise(F.lit(len(edges)))
+    return F.when(x.isNotNull(), res)
+
+
 def clip_upper(c: Column | str, hi: float) -> Column:
     """Cap a value; missing stays missing (``least`` alone would turn it into ``hi``)."""
     return F.when(_c(c).isNotNull(), F.least(_c(c), F.lit(hi)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
+from ..functions.scalar import count_below
 from .metrics import auc_roc
 from .order import exact_quantiles, score_table
 
@@ -91,12 +92,11 @@ def psi_fixed(base: DataFrame, other: DataFrame, col: str, edges: Sequence[float
     denominator), difference, and the PSI of the table on every row."""
     spark = base.sparkSession
     nb = len(edges) - 1
-    e = F.array(*[F.lit(float(x)) for x in edges])
 
     def shares(df, name):
         v = F.col(col)
         inside = df.where((v > F.lit(float(edges[0]))) & (v <= F.lit(float(edges[-1]))))
-        b = F.size(F.filter(F.slice(e, 2, nb - 1), lambda x: x < v))
+        b = count_below(v, list(edges)[1:-1])
         c = inside.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
         t = inside.agg(F.count(F.lit(1)).alias("_t"))
         return with_totals(c, t).select("bin", (F.col("_n") / F.col("_t")).alias(name))

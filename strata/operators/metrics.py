@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
+from ..functions.scalar import count_below
 from .order import decile_of_rank, exact_quantiles, global_rank, score_table
 
 
@@ -117,8 +118,8 @@ def reliability_curve(df: DataFrame, score: str, label: str, n_bins: int = 10) -
     """Quantile-strategy calibration curve. Edges are exact quantiles at i/n_bins;
     a score's bin is the number of inner edges strictly below it; empty bins vanish."""
     qs = [i / n_bins for i in range(n_bins + 1)]
-    edges = exact_quantiles(df, score, qs).agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("e")) \
-        .select(F.slice(F.transform("e", lambda s: s["value"]), 2, n_bins - 1).alias("inner"))
-    b = with_totals(df, edges).withColumn("bin", F.size(F.filter("inner", lambda e: e < F.col(score))))
+    # n_bins + 1 numbers: read once, used as literal edges
+    edges = [r["value"] for r in exact_quantiles(df, score, qs).orderBy("q").collect()]
+    b = df.withColumn("bin", count_below(score, edges[1:-1]))
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_pred"),
                                 F.avg(label).alias("frac_pos"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import metrics as M
 from ..operators import order as O
 from .registry import query, r
@@ -43,8 +44,7 @@ FROM b GROUP BY 1""")
 def quantile_bins(fx):
     p = fx.portfolio
     edges = O.quantile_bin_edges(p, "balance", 10)
-    e = F.array(*[F.lit(float(x)) for x in edges])
-    b = F.when(F.col("balance") == F.lit(edges[0]), F.lit(1)).otherwise(F.size(F.filter(e, lambda x: x < F.col("balance"))))
+    b = F.when(F.col("balance") == F.lit(edges[0]), F.lit(1)).otherwise(S.count_below("balance", edges))
     return (p.withColumn("bin", b.cast("int")).groupBy("bin")
             .agg(F.count(F.lit(1)).alias("n"), r(F.avg("y")).alias("rate")))
 
