@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, token_files, url_rules
+from . import langid, mixing, quality, quality_model, sampled_pieces, token_files, url_rules
 from .common import table
 from .oracle import SQL
 
@@ -50,3 +50,25 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return url_rules.judge(table(spark, sf_dir, "pages"), labels)
+
+
+@query
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality_model.staged_statistics(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(langid.fold(F.col("doc_id"), 5) != 0)
+    scored = quality_model.score(stats, quality_model.train(stats, labels))
+    return scored.select("doc_id", (langid.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold(F.col("doc_id"), 4) == 2
+    dictionaries = langid.learn(docs.filter(~held_out), "doc_id", "text", "lang")
+    return langid.predict(docs, dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

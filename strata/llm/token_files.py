@@ -25,6 +25,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -209,11 +210,17 @@ def _chunks(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]
         yield lo, len(texts)
 
 
+@lru_cache(maxsize=1)
+def _task_encoder(path: str | None) -> WordEncoder:
+    """One encoder per Python worker, so that later tasks find its cache warm."""
+    import public_tokenizers
+
+    return WordEncoder(path or public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _encoder(path: str | None, end: int):
     def run(batches):
-        import public_tokenizers
-
-        enc = WordEncoder(path or public_tokenizers.path("word_bpe_49k.json"))
+        enc = _task_encoder(path)
         shard = TaskContext.get().partitionId()
         docs, counts, parts, held, segment, start = [], [], [], 0, 0, 0
 
