@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, quality_model, sampled_pieces, token_files, url_rules
+from . import ann, langid, mixing, quality, quality_model, sampled_pieces, substring_dedup, token_files, url_rules
 from .common import table
 from .oracle import SQL
 
@@ -72,3 +72,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = langid.fold(F.col("doc_id"), 4) == 2
     dictionaries = langid.learn(docs.filter(~held_out), "doc_id", "text", "lang")
     return langid.predict(docs, dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.measure_repeats(table(spark, sf_dir, "documents"))
