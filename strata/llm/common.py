@@ -56,6 +56,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def every(df: DataFrame, *but: str) -> list[Column]:
+    """All columns of a frame by their exact names."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in but]
+
+
 def names(prefix: str, taken: list[str], *wanted: str) -> list[str]:
     """Column names for internal use that clash with none of the frame's own."""
     have = {c.lower() for c in taken}

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import materialize
-from .common import release, small, staged
+from .common import names, release, small, staged
 from .wordhash import WordHasher, chunks, mix64, positions, window_hash
 
 SHINGLE, NUM = 5, 75
@@ -321,3 +321,18 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     joined = meta.join(classes, ["n", "s1", "s2"], "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")))
     return joined.join(label, joined["class_id"] == label["node"], "left") \
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM) -> DataFrame:
+    """The documents, in their own columns, with the smallest id of each component. Of several rows with
+    that id and equal texts one stays; a null id or a text without words is no reason to go."""
+    found = components(docs, doc_id, text, num)
+    gone = found.filter((F.col("component_id") != F.col("doc_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
+    again = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    g, v = names("_", docs.columns, "gone", "again")
+    own = F.col(f"`{doc_id}`")
+    kept = docs.join(small(gone.withColumnRenamed("doc_id", g)), own == F.col(g), "left_anti")
+    # rows that share an id are rare: only they are looked at, all others pass untouched
+    again = small(again.withColumnRenamed("doc_id", v))
+    once, several = (kept.join(again, own == F.col(v), how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(several.dropDuplicates([doc_id, text]))

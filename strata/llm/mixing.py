@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import let, small, words
+from .common import every, let, small, words
 
 SEED = "mix-1"
 
@@ -82,8 +82,9 @@ def share_out(sources: DataFrame, weight: Column, max_epochs: int = 3, share: fl
         .drop("cap", "weight")
 
 
-def _key_bucket(key: Column, docs: Column, bucket_rows: int) -> Column:
-    return F.floor(F.log(key) * F.greatest(F.lit(1.0), 0.37 * docs / bucket_rows)).cast("long")
+def _key_bucket(key: Column, steps: Column) -> Column:
+    """``steps``: buckets per unit of ln(key), a value of the source's plan row."""
+    return F.floor(F.log(key) * steps).cast("long")
 
 
 def plan_mix(rows: DataFrame, max_epochs: int = 3, share: float = 1.0, cycle: int = 3, bucket_rows: int = 50_000) -> DataFrame:
@@ -93,10 +94,11 @@ def plan_mix(rows: DataFrame, max_epochs: int = 3, share: float = 1.0, cycle: in
     target = share_out(totals, F.col("rank") % cycle + 1, max_epochs, share)
     plan = target.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")) \
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = small(plan.select("source", "source_size", "docs", "target", "epochs", "rest"))
-    p = plan.select(F.col("source").alias("_source"), "docs", "rest")
+    plan = plan.withColumn("steps", F.greatest(F.lit(1.0), 0.37 * F.col("docs") / bucket_rows))
+    plan = small(plan.select("source", "source_size", "steps", "target", "epochs", "rest"))
+    p = plan.select(F.col("source").alias("_source"), "steps", "rest")
     placed = rows.join(p, rows["source"].eqNullSafe(F.col("_source"))).drop("_source") \
-        .withColumn("bucket", _key_bucket(F.col("key"), F.col("docs"), bucket_rows))
+        .withColumn("bucket", _key_bucket(F.col("key"), F.col("steps")))
     buckets = placed.groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ends = small(buckets.withColumn("before", before)
@@ -113,12 +115,12 @@ def plan_mix(rows: DataFrame, max_epochs: int = 3, share: float = 1.0, cycle: in
     cuts = cuts.select(F.col("source").alias("c_source"), "cut")
     return small(plan.join(edges, plan["source"].eqNullSafe(F.col("e_source")), "left")
                  .join(cuts, plan["source"].eqNullSafe(F.col("c_source")), "left")
-                 .select("source", "source_size", "docs", "target", "epochs", "rest", "cut_bucket", "cut"))
+                 .select("source", "source_size", "steps", "target", "epochs", "rest", "cut_bucket", "cut"))
 
 
-def copies(plan_row: dict[str, Column], key: Column, tie: Column, bucket_rows: int = 50_000) -> Column:
+def copies(plan_row: dict[str, Column], key: Column, tie: Column) -> Column:
     """How often a document is taken, from its source's plan row."""
-    bucket = _key_bucket(key, plan_row["docs"], bucket_rows)
+    bucket = _key_bucket(key, plan_row["steps"])
     at_end = F.coalesce(F.struct(key.alias("key"), tie.alias("tie")) <= plan_row["cut"], F.lit(False))
     extra = F.when(plan_row["cut_bucket"].isNull(), F.lit(0)) \
         .when(bucket < plan_row["cut_bucket"], F.lit(1)) \
@@ -145,8 +147,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    p = plan.select(F.col("source").alias("_source"), *[F.col(c) for c in ("source_size", "docs", "target", "epochs", "cut_bucket", "cut")])
-    at = {c: F.col(c) for c in ("docs", "epochs", "cut_bucket", "cut")}
+    p = plan.select(F.col("source").alias("_source"), *[F.col(c) for c in ("source_size", "steps", "target", "epochs", "cut_bucket", "cut")])
+    at = {c: F.col(c) for c in ("steps", "epochs", "cut_bucket", "cut")}
     return rows.join(p, rows["source"].eqNullSafe(F.col("_source")), "left") \
         .withColumn("copies", copies(at, F.col("key"), F.col("tie")).cast("int"))
 
@@ -158,6 +160,6 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shape = ("source", "size", "key", "tie")
     rows = materialize(_shape(docs, doc_id, text, source, seed))
     p = plan_mix(rows.select(*shape), **plan)
-    whole = _shape(docs, doc_id, text, source, seed, F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    whole = _shape(docs, doc_id, text, source, seed, F.struct(*every(docs)).alias("_row"))
     return _with_plan(whole, p).filter(F.col("copies") > 0) \
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import SPACE, let, names, small, words
+from .common import SPACE, every, let, names, small, words
 
 SYMBOLS = "[#*$%&|<>]+"
 #: The statistics (higher is worse) and their cutoff grids.
@@ -141,11 +141,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """The documents, in their own columns, that the rules keep. The cutoffs come from one pass; a
     second pass over the texts judges the rows in place, so that no text is shuffled."""
     k, st = names("_q_", docs.columns, "key", "stratum")
-    own = docs.columns
     narrow = docs.select(F.col(key).alias(k), F.col(stratum).alias(st), F.col(text).alias("_t"))
     s = F.col("_s")
     shaped = [base_failed(s).alias("base_failed"), *[c.alias(m) for m, c in measures(s).items()]]
     scored = materialize(narrow.select(k, st, text_stats(F.col("_t")).alias("_s")).select(k, st, *shaped))
     cutoffs = small(fit_cutoffs(scored, labels.select(F.col("doc_id").alias(k), "quality"), k, st, **fit))
-    row = docs.select(F.struct(*[F.col(c) for c in own]).alias("_row"), F.col(stratum).alias(st), text_stats(F.col(text)).alias("_s"))
+    row = docs.select(F.struct(*every(docs)).alias("_row"), F.col(stratum).alias(st), text_stats(F.col(text)).alias("_s"))
     return apply_cutoffs(row.select("_row", st, *shaped), cutoffs, st).filter("kept").select("_row.*")

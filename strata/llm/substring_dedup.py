@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import names
+from .common import every
 from .wordhash import WordHasher, mark_runs, positions, runs_of, window_hash
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     words joined by one space, others stay as they are. ``length``: a column that gets the characters left."""
     row, = names("_row", docs.columns, "")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"),
-                        F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"))
+                        F.struct(*every(docs, text)).alias("row"))
     kind = texts.schema["row"].dataType.simpleString()
     out = _deduplicated(texts, f"row {kind}, kept_text string, n_words long, n_removed long, kept_sha256 string", True)
     own = lambda c: F.col("kept_text") if c == text else (
