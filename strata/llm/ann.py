@@ -187,8 +187,9 @@ def _searcher(proj: Projection, k: int, p_stop: float):
 def _in_cells(points: DataFrame, routed: DataFrame, search) -> DataFrame:
     """Searches routed queries (query_id, v, bound, cell, block) in their cells: the points of a cell go
     only to the query blocks that visit it."""
-    visits = routed.select("cell", "block").distinct()
-    return points.join(visits, "cell").groupBy("cell", "block").cogroup(routed.groupBy("cell", "block")).applyInArrow(search, RESULT)
+    visits = routed.select(F.col("cell").alias("at"), F.col("block").alias("part")).distinct()
+    here = points.join(visits, points["cell"] == F.col("at")).select("at", "part", "v", "ids")
+    return here.groupBy("at", "part").cogroup(routed.groupBy("cell", "block")).applyInArrow(search, RESULT)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
