@@ -71,7 +71,7 @@ def shingle_sets(hasher: WordHasher, texts: list[bytes]) -> tuple[np.ndarray, np
         for i in brief:
             own = words[start[i]:start[i] + counts[i]]
             extra.append(window_hash(own, len(own), SHINGLE_BASE + 2 * len(own))[0])
-        token, text = np.append(token, np.array(extra, np.uint64)), np.append(text, brief)
+        token, text = np.concatenate([token, np.array(extra, np.uint64)]), np.concatenate([text, brief])
     order = np.lexsort((token, text))
     token, text = token[order], text[order]
     new = np.ones(len(token), bool)

@@ -172,9 +172,9 @@ def _settle(all_docs: bool):
             if late and ids[0] == late[0][2]:
                 late = []
             held = (k[-1], b[-1], least[-1], bool(shared[-1]))
-            out_id = np.append(ids[claim], [x[2] for x in late]).astype(np.int64)
-            out_k = np.append(k[claim], [x[0] for x in late]).astype(np.int64)
-            out_b = np.append(b[claim], [x[1] for x in late]).astype(np.int32)
+            out_id = np.concatenate([ids[claim], np.array([x[2] for x in late], np.int64)])
+            out_k = np.concatenate([k[claim], np.array([x[0] for x in late], np.int64)])
+            out_b = np.concatenate([b[claim], np.array([x[1] for x in late], np.int32)])
             n = len(out_id)
             yield pa.record_batch([pa.array(out_id), pa.array(out_k), pa.array(out_b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
                                   schema=CLAIMS_ARROW)
