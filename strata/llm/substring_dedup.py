@@ -260,7 +260,6 @@ def measure_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
     """The documents in their own columns with repeated words cut out of ``text``: a cut text is its kept
     words joined by one space, others stay as they are. ``length``: a column that gets the characters left."""
-    row, = names("_row", docs.columns, "")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"),
                         F.struct(*every(docs, text)).alias("row"))
     kind = texts.schema["row"].dataType.simpleString()
