@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
 from ..functions.scalar import set_to_text
-from ..session import checkpoint_dir
+from .graph import connected_components
 
 
 def basket_long(wide: DataFrame, id_col: str, item_cols: Sequence[str]) -> DataFrame:
@@ -150,24 +150,9 @@ def cooccur_edges(retained: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.max("lift").alias("weight"))
 
 
-def components(edges: DataFrame, max_rounds: int = 100, checkpoint_every: int = 4) -> DataFrame:
-    """Connected components by min-label propagation over the edge table, as joins
-    repeated until no label changes. Lineage is cut with ``checkpoint()`` in the shared
-    checkpoint folder every few rounds. Returns (node, component, size)."""
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    und = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    und = und.checkpoint()
-    labels = und.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for i in range(max_rounds):
-        nbr = und.join(labels, und.src == labels.node).select(F.col("dst").alias("node"), F.col("label").alias("nl"))
-        new = (labels.join(nbr.groupBy("node").agg(F.min("nl").alias("nl")), "node", "left")
-               .select("node", F.least("label", F.coalesce("nl", "label")).alias("label")))
-        new = new.checkpoint() if (i + 1) % checkpoint_every == 0 else new.cache()
-        changed = new.join(labels.withColumnRenamed("label", "_old"), "node").where(F.col("label") != F.col("_old")).limit(1).count()
-        labels.unpersist()
-        labels = new
-        if changed == 0:
-            break
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    return labels.join(sizes, "label").select("node", F.col("label").alias("component"), "size")
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of the edge table, whatever its diameter (see
+    :mod:`strata.operators.graph`). Returns (node, component, size)."""
+    labels = connected_components(edges, "src", "dst")
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return labels.join(sizes, "component").select("node", "component", "size")

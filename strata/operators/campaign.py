@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
 from ..functions.scalar import cut_bins
-from .order import decile_of_rank, global_rank
+from .order import decile_of_rank, global_rank, present
 
 
 @dataclass(frozen=True)
@@ -35,48 +35,56 @@ def rate_curve(df: DataFrame, k: str, label: str) -> DataFrame:
 
 
 def logit_extrapolate(curve: DataFrame, k: str = "prior_credits", lo: int = 2, hi: int = 5, at: float = 1.0) -> DataFrame:
-    """Fit logit(rate) = a + b·ln k on k = lo..hi (points with rate 0 or 1 have an
-    infinite logit and are left out), evaluate at k = ``at``."""
-    pts = curve.where((F.col(k) >= lo) & (F.col(k) <= hi) & (F.col("rate") > 0) & (F.col("rate") < 1)) \
-        .select(F.log(F.col(k).cast("double")).alias("x"), F.log(F.col("rate") / (1 - F.col("rate"))).alias("yl"))
-    fit = pts.agg(F.regr_intercept("yl", "x").alias("a"), F.regr_slope("yl", "x").alias("b"), F.count(F.lit(1)).alias("points"))
+    """Fit logit(rate) = a + b·ln k on k = lo..hi, evaluate at k = ``at``. A point with rate 0 or 1
+    has no finite logit; ``points`` counts the points used and ``points_left_out`` those."""
+    own = curve.where((F.col(k) >= lo) & (F.col(k) <= hi))
+    usable = (F.col("rate") > 0) & (F.col("rate") < 1)
+    x = F.when(usable, F.log(F.col(k).cast("double")))
+    yl = F.when(usable, F.log(F.try_divide(F.col("rate"), 1 - F.col("rate"))))
+    fit = own.select(x.alias("x"), yl.alias("yl")).agg(
+        F.regr_intercept("yl", "x").alias("a"), F.regr_slope("yl", "x").alias("b"), F.count("yl").alias("points"),
+        F.count_if(F.col("yl").isNull()).alias("points_left_out"))
     return fit.withColumn("rate_at", 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.lit(math.log(at))))))
 
 
+#: Scores are kept this far from 0 and 1 before a logit (an isotonic score may be exactly 0 or 1).
+CLIP = 1e-6
+
+
 def _expit_shift(p, c):
-    return 1 / (1 + F.exp(-(F.log(p / (1 - p)) + c)))
+    q = F.least(F.greatest(p, F.lit(CLIP)), F.lit(1 - CLIP))
+    return 1 / (1 + F.exp(-(F.log(q / (1 - q)) + c)))
 
 
-def prior_shift_constant(df: DataFrame, p: str, target: float, lo: float = -15.0, hi: float = 15.0,
+def prior_shift_constant(df: DataFrame, p: str, target: float, lo: float = -30.0, hi: float = 30.0,
                          candidates: int = 64, passes: int = 6) -> float:
-    """C3 search: the shift c in logit space with mean(expit(logit p + c)) = target.
+    """C3 search: the shift c in logit space with mean(expit(logit p + c)) = target, p clipped to
+    [CLIP, 1 - CLIP]. NULL and NaN scores take no part; without any score there is nothing to shift
+    and c is 0. A target outside (0, 1), or beyond the search range, raises ValueError.
 
     The mean is monotone in c. Each pass evaluates ``candidates`` values of c in ONE
     aggregate over the distinct (p, count) table and keeps the bracketing pair, so the
-    driver sees ``candidates`` numbers per pass; 6 passes narrow 30 to ~5e-10."""
-    d = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_w")).cache()
-    last = None
+    driver sees ``candidates`` numbers per pass; 6 passes narrow 60 to ~1e-9."""
+    if not 0 < target < 1:
+        raise ValueError(f"the target mean {target} is not between 0 and 1")
+    d = df.where(present(p)).groupBy(p).agg(F.count(F.lit(1)).alias("_w")).cache()
     try:
-        for _ in range(passes):
-            cs = [lo + (hi - lo) * i / (candidates - 1) for i in range(candidates)]
-            row = d.agg(*[(F.sum(F.col("_w") * _expit_shift(F.col(p), F.lit(c))) / F.sum("_w")).alias(f"m{i}")
-                          for i, c in enumerate(cs)]).first()
-            means = [row[f"m{i}"] for i in range(candidates)]
+        for i in range(passes):
+            cs = [lo + (hi - lo) * j / (candidates - 1) for j in range(candidates)]
+            row = d.agg(*[(F.sum(F.col("_w") * _expit_shift(F.col(p), F.lit(c))) / F.sum("_w")).alias(f"m{j}")
+                          for j, c in enumerate(cs)]).first()
+            means = [row[f"m{j}"] for j in range(candidates)]
             if means[0] is None:
                 return 0.0
-            if target <= means[0]:          # below the search range: clamp at the low end
-                return cs[0]
-            if target >= means[-1]:
-                return cs[-1]
-            j = next(i for i in range(1, candidates) if means[i] >= target)
-            lo, hi = cs[j - 1], cs[j]
-            last = (lo, hi, means[j - 1], means[j])
+            if i == 0 and not means[0] <= target <= means[-1]:
+                raise ValueError(f"no shift in [{lo}, {hi}] gives the target mean {target}")
+            j = next((j for j in range(1, candidates) if means[j] >= target), candidates - 1)
+            lo, hi, mlo, mhi = cs[j - 1], cs[j], means[j - 1], means[j]
     finally:
         d.unpersist()
-    lo_, hi_, mlo, mhi = last
     if mhi == mlo:
-        return (lo_ + hi_) / 2
-    return lo_ + (target - mlo) * (hi_ - lo_) / (mhi - mlo)
+        return (lo + hi) / 2
+    return lo + (target - mlo) * (hi - lo) / (mhi - mlo)
 
 
 def prior_shift(df: DataFrame, p: str, target: float, out: str | None = None, where=None) -> DataFrame:

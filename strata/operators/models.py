@@ -165,11 +165,19 @@ def logistic(cats, nums, weight: str | None = "w", reg: float | None = None) ->
     return fit
 
 
+def tree_bins(train: DataFrame, cats: Sequence[str], least: int = 64) -> int:
+    """Bins that hold every level of every category plus the index of unseen levels."""
+    if not cats:
+        return least
+    row = train.agg(*[F.countDistinct(c).alias(f"n{i}") for i, c in enumerate(cats)]).first()
+    return max(least, max(row) + 2)
+
+
 def random_forest(cats, nums, trees: int = 50, min_leaf: int = 15, weight: str | None = "w", seed: int = 42):
     """M9."""
     def fit(train: DataFrame) -> PipelineModel:
         rf = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees, minInstancesPerNode=min_leaf,
-                                    maxBins=64, seed=seed, **({"weightCol": weight} if weight else {}))
+                                    maxBins=tree_bins(train, cats), seed=seed, **({"weightCol": weight} if weight else {}))
         return Pipeline(stages=feature_stages(cats, nums, False) + [rf]).fit(train)
     return fit
 
@@ -179,7 +187,7 @@ def gbt(cats, nums, iters: int = 50, depth: int = 5, step: float = 0.05, subsamp
     leaf-wise learner)."""
     def fit(train: DataFrame) -> PipelineModel:
         g = GBTClassifier(featuresCol="features", labelCol="y", maxIter=iters, maxDepth=depth, stepSize=step,
-                          subsamplingRate=subsample, maxBins=64, seed=seed)
+                          subsamplingRate=subsample, maxBins=tree_bins(train, cats), seed=seed)
         return Pipeline(stages=feature_stages(cats, nums, False) + [g]).fit(train)
     return fit
 

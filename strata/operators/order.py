@@ -11,12 +11,14 @@ A window with no ``partitionBy`` sends every row to one task. Instead:
 3. running offsets over the per-bucket totals (at most ``n_buckets`` rows per group);
 4. a window partitioned by bucket adds the within-bucket running sums.
 
-Per-row ranks with a key tie-break additionally split each distinct value by key
-buckets (global key quantiles), so a hot value is spread over many tasks.
+Per-row ranks (``global_rank``) need no distinct-value table: rows go straight to their
+score bucket, and only scores that repeat among the quantile edges are cut again by key
+ranges, so a hot value is spread over many tasks and the rows are shuffled once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -36,11 +38,28 @@ def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
     return max(DEFAULT_BUCKETS, 4 * sp)
 
 
+def present(col: str | Column) -> Column:
+    """A number that is there: neither NULL nor NaN (NaN counts as missing everywhere)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
+
+
+def key_number(df: DataFrame, key: str) -> Column:
+    """A double that never decreases along the key's own order, to cut key ranges. Text uses its
+    first six bytes; equal numbers only mean that keys share a range."""
+    kind = dict(df.dtypes)[key]
+    if kind == "string":
+        return F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(key), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(key).cast("timestamp")).cast("double")
+    return F.col(key).cast("double")
+
+
 def quantile_edges(df: DataFrame, col: str, n_buckets: int, accuracy: int = 10000) -> list[float]:
     """Approximate equal-frequency edges, as a short sorted literal list (driver sees
     at most ``n_buckets`` numbers)."""
     qs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.select(F.percentile_approx(F.col(col).cast("double"), qs, accuracy).alias("e")).first()
+    row = df.where(present(col)).select(F.percentile_approx(F.col(col).cast("double"), qs, accuracy).alias("e")).first()
     edges = row["e"] if row and row["e"] else []
     return sorted({float(e) for e in edges if e is not None})
 
@@ -100,7 +119,7 @@ def score_table(df: DataFrame, score: str, label: str | None = None, by: Sequenc
     for name, e in (extra or {}).items():
         aggs.append(F.sum(e).alias(name))
         sums.append(name)
-    d = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(*aggs)
+    d = df.where(present(score)).groupBy(*by, score).agg(*aggs)
     return ordered_cumulative(d, score, sums, by=by, descending=descending, n_buckets=n_buckets,
                               keep_bucket=keep_bucket)
 
@@ -110,37 +129,47 @@ def global_rank(df: DataFrame, score: str, key: str, descending: bool = True, ou
                 running: dict[str, Column] | None = None) -> DataFrame:
     """Dense 1..n order by ``score`` (desc by default), ties broken by ``key``
     ascending — pandas ``rank(method="first")`` with an explicit key instead of the row
-    position. Null scores are ranked after all others.
+    position. NULL and NaN scores are ranked after all others, NULL keys last among equal
+    scores; keys may be numbers, texts, dates or timestamps.
+
+    The score axis is cut at literal quantile edges. A score that fills whole quantiles gets
+    a bucket of its own, which is cut again by key ranges, so no bucket holds much more than
+    its share. Bucket totals (at most buckets × key ranges rows) give each bucket's offset,
+    and one window per bucket ranks its rows: the rows are shuffled once.
 
     ``running`` adds running sums through each row in the same order (W6, top-k sums)."""
     running = running or {}
-    x = df.withColumn("_s", F.coalesce(F.col(score).cast("double"),
-                                       F.lit(-float("inf") if descending else float("inf"))))
+    x = df.withColumn("_s", F.when(present(score), F.col(score).cast("double")))
     for name, e in running.items():
         x = x.withColumn(f"_p_{name}", e.cast("double"))
-    # one pass for both edge lists: score edges balance rows per bucket, which also
-    # bounds the distinct scores per bucket; key edges split hot scores by key range
+    # one pass over the rows for both edge lists
     nb, kb = _n_buckets(df, n_buckets), _n_buckets(df, key_buckets)
     row = x.select(F.percentile_approx("_s", [i / nb for i in range(1, nb)], 10000).alias("es"),
-                   F.percentile_approx(F.col(key).cast("double"), [i / kb for i in range(1, kb)], 10000).alias("ek")).first()
-    s_edges = sorted({float(e) for e in (row["es"] or []) if e is not None and abs(e) != float("inf")})
+                   F.percentile_approx(key_number(df, key), [i / kb for i in range(1, kb)], 10000).alias("ek")).first()
+    found = [float(e) for e in (row["es"] or []) if e is not None and abs(e) != float("inf")]
+    hot = sorted({e for e in found if found.count(e) > 1})
+    # an edge starts a bucket: a hot score is closed in by itself and the next double
+    s_edges = sorted(set(found) | {math.nextafter(h, math.inf) for h in hot})
     k_edges = sorted({float(e) for e in (row["ek"] or []) if e is not None})
-    x = bucketize(x, key, k_edges, "_kb")
+    x = bucketize(x, "_s", s_edges, "_sb")
+    last = len(s_edges) + 2
+    x = x.withColumn("_sb", F.when(F.col("_s").isNull(), F.lit(last)).otherwise(F.lit(-1 if descending else 1) * F.col("_sb")))
+    x = bucketize(x.withColumn("_kn", key_number(df, key)), "_kn", k_edges, "_kb").drop("_kn")
+    is_hot = F.col("_s").isNull() | F.col("_s").isin(hot) if hot else F.col("_s").isNull()
+    # a missing score is one hot value; a missing key sorts last
+    x = x.withColumn("_kb", F.when(~is_hot, F.lit(0)).when(F.col(key).isNull(), F.lit(len(k_edges) + 2)).otherwise(F.coalesce("_kb", F.lit(0))))
     pay = ["_n"] + [f"_p_{n}" for n in running]
-    per = x.groupBy("_s", "_kb").agg(F.count(F.lit(1)).alias("_n"),        # ≤ distinct scores × key buckets
-                                     *[F.sum(f"_p_{n}").alias(f"_p_{n}") for n in running])
-    ds = per.groupBy("_s").agg(*[F.sum(c).alias(c) for c in pay])            # one row per distinct score
-    ds = ordered_cumulative(ds, "_s", pay, descending=descending, edges=s_edges)
-    w_kb = Window.partitionBy("_s").orderBy("_kb").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("_s", "_kb", *[F.coalesce(F.sum(c).over(w_kb), F.lit(0)).alias(f"{c}_kb") for c in pay])
-    off = per.join(ds.select("_s", *[f"{c}_before" for c in pay]), "_s") \
-        .select("_s", "_kb", *[(F.col(f"{c}_before") + F.col(f"{c}_kb")).alias(f"{c}_off") for c in pay])
-    w_row = Window.partitionBy("_s", "_kb").orderBy(F.col(key).asc())
+    tot = x.groupBy("_sb", "_kb").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_p_{n}").alias(f"_p_{n}") for n in running])
+    w_tot = Window.partitionBy(F.lit(0)).orderBy("_sb", "_kb").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_sb", "_kb", *[F.coalesce(F.sum(c).over(w_tot), F.lit(0)).alias(f"{c}_off") for c in pay])
+    so = F.col("_s").desc() if descending else F.col("_s").asc()
+    w_row = Window.partitionBy("_sb", "_kb").orderBy(so, F.col(key).asc_nulls_last())
     w_run = w_row.rowsBetween(Window.unboundedPreceding, 0)
-    res = x.join(off, ["_s", "_kb"]).withColumn(out, (F.col("_n_off") + F.row_number().over(w_row)).cast("long"))
+    res = x.join(F.broadcast(off), ["_sb", "_kb"]) \
+        .withColumn(out, (F.col("_n_off") + F.row_number().over(w_row)).cast("long"))   # at most buckets x key ranges rows
     for name in running:
-        res = res.withColumn(name, F.col(f"_p_{name}_off") + F.sum(f"_p_{name}").over(w_run))
-    return res.drop("_s", "_kb", *[f"{c}_off" for c in pay], *[f"_p_{n}" for n in running])
+        res = res.withColumn(name, F.col(f"_p_{name}_off") + F.coalesce(F.sum(f"_p_{name}").over(w_run), F.lit(0.0)))
+    return res.drop("_s", "_sb", "_kb", *[f"{c}_off" for c in pay], *[f"_p_{n}" for n in running])
 
 
 def mid_rank(df: DataFrame, score: str, out: str = "mid_rank", by: Sequence[str] = (), normalise: bool = True,
@@ -218,7 +247,7 @@ def quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] =
     if accuracy is None:
         return exact_quantiles(df, col, qs, by=by)
     by = list(by)
-    g = df.where(F.col(col).isNotNull())
+    g = df.where(present(col))
     agg = (g.groupBy(*by) if by else g).agg(
         F.percentile_approx(F.col(col).cast("double"), [float(q) for q in qs], accuracy).alias("_vals"))
     return agg.select(*by, F.posexplode("_vals").alias("_i", "value")) \

@@ -10,12 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.features import with_totals
 from .order import exact_quantiles
@@ -58,7 +56,7 @@ def robust_scale(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataF
 
 
 # ---------------------------------------------------------------- K3, K4, K9, K14
-def kmeans_best(points: DataFrame, k: int, seeds: Sequence[int] = (42, 43, 44), max_iter: int = 20,
+def kmeans_best(points: DataFrame, k: int, seeds: Sequence[int] = (42, 43, 44), max_iter: int = 100,
                 features: str = "features"):
     """K3: MLlib k-means from several seeds (k-means|| init), keep the least training
     cost. The points are cached once for the iterations."""
@@ -71,22 +69,22 @@ def kmeans_best(points: DataFrame, k: int, seeds: Sequence[int] = (42, 43, 44),
     return best[1]
 
 
-def to_points_long(df: DataFrame, id_col: str, features: str = "features") -> DataFrame:
-    """Vector column → long (id, dim, value)."""
+def to_points_long(df: DataFrame, id_col: str, features: str = "features", keep: Sequence[str] = ()) -> DataFrame:
+    """Vector column → long (id, kept columns, dim, value)."""
     from pyspark.ml.functions import vector_to_array
-    return df.select(id_col, F.posexplode(vector_to_array(features)).alias("dim", "value"))
+    return df.select(id_col, *keep, F.posexplode(vector_to_array(features)).alias("dim", "value"))
 
 
 def choose_k(points: DataFrame, id_col: str, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] = (42,),
-             max_iter: int = 20, sample_cap: int = 10000) -> DataFrame:
-    """K4: per k, inertia, silhouette (sampled), Davies-Bouldin and Calinski-Harabasz."""
+             max_iter: int = 100) -> DataFrame:
+    """K4: per k, inertia, silhouette (all points), Davies-Bouldin and Calinski-Harabasz."""
     pts = points.cache()
     rows = []
     for k in ks:
         m = kmeans_best(pts, k, seeds, max_iter)
         lab = m.transform(pts).select(id_col, F.col("cluster_k").alias("cluster"), "features")
-        lng = to_points_long(lab, id_col).join(lab.select(id_col, "cluster"), id_col)
-        sil = silhouette(lng, id_col, sample_cap=sample_cap).first()[0]
+        lng = to_points_long(lab, id_col, keep=("cluster",))
+        sil = silhouette(lng, id_col).first()[0]
         db = davies_bouldin(lng, id_col).first()[0]
         ch = calinski_harabasz(lng, id_col).first()[0]
         rows.append((int(k), float(m.summary.trainingCost), float(sil) if sil is not None else None, float(db), float(ch)))
@@ -109,64 +107,55 @@ def pca2(points: DataFrame, id_col: str, k: int = 2):
 
 
 # ---------------------------------------------------------------- K5-K8 on long points
-def _sample(lng: DataFrame, id_col: str, cap: int, seed: int = 42) -> DataFrame:
-    ids = (lng.select(id_col).distinct()
-           .withColumn("_h", F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))))
-           .orderBy("_h").limit(cap).select(id_col))
-    return lng.join(ids, id_col, "left_semi")
-
-
-def silhouette(lng: DataFrame, id_col: str, cluster: str = "cluster", sample_cap: int = 10000, seed: int = 42) -> DataFrame:
-    """K5: mean Euclidean silhouette over a hash sample of at most ``sample_cap`` points
-    (the sampled measure is the feature, as in a sampled silhouette score).
-
-    Sample points are split across tasks with ``mapInPandas``; each task compares its
-    points with the whole sample held as one numpy matrix — shipped as a broadcast whose
-    size is bounded by ``sample_cap`` × dims — and keeps, per point, only the mean
-    distance to each cluster. No pair is ever materialised as a row."""
-    spark = lng.sparkSession
-    s = _sample(lng, id_col, sample_cap, seed)
-    wide = s.groupBy(id_col, cluster).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_v")) \
-        .select(id_col, cluster, F.transform("_v", lambda x: x["value"]).alias("v"))
-    n = wide.count()
-    if n > sample_cap:  # pragma: no cover - guarded by construction
-        raise ValueError("silhouette sample exceeds its cap")
-    pdf = wide.toPandas()                      # ≤ sample_cap points: checked bound
-    X = np.array(pdf["v"].tolist(), dtype=float)
-    labs = pdf[cluster].to_numpy()
-    bc = spark.sparkContext.broadcast((X, labs))
-    uniq = np.unique(labs)
-
-    def per_point(it):
-        Xa, la = bc.value
-        onehot = (la[:, None] == uniq[None, :]).astype(float)           # n × k
-        sizes = onehot.sum(0)
-        xn = (Xa ** 2).sum(1)
-        for part in it:
-            for start in range(0, len(part), 256):
-                chunk = part.iloc[start:start + 256]
-                P = np.array(chunk["v"].tolist(), dtype=float)
-                d2 = (P ** 2).sum(1)[:, None] + xn[None, :] - 2.0 * P @ Xa.T
-                d = np.sqrt(np.maximum(d2, 0.0))
-                own = np.searchsorted(uniq, chunk[cluster].to_numpy())
-                rows = np.arange(len(chunk))
-                cnt = np.repeat(sizes[None, :], len(chunk), 0)
-                cnt[rows, own] -= 1
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    means = (d @ onehot) / cnt
-                a_ = means[rows, own]
-                other = means.copy()
-                other[rows, own] = np.inf
-                b_ = other.min(1)
-                den = np.maximum(a_, b_)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sil = np.where(den > 0, (b_ - a_) / den, 0.0)
-                sil = np.where(sizes[own] <= 1, 0.0, sil)
-                yield pd.DataFrame({"s": sil})
-
-    parts = max(1, min(64, n // 256 + 1))
-    res = wide.repartition(parts).mapInPandas(per_point, T.StructType([T.StructField("s", T.DoubleType())]))
-    return res.agg(F.avg("s").alias("silhouette"))
+def to_wide(lng: DataFrame, id_col: str, cluster: str = "cluster") -> DataFrame:
+    """Long points → one row (id, cluster, v) with the values in dimension order."""
+    return lng.groupBy(id_col, cluster).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("_v")) \
+        .select(id_col, cluster, F.transform("_v", lambda x: x["value"].cast("double")).alias("v"))
+
+
+def silhouette(lng: DataFrame, id_col: str, cluster: str = "cluster") -> DataFrame:
+    """K5: mean silhouette over ALL points with squared Euclidean distances.
+
+    The mean squared distance of a point x to a cluster needs only the cluster's size n, sum S and sum of
+    squared norms Q: (n |x|² + Q − 2 x·S) / n. So one aggregate per cluster replaces all pairs; the
+    cluster table (one row per cluster) is attached to every point. Own cluster: divided by n − 1."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    wide = to_wide(lng, id_col, cluster).withColumn("_q", dot(F.col("v"), F.col("v")))
+    sums = lng.groupBy(cluster, "dim").agg(F.sum(F.col("value").cast("double")).alias("_s")) \
+        .groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("dim", "_s"))).alias("_s")) \
+        .select(cluster, F.transform("_s", lambda x: x["_s"]).alias("s"))
+    stats = wide.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum("_q").alias("q")).join(sums, cluster)
+    table = stats.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "q", "s")).alias("_all"))   # k rows
+    x = with_totals(wide, table)
+    total = lambda o: o["n"] * F.col("_q") + o["q"] - 2 * dot(F.col("v"), o["s"])
+    own = F.element_at(F.filter("_all", lambda o: o["c"].eqNullSafe(F.col(cluster))), 1)
+    other = F.array_min(F.transform(F.filter("_all", lambda o: ~o["c"].eqNullSafe(F.col(cluster))), lambda o: F.greatest(total(o) / o["n"], F.lit(0.0))))
+    a = F.greatest(F.try_divide(total(own), own["n"] - 1), F.lit(0.0))
+    x = x.select(own["n"].alias("n"), a.alias("a"), other.alias("b"))
+    s = F.when((F.col("n") <= 1) | F.col("b").isNull(), F.lit(0.0)) \
+        .otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return x.agg(F.avg(s).alias("silhouette"))
+
+
+def silhouette_sampled(lng: DataFrame, id_col: str, n_sample: int, cluster: str = "cluster", seed: int = 42) -> DataFrame:
+    """K5, Euclidean, over the ``n_sample`` points (a number the caller names) with the smallest keyed md5:
+    (silhouette, n_points, n_used), so the result says how much it stands for. Sampled points meet the
+    sample inside Spark, as sums per (point, cluster); nothing goes through the driver."""
+    wide = to_wide(lng, id_col, cluster)
+    picked = wide.withColumn("_h", F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))).orderBy("_h", id_col).limit(n_sample)
+    p = picked.select(F.col(id_col).alias("i"), F.col(cluster).alias("ci"), F.col("v").alias("vi"))
+    q = picked.select(F.col(id_col).alias("j"), F.col(cluster).alias("cj"), F.col("v").alias("vj"))
+    d = F.sqrt(F.aggregate(F.zip_with("vi", "vj", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v))
+    # n_sample rows by the caller's choice, n_sample x clusters rows out
+    per = p.crossJoin(q).withColumn("d", d).groupBy("i", "ci", "cj") \
+        .agg(F.sum("d").alias("t"), F.count_if(F.col("i") != F.col("j")).alias("n"))
+    pt = per.groupBy("i").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.try_divide("t", "n"))).alias("a"),
+                              F.max(F.when(F.col("ci") == F.col("cj"), F.col("n"))).alias("others"),
+                              F.min(F.when(F.col("ci") != F.col("cj"), F.try_divide("t", "n"))).alias("b"))
+    s = F.when((F.col("others") == 0) | F.col("b").isNull(), F.lit(0.0)) \
+        .otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    n = lng.agg(F.countDistinct(id_col).alias("n_points"))
+    return with_totals(pt.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n_used")), n)
 
 
 def _centroids(lng: DataFrame, cluster: str) -> DataFrame:
@@ -217,7 +206,7 @@ def ari(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def bootstrap_stability(points: DataFrame, id_col: str, k: int, n_boot: int = 10, seed: int = 42,
-                        max_iter: int = 20) -> DataFrame:
+                        max_iter: int = 100) -> DataFrame:
     """K9: refit on Poisson bootstrap resamples, ARI of each refit against the base model
     on all points; mean, min and population std of the ARIs."""
     pts = points.cache()

@@ -37,11 +37,12 @@ def rate_curve(fx):
 WITH c AS (SELECT prior_credits AS k, avg(CAST(y AS DOUBLE)) AS rate FROM portfolio GROUP BY 1),
 pts AS (SELECT ln(CAST(k AS DOUBLE)) AS x, ln(rate / (1 - rate)) AS yl FROM c WHERE k BETWEEN 2 AND 5 AND rate > 0 AND rate < 1)
 SELECT round(regr_intercept(yl, x), 6) AS a, round(regr_slope(yl, x), 6) AS b, count(*) AS points,
+       (SELECT count(*) FROM c WHERE k BETWEEN 2 AND 5 AND NOT (rate > 0 AND rate < 1)) AS points_left_out,
        round(1 / (1 + exp(-(regr_intercept(yl, x) + regr_slope(yl, x) * ln(1.0)))), 6) AS rate_at FROM pts""")
 def logit_extrapolate(fx):
     curve = C.rate_curve(fx.portfolio, "prior_credits", "y")
     f = C.logit_extrapolate(curve)
-    return f.select(r("a").alias("a"), r("b").alias("b"), "points", r("rate_at").alias("rate_at"))
+    return f.select(r("a").alias("a"), r("b").alias("b"), "points", "points_left_out", r("rate_at").alias("rate_at"))
 
 
 @query("prior_shift")

@@ -38,18 +38,35 @@ def robust_scale(fx):
     return s.select("client_id", *[r(c).alias(c) for c in RCOLS])
 
 
-@query("silhouette", """
-WITH cl AS (SELECT vec_id, min(cluster) AS cluster FROM emb_long GROUP BY vec_id),
-d AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS dist
-      FROM emb_long a JOIN emb_long b ON a.dim = b.dim GROUP BY 1, 2),
+def _silhouette_sql(points: str, dist: str) -> str:
+    return f"""cl AS (SELECT vec_id, min(cluster) AS cluster FROM {points} GROUP BY vec_id),
+d AS (SELECT a.vec_id AS i, b.vec_id AS j, {dist} AS dist
+      FROM {points} a JOIN {points} b ON a.dim = b.dim GROUP BY 1, 2),
 m AS (SELECT d.i, cj.cluster AS cj, sum(dist) AS s, count(*) FILTER (WHERE d.i <> d.j) AS c FROM d JOIN cl cj ON cj.vec_id = d.j GROUP BY 1, 2),
 own AS (SELECT m.i, m.s / m.c AS a FROM m JOIN cl ON cl.vec_id = m.i AND cl.cluster = m.cj),
 oth AS (SELECT m.i, min(m.s / m.c) AS b FROM m JOIN cl ON cl.vec_id = m.i AND cl.cluster <> m.cj GROUP BY m.i),
-sz AS (SELECT cluster, count(*) AS n FROM cl GROUP BY cluster)
-SELECT round(avg(CASE WHEN sz.n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
-FROM own JOIN oth USING (i) JOIN cl ON cl.vec_id = own.i JOIN sz ON sz.cluster = cl.cluster""")
+sz AS (SELECT cluster, count(*) AS n FROM cl GROUP BY cluster),
+sil AS (SELECT avg(CASE WHEN sz.n <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette, count(*) AS n_used
+        FROM own JOIN oth USING (i) JOIN cl ON cl.vec_id = own.i JOIN sz ON sz.cluster = cl.cluster)"""
+
+
+@query("silhouette", f"""WITH {_silhouette_sql('emb_long', 'sum((a.value - b.value) * (a.value - b.value))')}
+SELECT round(silhouette, 6) AS silhouette FROM sil""")
 def silhouette(fx):
-    return K.silhouette(fx.emb_long, "vec_id", sample_cap=10000).select(r("silhouette").alias("silhouette"))
+    return K.silhouette(fx.emb_long, "vec_id").select(r("silhouette").alias("silhouette"))
+
+
+SAMPLE = 300
+
+
+@query("silhouette_sampled", f"""
+WITH pick AS (SELECT vec_id FROM (SELECT DISTINCT vec_id FROM emb_long) ORDER BY md5(vec_id || '|42'), vec_id LIMIT {SAMPLE}),
+sp AS (SELECT emb_long.* FROM emb_long JOIN pick USING (vec_id)),
+{_silhouette_sql('sp', 'sqrt(sum((a.value - b.value) * (a.value - b.value)))')}
+SELECT round(silhouette, 6) AS silhouette, n_used, (SELECT count(DISTINCT vec_id) FROM emb_long) AS n_points FROM sil""")
+def silhouette_sampled(fx):
+    s = K.silhouette_sampled(fx.emb_long, "vec_id", SAMPLE)
+    return s.select(r("silhouette").alias("silhouette"), "n_used", "n_points")
 
 
 @query("davies_bouldin", """
@@ -93,20 +110,20 @@ def ari(fx):
 def kmeans(fx):
     """Rows-only: MLlib k-means (k = 10, best of 3 seeds); one cluster id per point."""
     pts = fx.emb_vectors
-    m = K.kmeans_best(pts, 10, (42, 43, 44), max_iter=20)
+    m = K.kmeans_best(pts, 10, (42, 43, 44))
     return m.transform(pts).select("vec_id", F.col("cluster_k").alias("cluster"))
 
 
 @query("choose_k")
 def choose_k(fx):
     """Rows-only: k = 2..8 with inertia, silhouette, Davies-Bouldin, Calinski-Harabasz."""
-    return K.choose_k(fx.emb_vectors, "vec_id", range(2, 9), max_iter=10)
+    return K.choose_k(fx.emb_vectors, "vec_id", range(2, 9))
 
 
 @query("bootstrap_stability")
 def bootstrap_stability(fx):
     """Rows-only: 10 Poisson bootstraps at k = 6, ARI against the base fit."""
-    return K.bootstrap_stability(fx.emb_vectors, "vec_id", 6, n_boot=10, max_iter=10)
+    return K.bootstrap_stability(fx.emb_vectors, "vec_id", 6, n_boot=10)
 
 
 @query("pca2")
