@@ -6,4 +6,4 @@ ever sees small, bounded aggregates (quantile edges, a handful of curve points,
 model parameters).
 """
 
-__all__ = ["sources", "functions", "operators", "plans", "streaming", "session"]
+__all__ = ["sources", "functions", "operators", "plans", "session"]

@@ -194,7 +194,8 @@ def dedupe_best_agg(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[st
 
 
 def tables_equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Multiset equality (order-free) as one row: rows only in a, only in b, equal flag."""
+    """Multiset equality (order-free) as one row: rows only in a, only in b, equal flag. An ordinal
+    column in both tables makes it an ordered comparison."""
     ab = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_a"))
     ba = b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_b"))
     return ab.crossJoin(ba).withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))

@@ -20,13 +20,13 @@ def _items_sql(src: str, max_len: int = MAX_LEN) -> str:
         sel = ", ".join(f"b{i}.item" for i in range(1, k + 1))
         joins = " ".join(f"JOIN b b{i} ON b{i}.basket_id = b1.basket_id AND b{i - 1}.item < b{i}.item" for i in range(2, k + 1))
         parts.append(f"SELECT [{sel}] AS items, count(*) AS n FROM b b1 {joins} GROUP BY 1")
-    return f"""b AS (SELECT DISTINCT basket_id, item FROM {src}),
+    return f"""b AS MATERIALIZED (SELECT DISTINCT basket_id, item FROM {src}),
 nb AS (SELECT count(DISTINCT basket_id) AS nb FROM b),
-fi AS (SELECT items, n, n / nb AS support, len(items) AS size FROM ({' UNION ALL '.join(parts)}), nb WHERE n >= {MIN_SUPPORT} * nb)"""
+fi AS MATERIALIZED (SELECT items, n, n / nb AS support, len(items) AS size FROM ({' UNION ALL '.join(parts)}), nb WHERE n >= {MIN_SUPPORT} * nb)"""
 
 
 RULES_SQL = """
-sp AS (SELECT i.items, i.n, i.support, a.items AS antecedent, a.support AS antecedent_support,
+sp AS MATERIALIZED (SELECT i.items, i.n, i.support, a.items AS antecedent, a.support AS antecedent_support,
        c.items AS consequent, c.support AS consequent_support
        FROM fi i JOIN fi a ON len(a.items) < len(i.items) AND list_has_all(i.items, a.items)
        JOIN fi c ON c.items = list_filter(i.items, lambda x: NOT list_contains(a.items, x))

@@ -9,6 +9,7 @@ from ..functions import features as FE
 from ..functions import scalar as S
 from ..operators import order as O
 from ..operators import relational as R
+from ..sources.sinks import nested_payload as nested
 from .registry import query, r
 
 TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -559,17 +560,34 @@ def dedupe_best(fx):
 
 
 @query("tables_equal", """
+WITH c AS (
 SELECT 'self' AS pair, (SELECT count(*) FROM (SELECT * FROM portfolio EXCEPT ALL SELECT * FROM portfolio)) AS only_a,
        (SELECT count(*) FROM (SELECT * FROM portfolio EXCEPT ALL SELECT * FROM portfolio)) AS only_b
 UNION ALL
 SELECT 'filtered', (SELECT count(*) FROM (SELECT * FROM portfolio EXCEPT ALL SELECT * FROM portfolio_base)),
-       (SELECT count(*) FROM (SELECT * FROM portfolio_base EXCEPT ALL SELECT * FROM portfolio))""")
+       (SELECT count(*) FROM (SELECT * FROM portfolio_base EXCEPT ALL SELECT * FROM portfolio)))
+SELECT pair, only_a, only_b, only_a = 0 AND only_b = 0 AS equal FROM c""")
 def tables_equal(fx):
-    a = R.tables_equal(fx.portfolio, fx.portfolio).select(F.lit("self").alias("pair"), "only_a", "only_b")
-    b = R.tables_equal(fx.portfolio, fx.portfolio_base).select(F.lit("filtered").alias("pair"), "only_a", "only_b")
+    a = R.tables_equal(fx.portfolio, fx.portfolio).select(F.lit("self").alias("pair"), "only_a", "only_b", "equal")
+    b = R.tables_equal(fx.portfolio, fx.portfolio_base).select(F.lit("filtered").alias("pair"), "only_a", "only_b", "equal")
     return a.unionByName(b)
 
 
+@query("format_cells", """
+SELECT client_id, format('{:.1f}', p * 100) || '%' AS share, format('{:,.0f}', granted) AS amount FROM scored""")
+def format_cells(fx):
+    return fx.scored.select("client_id", S.format_pct("p").alias("share"), S.format_thousands("granted").alias("amount"))
+
+
+@query("nested_payload", """
+WITH a AS (SELECT product, count(*) AS n FROM portfolio GROUP BY product), b AS (SELECT stage, sex, count(*) AS n FROM portfolio GROUP BY stage, sex)
+SELECT CAST(to_json({'by_product': (SELECT list({'product': product, 'n': n} ORDER BY product, n) FROM a),
+                     'by_stage': (SELECT list({'stage': stage, 'sex': sex, 'n': n} ORDER BY stage, sex, n) FROM b)}) AS VARCHAR) AS payload""")
+def nested_payload(fx):
+    n = F.count(F.lit(1)).alias("n")
+    return nested({"by_product": fx.portfolio.groupBy("product").agg(n), "by_stage": fx.portfolio.groupBy("stage", "sex").agg(n)})
+
+
 @query("sequence_check", """
 WITH rk AS (SELECT row_number() OVER (ORDER BY p DESC, client_id) AS k FROM scored)
 SELECT min(k) = 1 AND max(k) = count(*) AND count(DISTINCT k) = count(*) AS is_sequence, count(*) AS n FROM rk""")

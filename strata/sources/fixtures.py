@@ -5,7 +5,7 @@ an "active" population, shipment populations for drift, scored clients, market b
 additive contributions and embedded points. Every view is a lazy DataFrame plan over
 the parquet scans, so its work grows with the tables.
 
-The SQL twins live in :mod:`strata.plans.oracle` and must stay semantically identical.
+The SQL twins live in :mod:`strata.plans.registry` and must stay semantically identical.
 """
 
 from __future__ import annotations
@@ -31,23 +31,13 @@ def ts(v: str):
 
 
 class Fixtures:
-    """Lazily built views for one data directory.
+    """Lazily built views for one data directory: plain plans over the scans, so that filters and column
+    pruning of a query reach the files. The basket tables, which every basket query reads several times
+    (counts, mining, supports), are persisted when first used."""
 
-    The two views that aggregate or join whole fact tables (``portfolio`` and the basket
-    tables) are written once to the shared checkpoint folder when first used, like a
-    stage table: every later branch of a query reads the stored view instead of
-    re-aggregating the orders or re-joining the line items."""
-
-    def __init__(self, spark: SparkSession, base_dir: str, materialize: bool = True):
+    def __init__(self, spark: SparkSession, base_dir: str):
         self.spark = spark
         self.base = base_dir
-        self.materialize = materialize
-
-    def _stage(self, df: DataFrame) -> DataFrame:
-        if not self.materialize:
-            return df
-        from ..session import materialize
-        return materialize(df)
 
     def t(self, name: str, *cols: str) -> DataFrame:
         return scan_table(self.spark, self.base, name, cols or None)
@@ -70,7 +60,7 @@ class Fixtures:
               .join(past, k == past.o_custkey)
               .join(later, k == later.later_key, "left"))
         ratio = F.try_divide(F.col("balance"), F.col("granted"))
-        return self._stage(df.select(
+        return df.select(
             k.alias("client_id"),
             (k * 10).alias("loan_id"),
             F.col("n_regionkey").cast("long").alias("region"),
@@ -89,7 +79,7 @@ class Fixtures:
             F.when(F.col("later_key").isNull(), STATUS_RETIRED).otherwise(STATUS_RENEWED).alias("status"),
             F.col("later_key").isNull().cast("int").alias("y"),
             F.col("c_acctbal").alias("acctbal"),
-        ))
+        )
 
     @cached_property
     def portfolio_base(self) -> DataFrame:
@@ -125,11 +115,11 @@ class Fixtures:
 
     @cached_property
     def baskets_brand(self) -> DataFrame:
-        return self._stage(self._baskets("p_brand"))
+        return self._baskets("p_brand").persist()
 
     @cached_property
     def baskets_type(self) -> DataFrame:
-        return self._stage(self._baskets("p_type"))
+        return self._baskets("p_type").persist()
 
     @cached_property
     def contrib(self) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.ml import PipelineModel
@@ -23,7 +22,9 @@ def sink_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
 
 
 def sink_summary(df_one_row: DataFrame, path: str) -> str:
-    """Scalar metrics as one JSON record (the frame must hold exactly one row)."""
+    """Scalar metrics as one JSON record; any other number of rows is an error."""
+    if df_one_row.limit(2).count() != 1:
+        raise ValueError("a summary is exactly one row")
     df_one_row.coalesce(1).write.mode("overwrite").json(path)
     return path
 
@@ -51,21 +52,23 @@ def sink_bundle(spark: SparkSession, tables: dict[str, DataFrame], base: str, fm
     return manifest
 
 
-def nested_payload(blocks: dict[str, DataFrame]) -> DataFrame:
-    """One nested document from several (small, aggregated) result blocks.
+def nested_payload(blocks: dict[str, DataFrame], max_rows: int = 10_000) -> DataFrame:
+    """One nested document from several small result blocks.
 
-    Each block becomes ``collect_list(struct(*))`` — the blocks are aggregates, so each
-    list is bounded by its group count, not by the data size. NaN / infinite values are
-    refused like a strict JSON writer would (``allow_nan=False``)."""
+    Each block becomes one list, in the order of its columns; a block of more than ``max_rows`` rows is
+    refused (one document is one row, built in one task). NaN / infinite values are refused like a strict
+    JSON writer would (``allow_nan=False``)."""
     parts = None
     for name, df in blocks.items():
+        if df.limit(max_rows + 1).count() > max_rows:
+            raise ValueError(f"block {name} has more than {max_rows} rows")
         dbl = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
         checked = df
         for c in dbl:
             checked = checked.withColumn(
                 c, F.when(F.isnan(c) | (F.abs(F.col(c)) == F.lit(math.inf)),
                           F.raise_error(F.lit(f"non-finite value in {name}.{c}"))).otherwise(F.col(c)))
-        one = checked.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        one = checked.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
         parts = one if parts is None else parts.crossJoin(one)
     return parts.select(F.to_json(F.struct(*blocks.keys())).alias("payload"))
 
@@ -73,8 +76,3 @@ def nested_payload(blocks: dict[str, DataFrame]) -> DataFrame:
 def write_json_text(payload_df: DataFrame, path: str) -> str:
     payload_df.coalesce(1).write.mode("overwrite").text(path)
     return path
-
-
-def strict_json(obj) -> str:
-    """Driver-side formatting of an already small record (e.g. a metrics dict)."""
-    return json.dumps(obj, allow_nan=False)

@@ -78,11 +78,19 @@ def test_components(spark):
     chain = [(f"n{i}", f"n{i + 1}", 1.0) for i in range(9)]
     island = [("x", "y", 1.0), ("p", "q", 1.0), ("q", "r", 1.0), ("r", "p", 1.0)]
     e = spark.createDataFrame(chain + island, "src string, dst string, weight double")
-    c = B.components(e, checkpoint_every=2)
+    c = B.components(e)
     sizes = sorted({(r["component"], r["size"]) for r in c.collect()}, key=lambda t: t[1])
     assert [s for _, s in sizes] == [2, 3, 10]
 
 
+def test_components_of_a_long_chain(spark):
+    n = 400
+    order = [(i * 131) % n for i in range(n)]           # neighbours far apart in label order
+    e = spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}") for a, b in zip(order, order[1:])], "src string, dst string")
+    got = B.components(e).collect()
+    assert len(got) == n and {(r["component"], r["size"]) for r in got} == {("n000", n)}
+
+
 def test_join_guard_fails_on_duplicate_keys(spark):
     left = spark.createDataFrame([(1,), (2,)], "k int")
     right = spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")

@@ -53,3 +53,11 @@ def test_scan_pushes_filters_and_prunes_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThan(c_acctbal,0.0)]" in plan
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double,c_mktsegment:string>" in plan
+
+
+@pytest.mark.parametrize("name,pushed,columns", [
+    ("filter_pred", "PushedFilters: [", "o_totalprice"), ("pearson", "ReadSchema: struct<", "o_custkey"), ("extreme_share", "l_shipdate", "l_shipdate")])
+def test_derived_views_reach_the_scan(spark, name, pushed, columns):
+    """Views are plain plans: no stored copy between the query and the files."""
+    plan = _entry().queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Scan ExistingRDD" not in plan and pushed in plan and columns in plan

@@ -34,6 +34,56 @@ def test_silhouette_and_ari_on_tight_blobs(blobs):
     assert K.calinski_harabasz(blobs, "id").first()[0] > 1000
 
 
+def test_silhouette_forms_match_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)) + np.repeat(np.eye(3) * 2, 20, axis=0)
+    lab = np.array([*np.repeat(range(3), 20)[:-1], 9])      # the last point is alone in its cluster
+    df = spark.createDataFrame([(i, int(lab[i]), d, float(x[i, d])) for i in range(60) for d in range(3)],
+                               "id long, cluster int, dim int, value double")
+
+    def all_pairs(power):
+        dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) ** power
+        out = []
+        for i in range(60):
+            own = lab == lab[i]
+            if own.sum() == 1:
+                out.append(0.0)
+                continue
+            a = dist[i][own].sum() / (own.sum() - 1)
+            b = min(dist[i][lab == c].mean() for c in set(lab) - {lab[i]})
+            out.append((b - a) / max(a, b))
+        return np.mean(out)
+
+    assert K.silhouette(df, "id").first()[0] == pytest.approx(all_pairs(2), abs=1e-9)
+    full = K.silhouette_sampled(df, "id", 60).first()
+    assert full["silhouette"] == pytest.approx(all_pairs(1), abs=1e-9) and (full["n_used"], full["n_points"]) == (60, 60)
+    some = K.silhouette_sampled(df, "id", 25).first()
+    assert (some["n_used"], some["n_points"]) == (25, 60)
+
+
+def test_prior_shift_of_exact_zeros_and_ones(spark):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([0.0, 0.0, 1.0, 0.2, 0.6, None, float("nan")])], "k long, p double")
+    out = C.prior_shift(df.where("k < 5"), "p", 0.4, out="q").collect()
+    assert np.mean([r["q"] for r in out]) == pytest.approx(0.4, abs=1e-8) and all(0 < r["q"] < 1 for r in out)
+    assert C.prior_shift_constant(df, "p", 0.4) == pytest.approx(C.prior_shift_constant(df.where("k < 5"), "p", 0.4))
+    for target in (0.0, 1.0, 1.2):
+        with pytest.raises(ValueError):
+            C.prior_shift_constant(df, "p", target)
+    assert C.prior_shift_constant(df.limit(0), "p", 0.4) == 0.0
+
+
+def test_logit_extrapolate_reports_left_out_points(spark):
+    curve = spark.createDataFrame([(2, 0.4), (3, 0.3), (4, 0.0), (5, 1.0), (9, 0.1)], "prior_credits long, rate double")
+    r = C.logit_extrapolate(curve).first()
+    assert (r["points"], r["points_left_out"]) == (2, 2) and 0 < r["rate_at"] < 1
+
+
+def test_trees_take_any_number_of_levels(spark):
+    df = spark.createDataFrame([(f"c{i % 138}", float(i % 7), float(i % 2), 1.0) for i in range(600)], "cat string, x double, y double, w double")
+    for fit in (M.random_forest(["cat"], ["x"], trees=2), M.gbt(["cat"], ["x"], iters=2)):
+        assert M.positive_prob(fit(df).transform(df)).where("score BETWEEN 0 AND 1").count() == 600
+
+
 def test_prior_shift_hits_mean_and_keeps_order(spark):
     rng = np.random.default_rng(1)
     ps = rng.uniform(0.01, 0.99, 400)
