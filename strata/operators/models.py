@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
 from ..functions.scalar import row_signature
-from .order import exact_quantiles, mid_rank
+from .order import exact_quantiles, mid_rank, present
+from ..session import materialize
 
 
 def hash_int(c: Column, seed: int, hex_digits: int = 8) -> Column:
@@ -153,6 +154,36 @@ def feature_stages(cats: Sequence[str], nums: Sequence[str], one_hot: bool) -> l
     return stages
 
 
+def _sql_text(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def impute_stage(train: DataFrame, cats: Sequence[str], nums: Sequence[str], min_frequency: int = 50) -> SQLTransformer:
+    """M4 + M5 as one savable pipeline stage fitted on ``train``: a missing number becomes the exact median, a
+    missing category the most frequent level, and levels below ``min_frequency`` are pooled (unseen levels stay
+    as they are, for the indexer's extra index). The stage holds medians and rare levels as literals: as many
+    as the one-hot model has columns anyway."""
+    nan_free = train.select(*cats, *[F.when(present(c), F.col(c).cast("double")).alias(c) for c in nums])
+    fitted = fit_impute(nan_free, cats, nums).first()
+    sets = []
+    for c in nums:
+        sets.append(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), {float(fitted[c] or 0.0)!r}D) AS `{c}`")
+    for c in cats:
+        rare = [x[0] for x in fit_rare_levels(train, c, min_frequency).where("NOT _keep").select(F.col(c).cast("string")).collect()]
+        value = f"coalesce(CAST(`{c}` AS STRING), {_sql_text(str(fitted[c]))})"
+        pooled = f"CASE WHEN {value} IN ({', '.join(map(_sql_text, rare))}) THEN 'infrequent' ELSE {value} END" if rare else value
+        sets.append(f"{pooled} AS `{c}`")
+    others = ", ".join(f"`{c}`" for c in (*cats, *nums))
+    return SQLTransformer(statement=f"SELECT * EXCEPT ({others}), {', '.join(sets)} FROM __THIS__")
+
+
+def missing_stage(train: DataFrame, nums: Sequence[str]) -> SQLTransformer:
+    """Missing numbers for trees: one below the smallest value seen, so that a split can set them apart."""
+    low = train.agg(*[F.min(F.when(present(c), F.col(c).cast("double"))).alias(c) for c in nums]).first()
+    sets = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), {float(low[c] or 0.0) - 1.0!r}D) AS `{c}`" for c in nums)
+    return SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(f'`{c}`' for c in nums)}), {sets} FROM __THIS__")
+
+
 def logistic(cats, nums, weight: str | None = "w", reg: float | None = None) -> Callable[[DataFrame], PipelineModel]:
     """M8: L2 logistic on one-hot + standardised numbers, balanced class weights.
     regParam = 1 / Σw matches an inverse-strength C = 1 objective."""
@@ -161,7 +192,7 @@ def logistic(cats, nums, weight: str | None = "w", reg: float | None = None) ->
         lr = LogisticRegression(featuresCol="features", labelCol="y", regParam=reg if reg is not None else 1.0 / sw,
                                 elasticNetParam=0.0, standardization=False, maxIter=100,
                                 **({"weightCol": weight} if weight else {}))
-        return Pipeline(stages=feature_stages(cats, nums, True) + [lr]).fit(train)
+        return Pipeline(stages=[impute_stage(train, cats, nums), *feature_stages(cats, nums, True), lr]).fit(train)
     return fit
 
 
@@ -173,22 +204,22 @@ def tree_bins(train: DataFrame, cats: Sequence[str], least: int = 64) -> int:
     return max(least, max(row) + 2)
 
 
-def random_forest(cats, nums, trees: int = 50, min_leaf: int = 15, weight: str | None = "w", seed: int = 42):
+def random_forest(cats, nums, trees: int = 400, min_leaf: int = 15, weight: str | None = "w", seed: int = 42):
     """M9."""
     def fit(train: DataFrame) -> PipelineModel:
         rf = RandomForestClassifier(featuresCol="features", labelCol="y", numTrees=trees, minInstancesPerNode=min_leaf,
                                     maxBins=tree_bins(train, cats), seed=seed, **({"weightCol": weight} if weight else {}))
-        return Pipeline(stages=feature_stages(cats, nums, False) + [rf]).fit(train)
+        return Pipeline(stages=[impute_stage(train, cats, nums), *feature_stages(cats, nums, False), rf]).fit(train)
     return fit
 
 
-def gbt(cats, nums, iters: int = 50, depth: int = 5, step: float = 0.05, subsample: float = 0.85, seed: int = 42):
+def gbt(cats, nums, iters: int = 700, depth: int = 5, step: float = 0.05, subsample: float = 0.85, seed: int = 42):
     """Gradient-boosted trees (depth-wise; a quality target, not equal scores to a
     leaf-wise learner)."""
     def fit(train: DataFrame) -> PipelineModel:
         g = GBTClassifier(featuresCol="features", labelCol="y", maxIter=iters, maxDepth=depth, stepSize=step,
                           subsamplingRate=subsample, maxBins=tree_bins(train, cats), seed=seed)
-        return Pipeline(stages=feature_stages(cats, nums, False) + [g]).fit(train)
+        return Pipeline(stages=[missing_stage(train, nums), *feature_stages(cats, nums, False), g]).fit(train)
     return fit
 
 
@@ -251,3 +282,22 @@ def calibrator_choice(df: DataFrame, raw: str, calibrated: str, label: str) -> D
 
 def signature(df: DataFrame, cols: Sequence[str], out: str = "gid") -> DataFrame:
     return df.withColumn(out, row_signature(cols))
+
+
+# ---------------------------------------------------------------- the scoring chain
+def calibrated_model(train: DataFrame, fit: Callable[[DataFrame], PipelineModel], fold: str, label: str, key: str, k: int = 5):
+    """Out-of-fold scores of ``train`` (grouped folds), both calibrators fitted on them, the better one by Brier
+    score, and a refit on all rows. Returns (model, calibrate, choice): ``calibrate(df, raw, out)`` adds the
+    chosen calibration of a raw score."""
+    oof = materialize(oof_predict(train, fold, fit, [key, label], k, out="raw"))
+    iso, pl = fit_isotonic(oof, "raw", label), fit_platt(oof, "raw", label)
+    both = apply_platt(pl, apply_isotonic(iso, oof))
+    b = both.agg(*[F.avg(F.pow(F.col(c) - F.col(label), 2)).alias(c) for c in ("raw", "calibrated", "platt")]).first()
+    choice = min(("raw", "calibrated", "platt"), key=lambda c: b[c])
+
+    def calibrate(df: DataFrame, raw: str, out: str) -> DataFrame:
+        x = df.withColumnRenamed(raw, "raw")
+        x = apply_platt(pl, x, out) if choice == "platt" else apply_isotonic(iso, x, out) if choice == "calibrated" else x.withColumn(out, F.col("raw"))
+        return x.withColumnRenamed("raw", raw)
+
+    return fit(train), calibrate, choice

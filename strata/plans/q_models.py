@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import features as FE
 from ..functions import scalar as S
 from ..operators import attribution as I
+from ..operators import campaign as C
 from ..operators import metrics as E
 from ..operators import models as M
+from ..operators import order as O
 from .q_relational import SIG_COLS, SIG_SQL, sql_clean
 from ..session import materialize
 from .registry import query, r
@@ -17,6 +19,10 @@ CATS = ["region", "branch", "product", "credit_type", "sex", "stage"]
 NUMS = FE.NUMERIC
 BALANCE_FAMILY = ["balance", "log_balance", "balance_per_credit", "ratio_balance", "ratio_x_credits", "zero_balance", "high_ratio"]
 SEED = 42
+#: Sizes of the fitted models in the registered queries; the operators' own defaults are 400 trees and 700
+#: rounds. Depth-wise boosting needs fewer, deeper-stepped rounds than a leaf-wise learner on these tables.
+FOREST = dict(trees=100)
+BOOST = dict(iters=40, depth=4, step=0.1)
 
 
 def modelable(fx, materialized: bool = False):
@@ -147,14 +153,14 @@ def logistic(fx):
 def random_forest(fx):
     d = modelable(fx, True)
     tr = M.balanced_weights(d.where("split = 'train'"), "y")
-    m = M.random_forest(CATS, NUMS, trees=20)(tr)
+    m = M.random_forest(CATS, NUMS, **FOREST)(tr)
     return M.positive_prob(m.transform(d.where("split = 'test'"))).select("client_id", r("score").alias("score"))
 
 
 @query("gbt")
 def gbt(fx):
     d = modelable(fx, True)
-    m = M.gbt(CATS, NUMS, iters=20, depth=4)(d.where("split = 'train'"))
+    m = M.gbt(CATS, NUMS, **BOOST)(d.where("split = 'train'"))
     return M.positive_prob(m.transform(d.where("split = 'test'"))).select("client_id", r("score").alias("score"))
 
 
@@ -171,10 +177,10 @@ def _ladder(fx):
     rule = tf.withColumn("score", M.business_rule())
     rows.append(E.evaluate(rule, "score", "y", "client_id", "rule (train)"))
     lr = M.oof_predict(tf, "fold", M.logistic(CATS, NUMS), keep, out="lr")
-    rf = M.oof_predict(tf, "fold", M.random_forest(CATS, NUMS, trees=10), keep, out="rf")
-    gb = M.oof_predict(tf, "fold", M.gbt(CATS, NUMS, iters=10, depth=3), keep, out="gbt")
+    rf = M.oof_predict(tf, "fold", M.random_forest(CATS, NUMS, **FOREST), keep, out="rf")
+    gb = M.oof_predict(tf, "fold", M.gbt(CATS, NUMS, **BOOST), keep, out="gbt")
     nb = [c for c in NUMS if c not in BALANCE_FAMILY]
-    ab = M.oof_predict(tf, "fold", M.gbt(CATS, nb, iters=10, depth=3), keep, out="ablation")
+    ab = M.oof_predict(tf, "fold", M.gbt(CATS, nb, **BOOST), keep, out="ablation")
     allp = materialize(lr.join(rf.drop("y"), "client_id").join(gb.drop("y"), "client_id").join(ab.drop("y"), "client_id"))
     ens = M.rank_ensemble(allp, ["lr", "rf", "gbt"])
     for name, df, col in [("logistic (oof)", allp, "lr"), ("random forest (oof)", allp, "rf"),
@@ -191,7 +197,7 @@ def _ladder(fx):
 def ablation(fx):
     tf = train_folds(fx)
     nb = [c for c in NUMS if c not in BALANCE_FAMILY]
-    ab = M.oof_predict(tf, "fold", M.gbt(CATS, nb, iters=15, depth=4), ["client_id", "y"], out="score")
+    ab = M.oof_predict(tf, "fold", M.gbt(CATS, nb, **BOOST), ["client_id", "y"], out="score")
     return E.evaluate(ab, "score", "y", "client_id", "boosting without balance family")
 
 
@@ -202,7 +208,7 @@ def model_ladder(fx):
 
 def _calibration_frames(fx):
     d = modelable(fx, True)
-    m = M.gbt(CATS, NUMS, iters=20, depth=4)(d.where("split = 'train'"))
+    m = M.gbt(CATS, NUMS, **BOOST)(d.where("split = 'train'"))
     cal = M.positive_prob(m.transform(d.where("split = 'calib'")), "raw").select("client_id", "y", "raw")
     te = M.positive_prob(m.transform(d.where("split = 'test'")), "raw").select("client_id", "y", "raw")
     return cal, te
@@ -231,13 +237,49 @@ def score_active(fx):
     import uuid
     base, rate_means = FE.build_features(fx.portfolio_base)
     base = materialize(M.model_categoricals(M.population_filter(base), CATS))
-    m = M.gbt(CATS, NUMS, iters=20, depth=4)(base)
+    m = M.gbt(CATS, NUMS, **BOOST)(base)
     path = sink_model(m, scratch_path(fx.spark, f"model-{uuid.uuid4().hex}"))
     act, _ = FE.build_features(fx.portfolio_active, rate_means)
     act = M.model_categoricals(act, CATS)
     return M.positive_prob(load_model(path).transform(act)).select("client_id", r("score").alias("score"))
 
 
+@query("holdout_report")
+def holdout_report(fx):
+    """Rows-only: raw, isotonic and Platt scores of the boosted model on the test block, all metrics."""
+    d = modelable(fx, True)
+    m = M.gbt(CATS, NUMS, **BOOST)(d.where("split = 'train'"))
+    cal, te = (M.positive_prob(m.transform(d.where(f"split = '{b}'")), "raw").select("client_id", "y", "raw") for b in ("calib", "test"))
+    cal = materialize(cal)
+    scored = materialize(M.apply_platt(M.fit_platt(cal, "raw", "y"), M.apply_isotonic(M.fit_isotonic(cal, "raw", "y"), te)))
+    out = None
+    for c in ("raw", "calibrated", "platt"):
+        row = E.evaluate(scored, c, "y", "client_id", c)
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("score_chain")
+def score_chain(fx):
+    """Rows-only: the whole chain. Grouped out-of-fold scores of the labelled rows choose a calibrator, the model
+    is refitted on all of them, the active rows are scored, calibrated and clipped, first-credit rows are shifted
+    to the extrapolated rate, and the result is the decile table of the shifted probabilities."""
+    p = fx.portfolio_base.withColumn("gid", S.row_signature(SIG_COLS))
+    base, rate_means = FE.build_features(p)
+    base = M.model_categoricals(M.population_filter(base), CATS)
+    tr = materialize(M.balanced_weights(M.group_kfold(base, "gid", "y", 5, SEED, buckets=64), "y"))
+    model, calibrate, _ = M.calibrated_model(tr, M.gbt(CATS, NUMS, **BOOST), "fold", "y", "client_id")
+    act, _ = FE.build_features(fx.portfolio_active, rate_means)
+    scored = M.positive_prob(model.transform(M.model_categoricals(act, CATS)), "raw").select("client_id", "prior_credits", "granted", "raw")
+    scored = materialize(calibrate(scored, "raw", "p").withColumn("p", F.least(F.greatest("p", F.lit(C.CLIP)), F.lit(1 - C.CLIP))))
+    first = F.col("prior_credits") <= 1
+    rate = C.logit_extrapolate(C.rate_curve(fx.portfolio_base, "prior_credits", "y")).first()["rate_at"]
+    shifted = C.prior_shift(scored, "p", rate, where=first) if rate is not None and 0 < rate < 1 else scored
+    x = O.with_deciles(shifted, "p", "client_id")
+    return x.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), r(F.avg("p")).alias("p_mean"), r(F.sum("p")).alias("expected_losses"),
+                                   r(F.sum("granted"), 2).alias("granted"))
+
+
 @query("coefficients")
 def coefficients(fx):
     d = modelable(fx, True)
@@ -295,7 +337,7 @@ def tree_attribution(fx):
     """Rows-only: TreeSHAP contributions of a boosted model on the test split, summarised
     to the importance table (I1 → I2) over whole rows."""
     d = modelable(fx, True)
-    m = M.gbt(CATS, NUMS, iters=10, depth=3)(d.where("split = 'train'"))
+    m = M.gbt(CATS, NUMS, **BOOST)(d.where("split = 'train'"))
     c = I.tree_attribution(m, d.where("split = 'test'"), "client_id")
     return I.importance_table(c.withColumnRenamed("attribute", "variable")).select(
         "variable", r("importance").alias("importance"), r("share_pct").alias("share_pct"), r("cum_pct").alias("cum_pct"))
