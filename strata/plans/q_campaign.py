@@ -45,24 +45,41 @@ def logit_extrapolate(fx):
     return f.select(r("a").alias("a"), r("b").alias("b"), "points", "points_left_out", r("rate_at").alias("rate_at"))
 
 
-@query("prior_shift")
+def _shift_sql(targets: str) -> str:
+    """Bisection of the shift c per target, over the rows of the first segment."""
+    return f"""seg AS (SELECT p FROM scored WHERE prior_credits <= 3),
+bis(target, step, lo, hi) AS (
+  SELECT CAST(target AS DOUBLE), 0, CAST(-30 AS DOUBLE), CAST(30 AS DOUBLE) FROM (VALUES {targets}) AS v(target)
+  UNION ALL
+  SELECT target, step + 1, CASE WHEN m < target THEN mid ELSE lo END, CASE WHEN m < target THEN hi ELSE mid END
+  FROM (SELECT target, step, lo, hi, (lo + hi) / 2 AS mid,
+               (SELECT avg(1 / (1 + exp(-(ln(p / (1 - p)) + (lo + hi) / 2)))) FROM seg) AS m FROM bis WHERE step < 70)),
+cst AS (SELECT target, (lo + hi) / 2 AS c FROM bis WHERE step = 70),
+shifted AS (SELECT target, client_id, prior_credits <= 3 AS in_seg, p,
+                   CASE WHEN prior_credits <= 3 THEN 1 / (1 + exp(-(ln(p / (1 - p)) + c))) ELSE p END AS pp FROM scored, cst)"""
+
+
+@query("prior_shift", f"""WITH RECURSIVE {_shift_sql('(0.5)')}
+SELECT client_id, round(p, 6) AS p, round(pp, 6) AS p_shifted FROM shifted""")
 def prior_shift(fx):
-    """Rows-only: the search constant is data-dependent (see tests for mean / order)."""
     sh = C.prior_shift(fx.scored, "p", 0.5, out="p_shifted", where=F.col("prior_credits") <= 3)
     return sh.select("client_id", r("p").alias("p"), r("p_shifted").alias("p_shifted"))
 
 
-@query("prior_sensitivity")
+@query("prior_sensitivity", f"""WITH RECURSIVE {_shift_sql('(0.30), (0.60), (0.85)')},
+rk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY pp DESC, client_id) AS k FROM shifted)
+SELECT target, round(avg(pp), 6) AS p_mean, round(sum(pp), 4) AS expected_losses,
+       count(*) FILTER (WHERE in_seg AND k <= 100) AS segment_in_top100, count(*) FILTER (WHERE in_seg AND k <= 200) AS segment_in_top200
+FROM rk GROUP BY target""")
 def prior_sensitivity(fx):
-    """Rows-only: for several targets, global mean, expected losses and first-segment rows
-    among the top 100 / 200."""
+    """For several targets, global mean, expected losses and first-segment rows among the top 100 / 200."""
     sc = fx.scored
     seg = F.col("prior_credits") <= 3
     out = None
     for t in [0.30, 0.60, 0.85]:
         sh = C.prior_shift(sc, "p", t, out="pp", where=seg)
         rk = O.global_rank(sh, "pp", "client_id", out="_rk")
-        row = rk.agg(F.lit(t).alias("target"), F.avg("pp").alias("p_mean"), F.sum("pp").alias("expected_losses"),
+        row = rk.agg(F.lit(t).alias("target"), r(F.avg("pp")).alias("p_mean"), r(F.sum("pp"), 4).alias("expected_losses"),
                      F.count_if(seg & (F.col("_rk") <= 100)).alias("segment_in_top100"),
                      F.count_if(seg & (F.col("_rk") <= 200)).alias("segment_in_top200"))
         out = row if out is None else out.unionByName(row)

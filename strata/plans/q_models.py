@@ -221,6 +221,26 @@ def isotonic(fx):
     return M.apply_isotonic(iso, te).select("client_id", r("raw").alias("raw"), r("calibrated").alias("calibrated"))
 
 
+@query("isotonic_given", f"""
+WITH m AS (SELECT client_id, p, y, {SPLIT_SQL.replace('gid', GID_SQL)} AS split FROM scored WHERE prior_credits >= 2),
+d AS (SELECT p AS x, sum(y) AS s, count(*) AS w, row_number() OVER (ORDER BY p) AS i FROM m WHERE split = 'calib' GROUP BY p),
+c AS (SELECT *, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw FROM d),
+ab AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / CAST(b.cw - a.cw + a.w AS DOUBLE) AS mean FROM c a JOIN c b ON a.i <= b.i),
+lo AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM ab),
+iso AS (SELECT c.x, max(lo.m) AS v FROM lo JOIN c ON c.i = lo.b GROUP BY c.x),
+t AS (SELECT client_id, p, (SELECT max(x) FROM iso WHERE x <= p) AS x0, (SELECT min(x) FROM iso WHERE x >= p) AS x1 FROM m WHERE split = 'test')
+SELECT client_id, round(p, 6) AS raw, round(CASE WHEN x0 IS NULL THEN u.v WHEN x1 IS NULL OR x0 = x1 THEN l.v
+         ELSE l.v + (u.v - l.v) * (p - x0) / (x1 - x0) END, 6) AS calibrated
+FROM t LEFT JOIN iso l ON l.x = x0 LEFT JOIN iso u ON u.x = x1""")
+def isotonic_given(fx):
+    """M15 on given scores: fitted on the calibration block, applied to the test block. The twin is the max-min
+    form of isotonic regression with linear interpolation between fitted scores."""
+    d = M.group_split(M.population_filter(fx.scored).withColumn("gid", S.row_signature(SIG_COLS)), "gid", SEED)
+    iso = M.fit_isotonic(materialize(d.where("split = 'calib'").select("p", "y")), "p", "y")
+    return M.apply_isotonic(iso, d.where("split = 'test'").select("client_id", "p")) \
+        .select("client_id", r("p").alias("raw"), r("calibrated").alias("calibrated"))
+
+
 @query("platt")
 def platt(fx):
     cal, te = _calibration_frames(fx)
