@@ -136,12 +136,6 @@ def rule_collapse(rules: DataFrame) -> DataFrame:
     return rep.join(dominated, "items", "left_anti")
 
 
-def with_texts(rules: DataFrame) -> DataFrame:
-    return (rules.withColumn("itemset", set_to_text("items"))
-            .withColumn("antecedent_txt", set_to_text("antecedent"))
-            .withColumn("consequent_txt", set_to_text("consequent")))
-
-
 def cooccur_edges(retained: DataFrame) -> DataFrame:
     """Item pairs inside retained itemsets (≤ 10 per itemset of ≤ 5 items), weight =
     max lift over the itemsets that hold the pair."""

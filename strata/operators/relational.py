@@ -17,8 +17,8 @@ def left_join_checked(left: DataFrame, right: DataFrame, keys: Sequence[str],
     """Left equi-join that fails loudly when the right keys are not unique or a
     required column comes back missing (row count must not change).
 
-    The guard is a distributed aggregate (duplicate keys → error raised in a task), not a
-    driver-side check of the data."""
+    The key guard is a distributed aggregate that runs once, as an action, before the join is
+    returned; only "some / none" reaches the driver. Missing values raise in the task that finds them."""
     dup = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
     if dup.limit(1).count() > 0:
         raise ValueError(f"left_join_checked: right side has duplicate keys on {list(keys)}")
@@ -39,8 +39,9 @@ def outer_align(a: DataFrame, b: DataFrame, key: str, a_val: str, b_val: str, fi
 def semi_cover(pop: DataFrame, other: DataFrame, col: str) -> DataFrame:
     """Share of ``pop`` rows whose value exists in ``other`` (one row)."""
     vals = other.select(F.col(col).alias("_v")).distinct().withColumn("_hit", F.lit(1))
-    return (pop.select(col).join(vals, F.col(col) == F.col("_v"), "left")
-            .agg(F.avg(F.coalesce(F.col("_hit"), F.lit(0)).cast("double")).alias("cover")))
+    levels = pop.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))    # a hot value is one row before the join
+    hit = F.sum(F.when(F.col("_hit") == 1, F.col("_n")).otherwise(0)).cast("double")
+    return levels.join(vals, F.col(col) == F.col("_v"), "left").agg(F.try_divide(hit, F.sum("_n")).alias("cover"))
 
 
 def scenario_cross(df: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -78,14 +79,6 @@ def index_vs_global(grouped: DataFrame, global_row: DataFrame, cols: Sequence[st
     return res.drop(*[f"_g_{c}" for c in cols])
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False, rsd: float = 0.05) -> DataFrame:
-    """Distinct count per column (exact, or HyperLogLog++ with relative error ``rsd``
-    when ``approx`` — exact distinct counts of many columns expand the rows once per
-    column before the shuffle)."""
-    f = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.countDistinct
-    return df.agg(*[f(c).alias(c) for c in cols])
-
-
 def crosstab(df: DataFrame, row: str, col: str, levels: Sequence, value: str | None = None,
              agg: str = "count", normalize_columns: bool = False) -> DataFrame:
     """Pivot of two columns with a declared level list (no extra pass to discover

@@ -71,8 +71,3 @@ def nested_payload(blocks: dict[str, DataFrame], max_rows: int = 10_000) -> Data
         one = checked.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
         parts = one if parts is None else parts.crossJoin(one)
     return parts.select(F.to_json(F.struct(*blocks.keys())).alias("payload"))
-
-
-def write_json_text(payload_df: DataFrame, path: str) -> str:
-    payload_df.coalesce(1).write.mode("overwrite").text(path)
-    return path
