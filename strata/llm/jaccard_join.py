@@ -11,8 +11,9 @@ Hamming distance of the sketches) is at most D. A set with s filled segments the
 s - D of them with a partner, and by the pigeonhole principle, under any common order of segments, the
 first D + 1 filled segments of both hold a common one. Only these are joined, per size band (sizes
 [4^k, 4^(k+1)); a set that can be the larger partner of one in the band below also joins there). The
-order puts segments last whose tokens are frequent in a bounded hash sample of documents (an ordering
-hint, never a filter), so shared passages do not bring unrelated documents together.
+order puts segments last whose tokens are known to be frequent: those that ``REPEATS`` documents of one batch
+share, the ``FREQUENT`` most counted of them (a bounded hint for the order, never a filter). So shared
+passages do not bring unrelated documents together.
 
 From candidates to components, nothing lost:
 1. equal sets form classes by map-side aggregation; only the smallest id of a class goes on;
@@ -20,8 +21,11 @@ From candidates to components, nothing lost:
    batch, then across batches), so groups are neither gathered nor paired;
 3. candidates are checked by size, by the Hamming distance of compact bit sketches (a lower bound of D),
    then exactly on the token sets; links are merged to components;
-4. two members of a group that ended in different components may still link: groups that hold such
-   members, and only those, are paired across components and checked in the same way.
+4. two members of a group that ended in different components may still link. Such open groups get further
+   stars around other members (a keyed hash picks them) while these link enough. In what is left, groups
+   with equal members count once and their members' sketches are compared across components block by
+   block (``BLOCK_MEMBERS`` a side), so that no group meets in one task; only pairs that the sketches do not
+   rule out become rows, and these are checked exactly.
 After step 4 every pair that shares a segment is linked, checked, or inside one component.
 
 Cases: null texts and texts without words have n_shingles 0 and link with nothing; fewer words than a
@@ -43,12 +47,14 @@ from .common import names, release, small, staged
 from .wordhash import WordHasher, chunks, mix64, positions, window_hash
 
 SHINGLE, NUM = 5, 75
-SAMPLE_DOCS, FREQUENT = 5_000, 4
-PART_BYTES = 8 << 20
+REPEATS, FREQUENT = 3, 1_000_000
+#: Open groups get another star while the last one linked this share of its pairs.
+STAR_YIELD, BLOCK_MEMBERS = 0.05, 2_048
+PART_BYTES, COUNT_BYTES = 8 << 20, 16 << 20
 SHINGLE_BASE = 0xE7037ED1A0B428DB
 SALT = [np.uint64(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-META = "id long, n long, s1 long, s2 long, sketch binary"
+META = "id long, n long, s1 long, s2 long, sketch binary, token long, count long"
 
 
 def max_difference(total: int, num: int) -> int:
@@ -118,9 +124,19 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _meta(batches):
+    """A row per document (token null), and a row per token that ``REPEATS`` documents of a batch share."""
     hasher = WordHasher(3, lower=True)
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sketch", pa.binary()),
+                        ("token", pa.int64()), ("count", pa.int64())])
+
+    def repeated(found):
+        token, count = np.unique(np.concatenate(found), return_counts=True)
+        hot = count >= REPEATS
+        k = int(hot.sum())
+        return pa.record_batch([*(pa.nulls(k, f.type) for f in list(schema)[:5]), pa.array(token[hot].view(np.int64)), pa.array(count[hot])], schema=schema)
+
     for batch in batches:
-        texts, ids, lo = _texts(batch), batch.column("id"), 0
+        texts, ids, lo, found, size = _texts(batch), batch.column("id"), 0, [], 0
         for part in chunks(texts):
             token, n = shingle_sets(hasher, part)
             stop = np.cumsum(n)
@@ -131,24 +147,21 @@ def _meta(batches):
                 s1[filled] = np.add.reduceat(mix64(token ^ SALT[0]), start)
                 s2[filled] = np.bitwise_xor.reduceat(mix64(token ^ SALT[1]), start)
             sketch = [bit_sketch(token[b - c:b]) if c else b"" for b, c in zip(stop, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, len(part)), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)),
-                                              pa.array(s2.view(np.int64)), pa.array(sketch, pa.binary())], names=["id", "n", "s1", "s2", "sketch"])
+            yield pa.record_batch([ids.slice(lo, len(part)), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                                   pa.array(sketch, pa.binary()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], schema=schema)
             lo += len(part)
+            found.append(token)
+            size += sum(map(len, part))
+            if size >= COUNT_BYTES or lo == len(texts):
+                yield repeated(found)
+                found, size = [], 0
 
 
-def _tokens(batches):
-    hasher = WordHasher(3, lower=True)
-    for batch in batches:
-        for part in chunks(_texts(batch)):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(hasher, part)[0].view(np.int64))], names=["token"])
-
-
-def frequent_tokens(texts: DataFrame, n_docs: int) -> np.ndarray:
-    """Sorted hashes of tokens that occur in at least ``FREQUENT`` of about ``SAMPLE_DOCS`` sampled documents."""
-    share = int(min(1.0, SAMPLE_DOCS / max(1, n_docs)) * (1 << 20))
-    sample = texts.filter(F.pmod(F.xxhash64(F.lit("frequent"), "id"), F.lit(1 << 20)) < share)
-    found = sample.mapInArrow(_tokens, "token long").groupBy("token").count().filter(F.col("count") >= FREQUENT).select("token").toArrow()
-    return np.sort(found.column("token").to_numpy().view(np.uint64)) if found.num_rows else np.zeros(0, np.uint64)
+def frequent_tokens(meta: DataFrame) -> np.ndarray:
+    """Sorted hashes of the ``FREQUENT`` tokens that batches counted most."""
+    top = meta.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")) \
+        .orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toArrow()
+    return np.sort(top.column("token").to_numpy().view(np.uint64)) if top.num_rows else np.zeros(0, np.uint64)
 
 
 def _emit(often: np.ndarray, num: int):
@@ -273,11 +286,15 @@ def _linked(num: int):
     return run
 
 
-def linked_pairs(pairs: DataFrame, texts: DataFrame, meta: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b) that link, checked by size, sketch distance and exact intersection. Token sets of
-    b travel to a; only the texts of documents in pairs that pass the sketches are shuffled."""
+def near_pairs(pairs: DataFrame, meta: DataFrame, num: int) -> DataFrame:
+    """The candidate pairs (a, b) that sizes and sketches do not rule out."""
     m = lambda x: meta.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
-    near = staged(pairs.join(m("a"), "a").join(m("b"), "b").mapInArrow(_near(num), "a long, b long").distinct(), "near")
+    return staged(pairs.join(m("a"), "a").join(m("b"), "b").mapInArrow(_near(num), "a long, b long").distinct(), "near")
+
+
+def linked_pairs(near: DataFrame, texts: DataFrame, num: int) -> DataFrame:
+    """The pairs (a, b) that link by exact intersection. Token sets of b travel to a; only the texts of
+    documents in these pairs are shuffled."""
     ids = small(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     own = texts.join(ids, "id", "left_semi").repartition("id")
     sets = own.join(near, own["id"] == near["b"]).select("a", "b", "text").mapInArrow(_sets, "a long, b long, tokens array<long>")
@@ -285,39 +302,124 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, meta: DataFrame, num: int)
     return materialize(both.mapInArrow(_linked(num), "a long, b long").distinct())
 
 
+def _open_members(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, id, n, label) of the groups whose members are in several components."""
+    named = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    return staged(named.join(several, "key", "left_semi"), "open")
+
+
+def _compare(n: np.ndarray, label: np.ndarray, block: np.ndarray, ids: np.ndarray, sketches: list[bytes], across_blocks: bool, num: int):
+    """(a, b) id arrays of members in different components (and different blocks, if two blocks meet here)
+    that sizes and sketches do not rule out."""
+    order = np.argsort(n, kind="stable")
+    n, label, block, ids = n[order], label[order], block[order], ids[order]
+    width = np.array([len(sketches[i]) for i in order])
+    by_width = {}
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        full = np.frombuffer(b"".join(sketches[order[i]] for i in at), np.uint64).reshape(len(at), -1)
+        half = full.shape[1] // 2
+        by_width[int(w)] = (at, full, full[:, :half] ^ full[:, half:])
+    out_a, out_b = [], []
+    stop = np.searchsorted(n, n * 100 // num, side="right")
+    for i in range(len(n)):
+        w = int(width[i])
+        at, own, _ = by_width[w]
+        mine = own[np.searchsorted(at, i)]
+        for rows, sketch in ((at, own), (by_width[2 * w][0], by_width[2 * w][2]) if 2 * w in by_width else (at[:0], own[:0])):
+            lo, hi = np.searchsorted(rows, (i + 1, stop[i]))
+            j = rows[lo:hi]
+            keep = label[j] != label[i]
+            if across_blocks:
+                keep &= block[j] != block[i]
+            j, other = j[keep], sketch[lo:hi][keep]
+            near = np.bitwise_count(other ^ mine).sum(axis=1) <= (n[j] + n[i]) * (100 - num) // (100 + num)
+            j = j[near]
+            out_a.append(np.minimum(ids[i], ids[j]))
+            out_b.append(np.maximum(ids[i], ids[j]))
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _compare_groups(num: int):
+    """Groups (key, p, q) come sorted and hold at most two blocks; a group cut by a batch is carried on."""
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            cols = [rows.column(c).to_numpy() for c in ("key", "p", "q")]
+            new = np.ones(rows.num_rows, bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+            first = np.flatnonzero(new)
+            held = rows.slice(first[-1])
+            yield from done(rows.slice(0, first[-1]), first, cols)
+        if held is not None:
+            yield from done(held, np.zeros(1, np.int64), [held.column(c).to_numpy() for c in ("key", "p", "q")])
+
+    def done(rows, first, cols):
+        if not rows.num_rows:
+            return
+        n, label, block, ids = (rows.column(c).to_numpy() for c in ("n", "label", "block", "id"))
+        sketches = rows.column("sketch").to_pylist()
+        found = [_compare(n[x:y], label[x:y], block[x:y], ids[x:y], sketches[x:y], cols[1][x] != cols[2][x], num)
+                 for x, y in zip(first, np.append(first[1:], rows.num_rows), strict=False) if x < rows.num_rows]
+        pairs = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def near_across(members: DataFrame, meta: DataFrame, num: int) -> DataFrame:
+    """Near pairs of open-group members in different components. Of groups with equal members one is
+    compared; a large group is cut into blocks and each pair of blocks is a unit of work."""
+    per = members.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s1"),
+                                     F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("s2"))
+    once = per.groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("long").alias("blocks"))
+    placed = members.join(once, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("blocks"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
+        .withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    units = placed.join(meta.select("id", "sketch"), "id").select("key", "p", "q", "block", "id", "n", "label", "sketch") \
+        .repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return staged(units.mapInArrow(_compare_groups(num), "a long, b long").distinct(), "near")
+
+
+def _next_star(members: DataFrame, turn: int, num: int) -> DataFrame:
+    """Pairs of each group's members with another center, picked by a keyed hash."""
+    center = members.groupBy("key").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64(F.lit(turn), "id")).alias("c"))
+    return members.join(center, "key").filter((F.col("label") != F.col("c.label"))
+                                              & (100 * F.least("n", F.col("c.n")) >= num * F.greatest("n", F.col("c.n")))) \
+        .select(F.least("id", F.col("c.id")).alias("a"), F.greatest("id", F.col("c.id")).alias("b")).distinct()
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row: class_id is the smallest id with the
     same token set, component_id the smallest id reachable by links."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    meta = staged(texts.mapInArrow(_meta, META), "meta")
+    both = staged(texts.mapInArrow(_meta, META), "meta")
+    meta = both.filter("token IS NULL").drop("token", "count")
     classes = staged(meta.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id")), "classes")
     reps = classes.select(F.col("class_id").alias("id")).distinct()
-    often = frequent_tokens(texts.filter(F.col("id").isNotNull()), meta.count())
-    own = texts.join(reps, "id", "left_semi")
-    rows = own.mapInArrow(_emit(often, num), "r long, key long, id long, c long")
+    rows = texts.join(reps, "id", "left_semi").mapInArrow(_emit(frequent_tokens(both), num), "r long, key long, id long, c long")
     stars = staged(rows.repartition("r").sortWithinPartitions("r", "id").mapInArrow(_stars, "key long, x long, c long").filter("x <> c"), "stars")
     release(spark)
-    pairs = stars.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
     rep_meta = meta.join(classes, ["n", "s1", "s2"]).filter("id = class_id").select("id", "n", "sketch").distinct()
-    links = linked_pairs(pairs, texts, rep_meta, num)
-    label = materialize(connected_components(links))
-    # groups with members in different components: pair them across components
-    release(spark)
-    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"l{x}"))
-    named = stars.join(of("x"), "x", "left").join(of("c"), "c", "left") \
-        .withColumns({"lx": F.coalesce("lx", "x"), "lc": F.coalesce("lc", "c")})
-    open_keys = named.filter("lx <> lc").select("key").distinct()
-    members = named.join(open_keys, "key", "left_semi") \
-        .select("key", F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("lx").alias("label")), F.struct(F.col("c").alias("id"), F.col("lc").alias("label")))).alias("m")) \
-        .select("key", "m.*").distinct().join(rep_meta.select("id", "n"), "id")
-    left, right = (members.select("key", F.col("id").alias(i), F.col("label").alias(f"l{i}"), F.col("n").alias(f"n{i}")) for i in ("a", "b"))
-    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-                                            & (100 * F.least("na", "nb") >= num * F.greatest("na", "nb"))) \
-        .select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = linked_pairs(across, texts, rep_meta, num)
-    label = connected_components(links.union(more))
-    release(spark)
+    pairs = stars.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
+    members = stars.select("key", F.explode(F.array("x", "c")).alias("id")).distinct().join(rep_meta.select("id", "n"), "id")
+    links, turn = None, 0
+    while True:
+        tried = materialize(pairs)
+        new = linked_pairs(near_pairs(tried, rep_meta, num), texts, num)
+        links = new if links is None else links.union(new)
+        label = materialize(connected_components(links))
+        release(spark)
+        members = _open_members(members.select("key", "id", "n"), label)
+        if new.count() <= STAR_YIELD * tried.count():
+            break
+        turn += 1
+        pairs = _next_star(members, turn, num)
+    links = links.union(linked_pairs(near_across(members, rep_meta, num), texts, num))
+    label = connected_components(links)
     joined = meta.join(classes, ["n", "s1", "s2"], "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")))
     return joined.join(label, joined["class_id"] == label["node"], "left") \
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
