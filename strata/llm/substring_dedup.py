@@ -16,6 +16,9 @@ each task compares its own documents: of a hash only the smallest id is sent on,
 claims are settled on the spot (as position runs). So a passage shared by a third of all rows arrives
 as one row a batch, never as pairs, and reducers stream sorted hashes without holding a group.
 
+Exact copies of a whole text are found first, by narrow 128-bit hashes: all windows of a copy start in
+the smallest id with that text, so only that document goes through the three steps.
+
 Windows are judged on the input. Cases: null text has no words. Texts shorter than a window keep all.
 Rows with a null id take no part and keep all. Rows that share an id are versions of one document: they
 claim nothing from each other, each is cut by its own words. An empty table gives an empty result.
@@ -31,17 +34,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import every
 from .wordhash import WordHasher, mark_runs, positions, runs_of, window_hash
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 ANCHOR_BASE, WINDOW_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-BATCH_BYTES = 8 << 20
-ROWS = "k long, b int, id long, th long, runs binary"
-ROWS_ARROW = pa.schema([("k", pa.int64()), ("b", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("runs", pa.binary())])
-CLAIMS = "id long, k long, b int, th long, runs binary"
-CLAIMS_ARROW = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("b", pa.int32()), ("th", pa.int64()), ("runs", pa.binary())])
+BATCH_BYTES = 16 << 20
+#: Hash rows: (k, b, id) sent on, or settled runs x of document id (then k is the id). Anchors have no b.
+RUNS = pa.struct([("th", pa.int64()), ("runs", pa.binary())])
+FIELDS = {"k": ("long", pa.int64()), "b": ("int", pa.int32()), "id": ("long", pa.int64()), "x": ("struct<th:long,runs:binary>", RUNS)}
+
+
+def _shape(checked: bool) -> tuple[str, pa.Schema]:
+    own = {n: f for n, f in FIELDS.items() if checked or n != "b"}
+    return ", ".join(f"{n} {f[0]}" for n, f in own.items()), pa.schema([(n, f[1]) for n, f in own.items()])
+
+
+def _rows(checked: bool, **columns) -> pa.RecordBatch:
+    """Rows of the given columns; what is not given is null."""
+    schema = _shape(checked)[1]
+    n = len(columns["id"])
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def _parts(batch: pa.RecordBatch):
@@ -57,30 +72,40 @@ def _parts(batch: pa.RecordBatch):
         yield batch.slice(lo), texts[lo:]
 
 
-def _sift(key: np.ndarray, check: np.ndarray, owner: np.ndarray, place: np.ndarray, ids: np.ndarray, th: np.ndarray, all_docs: bool):
-    """Settle hashes inside one batch whose documents are in id order. Sends on each hash with the
-    smallest id that has it; ``all_docs``: a claim for every document of a hash that two ids share
-    (else only for the larger ids)."""
-    order = np.lexsort((owner, check, key))
-    k, b, o, p = key[order], check[order], owner[order], place[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Marks of the first row of each run of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _sift(key: np.ndarray, check: np.ndarray | None, owner: np.ndarray, place: np.ndarray, ids: np.ndarray, th: np.ndarray):
+    """Settle hashes inside one batch whose documents are in id order: each hash is sent on once, with the
+    smallest id that has it. Of a hash that two ids share, every document has a claim (anchors, without
+    ``check``), or every document but that of the smallest id (windows)."""
+    checked = check is not None
+    order = np.lexsort((owner, check, key) if checked else (owner, key))
+    k, o, p = key[order], owner[order], place[order]
+    b = check[order] if checked else None
+    new = _groups(k, b) if checked else _groups(k)
     first = np.flatnonzero(new)
+    if not len(first):
+        return
     group = np.cumsum(new) - 1
-    least = ids[o[first]] if len(first) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(k)) - 1
-    shared = ids[o[last]] != least if len(first) else np.zeros(0, bool)
-    claim = shared[group] & (all_docs | (ids[o] != least[group])) if len(first) else np.zeros(0, bool)
-    sent = pa.record_batch([pa.array(k[first].view(np.int64)), pa.array(b[first]), pa.array(least), pa.nulls(len(first), pa.int64()),
-                            pa.nulls(len(first), pa.binary())], schema=ROWS_ARROW)
-    yield sent
-    by_doc = np.lexsort((p[claim], o[claim]))
-    o, p = o[claim][by_doc], p[claim][by_doc]
+    least = ids[o[first]]
+    shared = ids[o[np.append(first[1:], len(k)) - 1]] != least
+    claim = shared[group]
+    if checked:
+        claim &= ids[o] != least[group]
+    yield _rows(checked, k=pa.array(k[first].view(np.int64)), id=pa.array(least), **({"b": pa.array(b[first])} if checked else {}))
+    o, p = o[claim], p[claim]
+    by_doc = np.lexsort((p, o))
+    o, p = o[by_doc], p[by_doc]
     docs, start = np.unique(o, return_index=True)
     if len(docs):
-        stop = np.append(start[1:], len(o))
-        yield pa.record_batch([pa.array(ids[docs]), pa.nulls(len(docs), pa.int32()), pa.array(ids[docs]), pa.array(th[docs]),
-                               pa.array([runs_of(np.unique(p[a:z])) for a, z in zip(start, stop, strict=True)], pa.binary())], schema=ROWS_ARROW)
+        runs = [runs_of(np.unique(x)) for x in np.split(p, start[1:])]
+        x = pa.StructArray.from_arrays([pa.array(th[docs]), pa.array(runs, pa.binary())], fields=list(RUNS))
+        yield _rows(checked, k=pa.array(ids[docs]), id=pa.array(ids[docs]), x=x)
 
 
 def _hashed_anchors(hashes: np.ndarray, counts: np.ndarray):
@@ -97,7 +122,7 @@ def _anchors(batches):
     for batch in batches:
         for part, texts in _parts(batch):
             h, owner, place = _hashed_anchors(*hasher(texts))
-            yield from _sift(h, np.zeros(len(h), np.int32), owner, place, part.column("id").to_numpy(), part.column("th").to_numpy(), True)
+            yield from _sift(h, None, owner, place, part.column("id").to_numpy(), part.column("th").to_numpy())
 
 
 def _windows(batches):
@@ -118,7 +143,7 @@ def _windows(batches):
             wanted = np.zeros(len(hashes), bool)
             for i, (keys, local) in enumerate(zip(part.column("keys").to_pylist(), part.column("local").to_pylist(), strict=True)):
                 own = slice(bound[i], bound[i + 1])
-                alive = np.isin(h[own].view(np.int64), np.array([x["k"] for x in keys or ()], np.int64))
+                alive = np.isin(h[own].view(np.int64), np.array(keys or (), np.int64))
                 at = np.zeros(counts[i], bool)
                 at[place[own][alive]] = True
                 for x in local or ():
@@ -134,60 +159,55 @@ def _windows(batches):
             pick = np.flatnonzero(wanted)
             key = window_hash(hashes, WINDOW, WINDOW_BASE)[pick]
             check = (window_hash(checks, WINDOW, CHECK_BASE)[pick] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            yield from _sift(key, check, owner[pick], place[pick], part.column("id").to_numpy(), th, False)
+            yield from _sift(key, check, owner[pick], place[pick], part.column("id").to_numpy(), th)
 
 
-def _settle(all_docs: bool):
-    """A reducer over rows sorted by (k, b, id): claims of hashes that two ids share. Only the current
-    hash's smallest id is carried from batch to batch."""
+def _settle(checked: bool):
+    """A reducer over rows sorted by hash and id: hash rows (k, b, id) become claims of the hashes that two
+    ids share, settled runs pass. Only the current hash's smallest id is carried from batch to batch."""
     def run(batches):
-        held = None  # (k, b, smallest id, whether a second id was seen)
+        held = None  # (hash, smallest id, whether a second id was seen)
         for batch in batches:
-            done = batch.column("th").is_valid()
+            done = batch.column("x").is_valid()
             settled = batch.filter(done)
             if settled.num_rows:
-                yield pa.record_batch([settled.column("id"), pa.nulls(settled.num_rows, pa.int64()), pa.nulls(settled.num_rows, pa.int32()),
-                                       settled.column("th"), settled.column("runs")], schema=CLAIMS_ARROW)
+                yield _rows(checked, id=settled.column("id"), x=settled.column("x"))
             rows = batch.filter(pc.invert(done))
             if not rows.num_rows:
                 continue
-            k, b, ids = (rows.column(c).to_numpy() for c in ("k", "b", "id"))
-            keep = np.ones(len(k), bool)
-            keep[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1]) | (ids[1:] != ids[:-1])
-            k, b, ids = k[keep], b[keep], ids[keep]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
+            ids = rows.column("id").to_numpy()
+            key = [rows.column(c).to_numpy() for c in ("k", "b") if checked or c == "k"]
+            keep = _groups(*key, ids)
+            ids, key = ids[keep], [c[keep] for c in key]
+            new = _groups(*key)
             first = np.flatnonzero(new)
             group = np.cumsum(new) - 1
-            least, most = ids[first], ids[np.append(first[1:], len(k)) - 1]
+            least, most = ids[first], ids[np.append(first[1:], len(ids)) - 1]
             shared = least != most
             late = []
-            if held and (k[0], b[0]) == held[:2]:
-                least[0] = held[2]
-                second = bool(most[0] != held[2])
-                if all_docs and second and not held[3]:
-                    late = [held]
-                shared[0] = held[3] or second
-            claim = shared[group] & (all_docs | (ids != least[group]))
-            if late and ids[0] == late[0][2]:
-                late = []
-            held = (k[-1], b[-1], least[-1], bool(shared[-1]))
-            out_id = np.concatenate([ids[claim], np.array([x[2] for x in late], np.int64)])
-            out_k = np.concatenate([k[claim], np.array([x[0] for x in late], np.int64)])
-            out_b = np.concatenate([b[claim], np.array([x[1] for x in late], np.int32)])
-            n = len(out_id)
-            yield pa.record_batch([pa.array(out_id), pa.array(out_k), pa.array(out_b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
-                                  schema=CLAIMS_ARROW)
+            if held and all(c[0] == h for c, h in zip(key, held[0], strict=True)):
+                second = bool(most[0] != held[1])
+                if not checked and second and not held[2] and ids[0] != held[1]:
+                    late = [held]  # the first id of an anchor learns only now that a second one has it
+                least[0], shared[0] = held[1], held[2] or second
+            claim = shared[group]
+            if checked:
+                claim &= ids != least[group]
+            held = ([c[-1] for c in key], least[-1], bool(shared[-1]))
+            out = {"id": np.concatenate([ids[claim], np.array([x[1] for x in late], np.int64)])}
+            for i, (name, c) in enumerate(zip(("k", "b"), key, strict=False)):
+                out[name] = np.concatenate([c[claim], np.array([x[0][i] for x in late], c.dtype)])
+            yield _rows(checked, **{n: pa.array(v) for n, v in out.items()})
 
     return run
 
 
-def _claims(rows: DataFrame, all_docs: bool) -> DataFrame:
+def _claims(rows: DataFrame, checked: bool) -> DataFrame:
     """Claims per id: ``keys`` (hashes) and ``local`` (position runs of one version of the text)."""
-    settled = rows.repartition("k").sortWithinPartitions("k", "b", "id").mapInArrow(_settle(all_docs), CLAIMS)
-    lists = settled.groupBy("id").agg(
-        F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "b"))).alias("keys"),
-        F.collect_list(F.when(F.col("th").isNotNull(), F.struct("th", "runs"))).alias("local"))
+    order = ["k", "b", "id"] if checked else ["k", "id"]
+    settled = rows.repartition("k").sortWithinPartitions(*order).mapInArrow(_settle(checked), _shape(checked)[0])
+    key = F.struct("k", "b") if checked else F.col("k")
+    lists = settled.groupBy("id").agg(F.collect_list(F.when(F.col("k").isNotNull(), key)).alias("keys"), F.collect_list("x").alias("local"))
     empty = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
     return lists.select(F.col("id").alias("claim_id"), empty("keys"), empty("local"))
 
@@ -198,11 +218,11 @@ def _cut(with_text: bool):
         for batch in batches:
             for part, texts in _parts(batch):
                 n_words, n_removed, digest, kept_text = [], [], [], []
-                keys, local, th = (part.column(c).to_pylist() for c in ("keys", "local", "th"))
-                for text, ks, ls, own in zip(texts, keys, local, th, strict=True):
+                keys, local, th, copy = (part.column(c).to_pylist() for c in ("keys", "local", "th", "copy"))
+                for text, ks, ls, own, is_copy in zip(texts, keys, local, th, copy, strict=True):
                     words = text.split()
                     gone = np.zeros(len(words), bool)
-                    starts = np.zeros(max(0, len(words) - WINDOW + 1), bool)
+                    starts = np.full(max(0, len(words) - WINDOW + 1), bool(is_copy))
                     for x in ls or ():
                         if x["th"] == own:
                             mark_runs(starts, x["runs"])
@@ -238,15 +258,30 @@ def _cut(with_text: bool):
     return run
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """(copy_id, ths): ids with the hashes of those of their texts that also belong to a smaller id."""
+    narrow = texts.filter(F.col("id").isNotNull()).select("id", "th", F.xxhash64(F.lit("second"), "text").alias("th2"))
+    several = narrow.groupBy("th", "th2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    found = narrow.join(several, ["th", "th2"]).filter("id > first")
+    return materialize(found.groupBy("id").agg(F.collect_set("th").alias("ths")).withColumnRenamed("id", "copy_id"))
+
+
 def _deduplicated(texts: DataFrame, shape: str, with_text: bool) -> DataFrame:
-    """``texts`` has id, th, text (and row)."""
-    nowhere = texts.filter(F.col("id").isNull()) \
-        .withColumns({"keys": F.lit(None).cast("array<struct<k:long,b:int>>"), "local": F.lit(None).cast("array<struct<th:long,runs:binary>>")})
+    """``texts`` has id, th, text (and row). All joins are on the id alone, so all read the one shuffle of
+    the texts by id."""
+    nowhere = texts.filter(F.col("id").isNull()).withColumns({
+        "keys": F.lit(None).cast("array<struct<k:long,b:int>>"), "local": F.lit(None).cast("array<struct<th:long,runs:binary>>"),
+        "copy": F.lit(None).cast("boolean")})
     dealt = texts.filter(F.col("id").isNotNull()).repartition("id").sortWithinPartitions("id", "th")
-    anchors = _claims(dealt.mapInArrow(_anchors, ROWS), True)
-    windows = _claims(dealt.join(anchors, dealt["id"] == anchors["claim_id"], "left").drop("claim_id")
-                      .sortWithinPartitions("id", "th").mapInArrow(_windows, ROWS), False)
-    final = dealt.join(windows, dealt["id"] == windows["claim_id"], "left").drop("claim_id")
+    copies = _copies(texts)
+    marked = dealt.join(copies, F.col("id") == F.col("copy_id"), "left") \
+        .withColumn("copy", F.coalesce(F.array_contains("ths", F.col("th")), F.lit(False))).drop("copy_id", "ths")
+    in_order = lambda d: d.sortWithinPartitions("id", "th")
+    single = marked.filter(~F.col("copy"))
+    anchors = _claims(in_order(single).mapInArrow(_anchors, _shape(False)[0]), False)
+    known = single.join(anchors, F.col("id") == F.col("claim_id"), "left").drop("claim_id")
+    windows = _claims(in_order(known).mapInArrow(_windows, _shape(True)[0]), True)
+    final = marked.join(windows, F.col("id") == F.col("claim_id"), "left").drop("claim_id")
     cut = _cut(with_text)
     return final.mapInArrow(cut, shape).unionByName(nowhere.mapInArrow(cut, shape))
 
