@@ -21,11 +21,13 @@ gives an empty dataset.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from ..session import checkpoint_dir
 
 BLOCK, SEGMENT_IDS, PERCENTILE = 1024, 1 << 20, 90
 HEAD, BLOCK_HEAD = struct.Struct("<4sIQII"), struct.Struct("<IBHH")
+#: ASCII punctuation that may follow a word, without the apostrophe (contractions are pre-tokens).
+TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SCHEMA = "shard int, segment int, shard_start long, n_tokens long, n_docs int, payload binary"
 
 
@@ -144,14 +148,16 @@ class Segment:
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word. The tokenizer drops white space and never joins across it,
-    so a text's ids are those of its white-space separated pieces; each distinct piece is encoded
-    once and kept in a bounded cache."""
+    """Ids of whole texts, word by word. The tokenizer lower-cases, drops white space and never joins
+    across it, so a text's ids are those of its white-space separated pieces with A-Z lower-cased; each
+    distinct piece is encoded once and kept in a bounded cache."""
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        self.model = self.tokenizer.model
         self._reset()
 
     def _reset(self) -> None:
@@ -159,12 +165,41 @@ class WordEncoder:
         self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def _code(self, words: list[bytes]) -> list[list[int]]:
+        """Ids per piece. A run of a-z is one pre-token that no normaliser changes, and punctuation other
+        than an apostrophe behind it is another, so the library's model codes these directly; all other
+        pieces take its whole pipeline, many to a call."""
+        memo: dict[bytes, list[int]] = {}
+
+        def letters(w: bytes) -> list[int]:
+            if (ids := memo.get(w)) is None:
+                ids = memo[w] = [t.id for t in self.model.tokenize(w.decode())]
+            return ids
+
+        out, other = [], []
+        for i, w in enumerate(words):
+            stem = w.rstrip(TAIL)
+            if not stem.isalpha():
+                out.append(None)
+                other.append(i)
+            elif len(stem) == len(w):
+                out.append(letters(w))
+            else:
+                tail = w[len(stem):]
+                if tail not in memo:
+                    memo[tail] = self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids
+                out.append(letters(stem) + memo[tail])
+        coded = self.tokenizer.encode_batch_fast([words[i].decode() for i in other], add_special_tokens=False)
+        for i, e in zip(other, coded, strict=True):
+            out[i] = e.ids
+        return out
+
     def _learn(self, words: list[bytes]) -> None:
         for lo in range(0, len(words), 4096):
             part = words[lo:lo + 4096]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
+            coded = self._code(part)
             lens = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter((x for ids in coded for x in ids), np.uint32, int(lens.sum()))
+            flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(lens.sum()))
             n = len(self.index)
             while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -178,13 +213,13 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by ``end``, and the ids per text."""
-        split = [t.split() for t in texts]
+        split = [t.lower().split() for t in texts]
         n_words = np.fromiter(map(len, split), np.int64, len(split))
         words = [w for s in split for w in s]
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
+        new = list({w for w in words if w not in self.index})
         if len(self.index) + len(new) > self.max_words and self.index:
             self._reset()
-            new = list(dict.fromkeys(words))
+            new = list(set(words))
         self._learn(new)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         lens = self.length[at]
