@@ -48,7 +48,7 @@ from .wordhash import WordHasher, chunks, mix64, positions, window_hash
 
 SHINGLE, NUM = 5, 75
 REPEATS, FREQUENT = 3, 1_000_000
-#: Open groups get another star while the last one linked this share of its pairs.
+#: Open groups get another star while the last one linked this share of the pairs it checked exactly.
 STAR_YIELD, BLOCK_MEMBERS = 0.05, 2_048
 PART_BYTES, COUNT_BYTES = 8 << 20, 16 << 20
 SHINGLE_BASE = 0xE7037ED1A0B428DB
@@ -86,8 +86,8 @@ def shingle_sets(hasher: WordHasher, texts: list[bytes]) -> tuple[np.ndarray, np
 
 
 def bit_sketch(tokens: np.ndarray) -> bytes:
-    """XOR of one bit per token, in a power of two of at least 256 bits and one bit a token."""
-    bits = max(256, 1 << (max(1, len(tokens)) - 1).bit_length())
+    """XOR of one bit per token, in a power of two of at least 256 bits and two bits a token."""
+    bits = max(256, 2 << (max(1, len(tokens)) - 1).bit_length())
     at = (mix64(tokens ^ SALT[2]) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -408,13 +408,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     members = stars.select("key", F.explode(F.array("x", "c")).alias("id")).distinct().join(rep_meta.select("id", "n"), "id")
     links, turn = None, 0
     while True:
-        tried = materialize(pairs)
-        new = linked_pairs(near_pairs(tried, rep_meta, num), texts, num)
+        near = near_pairs(pairs, rep_meta, num)
+        new = linked_pairs(near, texts, num)
         links = new if links is None else links.union(new)
         label = materialize(connected_components(links))
         release(spark)
         members = _open_members(members.select("key", "id", "n"), label)
-        if new.count() <= STAR_YIELD * tried.count():
+        if new.count() <= STAR_YIELD * near.count():
             break
         turn += 1
         pairs = _next_star(members, turn, num)
