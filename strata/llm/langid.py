@@ -31,6 +31,11 @@ LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    m = LETTER.search(text)  # word characters that are no digits: letters, and a few numbers such as Roman ones
+    return m is not None and (m[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def plain(text: str) -> bytes:
     """Letters only, lower case, one space between words."""
     return OTHER.sub(" ", text.lower()).encode()
@@ -70,7 +75,7 @@ def _predictor(dictionaries: dict[str, bytes], min_margin: float):
             pred, score, rejected = [], [], []
             for lo in range(0, batch.num_rows, 256):
                 for t in batch.column(1).slice(lo, 256).to_pylist():
-                    if t is None or not langs or not LETTER.search(t):
+                    if t is None or not langs or not has_letter(t):
                         pred.append("und")
                         score.append(0.0)
                         rejected.append(True)

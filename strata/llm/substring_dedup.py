@@ -40,6 +40,7 @@ from .wordhash import WordHasher, mark_runs, positions, runs_of, window_hash
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
+IN_COVER = np.isin(np.arange(PERIOD), COVER)
 ANCHOR_BASE, WINDOW_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 BATCH_BYTES = 16 << 20
 #: Hash rows: (k, b, id) sent on, or settled runs x of document id (then k is the id). Anchors have no b.
@@ -113,7 +114,7 @@ def _hashed_anchors(hashes: np.ndarray, counts: np.ndarray):
     owner, place = positions(counts)
     h = window_hash(hashes, ANCHOR, ANCHOR_BASE)
     owner, place = owner[:len(h)], place[:len(h)]
-    ok = np.isin(place % PERIOD, COVER) & (place + ANCHOR <= counts[owner]) & (counts[owner] >= WINDOW)
+    ok = IN_COVER[place % PERIOD] & (place + ANCHOR <= counts[owner]) & (counts[owner] >= WINDOW)
     return h[ok], owner[ok], place[ok]
 
 

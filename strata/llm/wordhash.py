@@ -84,8 +84,8 @@ def window_hash(words: np.ndarray, width: int, base: int) -> np.ndarray:
 
 def positions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text index, place in its text) of every word."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    return owner, np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
 
 
 def runs_of(sorted_places: np.ndarray) -> bytes:

@@ -245,7 +245,7 @@ def test_language_edge_rows(llm, odd_docs, no_docs):
                                                   ("der hund und die katze " * 30, None)])]
     learned = langid.learn(llm.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
     assert list(learned) == ["en", "fr"]
-    test = llm.createDataFrame([(1, "the dog and the cat"), (2, "le chien et le chat"), (3, None), (4, "123 ... !"), (5, ""), (1, "the dog and the cat"), (None, "la maison de le chat")],
+    test = llm.createDataFrame([(1, "the dog and the cat"), (2, "le chien et le chat"), (3, None), (4, "123 ... ! Ⅷ ²"), (5, ""), (1, "the dog and the cat"), (None, "la maison de le chat")],
                                "doc_id long, text string")
     out = [(r.doc_id, r.lang_pred) for r in langid.predict(test, learned).collect()]
     assert out == [(1, "en"), (2, "fr"), (3, "und"), (4, "und"), (5, "und"), (1, "en"), (None, "fr")]
