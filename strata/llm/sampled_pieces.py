@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -70,14 +71,15 @@ class Pieces:
             return []
         return UNITS.findall(" " + text) if self.cuts else [" " + text]
 
-    def segment(self, unit: str, draw: int, seed: bytes, dropout: float) -> list[int]:
-        """Ids of one unit after agenda processing with dropout."""
+    def segment(self, unit: str, draw: int, seed: int, dropout: float) -> list[int]:
+        """Ids of one unit after agenda processing with dropout; ``seed``: a 32-bit key."""
         sym: list[str | None] = list(unit)
         n = len(sym)
         if n > 1:
             rank = self.rank
             limit = int(dropout * (1 << 32))
-            base = int.from_bytes(hashlib.blake2b(unit.encode() + draw.to_bytes(4, "little"), digest_size=8, key=seed).digest(), "little")
+            raw = unit.encode()
+            base = (zlib.crc32(raw, seed) << 32 | zlib.crc32(raw, seed ^ 0x5BD1E995)) + draw * M2 & FULL
             nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
             agenda = [(r, i, i + 1, p) for i in range(n - 1) if (r := rank.get(p := unit[i:i + 2])) is not None]
             heapify(agenda)
@@ -115,39 +117,46 @@ class Pieces:
 
 
 class SampledEncoder:
-    """Ids of texts with a bounded cache of segmented (unit, draw) pairs."""
+    """Ids of texts with a bounded cache of segmented units, one table per draw, ids as packed bytes."""
 
-    def __init__(self, pieces: Pieces, seed: str, dropout: float, draws: int, max_units: int = 400_000, max_ids: int = 8_000_000):
+    def __init__(self, pieces: Pieces, seed: str, dropout: float, draws: int, max_units: int = 1_500_000, max_bytes: int = 64_000_000):
         if not 0 <= dropout < 1:
             raise ValueError("dropout must be in [0, 1)")
-        self.pieces, self.seed, self.dropout, self.draws = pieces, seed.encode()[:64], dropout, max(1, draws)
-        self.base = int.from_bytes(hashlib.blake2b(b"place", digest_size=8, key=self.seed).digest(), "little")
-        self.max_units, self.max_ids = max_units, max_ids
+        self.pieces, self.dropout = pieces, dropout
+        key = hashlib.blake2b(seed.encode(), digest_size=12).digest()
+        self.seed, self.base = int.from_bytes(key[:4], "little"), int.from_bytes(key[4:], "little")
+        self.draws = max(1, draws) if dropout else 1
+        self.max_units, self.max_bytes = max_units, max_bytes
         self._reset()
 
     def _reset(self) -> None:
-        self.cache: dict[tuple[str, int], list[int]] = {}
-        self.held = 0
+        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
+        self.units = self.held = 0
+
+    def _segment(self, unit: str, draw: int) -> bytes:
+        ids = array("i", self.pieces.segment(unit, draw, self.seed, self.dropout)).tobytes()
+        if self.units >= self.max_units or self.held >= self.max_bytes:
+            self._reset()
+        self.cache[draw][unit] = ids
+        self.units += 1
+        self.held += len(ids) + len(unit)
+        return ids
 
     def encode(self, text: str, doc_id: int) -> np.ndarray:
         units = self.pieces.units(text)
-        if self.draws > 1 and self.dropout:
+        if self.draws > 1:
             place = np.arange(len(units), dtype=np.uint64) + np.uint64((doc_id * 0x9E3779B97F4A7C15 + self.base) & FULL)
             draw = (mix64(place) % np.uint64(self.draws)).tolist()
+            found = [t.get(u) for t, u in zip(map(self.cache.__getitem__, draw), units, strict=True)]
         else:
             draw = [0] * len(units)
-        cache, out = self.cache, []
-        for key in zip(units, draw, strict=True):
-            ids = cache.get(key)
-            if ids is None:
-                ids = self.pieces.segment(*key, self.seed, self.dropout)
-                if len(cache) >= self.max_units or self.held >= self.max_ids:
-                    self._reset()
-                    cache = self.cache
-                cache[key] = ids
-                self.held += len(ids)
-            out += ids
-        return np.array(out, np.int32)
+            found = list(map(self.cache[0].get, units))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    known = self.cache[draw[i]].get(units[i])
+                    found[i] = self._segment(units[i], draw[i]) if known is None else known
+        return np.frombuffer(b"".join(found), np.int32)
 
 
 @lru_cache(maxsize=2)
