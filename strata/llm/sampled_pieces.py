@@ -119,7 +119,7 @@ class Pieces:
 class SampledEncoder:
     """Ids of texts with a bounded cache of segmented units, one table per draw, ids as packed bytes."""
 
-    def __init__(self, pieces: Pieces, seed: str, dropout: float, draws: int, max_units: int = 1_500_000, max_bytes: int = 64_000_000):
+    def __init__(self, pieces: Pieces, seed: str, dropout: float, draws: int, max_units: int = 2_500_000, max_bytes: int = 96_000_000):
         if not 0 <= dropout < 1:
             raise ValueError("dropout must be in [0, 1)")
         self.pieces, self.dropout = pieces, dropout
