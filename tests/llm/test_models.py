@@ -217,6 +217,33 @@ def test_each_merge_is_skipped_at_the_rate(pieces):
     assert 0.77 < whole < 0.83
 
 
+def test_every_occurrence_is_segmented_on_its_own(pieces):
+    """A frequent word takes many segmentations, and each merge is skipped at the rate."""
+    enc = sampled_pieces.SampledEncoder(pieces, "s", 0.1)
+    n = 3000
+    units = lambda word, d: pieces_of_units(pieces, enc.encode(" ".join([word] * n), d).tolist())
+    one, two = units("internationalization", 1), units("internationalization", 2)
+    assert len(one) == len(two) == n and len(set(one)) > 20 and one != two
+    whole = units("a", 3).count((pieces.ids[" a"],)) / n  # one candidate
+    assert abs(whole - 0.9) < 0.025
+
+
+def pieces_of_units(pieces, ids):
+    out = []
+    for i in ids:
+        if pieces.raw[i].startswith(b" "):
+            out.append([])
+        out[-1].append(i)
+    return [tuple(u) for u in out]
+
+
+def test_units_merged_together_equal_units_merged_alone(pieces, sample_rows):
+    texts = [t for _, t in sample_rows[:60]] + ["", "  a\n\n b ", "▁x é́ 😀 \x00" * 9, "x" * 70 + " " * 70 + "y"]
+    docs = [d for d, _ in sample_rows[:60]] + [0, -1, 2 ** 62, 7]
+    together, alone = (sampled_pieces.SampledEncoder(pieces, "s", 0.2, wide=w).encode_all(texts, docs) for w in (64, 1))
+    assert [x.tolist() for x in together] == [x.tolist() for x in alone]
+
+
 def test_encode_documents(llm, odd_docs, no_docs):
     out = sampled_pieces.encode_documents(odd_docs)
     rows = out.collect()
