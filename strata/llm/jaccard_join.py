@@ -20,7 +20,8 @@ From candidates to components, nothing lost:
 2. in a group of equal segments every member is a candidate with the smallest one only (first within its
    batch, then across batches), so groups are neither gathered nor paired;
 3. candidates are checked by size, by the Hamming distance of compact bit sketches (a lower bound of D),
-   then exactly on the token sets; links are merged to components;
+   then exactly on the token sets, the partners of one document in parts of about ``PARTNERS`` that go to
+   different tasks; links are merged to components;
 4. two members of a group that ended in different components may still link. Such open groups get further
    stars around other members (a keyed hash picks them) while these link enough. In what is left, groups
    with equal members count once and their members' sketches are compared across components block by
@@ -50,6 +51,8 @@ SHINGLE, NUM = 5, 75
 REPEATS, FREQUENT = 3, 1_000_000
 #: Open groups get another star while the last one linked this share of the pairs it checked exactly.
 STAR_YIELD, BLOCK_MEMBERS = 0.05, 2_048
+#: Pairs of one document that are checked exactly in one task; more are dealt over several.
+PARTNERS = 128
 PART_BYTES, COUNT_BYTES = 8 << 20, 16 << 20
 SHINGLE_BASE = 0xE7037ED1A0B428DB
 SALT = [np.uint64(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
@@ -292,13 +295,23 @@ def near_pairs(pairs: DataFrame, meta: DataFrame, num: int) -> DataFrame:
     return staged(pairs.join(m("a"), "a").join(m("b"), "b").mapInArrow(_near(num), "a long, b long").distinct(), "near")
 
 
+def spread_join(texts: DataFrame, pairs: DataFrame, near: DataFrame, key: str, by: str) -> DataFrame:
+    """``pairs`` (the rows of ``near``, with any further columns) beside the text of their ``key``. The pairs of
+    one document are dealt by the hash of their other end over one part per ``PARTNERS`` of them; only the
+    text of ``key`` is repeated, once a part, so the center of a hot group meets its members in many tasks."""
+    ids = small(near.groupBy(F.col(key).alias("id")).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
+    own = texts.join(ids, "id").select("id", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    hot = small(ids.filter("parts > 1").select(F.col("id").alias("hot"), "parts"))
+    dealt = pairs.join(hot, F.col(key) == F.col("hot"), "left") \
+        .select(*pairs.columns, F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int").alias("at"))
+    return own.join(dealt, (F.col("id") == F.col(key)) & (F.col("part") == F.col("at"))).select(*pairs.columns, "text", "part")
+
+
 def linked_pairs(near: DataFrame, texts: DataFrame, num: int) -> DataFrame:
     """The pairs (a, b) that link by exact intersection. Token sets of b travel to a; only the texts of
     documents in these pairs are shuffled."""
-    ids = small(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    own = texts.join(ids, "id", "left_semi").repartition("id")
-    sets = own.join(near, own["id"] == near["b"]).select("a", "b", "text").mapInArrow(_sets, "a long, b long, tokens array<long>")
-    both = own.join(sets, own["id"] == sets["a"]).sortWithinPartitions("a").select("a", "b", "tokens", "text")
+    sets = spread_join(texts, near, near, "b", "a").select("a", "b", "text").mapInArrow(_sets, "a long, b long, tokens array<long>")
+    both = spread_join(texts, sets, near, "a", "b").sortWithinPartitions("a", "part").select("a", "b", "tokens", "text")
     return materialize(both.mapInArrow(_linked(num), "a long, b long").distinct())
 
 

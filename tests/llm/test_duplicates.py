@@ -191,6 +191,42 @@ def test_open_groups_are_paired(llm):
     assert got == brute_components(rows) and len({c for _, c in got.values()}) == 5
 
 
+@pytest.mark.parametrize("hub", [1, 10 ** 6])
+def test_partners_of_a_center_are_dealt(llm, monkeypatch, hub):
+    """A center with many partners, as the smaller or the larger id: every pair is checked once, in several tasks."""
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 10, raising=False)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(hub, " ".join(base))] + [(100 + i, " ".join([*base[:59], f"x{i}"])) for i in range(200)] + [(9, "a"), (10, "b")]
+    texts = llm.createDataFrame(rows, "id long, text string")
+    pairs = [tuple(sorted((hub, 100 + i))) for i in range(200)] + [(9, 10)]
+    near = llm.createDataFrame(pairs, "a long, b long")
+    merge, coalesce = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"
+    old = {k: llm.conf.get(k) for k in (merge, coalesce, "spark.sql.shuffle.partitions")}
+    for k, v in ((merge, "-1"), (coalesce, "false"), ("spark.sql.shuffle.partitions", "8")):
+        llm.conf.set(k, v)
+    try:
+        assert sorted(map(tuple, jaccard_join.linked_pairs(near, texts, 75).collect())) == sorted(pairs[:-1])
+
+        if hub == 1:  # tasks of the intersection
+            def task(batches):
+                import pyarrow as pa
+                from pyspark import TaskContext
+
+                for batch in batches:
+                    own = pa.array([TaskContext.get().partitionId()] * batch.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([own, batch.column("b")], names=["a", "b"])
+
+            monkeypatch.setattr(jaccard_join, "_linked", lambda num: task)
+            where = [(r.a, r.b) for r in jaccard_join.linked_pairs(near, texts, 75).collect() if r.b >= 100]
+        else:  # tasks of the token sets
+            out = jaccard_join.spread_join(texts, near, near, "b", "a").filter(F.col("b") == hub)
+            where = [tuple(r) for r in out.select(F.spark_partition_id(), "a").collect()]
+        assert len(where) == 200 and len({t for t, _ in where}) >= 4
+    finally:
+        for k, v in old.items():
+            llm.conf.set(k, v)
+
+
 def test_components_edge_rows(odd_docs, no_docs):
     got = jaccard_join.components(odd_docs).collect()
     assert len(got) == odd_docs.count()
