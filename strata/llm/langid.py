@@ -6,7 +6,8 @@ it is matched against the dictionary rather than against itself; the language wh
 fewest bytes in all is predicted. ``rejected`` marks predictions whose margin to the runner-up is below
 ``min_margin`` of the best size.
 
-Bounds (the only sampling): ``SAMPLE_DOCS`` documents a language, ``SAMPLE_CHARS`` characters of each,
+Bounds (the only sampling): ``SAMPLE_DOCS`` different texts a language, ``SAMPLE_CHARS`` characters of each
+from a place that a hash of the text picks,
 ``DICT_BYTES`` a dictionary, less if there are so many languages that all would pass ``TOTAL_BYTES``.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything if no language
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import small
+
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, TOTAL_BYTES = 64, 2_000, 96 << 10, 64 << 20
 LEVEL, BLOCK = 6, 1024
 LETTER = re.compile(r"[^\W\d_]")
@@ -42,13 +45,17 @@ def plain(text: str) -> bytes:
 
 
 def learn(labelled: DataFrame, doc_id: str, text: str, lang: str) -> dict[str, bytes]:
-    """Dictionary content per language from (id, text, lang) rows. The rank filter runs before the
-    shuffle in every task, so at most ``SAMPLE_DOCS`` rows a language and task are moved."""
-    order = W.partitionBy("lang").orderBy("h", "id", "part")
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()) \
-        .select(F.col(lang).alias("lang"), F.col(doc_id).cast("string").alias("id"), F.substring(text, 1, SAMPLE_CHARS).alias("part")) \
-        .withColumn("h", F.xxhash64(F.lit("langid"), "id")) \
-        .withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SAMPLE_DOCS).collect()
+    """Dictionary content per language from (id, text, lang) rows. Equal texts count once: the smallest
+    hashes of texts are chosen from a narrow aggregate, with the rank filter before the shuffle in every task,
+    and only the chosen texts' spans are read in a second pass."""
+    hashed = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()) \
+        .select(F.col(lang).alias("lang"), F.xxhash64(F.lit("langid"), F.col(text)).alias("h"), F.col(text).alias("text"))
+    order = W.partitionBy("lang").orderBy("h")
+    chosen = small(hashed.select("lang", "h").distinct().withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= SAMPLE_DOCS))
+    spans = F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))
+    at = (F.pmod(F.xxhash64(F.lit("span"), F.col("text")), spans) + 1).cast("int")
+    rows = hashed.join(chosen, ["lang", "h"]).select("lang", "h", "rn", F.substr("text", at, F.lit(SAMPLE_CHARS)).alias("part")) \
+        .groupBy("lang", "h", "rn").agg(F.min("part").alias("part")).collect()
     langs = sorted({r["lang"] for r in rows}, key=lambda x: x.encode())
     most = min(DICT_BYTES, TOTAL_BYTES // max(1, len(langs)))
     out = {}

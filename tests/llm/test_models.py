@@ -267,6 +267,16 @@ def test_language_held_out(llm):
     assert sum(out[r.doc_id].lang_pred == r.lang for r in held) / len(held) > 0.95
 
 
+def test_dictionaries_from_different_texts_and_places(llm):
+    """Copies count once, and long texts are read beyond their shared header."""
+    header = "license " * 400
+    rows = [(i, "same text again " * 5, "en") for i in range(3000)] + [(10_000 + i, f"own{chr(97 + i)} words here", "en") for i in range(20)]
+    rows += [(20_000 + i, header + " ".join(f"body{chr(97 + i)}{chr(97 + j % 26)}" for j in range(4000)), "fr") for i in range(20)]
+    learned = langid.learn(llm.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert all(f"own{chr(97 + i)}".encode() in learned["en"] for i in range(20)) and learned["en"].count(b"same") == 5
+    assert sum(f"body{chr(97 + i)}".encode() in learned["fr"] for i in range(20)) > 15
+
+
 def test_language_edge_rows(llm, odd_docs, no_docs):
     rows = [(i, t, n) for i, (t, n) in enumerate([("the cat and the dog of the house " * 20, "en"), ("le chat et le chien de la maison " * 20, "fr"),
                                                   ("der hund und die katze " * 30, None)])]
