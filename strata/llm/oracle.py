@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import MIN_SHARE, TEMPLATES
 from .mixing import SEED
 from .quality import GRIDS
 from .url_rules import RULES
@@ -110,4 +111,21 @@ SELECT u.page_id, host, path, fit.rule, coalesce(fit.verdict, CASE WHEN rule_hit
        coalesce(rule_hits, 0) AS rule_hits
 FROM u LEFT JOIN fit ON u.page_id = fit.page_id LEFT JOIN hits ON u.page_id = hits.page_id"""
 
-SQL = {"op1_quality_rules": OP1, "op4_mix_sources": OP4, "op10_url_rules": OP10}
+_TEMPLATES = ", ".join(f"('{t.label}', {str(t.base).lower()}, {t.words}, {t.key})" for t in TEMPLATES)
+
+OP12 = rf"""WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+t(label, base, words, key) AS (VALUES {_TEMPLATES}),
+able AS (SELECT rid, label, base, words, key, ws FROM d JOIN t ON list_has_all(ws, list_transform(key, lambda k: words[k + 1]))),
+start AS (SELECT *, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1] = words[key[1] + 1])) - key[1] AS o FROM able),
+m AS (SELECT rid, label, base, o, len(list_filter(range(0, len(words)), lambda k: o + k >= 0 AND ws[o + k + 1] = words[k + 1])) / len(words) AS share
+      FROM start WHERE len(list_filter(key, lambda k: o + k >= 0 AND ws[o + k + 1] = words[k + 1])) = len(key)),
+f AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(o) FILTER (WHERE base) AS first_word, max(o) FILTER (WHERE base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+             max(share) AS score FROM m WHERE share >= {MIN_SHARE} GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN f ON d.rid = f.rid"""
+
+SQL = {"op1_quality_rules": OP1, "op4_mix_sources": OP4, "op10_url_rules": OP10, "op12_license_scan": OP12}
