@@ -50,6 +50,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Empty the files of staged tables that are no longer read."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
 def release(spark: SparkSession) -> None:
     """Ask the driver JVM for a collection, so that the context cleaner deletes shuffle files of
     finished phases before the next phase writes its own."""

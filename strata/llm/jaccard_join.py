@@ -22,11 +22,11 @@ From candidates to components, nothing lost:
 3. candidates are checked by size, by the Hamming distance of compact bit sketches (a lower bound of D),
    then exactly on the token sets, the partners of one document in parts of about ``PARTNERS`` that go to
    different tasks; links are merged to components;
-4. two members of a group that ended in different components may still link. Such open groups get further
-   stars around other members (a keyed hash picks them) while these link enough. In what is left, groups
-   with equal members count once and their members' sketches are compared across components block by
+4. two members of a group that ended in different components may still link. Groups with equal members count
+   once. Open groups get further stars around other members (a keyed hash picks 8, then 64, ...) while these link enough;
+   new links only join the components found so far. What is left is compared by sketches across components, block by
    block (``BLOCK_MEMBERS`` a side), so that no group meets in one task; only pairs that the sketches do not
-   rule out become rows, and these are checked exactly.
+   rule out become rows, and these are checked exactly. A turn's files go as soon as the next one has its own.
 After step 4 every pair that shares a segment is linked, checked, or inside one component.
 
 Cases: null texts and texts without words have n_shingles 0 and link with nothing; fewer words than a
@@ -42,15 +42,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
 from ..session import materialize
-from .common import names, release, small, staged
+from .common import discard, names, release, small, staged
+from .link_components import components as components_of
 from .wordhash import WordHasher, chunks, mix64, positions, window_hash
 
 SHINGLE, NUM = 5, 75
 REPEATS, FREQUENT = 3, 1_000_000
-#: Open groups get another star while the last one linked this share of the pairs it checked exactly.
-STAR_YIELD, BLOCK_MEMBERS = 0.05, 2_048
+#: Open groups get further stars, of CENTERS, CENTERS^2, ... centers, while the last ones linked this share of the pairs they
+#: checked exactly and blocks would leave more than CHECKS pairs a member to check; FEW_PAIRS go to blocks at once.
+STAR_YIELD, CENTERS, CHECKS, FEW_PAIRS = 0.05, 8, 4, 100_000
+#: Members and bytes of sketches of a block.
+BLOCK_MEMBERS, BLOCK_BYTES = 2_048, 4 << 20
 #: Pairs of one document that are checked exactly in one task; more are dealt over several.
 PARTNERS = 128
 PART_BYTES, COUNT_BYTES = 8 << 20, 16 << 20
@@ -315,11 +318,35 @@ def linked_pairs(near: DataFrame, texts: DataFrame, num: int) -> DataFrame:
     return materialize(both.mapInArrow(_linked(num), "a long, b long").distinct())
 
 
-def _open_members(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, id, n, label) of the groups whose members are in several components."""
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """Of groups with equal members only one: the members of a near copy's many equal groups are looked at once."""
+    per = members.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s1"),
+                                     F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("s2"))
+    return members.join(per.groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def _open_members(members: DataFrame, label: DataFrame) -> tuple[DataFrame, int, float]:
+    """(key, id, n, label) of the groups whose members are in several components, how many, and their pairs
+    in different components (a pair once per group)."""
     named = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    return staged(named.join(several, "key", "left_semi"), "open")
+    found = staged(named.join(several, "key", "left_semi"), "open")
+    parts = found.groupBy("key", "label").agg(F.count("*").cast("double").alias("c"))
+    per = parts.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    r = per.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()
+    return found, int(r[0] or 0), r[1] or 0.0
+
+
+def _merge_labels(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after further links: searched among the components so far, not their members."""
+    if label is None:
+        return materialize(components_of(links))
+    a, b = (label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = materialize(components_of(between))
+    old = label.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left") \
+        .select("node", F.coalesce("now", "component").alias("component"))
+    return materialize(old.unionByName(merged.join(label, "node", "left_anti")))
 
 
 def _compare(n: np.ndarray, label: np.ndarray, block: np.ndarray, ids: np.ndarray, sketches: list[bytes], across_blocks: bool, num: int):
@@ -383,25 +410,34 @@ def _compare_groups(num: int):
 
 
 def near_across(members: DataFrame, meta: DataFrame, num: int) -> DataFrame:
-    """Near pairs of open-group members in different components. Of groups with equal members one is
-    compared; a large group is cut into blocks and each pair of blocks is a unit of work."""
-    per = members.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s1"),
-                                     F.sum(F.xxhash64(F.lit(1), "id").cast("decimal(38,0)")).alias("s2"))
-    once = per.groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("long").alias("blocks"))
-    placed = members.join(once, "key").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("blocks"))) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
+    """Near pairs of open-group members in different components. A large group is cut into blocks, by count and
+    by bytes of sketches, and each pair of blocks is a unit of work; blocks of the group's largest component
+    are not compared with each other."""
+    wide = members.join(meta.select("id", F.length("sketch").alias("width")), "id")
+    parts = wide.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("width").alias("bytes"))
+    most = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.sum("bytes").alias("all"), F.max_by("bytes", F.struct("c", "label")).alias("bytes"))
+    cut = lambda count, size: F.greatest(F.ceil(count / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES)).cast("long")
+    plan = most.select("key", F.col("top.label").alias("main"), cut(F.col("top.c"), F.col("bytes")).alias("inner"),
+                       cut(F.col("m") - F.col("top.c"), F.col("all") - F.col("bytes")).alias("outer"))
+    # blocks 0 .. outer - 1 hold the smaller components, the others the largest one
+    own = F.when(F.col("label") == F.col("main"), F.col("outer") + F.pmod(F.xxhash64(F.lit(2), "id"), F.col("inner"))) \
+        .otherwise(F.pmod(F.xxhash64(F.lit(2), "id"), F.col("outer")))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("label") == F.col("main"), F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1))
+    placed = members.join(plan, "key").withColumn("block", own).withColumn("other", F.explode(others)) \
         .withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     units = placed.join(meta.select("id", "sketch"), "id").select("key", "p", "q", "block", "id", "n", "label", "sketch") \
         .repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return staged(units.mapInArrow(_compare_groups(num), "a long, b long").distinct(), "near")
 
 
-def _next_star(members: DataFrame, turn: int, num: int) -> DataFrame:
-    """Pairs of each group's members with another center, picked by a keyed hash."""
-    center = members.groupBy("key").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64(F.lit(turn), "id")).alias("c"))
-    return members.join(center, "key").filter((F.col("label") != F.col("c.label"))
-                                              & (100 * F.least("n", F.col("c.n")) >= num * F.greatest("n", F.col("c.n")))) \
-        .select(F.least("id", F.col("c.id")).alias("a"), F.greatest("id", F.col("c.id")).alias("b")).distinct()
+def _next_stars(members: DataFrame, turn: int, num: int) -> DataFrame:
+    """Pairs of each group's members with about ``CENTERS`` ** turn others, picked by a keyed hash."""
+    size = members.groupBy("key").agg(F.count("*").alias("m"))
+    draw = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    center = members.join(size, "key").filter(draw * F.col("m") < F.lit(float(CENTERS ** turn))) \
+        .select("key", F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("label").alias("clabel"))
+    return members.join(center, "key").filter((F.col("label") != F.col("clabel")) & (100 * F.least("n", "cn") >= num * F.greatest("n", "cn"))) \
+        .select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM) -> DataFrame:
@@ -417,22 +453,33 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     stars = staged(rows.repartition("r").sortWithinPartitions("r", "id").mapInArrow(_stars, "key long, x long, c long").filter("x <> c"), "stars")
     release(spark)
     rep_meta = meta.join(classes, ["n", "s1", "s2"]).filter("id = class_id").select("id", "n", "sketch").distinct()
-    pairs = stars.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct()
-    members = stars.select("key", F.explode(F.array("x", "c")).alias("id")).distinct().join(rep_meta.select("id", "n"), "id")
-    links, turn = None, 0
-    while True:
-        near = near_pairs(pairs, rep_meta, num)
-        new = linked_pairs(near, texts, num)
-        links = new if links is None else links.union(new)
-        label = materialize(connected_components(links))
+    first = staged(stars.select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b")).distinct(), "pairs")
+    groups = stars.select("key", F.explode(F.array("x", "c")).alias("id")).distinct().join(rep_meta.select("id", "n"), "id")
+    members = staged(_distinct_groups(groups), "members")
+    discard(stars)
+    near = near_pairs(first, rep_meta, num)
+    label = _merge_labels(None, linked_pairs(near, texts, num))
+    discard(first, near)
+    release(spark)
+    left, size, pairs = _open_members(members, label)
+    discard(members)
+    turn = 0
+    while pairs > FEW_PAIRS:
+        turn += 1
+        tried = staged(_next_stars(left, turn, num), "pairs")
+        near = near_pairs(tried, rep_meta, num)
+        links = linked_pairs(near, texts, num)
+        label = _merge_labels(label, links)
+        n_tried, n_near, n_links = tried.count(), near.count(), links.count()
+        done, (left, size, pairs) = left, _open_members(left.drop("label"), label)
+        discard(done, tried, near)
         release(spark)
-        members = _open_members(members.select("key", "id", "n"), label)
-        if new.count() <= STAR_YIELD * near.count():
+        # stars are of use while they link what they check, and what is left would be too much to check pair by pair
+        if n_links <= STAR_YIELD * n_near or pairs * n_near <= CHECKS * size * max(n_tried, 1):
             break
-        turn += 1
-        pairs = _next_star(members, turn, num)
-    links = links.union(linked_pairs(near_across(members, rep_meta, num), texts, num))
-    label = connected_components(links)
+    near = near_across(left, rep_meta, num)
+    label = _merge_labels(label, linked_pairs(near, texts, num))
+    discard(left, near)
     joined = meta.join(classes, ["n", "s1", "s2"], "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")))
     return joined.join(label, joined["class_id"] == label["node"], "left") \
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strata.llm import jaccard_join, substring_dedup
+from strata.llm import jaccard_join, link_components, substring_dedup
 from strata.llm import queries as Q
 from strata.llm.wordhash import WordHasher
 from strata.operators.graph import connected_components
@@ -257,11 +257,12 @@ def test_word_hashes():
     assert len(set(WordHasher(3)([b"Ab ab AB ba abc a b"])[0].tolist())) == 7
 
 
-def test_connected_components(llm):
+@pytest.mark.parametrize("search,loops", [(connected_components, [(5000, 5000)]), (link_components.components, [])])
+def test_connected_components(llm, search, loops):
     rnd = random.Random(3)
     chain = list(range(0, 400))
     rnd.shuffle(chain)
-    edges = list(zip(chain, chain[1:], strict=False)) + [(1000 + rnd.randrange(60), 1000 + rnd.randrange(60)) for _ in range(40)] + [(5000, 5000)]
+    edges = list(zip(chain, chain[1:], strict=False)) + [(1000 + rnd.randrange(60), 1000 + rnd.randrange(60)) for _ in range(40)] + loops
     edges += [(9000, 9000 + i) for i in range(1, 300)] + [(None, 1), (2, None)]
     root = {x: x for e in edges for x in e}
 
@@ -274,6 +275,6 @@ def test_connected_components(llm):
         if a is not None and b is not None:
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in connected_components(llm.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in search(llm.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if x is not None}
-    assert connected_components(llm.createDataFrame([], "a long, b long")).count() == 0
+    assert search(llm.createDataFrame([], "a long, b long")).count() == 0
