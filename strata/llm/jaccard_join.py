@@ -50,8 +50,8 @@ from .wordhash import WordHasher, chunks, mix64, positions, window_hash
 SHINGLE, NUM = 5, 75
 REPEATS, FREQUENT = 3, 1_000_000
 #: Open groups get further stars, of CENTERS, CENTERS^2, ... centers, while the last ones linked this share of the pairs they
-#: checked exactly and blocks would leave more than CHECKS pairs a member to check; FEW_PAIRS go to blocks at once.
-STAR_YIELD, CENTERS, CHECKS, FEW_PAIRS = 0.05, 8, 4, 100_000
+#: checked exactly and blocks would leave more than CHECKS pairs a member (and FEW_CHECKS) to check.
+STAR_YIELD, CENTERS, CHECKS, FEW_CHECKS = 0.05, 8, 4, 100_000
 #: Members and bytes of sketches of a block.
 BLOCK_MEMBERS, BLOCK_BYTES = 2_048, 4 << 20
 #: Pairs of one document that are checked exactly in one task; more are dealt over several.
@@ -304,9 +304,8 @@ def spread_join(texts: DataFrame, pairs: DataFrame, near: DataFrame, key: str, b
     text of ``key`` is repeated, once a part, so the center of a hot group meets its members in many tasks."""
     ids = small(near.groupBy(F.col(key).alias("id")).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
     own = texts.join(ids, "id").select("id", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    hot = small(ids.filter("parts > 1").select(F.col("id").alias("hot"), "parts"))
-    dealt = pairs.join(hot, F.col(key) == F.col("hot"), "left") \
-        .select(*pairs.columns, F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int").alias("at"))
+    dealt = pairs.join(ids.withColumnRenamed("id", "hot"), F.col(key) == F.col("hot")) \
+        .select(*pairs.columns, F.pmod(F.xxhash64(by), F.col("parts")).cast("int").alias("at"))
     return own.join(dealt, (F.col("id") == F.col(key)) & (F.col("part") == F.col("at"))).select(*pairs.columns, "text", "part")
 
 
@@ -459,12 +458,13 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     discard(stars)
     near = near_pairs(first, rep_meta, num)
     label = _merge_labels(None, linked_pairs(near, texts, num))
+    n_tried, n_near = first.count(), near.count()
     discard(first, near)
     release(spark)
     left, size, pairs = _open_members(members, label)
-    discard(members)
     turn = 0
-    while pairs > FEW_PAIRS:
+    # a group's pairs are compared by sketches at once, unless too many of them would then be checked exactly
+    while pairs * n_near > (CHECKS * size + FEW_CHECKS) * max(n_tried, 1):
         turn += 1
         tried = staged(_next_stars(left, turn, num), "pairs")
         near = near_pairs(tried, rep_meta, num)
@@ -474,12 +474,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
         done, (left, size, pairs) = left, _open_members(left.drop("label"), label)
         discard(done, tried, near)
         release(spark)
-        # stars are of use while they link what they check, and what is left would be too much to check pair by pair
-        if n_links <= STAR_YIELD * n_near or pairs * n_near <= CHECKS * size * max(n_tried, 1):
+        if n_links <= STAR_YIELD * n_near:
             break
     near = near_across(left, rep_meta, num)
     label = _merge_labels(label, linked_pairs(near, texts, num))
-    discard(left, near)
+    discard(left, near, members)
     joined = meta.join(classes, ["n", "s1", "s2"], "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")))
     return joined.join(label, joined["class_id"] == label["node"], "left") \
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

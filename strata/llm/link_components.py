@@ -1,8 +1,8 @@
 """Components of a link table by local contraction.
 
-In a round every node goes over to the one of least keyed hash among itself and its neighbours; links are
-renamed after it, and links inside a node vanish. A node that is a local maximum always goes, so nodes
-shrink by a constant factor a round whatever the shape of the graph. Each round's map is kept; at the end the maps
+In a round every node goes over to the least one among itself and its neighbours, by a keyed hash; links are
+renamed after it, and links inside a node vanish. A local maximum always goes, so nodes shrink by a constant
+factor in a pair of rounds whatever the shape of the graph. Each round's map is kept; at the end the maps
 are composed from the last (smallest) to the first. A hub's neighbours are only aggregated, never gathered.
 """
 
@@ -20,7 +20,9 @@ def components(links: DataFrame) -> DataFrame:
     maps, turn = [], 0
     while not left.isEmpty():
         both = left.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(left.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        # first by the nodes themselves (stars around a least node take one round), then by hashes, each for two rounds
+        h = lambda c: F.lit(0) if turn < 2 else F.xxhash64(F.lit(turn // 2), c)  # noqa: B023, E731
+        rank = lambda c: F.struct(h(c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         least = both.groupBy("u").agg(F.min(rank("v")).alias("m"))
         maps.append(materialize(least.select(F.col("u").alias("node"), F.least("m", rank("u"))["to"].alias("to"))))
         a, b = (maps[-1].select(F.col("node").alias(c), F.col("to").alias(f"new_{c}")) for c in "ab")
