@@ -257,8 +257,10 @@ def test_word_hashes():
     assert len(set(WordHasher(3)([b"Ab ab AB ba abc a b"])[0].tolist())) == 7
 
 
-@pytest.mark.parametrize("search,loops", [(connected_components, [(5000, 5000)]), (link_components.components, [])])
-def test_connected_components(llm, search, loops):
+@pytest.mark.parametrize("search,loops,finish", [(connected_components, [(5000, 5000)], 0), (link_components.components, [], 0),
+                                                 (link_components.components, [], 100), (link_components.components, [], 50_000)])
+def test_connected_components(llm, monkeypatch, search, loops, finish):
+    monkeypatch.setattr(link_components, "FINISH", finish)
     rnd = random.Random(3)
     chain = list(range(0, 400))
     rnd.shuffle(chain)
