@@ -1,23 +1,30 @@
 """Market-basket operators.
 
-Frequent itemsets come from MLlib FP-growth (parallel FP-growth, distributed by item
-group). Rules are generated by the build itself because every antecedent/consequent
+Frequent itemsets are mined level by level on bitmaps of baskets, up to a length bound.
+Rules are generated by the build itself because every antecedent/consequent
 split is needed, not only single-item consequents: each itemset of n ≤ max_len items
 has 2^n − 2 splits, enumerated with array functions (at most 30 per itemset), and the
 supports are looked up by equi-joins on canonical (sorted) item arrays."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
 from ..functions.scalar import set_to_text
+from ..session import materialize, ship_package
 from .graph import connected_components
 
+#: Baskets of a bitmap range: 512 bytes an item and range.
+RANGE = 4096
+
 
 def basket_long(wide: DataFrame, id_col: str, item_cols: Sequence[str]) -> DataFrame:
     """B1: wide 0/1 matrix → long (basket_id, item); empty baskets disappear."""
@@ -39,21 +46,71 @@ def item_support(long: DataFrame, low: float = 0.01) -> DataFrame:
             .withColumn("below_min", F.col("support") < low).drop("_nb"))
 
 
-def frequent_itemsets(long: DataFrame, min_support: float = 0.01, max_len: int = 5,
-                      partitions: int | None = None) -> DataFrame:
+def _tid_lists(batches):
+    """Bitmaps of the baskets that hold each item, per range of at most ``RANGE`` baskets; item null: the baskets."""
+    schema = pa.schema([("range", pa.int64()), ("item", pa.string()), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
+    at = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for lo in range(0, batch.num_rows, RANGE):
+            lists = batch.column(0).slice(lo, RANGE)
+            coded = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            words = -(-len(lists) // 64)
+            bits = np.zeros((len(coded.dictionary), words), np.uint64)
+            code = coded.indices.to_numpy()
+            np.bitwise_or.at(bits, (code, row >> 6), np.uint64(1) << (row & 63).astype(np.uint64))
+            k = len(bits)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * words), pa.array(bits.ravel().view(np.int64)))
+            counts = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, at)), coded.dictionary.cast(pa.string()), pa.array(counts), flat], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([None], pa.string()), pa.array([len(lists)]), pa.array([None], flat.type)], schema=schema)
+            at += 1
+
+
+def _candidates(found: DataFrame, size: int) -> DataFrame:
+    """(items, left, last): sets of ``size`` + 1 items all of whose subsets of ``size`` items are in ``found``. Two sets
+    with the same first items give one; then each candidate looks up its own subsets."""
+    a = found.select(F.slice("items", 1, size - 1).alias("prefix"), F.col("items").alias("left"))
+    b = found.select(F.slice("items", 1, size - 1).alias("prefix"), F.element_at("items", -1).alias("last"))
+    made = a.join(b, "prefix").where(F.element_at("left", -1) < F.col("last")) \
+        .select(F.concat("left", F.array("last")).alias("items"), "left", "last")
+    if size == 1:      # both parts are frequent by themselves
+        return made
+    part = F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("part")
+    whole = made.select("items", part).join(found.select(F.col("items").alias("part")), "part") \
+        .groupBy("items").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") == size + 1).select("items")
+    return made.join(whole, "items", "left_semi")
+
+
+def frequent_itemsets(long: DataFrame, min_support: float = 0.01, max_len: int = 5) -> DataFrame:
     """Itemsets with support ≥ min_support and at most ``max_len`` items:
-    (items sorted array, size, n baskets, support). FP-growth has no length bound, so
-    the bound is a post-filter (same result)."""
-    arr = basket_arrays(long)
-    nb = arr.agg(F.count(F.lit(1)).alias("_nb"))
-    fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0)
-    if partitions:
-        fp = fp.setNumPartitions(partitions)
-    fi = fp.fit(arr).freqItemsets
-    fi = fi.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")).where(F.size("items") <= max_len)
-    return (with_totals(fi, nb).withColumn("support", F.col("n") / F.col("_nb"))
-            .where(F.col("n") >= F.lit(min_support) * F.col("_nb"))
-            .withColumn("size", F.size("items")).drop("_nb"))
+    (items sorted array, size, n baskets, support), mined level by level.
+
+    Baskets become bitmaps per (basket range, item). A candidate of k + 1 items is made only if all its parts of
+    k items are frequent; its bitmap in a range is the AND of a frequent part's and its last item's, so no set above
+    ``max_len`` and none with an infrequent part is ever counted. The result is a stored table: rules,
+    filters and edges built on it do not mine again. Null items are left out; baskets of nulls only count as baskets."""
+    ship_package(long.sparkSession)
+    tids = materialize(basket_arrays(long).select("items").mapInArrow(_tid_lists, "range long, item string, n long, bits array<long>"))
+    n_baskets = tids.where("item IS NULL").agg(F.sum("n")).first()[0] or 0
+    low = F.lit(min_support) * F.lit(n_baskets)
+    singles = tids.where("item IS NOT NULL")
+    found = materialize(singles.groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= low).select(F.array("item").alias("items"), "n"))
+    singles = materialize(singles.join(found.select(F.col("items")[0].alias("item")), "item", "left_semi").select("range", "item", "bits"))
+    levels, now = [found], singles.select("range", F.array("item").alias("left"), "bits")
+    for size in range(1, max_len):
+        wanted = _candidates(found, size)
+        pairs = now.join(wanted, "left").join(singles.select("range", F.col("item").alias("last"), F.col("bits").alias("_b")), ["range", "last"]) \
+            .select("range", "items", F.zip_with("bits", "_b", lambda x, y: x.bitwiseAND(y)).alias("bits")) \
+            .withColumn("n", F.aggregate("bits", F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x))).where("n > 0")
+        pairs = materialize(pairs)
+        found = materialize(pairs.groupBy("items").agg(F.sum("n").alias("n")).where(F.col("n") >= low))
+        if found.isEmpty():
+            break
+        levels.append(found)
+        now = pairs.join(found.select("items"), "items", "left_semi").select("range", F.col("items").alias("left"), "bits")
+    return functools.reduce(DataFrame.unionByName, levels) \
+        .select("items", "n", (F.col("n") / F.lit(n_baskets)).alias("support"), F.size("items").alias("size"))
 
 
 def _splits(items: Column) -> Column:

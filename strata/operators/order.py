@@ -18,6 +18,7 @@ ranges, so a hot value is spread over many tasks and the rows are shuffled once.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -25,7 +26,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DEFAULT_BUCKETS = 64
+#: Rows of a counted table that are broadcast on purpose, and of one that a window per group may order.
+BROADCAST_ROWS, WINDOW_ROWS = 100_000, 2_000_000
 
 
 def _n_buckets(df: DataFrame, n_buckets: int | None) -> int:
@@ -61,7 +66,7 @@ def quantile_edges(df: DataFrame, col: str, n_buckets: int, accuracy: int = 1000
     qs = [i / n_buckets for i in range(1, n_buckets)]
     row = df.where(present(col)).select(F.percentile_approx(F.col(col).cast("double"), qs, accuracy).alias("e")).first()
     edges = row["e"] if row and row["e"] else []
-    return sorted({float(e) for e in edges if e is not None})
+    return sorted({float(e) for e in edges if e is not None and abs(e) != float("inf")})
 
 
 def bucketize(df: DataFrame, col: str, edges: Sequence[float], out: str) -> DataFrame:
@@ -93,10 +98,12 @@ def ordered_cumulative(d: DataFrame, order_col: str, sums: Sequence[str], by: Se
     w_tot = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_ob") \
         .rowsBetween(Window.unboundedPreceding, -1)
     # at most n_buckets rows per group: tiny
-    off = tot.select(*by, "_ob", *[F.coalesce(F.sum(f"_t_{s}").over(w_tot), F.lit(0)).alias(f"_o_{s}") for s in sums])
+    off = tot.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_ob").alias("_g_ob"),
+                     *[F.coalesce(F.sum(f"_t_{s}").over(w_tot), F.lit(0)).alias(f"_o_{s}") for s in sums])
     oc = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w_in = Window.partitionBy(*by, "_ob").orderBy(oc).rowsBetween(Window.unboundedPreceding, -1)
-    res = d.join(off, [*by, "_ob"])
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by], F.col("_ob") == F.col("_g_ob"))
+    res = d.join(off, same).drop("_g_ob", *[f"_g_{c}" for c in by])
     for s in sums:
         res = res.withColumn(f"{s}_before", F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(w_in), F.lit(0)))
     if keep_bucket:   # bucket id stays for callers that join on it (exact quantiles)
@@ -203,39 +210,79 @@ def with_deciles(df: DataFrame, score: str, key: str, out: str = "decile", group
             .withColumn(out, decile_of_rank("_rk", "_n", groups)).drop("_rk", "_n"))
 
 
+def _brackets(g: DataFrame, by: list[str], qs: Sequence[float], accuracy: int, margin: int) -> DataFrame:
+    """(by…, _N, _br): per group the row count and, for each target, a value range [lo, hi] that should hold its order
+    statistics, from one mergeable sketch. ``margin`` sketch errors are added on both sides."""
+    eps = margin / accuracy
+    p = sorted({x for q in qs for x in (max(q - eps, 0.0), min(q + eps, 1.0))})
+    at = {x: i for i, x in enumerate(p)}
+    agg = (g.groupBy(*by) if by else g).agg(
+        F.count(F.lit(1)).alias("_N"), F.percentile_approx("_v", [float(x) for x in p], accuracy).alias("_p"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # index targets are (n - 1) q and the one above: a row more at the upper end covers small groups
+    one = lambda q: F.struct(
+        (F.col("_min") if q - eps <= 0 else F.col("_p")[at[max(q - eps, 0.0)]]).alias("lo"),
+        (F.col("_max") if q + eps >= 1 else F.col("_p")[at[min(q + eps, 1.0)]]).alias("hi"))
+    return agg.select(*by, "_N", F.array_distinct(F.array(*[one(q) for q in qs])).alias("_br"))
+
+
+def compressed_counts(g: DataFrame, by: list[str], brackets: DataFrame) -> DataFrame:
+    """One row per value inside a bracket and one per gap between brackets, with counts: (by…, _c, _gap, n). The values
+    outside are counted where they lie; only those inside are shuffled."""
+    few = brackets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = brackets.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_br")
+    on = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by], F.lit(True))
+    x = g.join(F.broadcast(side) if few else side, on) if by else g.crossJoin(F.broadcast(side))  # without groups: one row
+    v = F.col("_v")
+    inside = F.exists("_br", lambda b: v.between(b["lo"], b["hi"]))
+    below = F.array_max(F.transform(F.filter("_br", lambda b: b["hi"] < v), lambda b: b["hi"]))
+    return x.select(*by, F.when(inside, v).otherwise(F.coalesce(below, F.lit(-math.inf))).alias("_c"), (~inside).alias("_gap")) \
+        .groupBy(*by, "_c", "_gap").agg(F.count(F.lit(1)).alias("n"))
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (),
-                    n_buckets: int | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation (numpy / pandas default), distributed.
+                    n_buckets: int | None = None, accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles with linear interpolation (numpy / pandas default), by refinement.
 
     h = (n−1)·q; value = v[⌊h⌋] + (h−⌊h⌋)·(v[⌊h⌋+1] − v[⌊h⌋]) where v is the sorted column.
-    The order statistics are read off the distinct-value table with running counts
-    (G0). Each target index is first placed in its value bucket using the small
-    per-bucket table, and the distinct values are then matched on (group, bucket), so
-    the work for a hot group is spread over its buckets, not put in one task.
-    Returns (by…, q, value)."""
+    A sketch per group (one pass, merged map-side) gives each target a narrow bracket of values. A second pass
+    counts: all values outside the brackets fall into a few gap counts before any shuffle, and only the
+    values inside travel, about 4 / ``accuracy`` of the rows a target. Running counts over this small table
+    are exact ranks, so the order statistics are read off it; should a target fall into a gap, its bracket was
+    too narrow, and the brackets are widened and counted again. Returns (by…, q, value); NULL and NaN values are
+    left out, a NULL group is a group."""
     by = list(by)
-    st = score_table(df, col, by=by, n_buckets=n_buckets, keep_bucket=True) \
-        .select(*by, "_ob", F.col(col).cast("double").alias("_v"), "n", "n_before")
-    bk = st.groupBy(*by, "_ob").agg(F.min("n_before").alias("_start"), F.sum("n").alias("_cnt"))   # ≤ buckets per group
-    cnt = (bk.groupBy(*by) if by else bk).agg(F.sum("_cnt").alias("_N"))
+    g = df.where(present(col)).select(*by, F.col(col).cast("double").alias("_v"))
     qarr = F.array(*[F.lit(float(q)) for q in qs])
-    tg = (cnt.select(*by, "_N", F.explode(qarr).alias("q"))
-          .withColumn("_h", (F.col("_N") - 1) * F.col("q"))
-          .withColumn("_lo", F.floor("_h").cast("long"))
-          .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_N") - 1))
-          .withColumn("_fr", F.col("_h") - F.col("_lo")))
-    idx = tg.select(*by, "q", "_fr", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_lo").alias("i")),
-        F.struct(F.lit(1).alias("side"), F.col("_hi").alias("i")))).alias("_t")).select(*by, "q", "_fr", "_t.side", "_t.i")
-    # both sides are small per group (|qs|·2 targets, ≤ n_buckets buckets)
-    placed = (idx.join(bk, by) if by else idx.crossJoin(bk)) \
-        .where((F.col("_start") <= F.col("i")) & (F.col("i") < F.col("_start") + F.col("_cnt"))) \
-        .select(*by, "_ob", "q", "_fr", "side", "i")
-    hit = (st.join(placed, [*by, "_ob"])
-           .where((F.col("n_before") <= F.col("i")) & (F.col("i") < F.col("n_before") + F.col("n"))))
-    res = hit.groupBy(*by, "q").agg(F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_vlo"),
-                                    F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_vhi"),
-                                    F.first("_fr").alias("_fr"))
+    margin = 2
+    while True:
+        br = materialize(_brackets(g, by, qs, accuracy, margin))
+        small = materialize(compressed_counts(g, by, br))
+        if small.count() <= WINDOW_ROWS:
+            w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_c", "_gap").rowsBetween(Window.unboundedPreceding, -1)
+            st = small.withColumn("n_before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+        else:  # a gap sorts behind the value it follows
+            both = small.groupBy(*by, "_c").agg(F.sum(F.when(~F.col("_gap"), F.col("n")).otherwise(0)).alias("_in"), F.sum("n").alias("n"))
+            st = ordered_cumulative(both, "_c", ["n"], by=by, n_buckets=n_buckets)
+            st = st.withColumn("_e", F.explode(F.array(F.struct(F.lit(False).alias("gap"), F.col("_in").alias("m"), F.col("n_before").alias("at")),
+                                                       F.struct(F.lit(True).alias("gap"), (F.col("n") - F.col("_in")).alias("m"),
+                                                                (F.col("n_before") + F.col("_in")).alias("at"))))) \
+                .select(*by, "_c", F.col("_e.gap").alias("_gap"), F.col("_e.m").alias("n"), F.col("_e.at").alias("n_before")).where("n > 0")
+        tg = (br.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_N", F.explode(qarr).alias("q"))
+              .withColumn("_h", (F.col("_N") - 1) * F.col("q")).withColumn("_lo", F.floor("_h").cast("long"))
+              .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_N") - 1)).withColumn("_fr", F.col("_h") - F.col("_lo")))
+        # targets are few: each row of the small table takes those of its group that lie in it
+        per = tg.groupBy(*[f"_g_{c}" for c in by]).agg(F.collect_list(F.struct("q", "_lo", "_hi", "_fr")).alias("_t"))
+        on = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by], F.lit(True))
+        end = F.col("n_before") + F.col("n")
+        holds = lambda i: (F.col("n_before") <= i) & (i < end)
+        near = (st.join(per, on) if by else st.crossJoin(F.broadcast(per)))
+        hit = near.select(*by, "_c", "_gap", "n_before", "n", F.explode(F.filter("_t", lambda t: holds(t["_lo"]) | holds(t["_hi"]))).alias("t"))
+        res = materialize(hit.groupBy(*by, F.col("t.q").alias("q")).agg(
+            F.max(F.when(holds(F.col("t._lo")), F.col("_c"))).alias("_vlo"), F.max(F.when(holds(F.col("t._hi")), F.col("_c"))).alias("_vhi"),
+            F.first("t._fr").alias("_fr"), F.max("_gap").alias("_gap")))
+        if margin >= accuracy or not res.where("_gap").limit(1).count():
+            break
+        margin *= 16
     return res.select(*by, "q", (F.col("_vlo") + F.col("_fr") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
 
 

@@ -54,9 +54,16 @@ def rule_cols(df):
                      "n", *[r(c).alias(c) for c in ["support", "confidence", "lift", "leverage", "conviction"]])
 
 
+def mined(fx, view: str):
+    """The itemsets of a view, mined once per query: all that is built on them reads one stored table."""
+    tables = fx.__dict__.setdefault("_mined", {})
+    if view not in tables:
+        tables[view] = B.frequent_itemsets(getattr(fx, view), MIN_SUPPORT, MAX_LEN)
+    return tables[view]
+
+
 def type_rules(fx):
-    fi = B.frequent_itemsets(fx.baskets_type, MIN_SUPPORT, MAX_LEN)
-    return B.association_rules(fi, 1.0)
+    return B.association_rules(mined(fx, "baskets_type"), 1.0)
 
 
 def type_collapsed(fx):
@@ -81,14 +88,14 @@ def item_support(fx):
 @query("frequent_itemsets", f"""WITH {_items_sql('baskets_type')}
 SELECT array_to_string(items, ' + ') AS itemset, size, n, round(support, 6) AS support FROM fi""")
 def frequent_itemsets(fx):
-    fi = B.frequent_itemsets(fx.baskets_type, MIN_SUPPORT, MAX_LEN)
+    fi = mined(fx, "baskets_type")
     return fi.select(S.set_to_text("items").alias("itemset"), "size", "n", r("support").alias("support"))
 
 
 @query("itemset_sizes", f"""WITH {_items_sql('baskets_type')}
 SELECT size, count(*) AS itemsets FROM fi GROUP BY size""")
 def itemset_sizes(fx):
-    fi = B.frequent_itemsets(fx.baskets_type, MIN_SUPPORT, MAX_LEN)
+    fi = mined(fx, "baskets_type")
     return fi.groupBy("size").agg(F.count(F.lit(1)).alias("itemsets"))
 
 
@@ -101,7 +108,7 @@ def association_rules(fx):
 @query("rule_metrics", f"""WITH {_items_sql('baskets_brand')}, {RULES_SQL}
 SELECT {RULE_COLS_SQL} FROM rules""")
 def rule_metrics(fx):
-    fi = B.frequent_itemsets(fx.baskets_brand, MIN_SUPPORT, MAX_LEN)
+    fi = mined(fx, "baskets_brand")
     return rule_cols(B.association_rules(fi, 1.0))
 
 
@@ -176,7 +183,7 @@ SELECT (SELECT nb FROM nb) AS n_baskets, (SELECT count(DISTINCT item) FROM b) AS
   (SELECT round(max(lift), 6) FROM kept) AS max_lift""")
 def basket_summary(fx):
     lg = fx.baskets_type
-    fi = B.frequent_itemsets(lg, MIN_SUPPORT, MAX_LEN)
+    fi = mined(fx, "baskets_type")
     rules = B.association_rules(fi, 1.0)
     kept = B.rule_collapse(B.rule_filter(rules, **FILTER))
     per = lg.groupBy("basket_id").agg(F.count(F.lit(1)).alias("c"))
