@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
+from . import kmeans_batch as kb
 from .order import exact_quantiles
 
 
@@ -59,7 +60,7 @@ def robust_scale(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataF
 def kmeans_best(points: DataFrame, k: int, seeds: Sequence[int] = (42, 43, 44), max_iter: int = 100,
                 features: str = "features"):
     """K3: MLlib k-means from several seeds (k-means|| init), keep the least training
-    cost. The points are cached once for the iterations."""
+    cost."""
     best = None
     for s in seeds:
         m = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol=features, predictionCol="cluster_k").fit(points)
@@ -75,21 +76,17 @@ def to_points_long(df: DataFrame, id_col: str, features: str = "features", keep:
     return df.select(id_col, *keep, F.posexplode(vector_to_array(features)).alias("dim", "value"))
 
 
-def choose_k(points: DataFrame, id_col: str, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] = (42,),
+def choose_k(points: DataFrame, id_col: str, ks: Sequence[int] = range(2, 9), seeds: Sequence[int] = range(10),
              max_iter: int = 100) -> DataFrame:
-    """K4: per k, inertia, silhouette (all points), Davies-Bouldin and Calinski-Harabasz."""
-    pts = points.cache()
-    rows = []
-    for k in ks:
-        m = kmeans_best(pts, k, seeds, max_iter)
-        lab = m.transform(pts).select(id_col, F.col("cluster_k").alias("cluster"), "features")
-        lng = to_points_long(lab, id_col, keep=("cluster",))
-        sil = silhouette(lng, id_col).first()[0]
-        db = davies_bouldin(lng, id_col).first()[0]
-        ch = calinski_harabasz(lng, id_col).first()[0]
-        rows.append((int(k), float(m.summary.trainingCost), float(sil) if sil is not None else None, float(db), float(ch)))
-    pts.unpersist()
-    return points.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double")
+    """K4: per k, inertia, silhouette (all points), Davies-Bouldin and Calinski-Harabasz of the best of ten starts.
+    All starts of all k advance in one pass (:mod:`.kmeans_batch`)."""
+    data = kb.keyed(points, id_col)
+    runs = kb.fit_runs(data, [kb.Run(int(k), int(s)) for k in ks for s in seeds], max_iter)
+    best = [kb.best_of([r for r in runs if r.k == k]) for k in ks]
+    schema = "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double"
+    if any(r.centres is None for r in best):     # no points
+        return points.sparkSession.createDataFrame([(r.k, None, None, None, None) for r in best], schema)
+    return points.sparkSession.createDataFrame([(r.k, float(r.cost), *q) for r, q in zip(best, kb.quality(data, best), strict=True)], schema)
 
 
 def pca2(points: DataFrame, id_col: str, k: int = 2):
@@ -205,19 +202,17 @@ def ari(df: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(F.when(mx == exp, F.lit(1.0)).otherwise((F.col("sij") - exp) / (mx - exp)).alias("ari"))
 
 
-def bootstrap_stability(points: DataFrame, id_col: str, k: int, n_boot: int = 10, seed: int = 42,
-                        max_iter: int = 100) -> DataFrame:
-    """K9: refit on Poisson bootstrap resamples, ARI of each refit against the base model
-    on all points; mean, min and population std of the ARIs."""
-    pts = points.cache()
-    base = kmeans_best(pts, k, (seed,), max_iter)
-    lab0 = base.transform(pts).select(id_col, F.col("cluster_k").alias("a"))
-    aris = []
-    for b in range(n_boot):
-        m = kmeans_best(pts.sample(True, 1.0, seed + 1 + b), k, (seed,), max_iter)
-        lab = m.transform(pts).select(id_col, F.col("cluster_k").alias("b")).join(lab0, id_col)
-        aris.append(float(ari(lab, "a", "b").first()[0]))
-    pts.unpersist()
-    arr = np.array(aris)
+def bootstrap_stability(points: DataFrame, id_col: str, ks: Sequence[int] = range(3, 8), n_boot: int = 10,
+                        seeds: Sequence[int] = range(10), max_iter: int = 100) -> DataFrame:
+    """K9: per k, models fitted on Poisson bootstrap resamples (best of all starts each) against the base model;
+    mean, min and population std of the ARIs on the resamples. All k, resamples and starts advance in one pass."""
+    data = kb.keyed(points, id_col)
+    runs = kb.fit_runs(data, [kb.Run(int(k), int(s), b) for k in ks for b in (None, *range(n_boot)) for s in seeds], max_iter)
+    schema = "k int, ari_mean double, ari_min double, ari_std double"
+    if any(r.centres is None for r in runs):     # no points
+        return points.sparkSession.createDataFrame([(int(k), None, None, None) for k in ks], schema)
+    best = {(k, b): kb.best_of([r for r in runs if r.k == k and r.resample == b]) for k in ks for b in (None, *range(n_boot))}
+    pairs = [(best[k, None], best[k, b]) for k in ks for b in range(n_boot)]
+    found = np.array(kb.agreement(data, pairs)).reshape(len(list(ks)), n_boot)
     return points.sparkSession.createDataFrame(
-        [(int(k), float(arr.mean()), float(arr.min()), float(arr.std()))], "k int, ari_mean double, ari_min double, ari_std double")
+        [(int(k), float(a.mean()), float(a.min()), float(a.std())) for k, a in zip(ks, found, strict=True)], schema)

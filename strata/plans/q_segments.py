@@ -116,14 +116,14 @@ def kmeans(fx):
 
 @query("choose_k")
 def choose_k(fx):
-    """Rows-only: k = 2..8 with inertia, silhouette, Davies-Bouldin, Calinski-Harabasz."""
+    """Rows-only: k = 2..8, best of ten starts, with inertia, silhouette, Davies-Bouldin, Calinski-Harabasz."""
     return K.choose_k(fx.emb_vectors, "vec_id", range(2, 9))
 
 
 @query("bootstrap_stability")
 def bootstrap_stability(fx):
-    """Rows-only: 10 Poisson bootstraps at k = 6, ARI against the base fit."""
-    return K.bootstrap_stability(fx.emb_vectors, "vec_id", 6, n_boot=10)
+    """Rows-only: 10 Poisson bootstraps for k = 3..7, ten starts each, ARI on the resample."""
+    return K.bootstrap_stability(fx.emb_vectors, "vec_id", range(3, 8), n_boot=10)
 
 
 @query("pca2")
