@@ -54,6 +54,8 @@ REPEATS, FREQUENT = 3, 1_000_000
 STAR_YIELD, CENTERS, CHECKS, FEW_CHECKS = 0.05, 8, 4, 100_000
 #: Members and bytes of sketches of a block.
 BLOCK_MEMBERS, BLOCK_BYTES = 2_048, 4 << 20
+#: Pairs that a task gathers before it sends them on.
+PAIRS_HELD = 250_000
 #: Pairs of one document that are checked exactly in one task; more are dealt over several.
 PARTNERS = 128
 PART_BYTES, COUNT_BYTES = 8 << 20, 16 << 20
@@ -400,10 +402,20 @@ def _compare_groups(num: int):
             return
         n, label, block, ids = (rows.column(c).to_numpy() for c in ("n", "label", "block", "id"))
         sketches = rows.column("sketch").to_pylist()
-        found = [_compare(n[x:y], label[x:y], block[x:y], ids[x:y], sketches[x:y], cols[1][x] != cols[2][x], num)
-                 for x, y in zip(first, np.append(first[1:], rows.num_rows), strict=False) if x < rows.num_rows]
+        found, held = [], 0
+        for x, y in zip(first, np.append(first[1:], rows.num_rows), strict=False):
+            if x < rows.num_rows:
+                found.append(_compare(n[x:y], label[x:y], block[x:y], ids[x:y], sketches[x:y], cols[1][x] != cols[2][x], num))
+                held += len(found[-1][0])
+                if held > PAIRS_HELD:
+                    yield unique(found)
+                    found, held = [], 0
+        if held:
+            yield unique(found)
+
+    def unique(found):
         pairs = np.unique(np.stack([np.concatenate([f[i] for f in found]) for i in (0, 1)], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
 

@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import every
+from .common import every, small
 from .wordhash import WordHasher, mark_runs, positions, runs_of, window_hash
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 ANCHOR_BASE, WINDOW_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Hash rows: (k, b, id) sent on, or settled runs x of document id (then k is the id). Anchors have no b.
 RUNS = pa.struct([("th", pa.int64()), ("runs", pa.binary())])
 FIELDS = {"k": ("long", pa.int64()), "b": ("int", pa.int32()), "id": ("long", pa.int64()), "x": ("struct<th:long,runs:binary>", RUNS)}
@@ -263,7 +263,7 @@ def _copies(texts: DataFrame) -> DataFrame:
     """(copy_id, ths): ids with the hashes of those of their texts that also belong to a smaller id."""
     narrow = texts.filter(F.col("id").isNotNull()).select("id", "th", F.xxhash64(F.lit("second"), "text").alias("th2"))
     several = narrow.groupBy("th", "th2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    found = narrow.join(several, ["th", "th2"]).filter("id > first")
+    found = narrow.join(small(several), ["th", "th2"]).filter("id > first")
     return materialize(found.groupBy("id").agg(F.collect_set("th").alias("ths")).withColumnRenamed("id", "copy_id"))
 
 
