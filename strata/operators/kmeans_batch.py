@@ -215,3 +215,11 @@ def agreement(data: DataFrame, pairs: list[tuple[Run, Run]]) -> list[float]:
 
     found = partial_sums(data, tables)
     return [adjusted_rand(found[i, 0].reshape(a.k, b.k)) for i, (a, b) in enumerate(pairs)]
+
+
+def label(points: DataFrame, id_col: str, model: Run, features: str = "features") -> DataFrame:
+    """(id, cluster): the nearest centre of each point."""
+    x = vector_to_array(features)
+    apart = [F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+             for c in model.centres]
+    return points.select(id_col, F.array(*apart).alias("_d")).select(id_col, (F.array_position("_d", F.array_min("_d")) - 1).cast("int").alias("cluster"))

@@ -216,3 +216,55 @@ def bootstrap_stability(points: DataFrame, id_col: str, ks: Sequence[int] = rang
     found = np.array(kb.agreement(data, pairs)).reshape(len(list(ks)), n_boot)
     return points.sparkSession.createDataFrame(
         [(int(k), float(a.mean()), float(a.min()), float(a.std())) for k, a in zip(ks, found, strict=True)], schema)
+
+
+# ---------------------------------------------------------------- K10, K11, K13
+#: Medians of a profile; the mean stage (M1 = 1, M2 = 2, M3 = 3) is indexed with them.
+PROFILE_MEDIANS = ("granted", "balance", "balance_ratio", "prior_credits", "nominal_rate")
+INDEXED = (*PROFILE_MEDIANS, "mean_stage")
+
+
+def _profiled(clients: DataFrame) -> DataFrame:
+    return clients.withColumn("balance_ratio", F.try_divide(F.col("balance"), F.col("granted"))) \
+        .withColumn("stage_num", F.regexp_extract("stage", "([0-9]+)", 1).try_cast("double"))
+
+
+def _medians(x: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Exact medians of all profile variables per group, in one refinement."""
+    lng = x.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in PROFILE_MEDIANS])).alias("_s")) \
+        .select(*by, "_s.variable", "_s.value")
+    q = exact_quantiles(lng, "value", [0.5], by=[*by, "variable"])
+    return q.groupBy(*by).pivot("variable", list(PROFILE_MEDIANS)).agg(F.first("value"))
+
+
+def cluster_profile(base: DataFrame, active: DataFrame | None = None, cluster: str = "cluster") -> DataFrame:
+    """Per cluster n, rate of ``y``, medians, mean stage, shares (stage 2 or 3, first credit, women), balance and
+    shares of clients and of the portfolio, with the other population's count and balance (NULL without members)."""
+    x = _profiled(base)
+    share = lambda cond: F.avg(cond.cast("double"))
+    g = x.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"), F.avg("stage_num").alias("mean_stage"), share(F.col("stage_num") >= 2).alias("share_stage23"),
+        share(F.col("prior_credits") == 1).alias("share_first"), share(F.upper(F.trim("sex")) == "F").alias("share_women"), F.sum("balance").alias("total_balance"))
+    g = g.join(_medians(x, [cluster]), cluster)
+    total = g.agg(F.sum("n").alias("_n"), F.sum("total_balance").alias("_b"))
+    g = with_totals(g, total).withColumn("clients_pct", 100.0 * F.col("n") / F.col("_n")) \
+        .withColumn("portfolio_pct", F.try_divide(100.0 * F.col("total_balance"), F.col("_b"))).drop("_n", "_b")
+    if active is None:
+        return g
+    return g.join(active.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_active"), F.sum("balance").alias("balance_active")), cluster, "left")
+
+
+def cluster_index(profile: DataFrame, base: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """A profile's medians and mean stage against those of the whole population = 100."""
+    x = _profiled(base)
+    one = with_totals(_medians(x, []), x.agg(F.avg("stage_num").alias("mean_stage")))
+    whole = one.select(*[F.col(c).alias(f"_g_{c}") for c in INDEXED])
+    return with_totals(profile, whole).select(cluster, *[F.try_divide(100.0 * F.col(c), F.col(f"_g_{c}")).alias(f"idx_{c}") for c in INDEXED])
+
+
+def cluster_active_summary(active: DataFrame, profile: DataFrame, cluster: str = "cluster", p: str = "p", recommend: str = "recommend") -> DataFrame:
+    """Active members with mean and expected losses, balance and campaign count, beside the historic rate and
+    share of clients (NULL for a cluster without history)."""
+    g = active.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_active"), F.avg(p).alias("p_active"), F.sum(p).alias("expected_losses"),
+                                    F.sum("balance").alias("balance_active"), F.count_if(F.col(recommend) == "Yes").alias("campaign"))
+    return g.join(profile.select(cluster, F.col("rate").alias("hist_rate"), "clients_pct"), cluster, "left")

@@ -133,45 +133,41 @@ def pca2(fx):
     return proj.withColumn("ev1", F.lit(ev[0])).withColumn("ev2", F.lit(ev[1]))
 
 
-@query("profile_clusters", """
-WITH h AS (SELECT product AS cluster, count(*) AS n, avg(CAST(y AS DOUBLE)) AS rate, median(granted) AS median_granted,
-  median(balance) AS median_balance, avg(CASE WHEN prior_credits = 1 THEN 1.0 ELSE 0.0 END) AS share_first,
-  avg(prior_credits) AS mean_credits, sum(balance) AS balance FROM portfolio_base GROUP BY 1),
-a AS (SELECT product AS cluster, count(*) AS n_active FROM portfolio_active GROUP BY 1)
-SELECT cluster, n, round(rate, 6) AS rate, round(median_granted, 6) AS median_granted, round(median_balance, 6) AS median_balance,
-  round(share_first, 6) AS share_first, round(mean_credits, 6) AS mean_credits, round(balance, 2) AS balance,
-  round(100.0 * n / sum(n) OVER (), 6) AS clients_pct, round(100 * balance / sum(balance) OVER (), 6) AS portfolio_pct, n_active
-FROM h LEFT JOIN a USING (cluster)""")
+PROFILE_SQL = """
+x AS (SELECT *, product AS cluster, balance / granted AS balance_ratio, CAST(substr(stage, 2) AS DOUBLE) AS stage_num FROM portfolio_base),
+pr AS (SELECT cluster, count(*) AS n, avg(CAST(y AS DOUBLE)) AS rate, median(granted) AS granted, median(balance) AS balance,
+         median(balance_ratio) AS balance_ratio, median(CAST(prior_credits AS DOUBLE)) AS prior_credits, median(nominal_rate) AS nominal_rate,
+         avg(stage_num) AS mean_stage, avg(CASE WHEN stage_num >= 2 THEN 1.0 ELSE 0.0 END) AS share_stage23,
+         avg(CASE WHEN prior_credits = 1 THEN 1.0 ELSE 0.0 END) AS share_first,
+         avg(CASE WHEN upper(trim(sex)) = 'F' THEN 1.0 ELSE 0.0 END) AS share_women, sum(balance) AS total_balance FROM x GROUP BY 1)"""
+MEASURES = ["rate", *K.INDEXED, "share_stage23", "share_first", "share_women", "clients_pct", "portfolio_pct"]
+
+
+def by_product(df):
+    return df.withColumn("cluster", F.col("product"))
+
+
+@query("profile_clusters", f"""
+WITH {PROFILE_SQL},
+a AS (SELECT product AS cluster, count(*) AS n_active, sum(balance) AS balance_active FROM portfolio_active GROUP BY 1),
+w AS (SELECT *, 100.0 * n / sum(n) OVER () AS clients_pct, 100 * total_balance / sum(total_balance) OVER () AS portfolio_pct FROM pr)
+SELECT cluster, n, round(total_balance, 2) AS total_balance, n_active, round(balance_active, 2) AS balance_active,
+  {', '.join(f'round({c}, 6) AS {c}' for c in MEASURES)} FROM w LEFT JOIN a USING (cluster)""")
 def profile_clusters(fx):
-    from ..operators.relational import grouped_median, share_of_total
-    b = fx.portfolio_base.withColumnRenamed("product", "cluster")
-    g = b.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"),
-                                 F.avg((F.col("prior_credits") == 1).cast("double")).alias("share_first"),
-                                 F.avg("prior_credits").alias("mean_credits"), F.sum("balance").alias("balance"))
-    g = (g.join(grouped_median(b, ["cluster"], "granted", "median_granted"), "cluster")
-         .join(grouped_median(b, ["cluster"], "balance", "median_balance"), "cluster"))
-    g = share_of_total(share_of_total(g, "n", "clients_pct"), "balance", "portfolio_pct")
-    a = fx.portfolio_active.groupBy(F.col("product").alias("cluster")).agg(F.count(F.lit(1)).alias("n_active"))
-    g = g.join(a, "cluster", "left")
-    return g.select("cluster", "n", r("balance", 2).alias("balance"), "n_active",
-                    *[r(c).alias(c) for c in ["rate", "median_granted", "median_balance", "share_first", "mean_credits",
-                                              "clients_pct", "portfolio_pct"]])
-
-
-@query("cluster_index", """
-WITH g AS (SELECT avg(granted) AS granted, avg(balance) AS balance, avg(CAST(y AS DOUBLE)) AS rate, avg(prior_credits) AS credits FROM portfolio_base),
-c AS (SELECT product AS cluster, avg(granted) AS granted, avg(balance) AS balance, avg(CAST(y AS DOUBLE)) AS rate, avg(prior_credits) AS credits
-      FROM portfolio_base GROUP BY 1)
-SELECT cluster, round(100 * c.granted / g.granted, 6) AS idx_granted, round(100 * c.balance / g.balance, 6) AS idx_balance,
-  round(100 * c.rate / g.rate, 6) AS idx_rate, round(100 * c.credits / g.credits, 6) AS idx_credits FROM c, g""")
+    g = K.cluster_profile(by_product(fx.portfolio_base), by_product(fx.portfolio_active))
+    return g.select("cluster", "n", "n_active", r("total_balance", 2).alias("total_balance"), r("balance_active", 2).alias("balance_active"),
+                    *[r(c).alias(c) for c in MEASURES])
+
+
+@query("cluster_index", f"""
+WITH {PROFILE_SQL},
+g AS (SELECT median(granted) AS granted, median(balance) AS balance, median(balance_ratio) AS balance_ratio,
+        median(CAST(prior_credits AS DOUBLE)) AS prior_credits, median(nominal_rate) AS nominal_rate, avg(stage_num) AS mean_stage FROM x)
+SELECT cluster, {', '.join(f'round(100 * pr.{c} / g.{c}, 6) AS idx_{c}' for c in K.INDEXED)} FROM pr, g""")
 def cluster_index(fx):
-    from ..operators.relational import index_vs_global
-    b = fx.portfolio_base
-    aggs = [F.avg("granted").alias("granted"), F.avg("balance").alias("balance"), F.avg("y").alias("rate"),
-            F.avg("prior_credits").alias("credits")]
-    g = b.groupBy(F.col("product").alias("cluster")).agg(*aggs)
-    res = index_vs_global(g, b.agg(*aggs), ["granted", "balance", "rate", "credits"])
-    return res.select("cluster", *[r(f"idx_{c}").alias(f"idx_{c}") for c in ["granted", "balance", "rate", "credits"]])
+    base = by_product(fx.portfolio_base)
+    res = K.cluster_index(K.cluster_profile(base), base)
+    return res.select("cluster", *[r(f"idx_{c}").alias(f"idx_{c}") for c in K.INDEXED])
 
 
 @query("cluster_risk_cross", f"""
@@ -182,15 +178,30 @@ def cluster_risk_cross(fx):
 
 
 @query("cluster_vs_active", f"""
-WITH h AS (SELECT product AS cluster, avg(CAST(y AS DOUBLE)) AS hist_rate FROM portfolio_base GROUP BY 1),
-a AS (SELECT product AS cluster, count(*) AS n_active, avg(p) AS p_active, count(*) FILTER (WHERE {BENEFIT_SQL} > 0) AS campaign
-      FROM scored WHERE client_id % 5 = 0 GROUP BY 1)
-SELECT cluster, round(hist_rate, 6) AS hist_rate, n_active, round(p_active, 6) AS p_active, campaign FROM h LEFT JOIN a USING (cluster)""")
+WITH {PROFILE_SQL},
+w AS (SELECT cluster, rate, 100.0 * n / sum(n) OVER () AS clients_pct FROM pr),
+a AS (SELECT product AS cluster, count(*) AS n_active, avg(p) AS p_active, sum(p) AS expected_losses, sum(balance) AS balance_active,
+        count(*) FILTER (WHERE {BENEFIT_SQL} > 0) AS campaign FROM scored WHERE client_id % 5 = 0 GROUP BY 1)
+SELECT cluster, n_active, round(p_active, 6) AS p_active, round(expected_losses, 6) AS expected_losses, round(balance_active, 2) AS balance_active,
+  campaign, round(rate, 6) AS hist_rate, round(clients_pct, 6) AS clients_pct FROM a LEFT JOIN w USING (cluster)""")
 def cluster_vs_active(fx):
-    h = fx.portfolio_base.groupBy(F.col("product").alias("cluster")).agg(F.avg("y").alias("hist_rate"))
-    v = C.expected_value(fx.scored.where(F.col("client_id") % 5 == 0), "p", "granted", "nominal_rate", "client_id", CFG,
-                         priority=False)
-    a = v.groupBy(F.col("product").alias("cluster")).agg(F.count(F.lit(1)).alias("n_active"), F.avg("p").alias("p_active"),
-                                                        F.count_if(F.col("recommend") == "Yes").alias("campaign"))
-    return h.join(a, "cluster", "left").select("cluster", r("hist_rate").alias("hist_rate"), "n_active",
-                                               r("p_active").alias("p_active"), "campaign")
+    v = C.expected_value(fx.scored.where(F.col("client_id") % 5 == 0), "p", "granted", "nominal_rate", "client_id", CFG, priority=False)
+    g = K.cluster_active_summary(by_product(v), K.cluster_profile(by_product(fx.portfolio_base)))
+    return g.select("cluster", "n_active", "campaign", r("balance_active", 2).alias("balance_active"),
+                    *[r(c).alias(c) for c in ["p_active", "expected_losses", "hist_rate", "clients_pct"]])
+
+
+CLUSTERED = ("granted", "balance", "prior_credits", "nominal_rate")
+
+
+@query("profile_fitted_clusters")
+def profile_fitted_clusters(fx):
+    """Rows-only: the profile of fitted clusters (k = 6, best of ten starts) on robustly scaled variables."""
+    from pyspark.ml.feature import VectorAssembler
+    from ..operators import kmeans_batch as kb
+
+    scaled = K.robust_scale(fx.portfolio_base, K.fit_robust(fx.portfolio_base, CLUSTERED), CLUSTERED).select("client_id", *CLUSTERED)
+    points = VectorAssembler(inputCols=list(CLUSTERED), outputCol="features").transform(scaled).select("client_id", "features")
+    best = kb.best_of(kb.fit_runs(kb.keyed(points, "client_id"), [kb.Run(6, s) for s in range(10)]))
+    label = kb.label(points, "client_id", best)
+    return K.cluster_profile(fx.portfolio_base.join(label, "client_id")).select("cluster", "n", *[r(c).alias(c) for c in MEASURES])
