@@ -51,45 +51,89 @@ def logit_extrapolate(curve: DataFrame, k: str = "prior_credits", lo: int = 2, h
 CLIP = 1e-6
 
 
-def _expit_shift(p, c):
+def _logit(p):
+    """Clipped logit of a score; NULL for a missing score (NULL or NaN)."""
     q = F.least(F.greatest(p, F.lit(CLIP)), F.lit(1 - CLIP))
-    return 1 / (1 + F.exp(-(F.log(q / (1 - q)) + c)))
-
+    return F.when(present(p), F.log(q / (1 - q)))
 
-def prior_shift_constant(df: DataFrame, p: str, target: float, lo: float = -30.0, hi: float = 30.0,
-                         candidates: int = 64, passes: int = 6) -> float:
-    """C3 search: the shift c in logit space with mean(expit(logit p + c)) = target, p clipped to
-    [CLIP, 1 - CLIP]. NULL and NaN scores take no part; without any score there is nothing to shift
-    and c is 0. A target outside (0, 1), or beyond the search range, raises ValueError.
 
-    The mean is monotone in c. Each pass evaluates ``candidates`` values of c in ONE
-    aggregate over the distinct (p, count) table and keeps the bracketing pair, so the
-    driver sees ``candidates`` numbers per pass; 6 passes narrow 60 to ~1e-9."""
-    if not 0 < target < 1:
-        raise ValueError(f"the target mean {target} is not between 0 and 1")
-    d = df.where(present(p)).groupBy(p).agg(F.count(F.lit(1)).alias("_w")).cache()
+def _expit_shift(p, c):
+    return 1 / (1 + F.exp(-(_logit(p) + c)))
+
+
+def prior_shift_constants(df: DataFrame, p: str, targets: Sequence[float], lo: float = -30.0, hi: float = 30.0,
+                          candidates: int = 32, passes: int = 7) -> list[float]:
+    """C3 search for any number of targets at once: per target the shift c in logit space with
+    mean(expit(logit p + c)) = target, p clipped to [CLIP, 1 - CLIP]. NULL and NaN scores take no part;
+    without any score there is nothing to shift and every c is 0. A target outside (0, 1), or beyond the
+    search range, raises ValueError.
+
+    The mean is monotone in c. Each pass evaluates ``candidates`` values of c per target in ONE aggregate over
+    the distinct (p, count) table and keeps every target's bracketing pair: the driver sees ``candidates``
+    numbers a target, and the number of passes does not depend on the targets; 7 passes narrow 60 to ~1e-9."""
+    for t in targets:
+        if not 0 < t < 1:
+            raise ValueError(f"the target mean {t} is not between 0 and 1")
+    if not targets:
+        return []
+    d = df.where(present(p)).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_w")) \
+        .select(_logit(F.col("_p")).alias("_z"), "_w").cache()
+    brackets = [(lo, hi)] * len(targets)
+    ends: list[tuple[float, float, float, float]] = []
     try:
         for i in range(passes):
-            cs = [lo + (hi - lo) * j / (candidates - 1) for j in range(candidates)]
-            row = d.agg(*[(F.sum(F.col("_w") * _expit_shift(F.col(p), F.lit(c))) / F.sum("_w")).alias(f"m{j}")
-                          for j, c in enumerate(cs)]).first()
-            means = [row[f"m{j}"] for j in range(candidates)]
-            if means[0] is None:
-                return 0.0
-            if i == 0 and not means[0] <= target <= means[-1]:
-                raise ValueError(f"no shift in [{lo}, {hi}] gives the target mean {target}")
-            j = next((j for j in range(1, candidates) if means[j] >= target), candidates - 1)
-            lo, hi, mlo, mhi = cs[j - 1], cs[j], means[j - 1], means[j]
+            # all brackets are the same in the first pass
+            grids = [[x + (y - x) * j / (candidates - 1) for j in range(candidates)] for x, y in (brackets if i else brackets[:1])]
+            flat = F.array(*[F.lit(c) for g in grids for c in g])
+            rows = d.select("_z", "_w", F.posexplode(flat).alias("j", "c")).groupBy("j") \
+                .agg((F.sum(F.col("_w") / (1 + F.exp(-(F.col("_z") + F.col("c"))))) / F.sum("_w")).alias("m")).collect()
+            if not rows:
+                return [0.0] * len(targets)
+            found = {r["j"]: r["m"] for r in rows}
+            ends = []
+            for k, t in enumerate(targets):
+                base = k if i else 0
+                cs, means = grids[base], [found[base * candidates + j] for j in range(candidates)]
+                if i == 0 and not means[0] <= t <= means[-1]:
+                    raise ValueError(f"no shift in [{lo}, {hi}] gives the target mean {t}")
+                j = next((j for j in range(1, candidates) if means[j] >= t), candidates - 1)
+                ends.append((cs[j - 1], cs[j], means[j - 1], means[j]))
+            brackets = [(x, y) for x, y, _, _ in ends]
     finally:
         d.unpersist()
-    if mhi == mlo:
-        return (lo + hi) / 2
-    return lo + (target - mlo) * (hi - lo) / (mhi - mlo)
+    return [(x + y) / 2 if my == mx else x + (t - mx) * (y - x) / (my - mx) for t, (x, y, mx, my) in zip(targets, ends, strict=True)]
+
+
+def prior_shift_constant(df: DataFrame, p: str, target: float, lo: float = -30.0, hi: float = 30.0) -> float:
+    """C3 search for one target (see ``prior_shift_constants``)."""
+    return prior_shift_constants(df, p, [target], lo, hi)[0]
+
+
+def prior_sensitivity(df: DataFrame, p: str, key: str, where, targets: Sequence[float], tops: Sequence[int]) -> DataFrame:
+    """C4: per target mean of the rows selected by ``where``: mean and sum of all scores after the shift, and
+    for each K of ``tops`` how many selected rows stand among the K highest (ties by key, missing scores last).
+
+    One search serves all targets. The shift keeps the order of the selected rows and leaves the others as they
+    are, so the K highest of any target are among the K highest of either side: 2 x max(K) rows, found once,
+    are ranked per target. The sums are one aggregate, combined before the shuffle."""
+    cs = prior_shift_constants(df.where(where), p, targets)
+    shifts = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("target"), F.lit(c).alias("c")) for t, c in zip(targets, cs, strict=True)])).alias("_s")
+    x = df.select(F.col(key).alias("_key"), F.col(p).alias("_p"), F.coalesce(where, F.lit(False)).alias("_in"))
+    after = F.when(F.col("_in"), _expit_shift(F.col("_p"), F.col("_s.c"))).otherwise(F.when(present("_p"), F.col("_p")))
+    sums = x.select("_p", "_in", shifts).groupBy(F.col("_s.target").alias("target")).agg(F.avg(after).alias("p_mean"), F.sum(after).alias("expected_losses"))
+    order = F.when(F.col("_in"), _logit(F.col("_p"))).otherwise(F.col("_p"))
+    order = F.when(present("_p"), order).desc_nulls_last()      # missing scores last
+    high = [x.where(side).orderBy(order, F.col("_key").asc_nulls_last()).limit(max(tops)) for side in (F.col("_in"), ~F.col("_in"))]
+    w = Window.partitionBy("_s.target").orderBy(after.desc_nulls_last(), F.col("_key").asc_nulls_last())     # 2 x max(tops) rows a target
+    ranked = high[0].unionByName(high[1]).select("*", shifts).withColumn("_rk", F.row_number().over(w))
+    counts = ranked.groupBy(F.col("_s.target").alias("target")).agg(
+        *[F.count_if(F.col("_in") & (F.col("_rk") <= k)).alias(f"segment_in_top{k}") for k in tops])
+    return sums.join(counts, "target")
 
 
 def prior_shift(df: DataFrame, p: str, target: float, out: str | None = None, where=None) -> DataFrame:
     """Shift p of the rows selected by ``where`` (all if None) so their mean hits the
-    target; order is kept because the map is monotone."""
+    target; order is kept because the map is monotone. A missing score (NULL or NaN) becomes NULL."""
     sel = df.where(where) if where is not None else df
     c = prior_shift_constant(sel, p, target)
     shifted = _expit_shift(F.col(p), F.lit(c))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
+from .fingerprint import differing_rows
 from .order import exact_quantiles, global_rank
 
 
@@ -188,10 +189,13 @@ def dedupe_best_agg(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[st
 
 def tables_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """Multiset equality (order-free) as one row: rows only in a, only in b, equal flag. An ordinal
-    column in both tables makes it an ordered comparison."""
-    ab = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_a"))
-    ba = b.exceptAll(a).agg(F.count(F.lit(1)).alias("only_b"))
-    return ab.crossJoin(ba).withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+    column in both tables makes it an ordered comparison.
+
+    Checksums of hash buckets (128 bits a row) are compared first; only rows of buckets that differ are
+    matched one by one. Column types must agree."""
+    n = differing_rows(a, b).agg(F.coalesce(F.sum(F.greatest("_n", F.lit(0))), F.lit(0)).alias("only_a"),
+                                 F.coalesce(F.sum(F.greatest(-F.col("_n"), F.lit(0))), F.lit(0)).alias("only_b"))
+    return n.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
 def sequence_check(df: DataFrame, key: str) -> DataFrame:
@@ -219,11 +223,43 @@ def topk_stats(df: DataFrame, score: str, key: str, ks: Sequence[int], aggs: Seq
             .groupBy("K").agg(*aggs))
 
 
-def sample_seeded(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """L5 without replacement: the n rows with the smallest md5(key‖seed) — reproducible
-    under any partitioning (plans as a bounded top-n)."""
+#: Hex digits by which one counting pass refines the cut of a sample (4,096 counts to the driver).
+CUT_DIGITS = 3
+#: Rows of the cut's own prefix that are ordered at most, unless their hashes are equal to the last digit.
+CUT_ROWS = 100_000
+
+
+def sample_seeded(df: DataFrame, key: str, n: int, seed: int = 42, cut_rows: int = CUT_ROWS) -> DataFrame:
+    """L5 without replacement: the n rows with the smallest md5(key‖seed), ties by an md5 of the whole row —
+    reproducible under any partitioning. All rows if there are fewer.
+
+    The cut is found by counting hash prefixes: one aggregate of at most 4,096 counts fixes three more hex
+    digits, until at most ``cut_rows`` rows share the cut's prefix. Rows below it are taken by a filter,
+    where they are; only rows of the cut's prefix are ordered. n may be any share of the table."""
+    if n <= 0:
+        return df.limit(0)
     h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")
+    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    hashed = df.withColumn("_h", F.concat(h, whole))
+    prefix, need = "", n
+    while len(prefix) < 64:
+        p = F.substring("_h", len(prefix) + 1, CUT_DIGITS)
+        counts = hashed.where(F.col("_h").startswith(prefix)).groupBy(p.alias("p")).agg(F.count(F.lit(1)).alias("c")) \
+            .orderBy("p").collect()      # at most 16^CUT_DIGITS rows
+        cut = None
+        for row in counts:
+            if row["c"] >= need:
+                cut = row
+                break
+            need -= row["c"]
+        if cut is None:
+            return df        # fewer rows than n (only the first pass can end so)
+        prefix += cut["p"]
+        if cut["c"] <= cut_rows:
+            break
+    whole_below = hashed.where(F.substring("_h", 1, len(prefix)) < prefix)
+    at_cut = hashed.where(F.col("_h").startswith(prefix)).orderBy("_h").limit(need)
+    return whole_below.unionByName(at_cut).drop("_h")
 
 
 def sample_bootstrap(df: DataFrame, seed: int = 42) -> DataFrame:

@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
+from ..session import ship_package
 from . import kmeans_batch as kb
 from .order import exact_quantiles
 
@@ -134,18 +136,51 @@ def silhouette(lng: DataFrame, id_col: str, cluster: str = "cluster") -> DataFra
     return x.agg(F.avg(s).alias("silhouette"))
 
 
-def silhouette_sampled(lng: DataFrame, id_col: str, n_sample: int, cluster: str = "cluster", seed: int = 42) -> DataFrame:
+#: Points of a block of the Euclidean silhouette; a unit of work holds two blocks and a square of distances.
+BLOCK_POINTS = 1000
+
+
+def _block_sums(part: pd.DataFrame) -> pd.DataFrame:
+    """Distances between the points of two blocks (or within one), summed per (point, cluster of the other)."""
+    lo, hi = part["x"].iloc[0], part["y"].iloc[0]
+    sides = [part[part["block"] == lo], part[part["block"] == hi]]
+    if not len(sides[0]) or not len(sides[1]):
+        return pd.DataFrame({"i": part["i"].iloc[:0], "ci": part["ci"].iloc[:0], "cj": part["ci"].iloc[:0], "t": np.zeros(0), "n": np.zeros(0, np.int64)})
+    a, b = (np.array(s["v"].tolist(), dtype=np.float64) for s in sides)
+    d = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):      # exact differences, one dimension at a time
+        d += (a[:, k, None] - b[None, :, k]) ** 2
+    d = np.sqrt(d)
+    out = []
+    for own, other, dist in [(sides[0], sides[1], d)] + ([(sides[1], sides[0], d.T)] if lo != hi else []):
+        codes, names = pd.factorize(other["ci"])
+        for c, name in enumerate(names):
+            cols = codes == c
+            n = np.full(len(own), cols.sum(), np.int64)
+            if lo == hi:
+                n -= cols            # a point is no neighbour of itself
+            out.append(pd.DataFrame({"i": own["i"].to_numpy(), "ci": own["ci"].to_numpy(), "cj": name, "t": dist[:, cols].sum(axis=1), "n": n}))
+    return pd.concat(out)
+
+
+def silhouette_sampled(lng: DataFrame, id_col: str, n_sample: int = 10_000, cluster: str = "cluster", seed: int = 42) -> DataFrame:
     """K5, Euclidean, over the ``n_sample`` points (a number the caller names) with the smallest keyed md5:
-    (silhouette, n_points, n_used), so the result says how much it stands for. Sampled points meet the
-    sample inside Spark, as sums per (point, cluster); nothing goes through the driver."""
+    (silhouette, n_points, n_used), so the result says how much it stands for.
+
+    The sample is dealt into blocks of about 1,000 points; each pair of blocks is one unit of dense distance
+    work, whose sums per (point, cluster) are added up by Spark. Nothing goes through the driver. Points have
+    a value in every dimension and a cluster."""
+    ship_package(lng.sparkSession)
     wide = to_wide(lng, id_col, cluster)
-    picked = wide.withColumn("_h", F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))).orderBy("_h", id_col).limit(n_sample)
-    p = picked.select(F.col(id_col).alias("i"), F.col(cluster).alias("ci"), F.col("v").alias("vi"))
-    q = picked.select(F.col(id_col).alias("j"), F.col(cluster).alias("cj"), F.col("v").alias("vj"))
-    d = F.sqrt(F.aggregate(F.zip_with("vi", "vj", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v))
-    # n_sample rows by the caller's choice, n_sample x clusters rows out
-    per = p.crossJoin(q).withColumn("d", d).groupBy("i", "ci", "cj") \
-        .agg(F.sum("d").alias("t"), F.count_if(F.col("i") != F.col("j")).alias("n"))
+    h = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
+    blocks = -(-n_sample // BLOCK_POINTS)
+    picked = wide.withColumn("_h", h).orderBy("_h", id_col).limit(n_sample) \
+        .select(F.col(id_col).alias("i"), F.col(cluster).alias("ci"), "v", F.pmod(F.xxhash64("_h"), F.lit(blocks)).cast("int").alias("block"))
+    units = picked.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
+        .select("i", "ci", "v", "block", F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"))
+    ti, tc = (wide.schema[c].dataType.simpleString() for c in (id_col, cluster))
+    sums = units.groupBy("x", "y").applyInPandas(_block_sums, f"i {ti}, ci {tc}, cj {tc}, t double, n long")
+    per = sums.groupBy("i", "ci", "cj").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     pt = per.groupBy("i").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.try_divide("t", "n"))).alias("a"),
                               F.max(F.when(F.col("ci") == F.col("cj"), F.col("n"))).alias("others"),
                               F.min(F.when(F.col("ci") != F.col("cj"), F.try_divide("t", "n"))).alias("b"))

@@ -73,17 +73,8 @@ SELECT target, round(avg(pp), 6) AS p_mean, round(sum(pp), 4) AS expected_losses
 FROM rk GROUP BY target""")
 def prior_sensitivity(fx):
     """For several targets, global mean, expected losses and first-segment rows among the top 100 / 200."""
-    sc = fx.scored
-    seg = F.col("prior_credits") <= 3
-    out = None
-    for t in [0.30, 0.60, 0.85]:
-        sh = C.prior_shift(sc, "p", t, out="pp", where=seg)
-        rk = O.global_rank(sh, "pp", "client_id", out="_rk")
-        row = rk.agg(F.lit(t).alias("target"), r(F.avg("pp")).alias("p_mean"), r(F.sum("pp"), 4).alias("expected_losses"),
-                     F.count_if(seg & (F.col("_rk") <= 100)).alias("segment_in_top100"),
-                     F.count_if(seg & (F.col("_rk") <= 200)).alias("segment_in_top200"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    t = C.prior_sensitivity(fx.scored, "p", "client_id", F.col("prior_credits") <= 3, [0.30, 0.60, 0.85], [100, 200])
+    return t.withColumn("p_mean", r("p_mean")).withColumn("expected_losses", r("expected_losses", 4))
 
 
 @query("risk_segments", f"SELECT client_id, {SEG_SQL} AS segment FROM scored")

@@ -56,7 +56,7 @@ def silhouette(fx):
     return K.silhouette(fx.emb_long, "vec_id").select(r("silhouette").alias("silhouette"))
 
 
-SAMPLE = 300
+SAMPLE = 10_000
 
 
 @query("silhouette_sampled", f"""

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.fingerprint import fingerprint
+
 
 def sink_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                partition_by: list[str] | None = None) -> str:
@@ -39,19 +42,46 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def _read_back(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    return spark.read.format(fmt).option("header", True).load(path)
+
+
 def sink_bundle(spark: SparkSession, tables: dict[str, DataFrame], base: str, fmt: str = "parquet") -> DataFrame:
     """Many named result tables as one delivery: one folder each plus a manifest table
-    (name, path, rows). Row counts are distributed counts of the written tables."""
+    (name, path, format, rows, checksum). Rows and fingerprint are those of the written files, one distributed
+    pass a table. An older manifest goes before its tables are touched (an empty one replaces it) and the new
+    one is published last, so a delivery that stopped half-way does not verify."""
+    base = base.rstrip("/")
+    schema = "name string, path string, format string, rows long, checksum string"
+    sink_table(spark.createDataFrame([], schema), f"{base}/_manifest", fmt="parquet")
     rows = []
     for name, df in tables.items():
-        path = f"{base.rstrip('/')}/{name}"
+        path = f"{base}/{name}"
         sink_table(df, path, fmt=fmt)
-        rows.append((name, path, spark.read.format(fmt).option("header", True).load(path).count()))
-    manifest = spark.createDataFrame(rows, "name string, path string, rows long")
-    sink_table(manifest, f"{base.rstrip('/')}/_manifest", fmt="parquet")
+        mark = fingerprint(_read_back(spark, path, fmt)).first()
+        rows.append((name, path, fmt, mark["rows"], mark["checksum"]))
+    manifest = spark.createDataFrame(rows, schema)
+    sink_table(manifest, f"{base}/_manifest", fmt="parquet")
     return manifest
 
 
+def verify_bundle(spark: SparkSession, base: str) -> DataFrame:
+    """Each table of a delivery against its manifest: (name, rows, rows_found, intact). A manifest without
+    tables (a delivery that never ended) is an error; a table that cannot be read is not intact."""
+    manifest = spark.read.parquet(f"{base.rstrip('/')}/_manifest").collect()     # one row a table of the delivery
+    if not manifest:
+        raise ValueError(f"the delivery at {base} was not finished")
+    out = []
+    for m in manifest:
+        try:
+            mark = fingerprint(_read_back(spark, m["path"], m["format"])).first()
+        except AnalysisException:     # folder missing or without any file
+            out.append((m["name"], m["rows"], None, False))
+            continue
+        out.append((m["name"], m["rows"], mark["rows"], mark["rows"] == m["rows"] and mark["checksum"] == m["checksum"]))
+    return spark.createDataFrame(out, "name string, rows long, rows_found long, intact boolean")
+
+
 def nested_payload(blocks: dict[str, DataFrame], max_rows: int = 10_000) -> DataFrame:
     """One nested document from several small result blocks.
 
