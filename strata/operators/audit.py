@@ -184,16 +184,6 @@ def conflict_groups(df: DataFrame, feats: Sequence[str], outcome: str) -> DataFr
 
 def coverage(base: DataFrame, other: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per categorical, level counts on both sides, levels new in ``other`` and the
-    share of ``other`` rows whose level exists in ``base``."""
-    def lng(df):
-        return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"))
-                                             for c in cols])).alias("_s")).select("_s.variable", "_s.level")
-    a, b = lng(base).where(F.col("level").isNotNull()), lng(other)
-    la = a.distinct().withColumn("_in", F.lit(1))
-    lb = b.where(F.col("level").isNotNull()).distinct()
-    na = la.groupBy("variable").agg(F.count(F.lit(1)).alias("levels_base"))
-    nb = lb.groupBy("variable").agg(F.count(F.lit(1)).alias("levels_other"))
-    new = lb.join(la, ["variable", "level"], "left_anti").groupBy("variable").agg(F.count(F.lit(1)).alias("new_levels"))
-    cov = (b.join(la, ["variable", "level"], "left").groupBy("variable")
-           .agg(F.avg(F.coalesce("_in", F.lit(0)).cast("double")).alias("row_coverage")))
-    return na.join(nb, "variable", "full").join(new, "variable", "left").fillna(0, ["new_levels"]).join(cov, "variable", "left")
+    share of ``other`` rows whose level exists in ``base``. Both sides are counted by level before they meet."""
+    from .profile import _level_counts, coverage_of_levels
+    return coverage_of_levels(_level_counts(base, cols), _level_counts(other, cols))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import audit as A
+from ..operators import profile as P
+from ..session import scratch_path
 from .q_relational import sql_clean
 from .registry import query, r
 
@@ -37,19 +41,36 @@ def psi_quantile(fx):
 DRIFT_COLS = ["nominal_rate", "granted", "balance", "prior_credits", "region", "branch"]
 
 
-@query("drift_table", " UNION ALL ".join(f"""
+DRIFT_SQL = " UNION ALL ".join(f"""
 SELECT '{c}' AS variable,
   (SELECT round(avg({c}), 6) FROM portfolio_base) AS mean_hist, (SELECT round(median(CAST({c} AS DOUBLE)), 6) FROM portfolio_base) AS median_hist,
   (SELECT CAST(min({c}) AS DOUBLE) FROM portfolio_base) AS min_hist, (SELECT CAST(max({c}) AS DOUBLE) FROM portfolio_base) AS max_hist,
   (SELECT round(avg({c}), 6) FROM portfolio_active) AS mean_pred, (SELECT round(median(CAST({c} AS DOUBLE)), 6) FROM portfolio_active) AS median_pred,
   (SELECT CAST(min({c}) AS DOUBLE) FROM portfolio_active) AS min_pred, (SELECT CAST(max({c}) AS DOUBLE) FROM portfolio_active) AS max_pred,
-  round({psi_sql(c, 'portfolio_base', 'portfolio_active')}, 6) AS psi""" for c in DRIFT_COLS))
-def drift_table(fx):
-    d = A.drift_table(fx.portfolio_base, fx.portfolio_active, DRIFT_COLS)
+  round({psi_sql(c, 'portfolio_base', 'portfolio_active')}, 6) AS psi""" for c in DRIFT_COLS)
+
+
+def _drift_columns(d):
     rc = [f"{m}_{p}" for p in ("hist", "pred") for m in ("mean", "median")] + ["psi"]
     return d.select("variable", *[r(c).alias(c) for c in rc], "min_hist", "max_hist", "min_pred", "max_pred")
 
 
+@query("drift_table", DRIFT_SQL)
+def drift_table(fx):
+    return _drift_columns(A.drift_table(fx.portfolio_base, fx.portfolio_active, DRIFT_COLS))
+
+
+def _stored_profile(fx, numeric, categorical):
+    path = scratch_path(fx.spark, f"profile-{uuid.uuid4().hex}")
+    return P.load_profile(fx.spark, P.save_profile(P.fit_profile(fx.portfolio_base, numeric, categorical), path))
+
+
+@query("drift_from_profile", DRIFT_SQL)
+def drift_from_profile(fx):
+    """D1 and D2 against the stored profile of the labelled clients, whose rows are not read again."""
+    return _drift_columns(P.drift_from_profile(_stored_profile(fx, DRIFT_COLS, []), fx.portfolio_active))
+
+
 FIXED_EDGES = [0.0, 1e5, 5e5, 1e6, 2e6, 4e6, float("inf")]
 
 
@@ -205,12 +226,24 @@ def rate_by_bin(fx):
 COV_COLS = ["product", "region", "branch", "stage", "prior_credits"]
 
 
-@query("coverage", " UNION ALL ".join(f"""
+COVERAGE_SQL = " UNION ALL ".join(f"""
 SELECT '{c}' AS variable, (SELECT count(DISTINCT {c}) FROM portfolio_base) AS levels_base,
   (SELECT count(DISTINCT {c}) FROM portfolio_active) AS levels_other,
   (SELECT count(*) FROM (SELECT DISTINCT {c} FROM portfolio_active WHERE {c} IS NOT NULL EXCEPT SELECT DISTINCT {c} FROM portfolio_base)) AS new_levels,
   (SELECT round(avg(CASE WHEN {c} IN (SELECT {c} FROM portfolio_base WHERE {c} IS NOT NULL) THEN 1.0 ELSE 0.0 END), 6) FROM portfolio_active) AS row_coverage"""
-                                    for c in COV_COLS))
-def coverage(fx):
-    c = A.coverage(fx.portfolio_base, fx.portfolio_active, COV_COLS)
+                                    for c in COV_COLS)
+
+
+def _coverage_columns(c):
     return c.select("variable", "levels_base", "levels_other", "new_levels", r("row_coverage").alias("row_coverage"))
+
+
+@query("coverage", COVERAGE_SQL)
+def coverage(fx):
+    return _coverage_columns(A.coverage(fx.portfolio_base, fx.portfolio_active, COV_COLS))
+
+
+@query("coverage_from_profile", COVERAGE_SQL)
+def coverage_from_profile(fx):
+    """D12 against the levels of a stored profile."""
+    return _coverage_columns(P.coverage_from_profile(_stored_profile(fx, [], COV_COLS), fx.portfolio_active))

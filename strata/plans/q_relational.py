@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import features as FE
 from ..functions import scalar as S
 from ..operators import order as O
+from ..operators import profile as P
 from ..operators import relational as R
 from ..sources.sinks import nested_payload as nested
 from .registry import query, r
@@ -62,7 +63,8 @@ for _pop in ("portfolio_base", "portfolio_active"):
     for _col, _miss in (("credit_type", None), ("sex", "ND")):
         _LQ_PARTS.append(f"""SELECT '{_pop}' AS population, '{_col}' AS variable,
   count(DISTINCT {_col}) AS n_raw, count(DISTINCT {sql_clean(_col, _miss)}) AS n_clean,
-  array_to_string(list_sort(list_distinct(list({sql_clean(_col, _miss)}))), ',') AS levels FROM {_pop}""")
+  array_to_string(list_sort(list_distinct(list({sql_clean(_col, _miss)}))), ',') AS levels,
+  count(DISTINCT {sql_clean(_col, _miss)}) > 1000 AS more FROM {_pop}""")
 
 
 @query("level_quality", " UNION ALL ".join(_LQ_PARTS))
@@ -71,10 +73,7 @@ def level_quality(fx):
     for pop in ("portfolio_base", "portfolio_active"):
         df = getattr(fx, pop)
         for col, miss in (("credit_type", None), ("sex", "ND")):
-            cl = S.clean_category(col, miss)
-            part = df.agg(F.lit(pop).alias("population"), F.lit(col).alias("variable"),
-                          F.countDistinct(col).alias("n_raw"), F.countDistinct(cl).alias("n_clean"),
-                          F.array_join(F.array_sort(F.collect_set(cl)), ",").alias("levels"))
+            part = P.level_report(df, col, S.clean_category(col, miss)).select(F.lit(pop).alias("population"), F.lit(col).alias("variable"), "*")
             out = part if out is None else out.unionByName(part)
     return out
 
@@ -386,19 +385,10 @@ def _profile_sql():
 def profile_columns(fx):
     """A4: type-free column dictionary of the labelled table; ``in_other`` compares its
     schema with the active population's (which has no outcome column)."""
-    p = fx.portfolio
     other = set(fx.portfolio_active.drop("status", "y").columns)   # schema only, no data pass
-    aggs = []
-    for c in PROFILE_COLS:
-        num = c in _NUMERIC_PROFILE
-        aggs.append(F.struct(F.lit(c).alias("variable"),
-                             r(F.avg(F.col(c).isNull().cast("double"))).alias("null_share"),
-                             F.countDistinct(c).alias("n_distinct"),
-                             (r(F.min(c).cast("double")) if num else F.lit(None).cast("double")).alias("example_num"),
-                             (F.lit(None).cast("string") if num else F.min(c)).alias("example_text"),
-                             F.lit(c in other).alias("in_other")).alias(c))
-    one = p.agg(*aggs)
-    return one.select(F.explode(F.array(*PROFILE_COLS)).alias("s")).select("s.*")
+    p = P.column_profile(fx.portfolio, PROFILE_COLS)
+    return p.select("variable", r("null_share").alias("null_share"), "n_distinct", r("example_num").alias("example_num"), "example_text",
+                    F.col("variable").isin(*other).alias("in_other"))
 
 
 @query("value_counts", """
