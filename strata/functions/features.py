@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import scalar as S
 
 STAGE_ORDER = {"M1": 1, "M2": 2, "M3": 3}   # fixed values: ordered stage labels
@@ -26,6 +27,19 @@ def with_totals(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one_row))
 
 
+#: Rows of a fitted table that may be broadcast.
+FITTED_ROWS = 100_000
+
+
+def join_fitted(df: DataFrame, fitted: DataFrame, on: str) -> DataFrame:
+    """Rows with the fitted values of their level (left join). The fitted table is built once and counted: up to
+    ``FITTED_ROWS`` levels are broadcast, so a level with a third of all rows stays where its rows are; a larger
+    table is joined by shuffle, where AQE splits skewed levels."""
+    fitted = materialize(fitted)
+    small = fitted.limit(FITTED_ROWS + 1).count() <= FITTED_ROWS
+    return df.join(F.broadcast(fitted) if small else fitted, on, "left")
+
+
 def fit_group_means(df: DataFrame, group: str, value: str, name: str = "group_mean") -> DataFrame:
     """P11 fit: mean of ``value`` per non-null ``group`` level (pandas groupby drops null keys)."""
     return (df.where(F.col(group).isNotNull()).groupBy(group)
@@ -36,10 +50,9 @@ def apply_group_means(df: DataFrame, means: DataFrame, group: str, value: str, o
                       name: str = "group_mean") -> DataFrame:
     """P11 apply: value − fitted mean of its group, unseen group → global mean of ``df``.
 
-    The fitted table has one row per group level; the join is left to AQE, which turns it
-    into a broadcast only when the measured side is small."""
+    The fitted table has one row per group level (``join_fitted``)."""
     glob = df.agg(F.avg(value).alias("_global_mean"))
-    return (with_totals(df.join(means, group, "left"), glob)
+    return (with_totals(join_fitted(df, means, group), glob)
             .withColumn(out, F.col(value) - F.coalesce(F.col(name), F.col("_global_mean")))
             .drop(name, "_global_mean"))
 

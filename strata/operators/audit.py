@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
 from ..functions.scalar import count_below
-from .metrics import auc_roc
-from .order import exact_quantiles, score_table
+from ..session import materialize
+from .metrics import auc_of_table, auc_roc
+from .order import exact_quantiles, ordered_cumulative, score_table
 
 PSI_FLOOR = 1e-6   # fixed value: share floor for empty bins
 
@@ -114,7 +115,9 @@ def drift_table(base: DataFrame, other: DataFrame, cols: Sequence[str], bins: in
     """Per variable mean / median / min / max in both populations plus PSI.
 
     One distributed exact-quantile pass over both populations yields the medians of both
-    and the base population's PSI edges (the median is one of the decile edges)."""
+    and the base population's PSI edges (the median is one of the decile edges). Each population is read
+    once, into a narrow table below the shared folder."""
+    base, other = materialize(base.select(*cols)), materialize(other.select(*cols))
     a = to_long(base, cols).withColumn("pop", F.lit("hist"))
     b = to_long(other, cols).withColumn("pop", F.lit("pred"))
     both = a.unionByName(b)
@@ -159,8 +162,11 @@ def target_rate_auc(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame
     """Each category encoded by its own target rate, then AUC (optimistic by design)."""
     lng = df.select(label, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"))
                                              for c in cols])).alias("_s")).select(label, "_s.variable", "_s.level")
-    rate = lng.groupBy("variable", "level").agg(F.avg(label).alias("value"))
-    a = auc_roc(lng.join(rate, ["variable", "level"]), "value", label, by=["variable"])
+    lv = lng.where(F.col("level").isNotNull()).groupBy("variable", "level").agg(
+        F.avg(label).alias("value"), F.sum(F.col(label).cast("long")).alias("pos"), F.sum((1 - F.col(label)).cast("long")).alias("neg"))
+    # levels, not rows, are ordered: equal rates are one score
+    d = materialize(lv.groupBy("variable", "value").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    a = auc_of_table(ordered_cumulative(d, "value", ["pos", "neg"], by=["variable"]), by=["variable"])
     return a.select("variable", F.greatest("auc_roc", 1 - F.col("auc_roc")).alias("auc"), F.lit("cat").alias("direction"))
 
 

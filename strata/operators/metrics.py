@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import with_totals
 from ..functions.scalar import count_below
+from ..session import materialize
 from .order import decile_of_rank, exact_quantiles, global_rank, score_table
 
 
@@ -23,7 +24,11 @@ def _totals(st: DataFrame, by: Sequence[str]):
 
 def auc_roc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Mann-Whitney AUC, ties count one half (``roc_auc_score``)."""
-    st = score_table(df, score, label, by=by)
+    return auc_of_table(score_table(df, score, label, by=by), by)
+
+
+def auc_of_table(st: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """E1 from a table with one row per distinct score: pos, neg and neg_before in ascending order."""
     part = st.select(*by, (F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))).alias("_w"), "pos", "neg")
     return (part.groupBy(*by) if by else part).agg(
         F.try_divide(F.sum("_w"), F.sum("pos") * F.sum("neg")).alias("auc_roc"))
@@ -79,6 +84,7 @@ def capture_topk(df: DataFrame, score: str, label: str, key: str, frac: float =
 
 def decile_table(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
     """Per decile n, mean predicted, observed rate, positives, lift, cumulative capture %."""
+    df = materialize(df.select(key, score, label))      # the input is read once
     n = df.agg(F.count(F.lit(1)).alias("_n"), F.avg(label).alias("_rate"), F.sum(label).alias("_pos"))
     rk = with_totals(global_rank(df, score, key, descending=True, out="_rk"), n)
     d = rk.withColumn("decile", decile_of_rank("_rk", "_n"))
@@ -95,7 +101,9 @@ def decile_table(df: DataFrame, score: str, label: str, key: str) -> DataFrame:
 def evaluate(df: DataFrame, score: str, label: str, key: str, name: str = "model") -> DataFrame:
     """One row with AUC-PR, AUC-ROC, KS, Brier, lift of decile 1 and capture of the
     top 20%. AUC, AP and KS share ONE descending distinct-score table; lift and capture
-    share ONE global order; everything ends in a single one-row result."""
+    share ONE global order; everything ends in a single one-row result. The input is read once, into a
+    narrow table (key, score, label) below the shared folder."""
+    df = materialize(df.select(key, score, label))
     t = _desc_table(df, score, label)
     tot = t.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     j = with_totals(t, tot)

@@ -17,7 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import with_totals
+from ..functions.features import join_fitted, with_totals
 from ..functions.scalar import row_signature
 from .order import exact_quantiles, mid_rank, present
 from ..session import materialize
@@ -103,7 +103,7 @@ def pool_rare(df: DataFrame, levels: DataFrame, col: str, out: str | None = None
     the encoder)."""
     out = out or col
     pooled = F.when(F.col("_keep"), F.col(col).cast("string")).when(~F.col("_keep"), F.lit("infrequent"))
-    j = df.join(levels, col, "left").withColumn("_pooled", pooled).drop("_keep")
+    j = join_fitted(df, levels, col).withColumn("_pooled", pooled).drop("_keep")
     if out == col:
         return j.drop(col).withColumnRenamed("_pooled", col)
     return j.withColumnRenamed("_pooled", out)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -126,7 +127,7 @@ def score_table(df: DataFrame, score: str, label: str | None = None, by: Sequenc
     for name, e in (extra or {}).items():
         aggs.append(F.sum(e).alias(name))
         sums.append(name)
-    d = df.where(present(score)).groupBy(*by, score).agg(*aggs)
+    d = materialize(df.where(present(score)).groupBy(*by, score).agg(*aggs))   # built once: the edges and the sums read it
     return ordered_cumulative(d, score, sums, by=by, descending=descending, n_buckets=n_buckets,
                               keep_bucket=keep_bucket)
 
@@ -141,8 +142,9 @@ def global_rank(df: DataFrame, score: str, key: str, descending: bool = True, ou
 
     The score axis is cut at literal quantile edges. A score that fills whole quantiles gets
     a bucket of its own, which is cut again by key ranges, so no bucket holds much more than
-    its share. Bucket totals (at most buckets × key ranges rows) give each bucket's offset,
-    and one window per bucket ranks its rows: the rows are shuffled once.
+    its share. A hot score gets as many key ranges as it fills quantiles, so there are at most three times
+    as many buckets as quantiles, plus the key ranges of missing scores. Bucket totals give each bucket's
+    offset, and one window per bucket ranks its rows: the rows are shuffled once.
 
     ``running`` adds running sums through each row in the same order (W6, top-k sums)."""
     running = running or {}
@@ -158,13 +160,17 @@ def global_rank(df: DataFrame, score: str, key: str, descending: bool = True, ou
     # an edge starts a bucket: a hot score is closed in by itself and the next double
     s_edges = sorted(set(found) | {math.nextafter(h, math.inf) for h in hot})
     k_edges = sorted({float(e) for e in (row["ek"] or []) if e is not None})
-    x = bucketize(x, "_s", s_edges, "_sb")
+    x = bucketize(x, "_s", s_edges, "_sb").withColumn("_sb0", F.col("_sb"))
     last = len(s_edges) + 2
     x = x.withColumn("_sb", F.when(F.col("_s").isNull(), F.lit(last)).otherwise(F.lit(-1 if descending else 1) * F.col("_sb")))
     x = bucketize(x.withColumn("_kn", key_number(df, key)), "_kn", k_edges, "_kb").drop("_kn")
     is_hot = F.col("_s").isNull() | F.col("_s").isin(hot) if hot else F.col("_s").isNull()
-    # a missing score is one hot value; a missing key sorts last
-    x = x.withColumn("_kb", F.when(~is_hot, F.lit(0)).when(F.col(key).isNull(), F.lit(len(k_edges) + 2)).otherwise(F.coalesce("_kb", F.lit(0))))
+    # a hot score has as many key ranges as it fills quantiles, a missing score all of them; a missing key sorts last
+    ranges, filled = len(k_edges) + 1, Counter(found)
+    share = F.array(*[F.lit(min(filled[e], ranges) if filled[e] > 1 else 1) for e in [-math.inf, *s_edges]])
+    parts = F.when(F.col("_s").isNull(), F.lit(ranges)).otherwise(F.coalesce(F.get(share, F.col("_sb0")), F.lit(1)))
+    x = x.withColumn("_kb", F.when(~is_hot, F.lit(0)).when(F.col(key).isNull(), F.lit(ranges + 1))
+                     .otherwise(F.floor(F.coalesce("_kb", F.lit(0)) * parts / F.lit(ranges)).cast("int"))).drop("_sb0")
     pay = ["_n"] + [f"_p_{n}" for n in running]
     tot = x.groupBy("_sb", "_kb").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_p_{n}").alias(f"_p_{n}") for n in running])
     w_tot = Window.partitionBy(F.lit(0)).orderBy("_sb", "_kb").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,7 +179,7 @@ def global_rank(df: DataFrame, score: str, key: str, descending: bool = True, ou
     w_row = Window.partitionBy("_sb", "_kb").orderBy(so, F.col(key).asc_nulls_last())
     w_run = w_row.rowsBetween(Window.unboundedPreceding, 0)
     res = x.join(F.broadcast(off), ["_sb", "_kb"]) \
-        .withColumn(out, (F.col("_n_off") + F.row_number().over(w_row)).cast("long"))   # at most buckets x key ranges rows
+        .withColumn(out, (F.col("_n_off") + F.row_number().over(w_row)).cast("long"))   # see the bound above
     for name in running:
         res = res.withColumn(name, F.col(f"_p_{name}_off") + F.coalesce(F.sum(f"_p_{name}").over(w_run), F.lit(0.0)))
     return res.drop("_s", "_sb", "_kb", *[f"{c}_off" for c in pay], *[f"_p_{n}" for n in running])
