@@ -3,14 +3,22 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .order import exact_quantiles
+from .relational import sample_seeded
 
 DIRECTION_BAND = 0.05   # fixed value: |corr| below this is "non-monotone"
 
@@ -24,12 +32,14 @@ def importance_table(contrib: DataFrame) -> DataFrame:
             .withColumn("cum_pct", 100 * F.try_divide(F.sum("importance").over(w_cum), F.sum("importance").over(w_all))))
 
 
-def effect_direction(contrib: DataFrame) -> DataFrame:
-    """Sign of corr(value, contribution) per variable; zero variance → 0."""
+def effect_direction(contrib: DataFrame, categorical: Sequence[str] = ()) -> DataFrame:
+    """Sign of corr(value, contribution) per variable; zero variance → 0. A variable of ``categorical`` has no
+    direction: its value is a code, so it is marked "categorical" and has no correlation."""
     c = contrib.groupBy("variable").agg(
         F.when((F.stddev_pop("value") == 0) | (F.stddev_pop("contribution") == 0), F.lit(0.0))
         .otherwise(F.coalesce(F.corr("value", "contribution"), F.lit(0.0))).alias("corr"))
-    return c.withColumn("direction", F.when(F.col("corr") > DIRECTION_BAND, "up")
+    code = F.col("variable").isin(*categorical) if categorical else F.lit(False)
+    return c.withColumn("corr", F.when(~code, F.col("corr"))).withColumn("direction", F.when(code, "categorical").when(F.col("corr") > DIRECTION_BAND, "up")
                         .when(F.col("corr") < -DIRECTION_BAND, "down").otherwise("non-monotone"))
 
 
@@ -113,67 +123,111 @@ def extract_trees(tree_model) -> list[dict]:
     return out
 
 
-def _extend(m, pz, po, pi):
-    m = [list(e) for e in m]
-    n = len(m)
-    m.append([pi, pz, po, 1.0 if n == 0 else 0.0])
-    for i in range(n - 1, -1, -1):
-        m[i + 1][3] += po * m[i][3] * (i + 1) / (n + 1)
-        m[i][3] = pz * m[i][3] * (n - i) / (n + 1)
-    return m
-
-
-def _unwind(m, i):
-    m = [list(e) for e in m]
-    n = len(m) - 1
-    nxt = m[n][3]
-    o, z = m[i][2], m[i][1]
-    for j in range(n - 1, -1, -1):
-        if o != 0:
-            t = m[j][3]
-            m[j][3] = nxt * (n + 1) / ((j + 1) * o)
-            nxt = t - m[j][3] * z * (n - j) / (n + 1)
+@dataclass
+class LeafPath:
+    """One leaf of a tree: its weighted value and, per distinct feature on its path, what the feature must satisfy
+    (above ``low``, up to ``high``, in or out of category sets) and the share of training rows that did."""
+    value: float
+    feats: list[int] = field(default_factory=list)
+    low: list[float | None] = field(default_factory=list)
+    high: list[float | None] = field(default_factory=list)
+    cats: list[list[tuple[list[float], bool]]] = field(default_factory=list)
+    share: list[float] = field(default_factory=list)
+
+    def step(self, node: dict, left: bool, share: float) -> LeafPath:
+        """The path after one more split."""
+        p = LeafPath(self.value, list(self.feats), list(self.low), list(self.high), [list(c) for c in self.cats], list(self.share))
+        if node["feat"] not in p.feats:
+            p.feats.append(node["feat"])
+            p.low.append(None)
+            p.high.append(None)
+            p.cats.append([])
+            p.share.append(1.0)
+        i = p.feats.index(node["feat"])
+        p.share[i] *= share
+        if node["cats"] is not None:
+            p.cats[i].append((sorted(node["cats"]), left))
+        elif left:
+            p.high[i] = node["thr"] if p.high[i] is None else min(p.high[i], node["thr"])
         else:
-            m[j][3] = m[j][3] * (n + 1) / (z * (n - j))
-    for j in range(i, n):
-        m[j][0], m[j][1], m[j][2] = m[j + 1][0], m[j + 1][1], m[j + 1][2]
-    m.pop()
-    return m
-
-
-def tree_shap_row(x, trees, n_features):
-    """Path-dependent TreeSHAP (Lundberg et al., 2018, Algorithm 2) for one row over a
-    weighted sum of trees: contributions in margin space, Σφ + base = margin."""
-    import numpy as np
-    phi = np.zeros(n_features)
+            p.low[i] = node["thr"] if p.low[i] is None else max(p.low[i], node["thr"])
+        return p
+
+    def met(self, x: np.ndarray) -> np.ndarray:
+        """(rows, path features): which conditions each row meets; a missing value goes right at a threshold."""
+        out = np.ones((len(x), len(self.feats)), dtype=bool)
+        for i, f in enumerate(self.feats):
+            v = x[:, f]
+            if self.low[i] is not None:
+                out[:, i] &= ~(v <= self.low[i])
+            if self.high[i] is not None:
+                out[:, i] &= v <= self.high[i]
+            for levels, inside in self.cats[i]:
+                out[:, i] &= np.isin(v, levels) == inside
+        return out
+
+    def shapley(self, met: np.ndarray) -> np.ndarray:
+        """(patterns, path features): Shapley values of the leaf. With a set S of known features the leaf counts with
+        the product of ``met`` over S and of ``share`` over the rest; per feature the sums over all S of one size
+        are the coefficients of a polynomial in the others."""
+        m, one = len(self.feats), met.astype(float)
+        out = np.zeros(met.shape)
+        for f in range(m):
+            by_size = np.zeros((len(met), m))
+            by_size[:, 0] = 1.0
+            for j in range(m):
+                if j != f:
+                    by_size[:, 1:] = by_size[:, 1:] * self.share[j] + by_size[:, :-1] * one[:, j, None]
+                    by_size[:, 0] *= self.share[j]
+            weight = [math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)]
+            out[:, f] = self.value * (one[:, f] - self.share[f]) * (by_size @ np.array(weight))
+        return out
+
+
+def leaf_paths(trees: list[dict]) -> list[LeafPath]:
+    """All leaves of the ensemble that have a split above them (model state: one entry a leaf)."""
+    out = []
     for tr in trees:
-        nodes, wt = tr["nodes"], tr["weight"]
-
-        def goes_left(nd):
-            v = x[nd["feat"]]
-            return (v in nd["cats"]) if nd["cats"] is not None else (v <= nd["thr"])
-
-        def rec(j, m, pz, po, pi):
-            m = _extend(m, pz, po, pi)
+        nodes = tr["nodes"]
+        stack = [(0, LeafPath(0.0))]
+        while stack:
+            j, path = stack.pop()
             nd = nodes[j]
             if nd["feat"] < 0:
-                for i in range(1, len(m)):
-                    w = sum(e[3] for e in _unwind(m, i))
-                    phi[m[i][0]] += wt * w * (m[i][2] - m[i][1]) * nd["value"]
-                return
-            hot, cold = (nd["left"], nd["right"]) if goes_left(nd) else (nd["right"], nd["left"])
-            iz = io = 1.0
-            k = next((q for q in range(1, len(m)) if m[q][0] == nd["feat"]), None)
-            if k is not None:
-                iz, io = m[k][1], m[k][2]
-                m = _unwind(m, k)
-            rec(hot, m, iz * nodes[hot]["cover"] / nd["cover"], io, nd["feat"])
-            rec(cold, m, iz * nodes[cold]["cover"] / nd["cover"], 0.0, nd["feat"])
-
-        rec(0, [], 1.0, 1.0, -1)
+                path.value = tr["weight"] * nd["value"]
+                if path.feats and path.value:
+                    out.append(path)
+                continue
+            for child, left in ((nd["left"], True), (nd["right"], False)):
+                stack.append((child, path.step(nd, left, nodes[child]["cover"] / nd["cover"])))
+    return out
+
+
+#: Path features up to which a leaf's Shapley values are tabulated for all patterns beforehand (2^8 rows).
+TABLE_FEATURES = 8
+
+
+def contributions(x: np.ndarray, paths: list[LeafPath], tables: list[np.ndarray | None]) -> np.ndarray:
+    """(rows, features) of a batch: each leaf looks up its value by the pattern of conditions the rows meet."""
+    phi = np.zeros(x.shape)
+    for p, table in zip(paths, tables, strict=True):
+        met = p.met(x)
+        code = met @ (1 << np.arange(len(p.feats), dtype=np.int64))
+        if table is None:         # a long path: only the patterns that occur
+            _, first, code = np.unique(code, return_index=True, return_inverse=True)
+            table = p.shapley(met[first])
+        phi[:, p.feats] += table[code]
     return phi
 
 
+def pattern_tables(paths: list[LeafPath]) -> list[np.ndarray | None]:
+    out = []
+    for p in paths:
+        m = len(p.feats)
+        out.append(p.shapley((np.arange(1 << m)[:, None] >> np.arange(m)) & 1 == 1) if m <= TABLE_FEATURES else None)
+    return out
+
+
 def expected_margin(trees) -> float:
     """Base value: Σ tree weight × cover-weighted mean leaf value."""
     base = 0.0
@@ -185,16 +239,14 @@ def expected_margin(trees) -> float:
 
 
 def tree_attribution(pipeline: PipelineModel, df: DataFrame, key: str) -> DataFrame:
-    """Per-row additive contribution of every assembled attribute for a tree
-    ensemble, as a distributed ``mapInPandas`` job. The flattened trees (model state,
-    bounded by trees × nodes) are broadcast; rows never leave their partition.
-    Output: (key, attribute, contribution, base)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
-    from pyspark.ml.functions import vector_to_array
+    """Per-row additive contribution of every assembled attribute for a tree ensemble: exact path-dependent
+    Shapley values in margin space, contributions + base = margin.
 
+    The model becomes its list of leaves (bounded by trees × leaves, sent to the tasks), each with one condition per
+    distinct feature on its path. Rows stay in their partition: a batch is compared with one leaf at a time, and the
+    pattern of conditions met picks the leaf's contribution. Output: (key, attribute, contribution, base)."""
     spark = df.sparkSession
+    ship_package(spark)
     tm = [s for s in pipeline.stages if isinstance(s, (GBTClassificationModel, RandomForestClassificationModel))][0]
     prepared = pipeline.transform(df)
     meta = prepared.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
@@ -202,21 +254,41 @@ def tree_attribution(pipeline: PipelineModel, df: DataFrame, key: str) -> DataFr
     nf = tm.numFeatures
     trees = extract_trees(tm)
     base = expected_margin(trees)
-    bc = spark.sparkContext.broadcast(trees)
+    bc = spark.sparkContext.broadcast(leaf_paths(trees))
     name_df = spark.createDataFrame([(i, names.get(i, f"f{i}")) for i in range(nf)], "idx int, attribute string")
 
     def run(it):
-        tr = bc.value
+        paths = bc.value
+        tables = pattern_tables(paths)
         for pdf in it:
-            keys, cols, vals = [], [], []
-            for k, v in zip(pdf[key].to_numpy(), pdf["_x"]):
-                phi = tree_shap_row(np.asarray(v, dtype=float), tr, nf)
-                keys.extend([k] * nf)
-                cols.extend(range(nf))
-                vals.extend(phi.tolist())
-            yield pd.DataFrame({key: keys, "idx": np.array(cols, dtype="int32"), "contribution": vals})
+            x = np.array(pdf["_x"].tolist(), dtype=np.float64).reshape(len(pdf), nf)
+            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), nf), "idx": np.tile(np.arange(nf, dtype=np.int32), len(pdf)),
+                                "contribution": contributions(x, paths, tables).ravel()})
 
     kt = df.schema[key].dataType.simpleString()
     out = prepared.select(key, vector_to_array("features").alias("_x")).mapInPandas(
         run, f"{key} {kt}, idx int, contribution double")
-    return out.join(F.broadcast(name_df), "idx").select(key, "attribute", "contribution", F.lit(base).alias("base"))
+    return out.join(F.broadcast(name_df), "idx").select(key, "attribute", "contribution", F.lit(base).alias("base"))   # one row a feature
+
+
+def refit_stability(df: DataFrame, fold: str, key: str, fit: Callable[[DataFrame], PipelineModel], k: int = 5,
+                    sample: int = 3000, seed: int = 42, variable_of: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Importance ranks under refitting. Per fold a model is fitted on the other folds and attributed on
+    ``sample`` of its training rows (by keyed hash); then mean and sample std of each variable's rank across folds.
+    ``variable_of`` maps an assembled attribute to the variable it belongs to."""
+    parts = []
+    for f in range(k):     # k fits, each a distributed job; callers pass a materialized frame
+        train = df.where(F.col(fold) != f)
+        c = tree_attribution(fit(train), sample_seeded(train, key, sample, seed), key)
+        c = c.withColumn("variable", variable_of(F.col("attribute"))).groupBy(key, "variable").agg(F.sum("contribution").alias("contribution"))
+        parts.append(c.withColumn(fold, F.lit(f)))
+    return rank_stability(functools.reduce(DataFrame.unionByName, parts), fold)
+
+
+def coefficient_overlap(contrib: DataFrame, coefs: DataFrame, k1: int, k2: int, variable_of: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """The k1 variables with the largest mean |contribution| against the variables of the k2 attributes with the
+    largest |coefficient| of a linear model (``coefficients``, its intercept left out): size and names of the overlap."""
+    a = contrib.groupBy("variable").agg(F.avg(F.abs("contribution")).alias("s")).orderBy(F.col("s").desc(), "variable").limit(k1).select("variable")
+    b = coefs.where("attribute <> '(intercept)'").orderBy(F.col("abs_coefficient").desc(), "attribute").limit(k2) \
+        .select(variable_of(F.col("attribute")).alias("variable")).distinct()
+    return a.join(b, "variable", "left_semi").agg(F.count(F.lit(1)).alias("overlap"), F.array_join(F.array_sort(F.collect_list("variable")), ",").alias("variables"))

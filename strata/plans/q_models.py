@@ -361,3 +361,29 @@ def tree_attribution(fx):
     c = I.tree_attribution(m, d.where("split = 'test'"), "client_id")
     return I.importance_table(c.withColumnRenamed("attribute", "variable")).select(
         "variable", r("importance").alias("importance"), r("share_pct").alias("share_pct"), r("cum_pct").alias("cum_pct"))
+
+
+def _variable(attribute):
+    """The variable of an assembled attribute: its own name, or the longest variable name before an underscore."""
+    out = attribute
+    for c in sorted([*CATS, *NUMS], key=len):      # the last match wins
+        out = F.when((attribute == c) | attribute.startswith(f"{c}_"), F.lit(c)).otherwise(out)
+    return out
+
+
+@query("rank_stability_refit")
+def rank_stability_refit(fx):
+    """I5 with a model refitted per fold, attributed on 3,000 of its training rows."""
+    tf = train_folds(fx)
+    t = I.refit_stability(tf, "fold", "client_id", M.gbt(CATS, NUMS, **BOOST), variable_of=_variable)
+    return t.select("variable", r("mean_rank").alias("mean_rank"), r("std_rank").alias("std_rank"))
+
+
+@query("coefficient_overlap")
+def coefficient_overlap(fx):
+    """Top 6 variables of a boosted model's contributions against the top 10 logistic coefficients."""
+    d = modelable(fx, True)
+    tr = materialize(M.balanced_weights(d.where("split = 'train'"), "y"))
+    c = I.tree_attribution(M.gbt(CATS, NUMS, **BOOST)(tr), d.where("split = 'test'"), "client_id")
+    c = c.withColumn("variable", _variable(F.col("attribute"))).groupBy("client_id", "variable").agg(F.sum("contribution").alias("contribution"))
+    return I.coefficient_overlap(c, I.coefficients(fx.spark, M.logistic(CATS, NUMS)(tr), tr), 6, 10, _variable)
