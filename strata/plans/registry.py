@@ -101,4 +101,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load():
     # importing the query modules fills REGISTRY
-    from . import q_relational, q_order, q_audit, q_campaign, q_baskets, q_segments, q_models, q_storage  # noqa: F401
+    from . import q_relational, q_order, q_audit, q_campaign, q_baskets, q_segments, q_models, q_boosting, q_storage  # noqa: F401
