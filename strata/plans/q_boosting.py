@@ -7,13 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import boosting as B
 from ..operators import metrics as E
 from ..session import materialize
-from .q_models import BALANCE_FAMILY, CATS, NUMS, modelable, train_folds
+from .q_models import CATS, LEAFWISE, NUMS, WITHOUT_BALANCE, boosted_folds, modelable, train_folds
 from .registry import query, r
 
-#: Sizes of the registered fits. The operator's defaults are 700 rounds of 48 leaves without a depth limit; a
-#: tree takes as many Spark jobs as it is deep.
-LEAFWISE = B.Settings(rounds=30, step=0.1, max_depth=5)
-WITHOUT_BALANCE = [c for c in NUMS if c not in BALANCE_FAMILY]
 BIN_NUMS = ["granted", "balance", "acctbal", "prior_credits"]
 BIN_SIZE = 18      # 16 edges at k / 17
 
@@ -23,7 +19,7 @@ _EDGES = ", ".join(repr(i / (BIN_SIZE - 1)) for i in range(1, BIN_SIZE - 1))
 _BINNED = f"""
 l AS ({_LONG}),
 e AS (SELECT variable, list_distinct(quantile_cont(v, [{_EDGES}])) AS edges FROM l GROUP BY variable),
-b AS (SELECT f, variable, CASE WHEN v IS NULL THEN 0 ELSE 1 + len(list_filter(edges, x -> x < v)) END AS bin, count(*) AS n, sum(y) AS n_pos
+b AS (SELECT f, variable, CASE WHEN v IS NULL THEN 0 ELSE 1 + len(list_filter(edges, lambda x: x < v)) END AS bin, count(*) AS n, sum(y) AS n_pos
   FROM l JOIN e USING (variable) GROUP BY ALL)"""
 
 
@@ -67,14 +63,9 @@ def leafwise_boost(fx):
     return m.predict(d.where("split = 'test'"), ["client_id"]).select("client_id", r("score").alias("score"))
 
 
-def boosted_folds(tf):
-    """(client_id, y, gbt, ablation): out-of-fold scores with all numbers and without the balance family, fitted in the same passes."""
-    return B.oof_scores(tf, CATS, {"gbt": NUMS, "ablation": WITHOUT_BALANCE}, "client_id", "fold", 5, settings=LEAFWISE)
-
-
 @query("boost_folds")
 def boost_folds(fx):
     """Rows-only: boosting and its ablation, out of fold, all metrics."""
-    oof = materialize(boosted_folds(train_folds(fx)))
+    oof = materialize(boosted_folds(train_folds(fx), {"gbt": NUMS, "ablation": WITHOUT_BALANCE}))
     return E.evaluate(oof, "gbt", "y", "client_id", "boosting (oof)") \
         .unionByName(E.evaluate(oof, "ablation", "y", "client_id", "boosting without balance family"))
