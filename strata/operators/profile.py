@@ -188,11 +188,13 @@ def column_profile(df: DataFrame, cols: Sequence[str], lg_sketch: int | None = N
     return g.select("variable", "rows", "null_share", "n_distinct", "example_num", F.when(~F.col("number"), F.col("_t")).alias("example_text"))
 
 
-def level_report(df: DataFrame, col: str, cleaned: Column, max_levels: int = 1000) -> DataFrame:
-    """(n_raw, n_clean, levels, more) of a category before and after cleaning. ``levels`` lists the first
-    ``max_levels`` clean levels in order, ``more`` says whether there are others: no list grows with the data."""
+def level_report(df: DataFrame, col: str, cleaned: Column, max_levels: int | None = None) -> DataFrame:
+    """(n_raw, n_clean, levels, more) of a category before and after cleaning. ``levels`` lists all clean levels in
+    order; a caller who names ``max_levels`` gets the first ones, and ``more`` says whether there are others."""
     c = df.groupBy(F.col(col).alias("_r"), cleaned.alias("_c")).agg(F.lit(1).alias("_1"))
-    first = c.where(F.col("_c").isNotNull()).select("_c").distinct().orderBy("_c").limit(max_levels) \
-        .agg(F.array_join(F.array_sort(F.collect_list("_c")), ",").alias("levels"))
+    first = c.where(F.col("_c").isNotNull()).select("_c").distinct()
+    if max_levels is not None:
+        first = first.orderBy("_c").limit(max_levels)
+    first = first.agg(F.array_join(F.array_sort(F.collect_list("_c")), ",").alias("levels"))
     n = c.agg(F.countDistinct("_r").alias("n_raw"), F.countDistinct("_c").alias("n_clean"))
-    return n.crossJoin(F.broadcast(first)).select("n_raw", "n_clean", "levels", (F.col("n_clean") > max_levels).alias("more"))
+    return n.crossJoin(F.broadcast(first)).select("n_raw", "n_clean", "levels", (F.lit(False) if max_levels is None else F.col("n_clean") > max_levels).alias("more"))

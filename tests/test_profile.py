@@ -116,3 +116,13 @@ def test_level_list_is_bounded(spark):
     assert (cut["levels"], cut["more"]) == ("l0,l1,l10", True)
     none = P.level_report(df.limit(0), "c", clean).first()
     assert (none["n_raw"], none["levels"], none["more"]) == (0, "", False)
+
+
+def test_level_report_lists_every_level(spark):
+    """All levels by default, however many there are, and no column about a cut in the query's SQL."""
+    from strata.plans import q_relational as Q
+
+    df = spark.range(1500).select(F.format_string("l%04d", "id").alias("c"))
+    row = P.level_report(df, "c", F.trim("c")).first()
+    assert row["levels"].split(",") == [f"l{i:04d}" for i in range(1500)] and (row["n_clean"], row["more"]) == (1500, False)
+    assert "1000" not in "".join(Q._LQ_PARTS) and " more" not in "".join(Q._LQ_PARTS)
