@@ -20,9 +20,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package
+from ..session import dealt, ship_package
 
 SAMPLE = 2_000
+#: Distances that a task holds at a time.
+CELLS = 1 << 20
+#: Sums of at most so many tasks are added by the driver, without a shuffle in every pass.
+FEW_PARTS = 16
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(15)])
 
 
@@ -47,9 +51,11 @@ def weights(keys: np.ndarray, resample: int | None) -> np.ndarray:
 
 
 def keyed(points: DataFrame, id_col: str, features: str = "features") -> DataFrame:
-    """(key, x): hash of the id and the vector as an array, stored once for all passes."""
+    """(key, x): hash of the id and the vector as an array, stored once for all passes, in at least one part per core:
+    the work of a pass is points x runs, so a file or two of points would leave it to as many tasks."""
     ship_package(points.sparkSession)
-    return materialize(points.select(F.xxhash64(id_col).alias("key"), vector_to_array(features).alias("x")))
+    x = points.select(F.xxhash64(id_col).alias("key"), vector_to_array(features).alias("x"))
+    return dealt(x, points.sparkSession.sparkContext.defaultParallelism)
 
 
 def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -69,9 +75,17 @@ def partial_sums(data: DataFrame, part: Callable[[np.ndarray, np.ndarray], list[
         keys = list(held)
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in keys], pa.int32()), pa.array([j for _, j in keys], pa.int32()),
-                                              pa.array([held[k].tolist() for k in keys], pa.list_(pa.float64()))], names=["run", "centre", "v"])
-
-    rows = data.mapInArrow(run, "run int, centre int, v array<double>").select("run", "centre", array_to_vector("v").alias("v")) \
+                                              pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(held[k]) for k in keys]]), pa.int32()),
+                                                                       pa.array(np.concatenate([held[k] for k in keys])))], names=["run", "centre", "v"])
+
+    parts = data.mapInArrow(run, "run int, centre int, v array<double>")
+    if data.rdd.getNumPartitions() <= FEW_PARTS:
+        t, out = parts.toArrow(), {}
+        for i, j, v in zip(t.column("run").to_pylist(), t.column("centre").to_pylist(), t.column("v"), strict=True):
+            v = v.values.to_numpy()
+            out[i, j] = out[i, j] + v if (i, j) in out else v
+        return out
+    rows = parts.select("run", "centre", array_to_vector("v").alias("v")) \
         .groupBy("run", "centre").agg(Summarizer.sum(F.col("v")).alias("v")).collect()
     return {(r["run"], r["centre"]): r["v"].toArray() for r in rows}
 
@@ -88,22 +102,48 @@ def _plus_plus(x: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -
 
 
 def _assigned(runs: Sequence[tuple[int, int | None, np.ndarray]]):
-    """Per (run, centre): weight, cost and weighted sum of its points."""
+    """The runs of equal k, and per such family one vector: costs, weights of the centres and weighted sums of their
+    points. A family is worked off together, a few points at a time: one product for all distances, one for all sums."""
+    families = []
+    for k in sorted({len(c) for *_, c in runs}):
+        own = [r for r in runs if len(r[2]) == k]
+        centres = np.stack([c for *_, c in own], axis=1)                      # k x runs x dimensions
+        drawn = sorted({b for _, b, _ in own}, key=lambda b: (b is not None, b))
+        families.append((k, [i for i, *_ in own], centres.reshape(-1, centres.shape[2]), (centres * centres).sum(axis=2)[..., None],
+                         drawn, np.array([drawn.index(b) for _, b, _ in own])))
+
     def part(keys, x):
         out = []
-        for i, resample, centres in runs:
-            w = weights(keys, resample)
-            d = squared_distances(x, centres)
-            near = d.argmin(axis=1)
-            least = d[np.arange(len(x)), near]
-            for j in range(len(centres)):
-                mine = near == j
-                wj = w[mine]
-                if wj.any():
-                    out.append((i, j, np.concatenate([[wj.sum(), wj @ least[mine]], wj @ x[mine]])))
+        for family, (k, ids, flat, squares, drawn, of) in enumerate(families):
+            n, dims = len(ids), x.shape[1]
+            cost, weight, sums = np.zeros(n), np.zeros((k, n)), np.zeros((k * n, dims))
+            step = max(1, CELLS // (k * n))
+            for lo in range(0, len(x), step):
+                own = x[lo:lo + step]
+                w = np.stack([weights(keys[lo:lo + step], b) for b in drawn])[of]
+                d = np.maximum((own * own).sum(axis=1) - 2 * (flat @ own.T).reshape(k, n, -1) + squares, 0.0)
+                near, least = np.zeros(w.shape, np.int8 if k < 128 else np.int64), d[0].copy()
+                for j in range(1, k):
+                    np.copyto(near, j, where=d[j] < least)
+                    np.minimum(least, d[j], out=least)
+                cost += (w * least).sum(axis=1)
+                for j in range(k):
+                    np.multiply(w, near == j, out=d[j])
+                weight += d.sum(axis=2)
+                sums += d.reshape(k * n, -1) @ own
+            out.append((family, 0, np.concatenate([cost, weight.ravel(), sums.ravel()])))
         return out
 
-    return part
+    return [(k, ids) for k, ids, *_ in families], part
+
+
+def _unpacked(families: Sequence[tuple[int, list[int]]], sums: dict[tuple[int, int], np.ndarray]):
+    """(run, cost, weight per centre, weighted sum per centre) from the vectors of ``_assigned``."""
+    for family, (k, ids) in enumerate(families):
+        v, n = sums[family, 0], len(ids)
+        weight, total = v[n:n + k * n].reshape(k, n), v[n + k * n:].reshape(k, n, -1)
+        for r, i in enumerate(ids):
+            yield i, float(v[r]), weight[:, r], total[:, r]
 
 
 def fit_runs(data: DataFrame, runs: list[Run], max_iter: int = 100, tol: float = 1e-4) -> list[Run]:
@@ -120,14 +160,10 @@ def fit_runs(data: DataFrame, runs: list[Run], max_iter: int = 100, tol: float =
         live = [(i, r.resample, r.centres) for i, r in enumerate(runs) if r.moving]
         if not live:
             break
-        sums = partial_sums(data, _assigned(live))
-        for i, _, centres in live:
-            new, cost = centres.copy(), 0.0
-            for j in range(len(centres)):
-                if (i, j) in sums:
-                    n, own = sums[i, j][:2]
-                    cost += own
-                    new[j] = sums[i, j][2:] / n
+        families, part = _assigned(live)
+        for i, cost, n, total in _unpacked(families, partial_sums(data, part)):
+            centres = runs[i].centres
+            new = np.where(n[:, None] > 0, total / np.where(n > 0, n, 1.0)[:, None], centres)
             # the cost is that of the centres before the move: they are kept once the move is small
             runs[i].cost = cost
             if step == max_iter or ((new - centres) ** 2).sum(axis=1).max() <= tol ** 2:

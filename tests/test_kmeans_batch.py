@@ -65,3 +65,28 @@ def test_choose_k_and_stability_on_planted_clusters(blobs, spark):
     table = np.array([[5.0, 1], [2, 7]])
     pairs = spark.createDataFrame([(i, j) for i in (0, 1) for j in (0, 1) for _ in range(int(table[i, j]))], "a int, b int")
     assert kb.adjusted_rand(table) == pytest.approx(K.ari(pairs, "a", "b").first()[0])
+
+
+def test_points_of_one_file_are_dealt_over_all_cores(blobs, spark):
+    """A pass over many runs is not left to the one task that a small file has."""
+    one = blobs[1].coalesce(1)
+    assert kb.keyed(one, "id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r["key"] for r in kb.keyed(one, "id").collect()) == sorted(r["key"] for r in kb.keyed(blobs[1], "id").collect())
+
+
+def test_sums_of_many_tasks_equal_those_of_few(blobs, monkeypatch):
+    data = kb.keyed(blobs[1], "id")
+    runs = [(i, b, np.arange(3.0 * k).reshape(k, 3)) for i, (k, b) in enumerate([(2, None), (3, 1), (2, 4), (3, None)])]
+    families, part = kb._assigned(runs)
+    few = list(kb._unpacked(families, kb.partial_sums(data, part)))
+    monkeypatch.setattr(kb, "FEW_PARTS", 0)
+    many = list(kb._unpacked(families, kb.partial_sums(data, part)))
+    keys, x = (np.array([r[c] for r in data.collect()]) for c in ("key", "x"))
+    for a, b in zip(few, many, strict=True):
+        _, resample, centres = runs[a[0]]
+        w, d = kb.weights(keys, resample), kb.squared_distances(x, centres)
+        near = d.argmin(axis=1)
+        for got in (a, b):
+            assert got[0] == a[0] and got[1] == pytest.approx(float(w @ d.min(axis=1)))
+            assert np.allclose(got[2], [w[near == j].sum() for j in range(len(centres))])
+            assert np.allclose(got[3], [w[near == j] @ x[near == j] for j in range(len(centres))])
