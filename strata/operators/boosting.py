@@ -312,7 +312,7 @@ def _histograms(state: DataFrame, runs: list[Run], growing: list[Growing], done:
 
 class Store:
     """The binned rows with their margins, in two folders written in turn: one is read while the other is replaced.
-    A task reads about ``TASK_ROWS`` rows, if the files allow it."""
+    A task reads about ``TASK_ROWS`` rows: the first write deals them over as many files."""
 
     def __init__(self, spark: SparkSession, rows: int):
         self.spark, self.turn, self.tasks = spark, 0, -(-max(rows, 1) // TASK_ROWS)
@@ -418,7 +418,7 @@ def fit(df: DataFrame, cats: Sequence[str], nums: Sequence[str], key: str, label
                     names=["key", "y", "fold", "codes", "margin", *types])
 
     store = Store(spark, sum(r["n"] for r in totals))
-    state = store.write(base.mapInArrow(encode, schema))
+    state = store.write(base.repartition(store.tasks).mapInArrow(encode, schema))
     done, empty = 0, np.zeros((len(names), s.max_bins, 3), np.int64)
     for t in range(s.rounds):
         growing = [Growing(tree_features(run, names, s, t), len(bins.levels), s) for run in runs]

@@ -160,3 +160,14 @@ def test_held_out_quality(table):
     oof = B.oof_scores(table, ["c"], {"score": ["a", "b"]}, "id", "fold", 3, settings=s)
     auc = E.evaluate(oof.withColumn("y", F.col("y").cast("int")), "score", "y", "id", "boost").first()
     assert auc["auc_roc"] > 0.75
+
+
+def test_rows_of_one_part_are_dealt_over_tasks(spark, monkeypatch):
+    """A pass has as many tasks as the rows need, also if they came in one part, and the model is the same."""
+    monkeypatch.setattr(B, "TASK_ROWS", 100)
+    df = spark.range(800).select("id", (F.col("id") * 37 % 101).cast("double").alias("a"), (F.col("id") * 37 % 101 + F.col("id") % 7 > 50).cast("int").alias("y"))
+    s = B.Settings(rounds=2, min_child=5)
+    one, many = (B.fit(d, [], ["a"], "id", settings=s) for d in (df.coalesce(1), df.repartition(5)))
+    assert one.rows.rdd.getNumPartitions() > 1
+    score = lambda m: sorted(m.scores(["id"], ["p"], [[0]]).collect())
+    assert score(one) == score(many)
