@@ -23,8 +23,8 @@ From candidates to components, nothing lost:
    then exactly on the token sets, the partners of one document in parts of about ``PARTNERS`` that go to
    different tasks; links are merged to components;
 4. two members of a group that ended in different components may still link. Groups with equal members count
-   once. Open groups get further stars around other members (a keyed hash picks 8, then 64, ...) while these link enough;
-   new links only join the components found so far. What is left is compared by sketches across components, block by
+   once. Open groups get further stars around other members (a keyed hash picks 8, then 64, ...) while these link enough,
+   compared by sketches inside the tasks like the blocks below; new links only join the components found so far. What is left is compared by sketches across components, block by
    block (``BLOCK_MEMBERS`` a side), so that no group meets in one task; only pairs that the sketches do not
    rule out become rows, and these are checked exactly. A turn's files go as soon as the next one has its own.
 After step 4 every pair that shares a segment is linked, checked, or inside one component.
@@ -36,6 +36,8 @@ versions of one document; a link of any of them counts. An empty table gives an
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import discard, names, release, small, staged
 from .link_components import components as components_of
-from .wordhash import WordHasher, chunks, mix64, positions, window_hash
+from .wordhash import WordHasher, mix64, positions, text_chunks, window_hash
 
 SHINGLE, NUM = 5, 75
 REPEATS, FREQUENT = 3, 1_000_000
@@ -127,10 +129,6 @@ def segments(tokens: np.ndarray, k: int, frequent: np.ndarray, length: int) -> n
     return key[np.lexsort((key, late))[:length]]
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-
-
 def _meta(batches):
     """A row per document (token null), and a row per token that ``REPEATS`` documents of a batch share."""
     hasher = WordHasher(3, lower=True)
@@ -138,14 +136,17 @@ def _meta(batches):
                         ("token", pa.int64()), ("count", pa.int64())])
 
     def repeated(found):
-        token, count = np.unique(np.concatenate(found), return_counts=True)
-        hot = count >= REPEATS
-        k = int(hot.sum())
-        return pa.record_batch([*(pa.nulls(k, f.type) for f in list(schema)[:5]), pa.array(token[hot].view(np.int64)), pa.array(count[hot])], schema=schema)
+        every = np.concatenate(found)
+        found.clear()
+        every.sort()
+        # a token has its distinct documents side by side; only those with REPEATS of them are gathered
+        token = np.unique(every[:max(0, len(every) - REPEATS + 1)][every[REPEATS - 1:] == every[:max(0, len(every) - REPEATS + 1)]])
+        count = np.searchsorted(every, token, side="right") - np.searchsorted(every, token)
+        return pa.record_batch([*(pa.nulls(len(token), f.type) for f in list(schema)[:5]), pa.array(token.view(np.int64)), pa.array(count)], schema=schema)
 
     for batch in batches:
-        texts, ids, lo, found, size = _texts(batch), batch.column("id"), 0, [], 0
-        for part in chunks(texts):
+        ids, lo, found, size = batch.column("id"), 0, [], 0
+        for part in text_chunks(batch.column("text")):
             token, n = shingle_sets(hasher, part)
             stop = np.cumsum(n)
             filled = np.flatnonzero(n > 0)
@@ -160,9 +161,9 @@ def _meta(batches):
             lo += len(part)
             found.append(token)
             size += sum(map(len, part))
-            if size >= COUNT_BYTES or lo == len(texts):
+            if size >= COUNT_BYTES or lo == batch.num_rows:
                 yield repeated(found)
-                found, size = [], 0
+                size = 0
 
 
 def frequent_tokens(meta: DataFrame) -> np.ndarray:
@@ -180,9 +181,9 @@ def _emit(often: np.ndarray, num: int):
     def run(batches):
         hasher = WordHasher(3, lower=True)
         for batch in batches:
-            texts, ids, lo = _texts(batch), batch.column("id").to_numpy(), 0
+            ids, lo = batch.column("id").to_numpy(), 0
             keys, owner, size = [], [], 0
-            for part in chunks(texts):
+            for part in text_chunks(batch.column("text")):
                 token, n = shingle_sets(hasher, part)
                 hot = np.zeros(len(token), bool)
                 if len(often):
@@ -201,7 +202,7 @@ def _emit(often: np.ndarray, num: int):
                         owner.append(np.full(len(m), ids[lo + i]))
                 lo += len(part)
                 size += sum(map(len, part))
-                if keys and (size >= PART_BYTES or lo == len(texts)):
+                if keys and (size >= PART_BYTES or lo == batch.num_rows):
                     yield from sift(np.concatenate(keys), np.concatenate(owner))
                     keys, owner, size = [], [], 0
 
@@ -261,18 +262,21 @@ def _near(num: int):
 
 
 def _sets(batches):
-    """The token set of b beside each pair; equal neighbours are hashed once."""
+    """The token set of b beside each pair, in batches of about ``CHUNK_BYTES`` of text; equal neighbours are hashed once."""
     hasher = WordHasher(3, lower=True)
+    last = (None, None)
     for batch in batches:
-        texts, sets, last = _texts(batch), [], (None, None)
-        for t in texts:
-            if t != last[0]:
-                last = (t, shingle_sets(hasher, [t])[0].view(np.int64))
-            sets.append(last[1])
-        lens = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat))],
-                                         names=["a", "b", "tokens"])
+        lo = 0
+        for part in text_chunks(batch.column("text")):
+            sets = []
+            for t in part:
+                if t != last[0]:
+                    last = (t, shingle_sets(hasher, [t])[0].view(np.int64))
+                sets.append(last[1])
+            lens = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("a").slice(lo, len(part)), batch.column("b").slice(lo, len(part)),
+                                              pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(sets)))], names=["a", "b", "tokens"])
+            lo += len(part)
 
 
 def _linked(num: int):
@@ -282,7 +286,7 @@ def _linked(num: int):
         for batch in batches:
             keep = []
             other = batch.column("tokens")
-            for i, t in enumerate(_texts(batch)):
+            for i, t in enumerate(chain.from_iterable(text_chunks(batch.column("text")))):
                 if t != last[0]:
                     last = (t, shingle_sets(hasher, [t])[0].view(np.int64))
                 mine, theirs = last[1], other[i].values.to_numpy()
@@ -420,6 +424,18 @@ def _compare_groups(num: int):
     return run
 
 
+def _blocks(count, size):
+    """Blocks that so many members with so many bytes of sketches are cut into."""
+    return F.greatest(F.ceil(count / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES)).cast("long")
+
+
+def _near_units(units: DataFrame, meta: DataFrame, num: int) -> DataFrame:
+    """Near pairs of the members that meet in a unit (key, p, q), in different blocks if p and q differ."""
+    rows = units.join(meta.select("id", "sketch"), "id").select("key", "p", "q", "block", "id", "n", "label", "sketch") \
+        .repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return staged(rows.mapInArrow(_compare_groups(num), "a long, b long").distinct(), "near")
+
+
 def near_across(members: DataFrame, meta: DataFrame, num: int) -> DataFrame:
     """Near pairs of open-group members in different components. A large group is cut into blocks, by count and
     by bytes of sketches, and each pair of blocks is a unit of work; blocks of the group's largest component
@@ -427,28 +443,37 @@ def near_across(members: DataFrame, meta: DataFrame, num: int) -> DataFrame:
     wide = members.join(meta.select("id", F.length("sketch").alias("width")), "id")
     parts = wide.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("width").alias("bytes"))
     most = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m"), F.sum("bytes").alias("all"), F.max_by("bytes", F.struct("c", "label")).alias("bytes"))
-    cut = lambda count, size: F.greatest(F.ceil(count / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES)).cast("long")
-    plan = most.select("key", F.col("top.label").alias("main"), cut(F.col("top.c"), F.col("bytes")).alias("inner"),
-                       cut(F.col("m") - F.col("top.c"), F.col("all") - F.col("bytes")).alias("outer"))
+    plan = most.select("key", F.col("top.label").alias("main"), _blocks(F.col("top.c"), F.col("bytes")).alias("inner"),
+                       _blocks(F.col("m") - F.col("top.c"), F.col("all") - F.col("bytes")).alias("outer"))
     # blocks 0 .. outer - 1 hold the smaller components, the others the largest one
     own = F.when(F.col("label") == F.col("main"), F.col("outer") + F.pmod(F.xxhash64(F.lit(2), "id"), F.col("inner"))) \
         .otherwise(F.pmod(F.xxhash64(F.lit(2), "id"), F.col("outer")))
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("label") == F.col("main"), F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1))
     placed = members.join(plan, "key").withColumn("block", own).withColumn("other", F.explode(others)) \
         .withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    units = placed.join(meta.select("id", "sketch"), "id").select("key", "p", "q", "block", "id", "n", "label", "sketch") \
-        .repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return staged(units.mapInArrow(_compare_groups(num), "a long, b long").distinct(), "near")
+    return _near_units(placed, meta, num)
 
 
-def _next_stars(members: DataFrame, turn: int, num: int) -> DataFrame:
-    """Pairs of each group's members with about ``CENTERS`` ** turn others, picked by a keyed hash."""
-    size = members.groupBy("key").agg(F.count("*").alias("m"))
+def near_stars(members: DataFrame, meta: DataFrame, turn: int, num: int) -> tuple[DataFrame, float]:
+    """Near pairs of each group's members with about ``CENTERS`` ** turn others, picked by a keyed hash, in different
+    components; and how many pairs were looked at (a pair once per group). Members and centers are cut into blocks, a
+    unit is one block of each, and pairs are compared inside it, so pairs that the sketches rule out never become rows."""
+    wide = members.join(meta.select("id", F.length("sketch").alias("width")), "id")
+    size = wide.groupBy("key").agg(F.count("*").alias("m"), _blocks(F.count("*"), F.sum("width")).alias("inner"))
     draw = F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    center = members.join(size, "key").filter(draw * F.col("m") < F.lit(float(CENTERS ** turn))) \
-        .select("key", F.col("id").alias("cid"), F.col("n").alias("cn"), F.col("label").alias("clabel"))
-    return members.join(center, "key").filter((F.col("label") != F.col("clabel")) & (100 * F.least("n", "cn") >= num * F.greatest("n", "cn"))) \
-        .select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b")).distinct()
+    drawn = staged(wide.join(size, "key").withColumn("center", draw * F.col("m") < F.lit(float(CENTERS ** turn))).drop("m"), "drawn")
+    parts = drawn.groupBy("key", "label").agg(F.count("*").alias("m"), F.count_if("center").alias("c"), F.sum(F.when(F.col("center"), F.col("width")).otherwise(0)).alias("w"))
+    stars = parts.groupBy("key").agg(_blocks(F.sum("c"), F.sum("w")).alias("outer"), (F.sum("m").cast("double") * F.sum("c") - F.sum(F.col("m").cast("double") * F.col("c"))).alias("tried"))
+    stars = staged(stars.filter("outer > 0"), "stars")
+    p, q = F.pmod(F.xxhash64(F.lit(2), "id"), "inner"), -1 - F.pmod(F.xxhash64(F.lit(3), "id"), "outer")
+    zero = F.lit(0).cast("long")
+    as_member = F.transform(F.sequence(zero, F.col("outer") - 1), lambda x: F.struct(p.alias("p"), (-1 - x).alias("q"), zero.alias("block")))
+    as_center = F.transform(F.sequence(zero, F.col("inner") - 1), lambda x: F.struct(x.alias("p"), q.alias("q"), (zero + 1).alias("block")))
+    placed = drawn.join(stars, "key").withColumn("u", F.explode(F.when(F.col("center"), F.concat(as_member, as_center)).otherwise(as_member)))
+    near = _near_units(placed.select("key", "id", "n", "label", "u.p", "u.q", "u.block"), meta, num)
+    tried = stars.agg(F.sum("tried")).first()[0] or 0.0
+    discard(drawn, stars)
+    return near, tried
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = NUM) -> DataFrame:
@@ -478,13 +503,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
     # a group's pairs are compared by sketches at once, unless too many of them would then be checked exactly
     while pairs * n_near > (CHECKS * size + FEW_CHECKS) * max(n_tried, 1):
         turn += 1
-        tried = staged(_next_stars(left, turn, num), "pairs")
-        near = near_pairs(tried, rep_meta, num)
+        near, n_tried = near_stars(left, rep_meta, turn, num)
         links = linked_pairs(near, texts, num)
         label = _merge_labels(label, links)
-        n_tried, n_near, n_links = tried.count(), near.count(), links.count()
+        n_near, n_links = near.count(), links.count()
         done, (left, size, pairs) = left, _open_members(left.drop("label"), label)
-        discard(done, tried, near)
+        discard(done, near)
         release(spark)
         if n_links <= STAR_YIELD * n_near:
             break

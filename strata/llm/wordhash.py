@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+#: Texts that are held as Python objects at once, and texts whose bytes are hashed at once (about 50 bytes of arrays a byte).
+CHUNK_BYTES, HASH_BYTES = 2 << 20, 1 << 19
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -34,7 +37,7 @@ class WordHasher:
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words in order, words per text)."""
         hashes, counts = [], []
-        for part in chunks(texts):
+        for part in chunks(texts, HASH_BYTES):
             h, n = self._chunk(part)
             hashes.append(h)
             counts.append(n)
@@ -71,6 +74,16 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[list[bytes]]
         yield part
 
 
+def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
+    """The runs of ``chunks`` over a string column (null: empty); only one run at a time is held as Python objects."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(size, size[lo] + most, side="right")) - 1)
+        yield [t or b"" for t in column.slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
+        lo = hi
+
+
 def window_hash(words: np.ndarray, width: int, base: int) -> np.ndarray:
     """Hash of the ``width`` words from each position (the last width - 1 positions are left out)."""
     n = len(words) - width + 1

@@ -191,6 +191,45 @@ def test_open_groups_are_paired(llm):
     assert got == brute_components(rows) and len({c for _, c in got.values()}) == 5
 
 
+def test_further_stars_make_no_pair_rows(llm, monkeypatch):
+    """A passage in all documents: pairs with the further centers are compared inside the tasks; only those that the
+    sketches leave become rows, whatever the blocks, and every component is whole."""
+    rnd = random.Random(5)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for g in range(40):
+        tail = [f"t{g}_{i}" for i in range(50)]
+        for i in range(5):
+            own = list(tail)
+            own[rnd.randrange(50)] = f"e{g}_{i}"
+            rows.append((10 + 10 * g + i, " ".join(shared + own)))
+    joined, turns, near, stars = [], [], jaccard_join.near_pairs, getattr(jaccard_join, "near_stars", None)
+    monkeypatch.setattr(jaccard_join, "near_pairs", lambda pairs, *a: (joined.append(pairs.count()), near(pairs, *a))[1])
+    if stars:
+        monkeypatch.setattr(jaccard_join, "near_stars", lambda *a: (turns.append(stars(*a)), turns[-1])[1])
+    for name, value in (("CHECKS", 0), ("FEW_CHECKS", 0), ("BLOCK_MEMBERS", 7)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert len(joined) == 1 and turns and turns[0][1] > joined[0]
+
+
+def test_texts_are_read_in_runs():
+    """Token sets leave in batches of about a run of texts, not one for all rows that came in; runs are those of a list."""
+    import pyarrow as pa
+
+    from strata.llm import wordhash
+
+    texts = [None, "", "é a b c d e f " * 3, "x"] + [" ".join(f"w{i}_{j}" for j in range(4000)) for i in range(300)]
+    column = pa.array(texts)[1:]
+    runs = [p for p in wordhash.chunks([(t or "").encode() for t in texts[1:]])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(column))), pa.array(range(len(column))), column], names=["a", "b", "text"])
+    out = list(jaccard_join._sets([batch]))
+    assert len(out) == len(runs) > 3 and [b.num_rows for b in out] == [len(p) for p in runs]
+    assert pa.Table.from_batches(out).column("b").to_pylist() == list(range(len(column)))
+    assert list(wordhash.text_chunks(column)) == runs
+
+
 @pytest.mark.parametrize("hub", [1, 10 ** 6])
 def test_partners_of_a_center_are_dealt(llm, monkeypatch, hub):
     """A center with many partners, as the smaller or the larger id: every pair is checked once, in several tasks."""
