@@ -22,6 +22,7 @@ gives an empty dataset.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -40,8 +41,14 @@ from ..session import checkpoint_dir
 
 BLOCK, SEGMENT_IDS, PERCENTILE = 1024, 1 << 20, 90
 HEAD, BLOCK_HEAD = struct.Struct("<4sIQII"), struct.Struct("<IBHH")
-#: ASCII punctuation that may follow a word, without the apostrophe (contractions are pre-tokens).
-TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word of lower-case letters of ASCII and Latin-1, which no normaliser changes, and the ASCII punctuation that may follow
+#: it, without the apostrophe (contractions are pre-tokens).
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)")
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = dict(zip([*_OWN, *(b for b in range(256) if b not in _OWN)], [*_OWN, *range(256, 512 - len(_OWN))], strict=True))
+#: Stands for the end of a text among its words; no word holds a space.
+END = b" "
 SCHEMA = "shard int, segment int, shard_start long, n_tokens long, n_docs int, payload binary"
 
 
@@ -147,6 +154,19 @@ class Segment:
         return _unpack(self.body, self.starts[first:last + 1])[start - first * BLOCK:stop - first * BLOCK]
 
 
+class _Numbers(dict):
+    """Numbers of words; a word not seen before gets the next one and is noted in ``new``."""
+
+    def __init__(self):
+        super().__init__({END: 0})
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 class WordEncoder:
     """Ids of whole texts, word by word. The tokenizer lower-cases, drops white space and never joins
     across it, so a text's ids are those of its white-space separated pieces with A-Z lower-cased; each
@@ -161,46 +181,45 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers()
         self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.length[0] = self.used = 1
 
     def _code(self, words: list[bytes]) -> list[list[int]]:
-        """Ids per piece. A run of a-z is one pre-token that no normaliser changes, and punctuation other
-        than an apostrophe behind it is another, so the library's model codes these directly; all other
-        pieces take its whole pipeline, many to a call."""
+        """Ids per piece. A run of plain letters is one pre-token, and punctuation other than an apostrophe
+        behind it is another, so the library's model codes these directly; all other pieces take its whole
+        pipeline, many to a call."""
         memo: dict[bytes, list[int]] = {}
 
         def letters(w: bytes) -> list[int]:
             if (ids := memo.get(w)) is None:
-                ids = memo[w] = [t.id for t in self.model.tokenize(w.decode())]
+                ids = memo[w] = [t.id for t in self.model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(BYTE_CHARS))]
             return ids
 
         out, other = [], []
         for i, w in enumerate(words):
-            stem = w.rstrip(TAIL)
-            if not stem.isalpha():
+            plain = PLAIN.fullmatch(w)
+            if plain is None:
                 out.append(None)
                 other.append(i)
-            elif len(stem) == len(w):
-                out.append(letters(w))
-            else:
-                tail = w[len(stem):]
-                if tail not in memo:
-                    memo[tail] = self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids
-                out.append(letters(stem) + memo[tail])
+                continue
+            stem, tail = plain.groups()
+            if tail and tail not in memo:
+                memo[tail] = self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids
+            out.append(letters(stem) + memo[tail] if tail else letters(stem))
         coded = self.tokenizer.encode_batch_fast([words[i].decode() for i in other], add_special_tokens=False)
         for i, e in zip(other, coded, strict=True):
             out[i] = e.ids
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self) -> None:
+        """Ids of the new words, in the order of their numbers."""
+        words, n = self.index.new, len(self.index) - len(self.index.new)
         for lo in range(0, len(words), 4096):
             part = words[lo:lo + 4096]
             coded = self._code(part)
             lens = np.fromiter(map(len, coded), np.int64, len(coded))
             flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(lens.sum()))
-            n = len(self.index)
             while self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while n + len(part) > len(self.start):
@@ -208,33 +227,33 @@ class WordEncoder:
             self.flat[self.used:self.used + len(flat)] = flat
             self.start[n:n + len(part)] = self.used + np.cumsum(lens) - lens
             self.length[n:n + len(part)] = lens
-            self.index.update((w, n + i) for i, w in enumerate(part))
             self.used += len(flat)
+            n += len(part)
+        self.index.new = []
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by ``end``, and the ids per text."""
         split = [t.lower().split() for t in texts]
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        words = [w for s in split for w in s]
-        new = list({w for w in words if w not in self.index})
-        if len(self.index) + len(new) > self.max_words and self.index:
-            self._reset()
-            new = list(set(words))
-        self._learn(new)
+        for s in split:
+            s.append(END)
+        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split))) - 1
+        words = list(chain.from_iterable(split))
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if len(self.index) > max(self.max_words, len(self.index.new) + 1):     # full, and it holds words of earlier texts
+            self._reset()
+            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self._learn()
+        self.flat[0] = end
         lens = self.length[at]
-        upto = np.concatenate([[0], np.cumsum(lens)])
-        bounds = np.concatenate([[0], np.cumsum(n_words)])
-        counts = upto[bounds[1:]] - upto[bounds[:-1]] + 1
-        src = np.repeat(self.start[at] - upto[:-1], lens) + np.arange(upto[-1])
-        out = np.full(int(counts.sum()), end, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(counts) - 1] = False
-        out[keep] = self.flat[src]
-        return out, counts
-
-
-def _chunks(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+        upto = np.cumsum(lens)
+        total = int(upto[-1]) if len(upto) else 0
+        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
+        src = np.repeat((self.start[at] - upto + lens).astype(kind), lens)
+        src += np.arange(total, dtype=kind)
+        return self.flat[src], np.diff(upto[last], prepend=0)
+
+
+def _chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     lo, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:
