@@ -26,7 +26,8 @@ From candidates to components, nothing lost:
    once. Open groups get further stars around other members (a keyed hash picks 8, then 64, ...) while these link enough,
    compared by sketches inside the tasks like the blocks below; new links only join the components found so far. What is left is compared by sketches across components, block by
    block (``BLOCK_MEMBERS`` a side), so that no group meets in one task; only pairs that the sketches do not
-   rule out become rows, and these are checked exactly. A turn's files go as soon as the next one has its own.
+   rule out become rows, and these are checked exactly. Near copies share most of their groups: a pair becomes a row in
+   the first of them only (``FIRST_KEYS``). A turn's files go as soon as the next one has its own.
 After step 4 every pair that shares a segment is linked, checked, or inside one component.
 
 Cases: null texts and texts without words have n_shingles 0 and link with nothing; fewer words than a
@@ -58,6 +59,9 @@ STAR_YIELD, CENTERS, CHECKS, FEW_CHECKS = 0.05, 8, 4, 100_000
 BLOCK_MEMBERS, BLOCK_BYTES = 2_048, 4 << 20
 #: Pairs that a task gathers before it sends them on.
 PAIRS_HELD = 250_000
+#: Open groups that each member's row names, those with the smallest keys. A pair that meets in a group named by both is
+#: left out in every later group.
+FIRST_KEYS = 16
 #: Pairs of one document that are checked exactly in one task; more are dealt over several.
 PARTNERS = 128
 PART_BYTES, COUNT_BYTES = 8 << 20, 16 << 20
@@ -354,11 +358,20 @@ def _merge_labels(label: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(merged.join(label, "node", "left_anti")))
 
 
-def _compare(n: np.ndarray, label: np.ndarray, block: np.ndarray, ids: np.ndarray, sketches: list[bytes], across_blocks: bool, num: int):
+def _padded(lists: pa.Array) -> np.ndarray:
+    """Ascending keys a row, filled up with the largest number, which is below no key."""
+    out = np.full((len(lists), FIRST_KEYS), np.iinfo(np.int64).max)
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    out[np.arange(FIRST_KEYS) < size[:, None]] = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _compare(key: int, n: np.ndarray, label: np.ndarray, block: np.ndarray, ids: np.ndarray, keys: np.ndarray, stars: np.ndarray, sketches: list[bytes],
+             across_blocks: bool, num: int):
     """(a, b) id arrays of members in different components (and different blocks, if two blocks meet here)
-    that sizes and sketches do not rule out."""
+    that sizes and sketches do not rule out and that no group before ``key`` is known to compare."""
     order = np.argsort(n, kind="stable")
-    n, label, block, ids = n[order], label[order], block[order], ids[order]
+    n, label, block, ids, keys, stars = n[order], label[order], block[order], ids[order], keys[order], stars[order]
     width = np.array([len(sketches[i]) for i in order])
     by_width = {}
     for w in np.unique(width):
@@ -381,6 +394,9 @@ def _compare(n: np.ndarray, label: np.ndarray, block: np.ndarray, ids: np.ndarra
             j, other = j[keep], sketch[lo:hi][keep]
             near = np.bitwise_count(other ^ mine).sum(axis=1) <= (n[j] + n[i]) * (100 - num) // (100 + num)
             j = j[near]
+            if len(j):
+                before = [(theirs[j][:, :, None] == own_keys[own_keys < key]).any(axis=(1, 2)) for theirs, own_keys in ((keys, stars[i]), (stars, keys[i]))]
+                j = j[~(before[0] | before[1])]
             out_a.append(np.minimum(ids[i], ids[j]))
             out_b.append(np.maximum(ids[i], ids[j]))
     return np.concatenate(out_a), np.concatenate(out_b)
@@ -405,11 +421,12 @@ def _compare_groups(num: int):
         if not rows.num_rows:
             return
         n, label, block, ids = (rows.column(c).to_numpy() for c in ("n", "label", "block", "id"))
+        keys, stars = (_padded(rows.column(c).combine_chunks()) for c in ("keys", "stars"))
         sketches = rows.column("sketch").to_pylist()
         found, held = [], 0
         for x, y in zip(first, np.append(first[1:], rows.num_rows), strict=False):
             if x < rows.num_rows:
-                found.append(_compare(n[x:y], label[x:y], block[x:y], ids[x:y], sketches[x:y], cols[1][x] != cols[2][x], num))
+                found.append(_compare(cols[0][x], n[x:y], label[x:y], block[x:y], ids[x:y], keys[x:y], stars[x:y], sketches[x:y], cols[1][x] != cols[2][x], num))
                 held += len(found[-1][0])
                 if held > PAIRS_HELD:
                     yield unique(found)
@@ -429,9 +446,18 @@ def _blocks(count, size):
     return F.greatest(F.ceil(count / BLOCK_MEMBERS), F.ceil(size / BLOCK_BYTES)).cast("long")
 
 
-def _near_units(units: DataFrame, meta: DataFrame, num: int) -> DataFrame:
+def _first_keys(members: DataFrame, star) -> DataFrame:
+    """Of each id the open groups with the smallest keys (``keys``) and those among them where it is compared with every
+    other member (``stars``)."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct("key", star.alias("star")))), 1, FIRST_KEYS)
+    return members.groupBy("id").agg(first.alias("first")) \
+        .select("id", F.col("first.key").alias("keys"), F.filter("first", lambda x: x["star"])["key"].alias("stars"))
+
+
+def _near_units(units: DataFrame, first: DataFrame, meta: DataFrame, num: int) -> DataFrame:
     """Near pairs of the members that meet in a unit (key, p, q), in different blocks if p and q differ."""
-    rows = units.join(meta.select("id", "sketch"), "id").select("key", "p", "q", "block", "id", "n", "label", "sketch") \
+    about = meta.select("id", "sketch").join(first, "id")
+    rows = units.join(about, "id").select("key", "p", "q", "block", "id", "n", "label", "keys", "stars", "sketch") \
         .repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return staged(rows.mapInArrow(_compare_groups(num), "a long, b long").distinct(), "near")
 
@@ -451,7 +477,7 @@ def near_across(members: DataFrame, meta: DataFrame, num: int) -> DataFrame:
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("label") == F.col("main"), F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1))
     placed = members.join(plan, "key").withColumn("block", own).withColumn("other", F.explode(others)) \
         .withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    return _near_units(placed, meta, num)
+    return _near_units(placed, _first_keys(members, F.lit(True)), meta, num)
 
 
 def near_stars(members: DataFrame, meta: DataFrame, turn: int, num: int) -> tuple[DataFrame, float]:
@@ -470,7 +496,7 @@ def near_stars(members: DataFrame, meta: DataFrame, turn: int, num: int) -> tupl
     as_member = F.transform(F.sequence(zero, F.col("outer") - 1), lambda x: F.struct(p.alias("p"), (-1 - x).alias("q"), zero.alias("block")))
     as_center = F.transform(F.sequence(zero, F.col("inner") - 1), lambda x: F.struct(x.alias("p"), q.alias("q"), (zero + 1).alias("block")))
     placed = drawn.join(stars, "key").withColumn("u", F.explode(F.when(F.col("center"), F.concat(as_member, as_center)).otherwise(as_member)))
-    near = _near_units(placed.select("key", "id", "n", "label", "u.p", "u.q", "u.block"), meta, num)
+    near = _near_units(placed.select("key", "id", "n", "label", "u.p", "u.q", "u.block"), _first_keys(drawn, F.col("center")), meta, num)
     tried = stars.agg(F.sum("tried")).first()[0] or 0.0
     discard(drawn, stars)
     return near, tried
