@@ -538,6 +538,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num:
         release(spark)
         if n_links <= STAR_YIELD * n_near:
             break
+    release(spark)
     near = near_across(left, rep_meta, num)
     label = _merge_labels(label, linked_pairs(near, texts, num))
     discard(left, near, members)
