@@ -20,11 +20,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import dealt, ship_package
+from ..session import dealt, materialize, ship_package
 
 SAMPLE = 2_000
 #: Distances that a task holds at a time.
 CELLS = 1 << 20
+#: Distances of one pass that make a task of their own worthwhile, and points that a task reads at most.
+TASK_CELLS, TASK_POINTS = 1 << 23, 100_000
 #: Sums of at most so many tasks are added by the driver, without a shuffle in every pass.
 FEW_PARTS = 16
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(15)])
@@ -58,6 +60,31 @@ def keyed(points: DataFrame, id_col: str, features: str = "features") -> DataFra
     return dealt(x, points.sparkSession.sparkContext.defaultParallelism)
 
 
+def packed(data: DataFrame, cells: int) -> DataFrame:
+    """The points of ``keyed`` for the many passes of a fit: (keys, points), a batch of rows as two byte strings. A pass then
+    reads a few long values instead of a row a point. ``cells``: distances a point has in a pass; parts with too few
+    for a task are put together, but not below one part a core."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("key").to_numpy().tobytes()], pa.binary()),
+                                                  pa.array([batch.column("x").flatten().to_numpy().tobytes()], pa.binary())], names=["keys", "points"])
+
+    parts = max(data.sparkSession.sparkContext.defaultParallelism, math.ceil(data.count() * max(cells / TASK_CELLS, 1 / TASK_POINTS)))
+    few = data.coalesce(parts) if data.rdd.getNumPartitions() > parts else data
+    return materialize(few.mapInArrow(run, "keys binary, points binary"))
+
+
+def _points(batch: pa.RecordBatch):
+    """(keys, points) of the rows of ``keyed``, or of each row of ``packed``."""
+    if "x" in batch.schema.names:
+        yield batch.column("key").to_numpy(), batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+        return
+    for k, x in zip(batch.column("keys"), batch.column("points"), strict=True):
+        keys = np.frombuffer(k.as_buffer(), np.int64)
+        yield keys, np.frombuffer(x.as_buffer(), float).reshape(len(keys), -1)
+
+
 def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     d = (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)
     return np.maximum(d, 0.0)
@@ -68,9 +95,8 @@ def partial_sums(data: DataFrame, part: Callable[[np.ndarray, np.ndarray], list[
     def run(batches):
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-                for i, j, v in part(batch.column("key").to_numpy(), x):
+            for own, x in _points(batch) if batch.num_rows else ():
+                for i, j, v in part(own, x):
                     held[i, j] = held[i, j] + v if (i, j) in held else v
         keys = list(held)
         if keys:
@@ -156,12 +182,13 @@ def fit_runs(data: DataFrame, runs: list[Run], max_iter: int = 100, tol: float =
     for run in runs:
         w = weights(keys, run.resample)
         run.centres = _plus_plus(x, w if w.any() else np.ones(len(x)), run.k, np.random.default_rng([run.start, run.k, (run.resample or -1) + 1]))
+    blocks = packed(data, sum(r.k for r in runs))
     for step in range(max_iter + 1):
         live = [(i, r.resample, r.centres) for i, r in enumerate(runs) if r.moving]
         if not live:
             break
         families, part = _assigned(live)
-        for i, cost, n, total in _unpacked(families, partial_sums(data, part)):
+        for i, cost, n, total in _unpacked(families, partial_sums(blocks, part)):
             centres = runs[i].centres
             new = np.where(n[:, None] > 0, total / np.where(n > 0, n, 1.0)[:, None], centres)
             # the cost is that of the centres before the move: they are kept once the move is small

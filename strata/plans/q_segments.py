@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import campaign as C
 from ..operators import segments as K
 from .q_campaign import BENEFIT_SQL, CFG, SEG_SQL
+from ..session import materialize
 from .registry import query, r
 
 WCOLS = ["granted", "balance"]
@@ -200,8 +201,9 @@ def profile_fitted_clusters(fx):
     from pyspark.ml.feature import VectorAssembler
     from ..operators import kmeans_batch as kb
 
-    scaled = K.robust_scale(fx.portfolio_base, K.fit_robust(fx.portfolio_base, CLUSTERED), CLUSTERED).select("client_id", *CLUSTERED)
+    base = materialize(fx.portfolio_base)      # read by scaling, labels and every pass of the medians
+    scaled = K.robust_scale(base, K.fit_robust(base, CLUSTERED), CLUSTERED).select("client_id", *CLUSTERED)
     points = VectorAssembler(inputCols=list(CLUSTERED), outputCol="features").transform(scaled).select("client_id", "features")
     best = kb.best_of(kb.fit_runs(kb.keyed(points, "client_id"), [kb.Run(6, s) for s in range(10)]))
     label = kb.label(points, "client_id", best)
-    return K.cluster_profile(fx.portfolio_base.join(label, "client_id")).select("cluster", "n", *[r(c).alias(c) for c in MEASURES])
+    return K.cluster_profile(materialize(base.join(label, "client_id"))).select("cluster", "n", *[r(c).alias(c) for c in MEASURES])

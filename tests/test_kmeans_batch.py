@@ -90,3 +90,19 @@ def test_sums_of_many_tasks_equal_those_of_few(blobs, monkeypatch):
             assert got[0] == a[0] and got[1] == pytest.approx(float(w @ d.min(axis=1)))
             assert np.allclose(got[2], [w[near == j].sum() for j in range(len(centres))])
             assert np.allclose(got[3], [w[near == j] @ x[near == j] for j in range(len(centres))])
+
+
+def test_passes_read_blocks_of_points(blobs, spark, monkeypatch):
+    """A pass of a fit reads a few blocks, no row a point, and its tasks follow the work, not the parts of the plan before."""
+    data, cores = kb.keyed(blobs[1].repartition(40), "id"), spark.sparkContext.defaultParallelism
+    sums, seen = kb.partial_sums, []
+    monkeypatch.setattr(kb, "partial_sums", lambda d, part: seen.append(d) or sums(d, part))
+    kb.fit_runs(data, [kb.Run(3, s) for s in (0, 1)])
+    assert data.rdd.getNumPartitions() == 40 and all(d.rdd.getNumPartitions() == cores for d in seen)
+    rows = seen[0].collect()
+    assert sum(len(r["keys"]) for r in rows) == 8 * len(blobs[0]) and len(rows) <= 40
+    families, part = kb._assigned([(0, None, np.arange(6.0).reshape(2, 3)), (1, 3, np.arange(9.0).reshape(3, 3))])
+    for a, b in zip(kb._unpacked(families, sums(data, part)), kb._unpacked(families, sums(seen[0], part)), strict=True):
+        assert a[0] == b[0] and all(np.allclose(x, y) for x, y in zip(a[1:], b[1:], strict=True))
+    one = kb.packed(kb.keyed(blobs[1].limit(1), "id"), 1)
+    assert [len(r["keys"]) for r in one.collect()] == [8]
