@@ -184,3 +184,41 @@ def test_rule_collapse_is_order_free(spark):
         kept = B.rule_collapse(B.rule_filter(B.association_rules(fi, 1.0), lift_min=1.0, n_min=10, conf_factor=1.0))
         return sorted((tuple(r["items"]), round(r["lift"], 12)) for r in kept.collect())
     assert run(df) == run(df.orderBy(F.desc("basket_id")).repartition(7))
+
+
+def test_fit_passes_have_tasks_by_rows(spark, monkeypatch):
+    """A model fit reads its rows in as many parts as they are worth, however many the plan before ended with."""
+    from strata import session
+
+    rows = spark.range(300).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 7 > 3 AS INT) AS y")
+    cores, seen = spark.sparkContext.defaultParallelism, []
+    many = session.materialize(rows.repartition(60))
+    few = session.gathered(many)
+    assert few.rdd.getNumPartitions() == 2 * cores and sorted(r["id"] for r in few.collect()) == list(range(300))
+    monkeypatch.setattr(M, "missing_stage", lambda train, nums, f=M.missing_stage: seen.append(train.rdd.getNumPartitions()) or f(train, nums))
+    model = M.gbt([], ["x"], iters=2, depth=2)(many)
+    assert seen == [2 * cores] and model.transform(many).where("prediction <> y").count() == 0
+    small = session.materialize(rows.repartition(3))
+    assert session.gathered(small) is small      # parts and order of a small frame stay
+    monkeypatch.setattr(session, "FIT_ROWS", 10)
+    dealt = session.gathered(small)
+    assert dealt.rdd.getNumPartitions() == 30 and sorted(r["id"] for r in dealt.collect()) == list(range(300))
+
+
+def test_stored_portfolio_is_worked_out_once(spark):
+    """Queries that read the portfolio many times read stored rows, not the scans and joins again."""
+    from strata.plans.q_models import modelable
+    from strata.sources.fixtures import Fixtures
+
+    fx, scans = Fixtures(spark, "/root/testdata/sf0.001"), []
+    scan = Fixtures.t
+    want = sorted(map(tuple, fx.portfolio.collect()))
+    try:
+        Fixtures.t = lambda self, name, *cols: scans.append(name) or scan(self, name, *cols)
+        stored = Fixtures(spark, fx.base).stored()
+        assert sorted(map(tuple, stored.portfolio.collect())) == want and scans.count("orders") == 1
+        assert not any("orders" in f for f in [*stored.portfolio.inputFiles(), *stored.portfolio_base.inputFiles(), *stored.portfolio_active.inputFiles()])
+    finally:
+        Fixtures.t = scan
+    narrow = "client_id", "gid", "split"
+    assert sorted(map(tuple, modelable(fx, True).select(*narrow).collect())) == sorted(map(tuple, modelable(fx).select(*narrow).collect()))
